@@ -69,12 +69,17 @@ VIEW_SQL = {
 }
 
 
-def with_views(sql: str, *views: str) -> str:
-    """Prefix ``sql`` with CTEs for the named observation views (oracle side)."""
+def with_views(sql: str, *views: str, extra: list[tuple[str, str]] | None = None) -> str:
+    """Prefix ``sql`` with CTEs for the named observation views (oracle side),
+    followed by ``extra`` (name, body) CTEs."""
     parts = []
     for v in views:
+        if v == "preds" and "obs_events" not in views:
+            parts.append(f"obs_events AS ({OBS_EVENTS_SQL})")
         body = PREDS_SQL if v == "preds" else VIEW_SQL[v]
         parts.append(f"{v} AS ({body})")
+    for name, body in extra or []:
+        parts.append(f"{name} AS ({body})")
     return "WITH " + ",\n".join(parts) + "\n" + sql if parts else sql
 
 
