@@ -34,7 +34,7 @@ def auc(df: DataFrame, score: str, y: str = "y", keys: Sequence[str] = (),
     den = F.col("n_pos").cast("double") * F.col("n_neg").cast("double") * 2.0
     out = g.select(*k, (F.col("_num").cast("double") / F.nullif(den, F.lit(0.0))).alias("auc"),
                    F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"))
-    return out if keys else out.drop(R._KEY)
+    return out
 
 
 def auc_panel(df: DataFrame, features: Sequence[str], y: str = "y", keys: Sequence[str] = (),

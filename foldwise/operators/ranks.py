@@ -28,6 +28,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldwise.session import materialize
+
 _KEY = "_grp"
 
 
@@ -41,9 +43,21 @@ def default_buckets(spark) -> int:
 
 
 def _keys_or_const(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    if keys:
-        return df, list(keys)
-    return df.withColumn(_KEY, F.lit(0)), [_KEY]
+    """Keyless inputs are handled by the scalar-subquery path of ``bucketize``;
+    this only normalises the key list."""
+    return df, list(keys)
+
+
+def _bisect(t: DataFrame, edges: Column, score: str, m: int) -> DataFrame:
+    """``_bkt`` = number of the 2^m - 1 sorted edges below ``score``: an unrolled
+    binary search, one cheap projection per step (codegen, no lambda)."""
+    s = F.col(score)
+    t = t.withColumn("_bkt", F.lit(0))
+    for k in range(m - 1, -1, -1):
+        st = 1 << k
+        probe = F.get(edges, F.col("_bkt") + (st - 1))
+        t = t.withColumn("_bkt", F.when(probe < s, F.col("_bkt") + st).otherwise(F.col("_bkt")))
+    return t
 
 
 def bucketize(t: DataFrame, keys: Sequence[str], score: str, buckets: int) -> DataFrame:
@@ -51,14 +65,15 @@ def bucketize(t: DataFrame, keys: Sequence[str], score: str, buckets: int) -> Da
     m = max(1, (buckets - 1).bit_length())
     nb = 1 << m
     fracs = [i / nb for i in range(1, nb)]
-    edges = t.groupBy(*keys).agg(F.percentile_approx(score, fracs, 10000).alias("_edges"))
-    steps = F.array(*[F.lit(1 << s) for s in range(m - 1, -1, -1)])
-    s = F.col(score)
-    bkt = F.aggregate(steps, F.lit(0),
-                      lambda acc, st: F.when(F.element_at(F.col("_edges"), acc + st) < s, acc + st).otherwise(acc))
+    pa = F.percentile_approx(score, fracs, 10000)
+    if not keys:
+        # One group: the edges are a scalar subquery, evaluated once and inlined.
+        return _bisect(t, t.agg(pa.alias("_edges")).scalar(), score, m)
+    edges = t.groupBy(*keys).agg(pa.alias("_edges"))
     # The edge table is #groups x B doubles; AQE broadcasts it when its measured
     # size is small and otherwise keeps a shuffled join.
-    return t.join(edges, list(keys), "inner").withColumn("_bkt", bkt).drop("_edges")
+    joined = t.join(edges, list(keys), "inner")
+    return _bisect(joined, F.col("_edges"), score, m).drop("_edges")
 
 
 def cumulative_below(t: DataFrame, keys: Sequence[str], score: str, counts: Sequence[str],
@@ -68,8 +83,9 @@ def cumulative_below(t: DataFrame, keys: Sequence[str], score: str, counts: Sequ
     ``{c}_total``: the group total."""
     tb = bucketize(t, keys, score, buckets)
     per = tb.groupBy(*keys, "_bkt").agg(*[F.sum(c).alias(f"_b_{c}") for c in counts])
+    # <= B rows per key group: the offset window's input is bounded.
     wk = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    wt = Window.partitionBy(*keys)
+    wt = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offs = per.select(*keys, "_bkt",
                       *[F.coalesce(F.sum(f"_b_{c}").over(wk), F.lit(0)).alias(f"_o_{c}") for c in counts],
                       *[F.sum(f"_b_{c}").over(wt).alias(f"{c}_total") for c in counts])
@@ -97,10 +113,9 @@ def ranked_ties(df: DataFrame, score: str, keys: Sequence[str] = (), buckets: in
     df, k = _keys_or_const(df, keys)
     t = tie_table(df, k, score)
     c = cumulative_below(t, k, score, ["n"], buckets)
-    out = c.select(*k, score, "n",
-                   (F.col("n_below") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"),
-                   F.col("n_total").alias("n_group"))
-    return out if keys else out.drop(_KEY)
+    return c.select(*k, score, "n",
+                    (F.col("n_below") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"),
+                    F.col("n_total").alias("n_group"))
 
 
 def average_rank(df: DataFrame, score: str, keys: Sequence[str] = (), out: str = "rank",
@@ -158,6 +173,8 @@ def super_ensemble(preds: DataFrame, id_col: str, by: Sequence[str], seed_col: s
     """Rank-average models within each seed, then re-rank the seed ensembles
     and average across seeds."""
     per_seed = rank_average(preds, id_col, list(by) + [seed_col], model_col, score, "score", buckets)
+    # the per-seed ensemble is read several times by the second level: store it once
+    per_seed = materialize(per_seed)
     return rank_average(per_seed, id_col, list(by), seed_col, "score", "score", buckets)
 
 

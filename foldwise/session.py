@@ -50,3 +50,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf = tempfile.mkdtemp(prefix="foldwise-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
+
+
+def materialize(df):
+    """Cut lineage: reliable checkpoint into ``spark.checkpoint.dir`` (shared storage
+    on a cluster), so a nested computation plans and runs against the stored
+    result instead of re-deriving it; survives executor loss, unlike a local
+    checkpoint."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
