@@ -159,3 +159,17 @@ def count_above(x: ColumnOrName, edges: Sequence[Column]) -> Column:
     terms = [F.when(xc > e, 1).otherwise(0) for e in edges]
     total = sum(terms[1:], terms[0]) if terms else F.lit(0)
     return F.when(xc.isNull(), F.lit(None).cast("int")).otherwise(total)
+
+
+def safe_corr(a: ColumnOrName, b: ColumnOrName) -> Column:
+    """Pearson r over pairwise-complete rows; NULL when either side is constant.
+
+    ``F.corr`` raises DIVIDE_BY_ZERO under ANSI mode for a zero-variance input
+    (e.g. a constraint residual that is exactly 0 everywhere), so the ratio is
+    written out with a NULLIF-guarded denominator.
+    """
+    ac, bc = col(a).cast("double"), col(b).cast("double")
+    both = ac.isNotNull() & bc.isNotNull()
+    ap, bp = F.when(both, ac), F.when(both, bc)
+    den = F.sqrt(F.var_samp(ap) * F.var_samp(bp))
+    return F.covar_samp(ap, bp) / F.nullif(den, F.lit(0.0))

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.functions import exprs as X
+
 # Expressions per aggregate job are batched so generated code stays under the
 # JVM method-size limits.
 AGG_BATCH = 100
@@ -121,7 +123,7 @@ def corr_panel(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     rows = []
     for start in range(0, len(pairs), AGG_BATCH):
         chunk = pairs[start:start + AGG_BATCH]
-        aggs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r"),
+        aggs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), X.safe_corr(a, b).alias("r"),
                          F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias("n"))
                 .alias(f"p{i}") for i, (a, b) in enumerate(chunk)]
         wide = df.agg(*aggs)
@@ -139,7 +141,7 @@ def corr_with_target(df: DataFrame, cols: Sequence[str], y: str = "y") -> DataFr
 def corr_by_group(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
     """Correlation within each group (one groupBy, not a loop over groups)."""
     return (df.where(F.col(group).isNotNull()).groupBy(group).agg(
-        F.corr(a, b).alias("r"),
+        X.safe_corr(a, b).alias("r"),
         F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias("n")))
 
 

@@ -91,3 +91,10 @@ def row_stats_sql(cols: list[str], prefix: str = "row_num_") -> tuple[str, list[
         f"{sql_r6(f'CASE WHEN {m2z} = 0 THEN 0.0 ELSE {k!r} * {m3z} / pow({m2z}, 1.5) END')} AS {prefix}skew",
     ]
     return ", ".join(inner), outer
+
+
+def sql_safe_corr(a: str, b: str) -> str:
+    """Oracle twin of ``exprs.safe_corr``: NULL for a constant side."""
+    both = f"({a}) IS NOT NULL AND ({b}) IS NOT NULL"
+    ap, bp = f"CASE WHEN {both} THEN {a} END", f"CASE WHEN {both} THEN {b} END"
+    return f"(covar_samp({ap}, {bp}) / NULLIF(sqrt(var_samp({ap}) * var_samp({bp})), 0))"
