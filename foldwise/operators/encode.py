@@ -61,3 +61,17 @@ def test_target_encode(train: DataFrame, test: DataFrame, c: str, y: str = "y",
     g = global_mean(train, y)
     return (test.join(target_map(train, c, y), c, "left")
             .withColumn(out or f"{c}_target_enc", F.coalesce(F.col("_te"), g)).drop("_te"))
+
+
+def category_codes(train: DataFrame, df: DataFrame, c: str, out: str | None = None) -> DataFrame:
+    """P20: integer codes fitted on the labelled table only (alphabetical order);
+    unseen and NULL categories share the extra code ``#levels``.
+
+    ``StringIndexer`` is the ML-edge primitive for this; fitting it ships only the
+    level list (bounded by the cardinality) to the driver.
+    """
+    from pyspark.ml.feature import StringIndexer
+
+    model = StringIndexer(inputCol=c, outputCol=out or f"{c}_code", stringOrderType="alphabetAsc",
+                          handleInvalid="keep").fit(train)
+    return model.transform(df)
