@@ -133,12 +133,12 @@ def average_rank(df: DataFrame, score: str, keys: Sequence[str] = (), out: str =
         extra.append((F.col("rank") / F.col("n_group")).alias(pct))
     if n_out:
         extra.append(F.col("n_group").alias(n_out))
-    r = rt.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(score).alias("_s"),
+    r = rt.select(*[F.col(k).alias(f"__fw_k{i}") for i, k in enumerate(keys)], F.col(score).alias("__fw_s"),
                   F.col("rank").alias(out), *extra)
-    cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    cond.append(F.col(score).cast("double") == F.col("_s"))
+    cond = [F.col(k).eqNullSafe(F.col(f"__fw_k{i}")) for i, k in enumerate(keys)]
+    cond.append(F.col(score).cast("double") == F.col("__fw_s"))
     joined = df.join(r, cond, "left")
-    return joined.drop(*[f"_k{i}" for i in range(len(keys))], "_s")
+    return joined.drop(*[f"__fw_k{i}" for i in range(len(keys))], "__fw_s")
 
 
 def rank01(df: DataFrame, score: str, keys: Sequence[str] = (), out: str = "rank01",
