@@ -23,11 +23,15 @@ from foldwise.operators import ranks as R
 
 def auc(df: DataFrame, score: str, y: str = "y", keys: Sequence[str] = (),
         buckets: int | None = None) -> DataFrame:
-    """(keys, auc, n_pos, n_neg) over rows with a non-null score."""
+    """(keys, auc, n_pos, n_neg) over rows with a non-null score.
+
+    ``buckets`` forces the bucketed plan; by default a HyperLogLog size check
+    picks a plain per-group window when every group is small enough."""
+    plain = buckets is None and R.plain_ok(df, keys, score)
     buckets = buckets or R.default_buckets(df.sparkSession)
     src, k = R._keys_or_const(df, keys)
     t = R.tie_table(src, k, score, y)
-    c = R.cumulative_below(t, k, score, ["neg"], buckets)
+    c = R.cumulative_below(t, k, score, ["neg"], buckets, plain)
     term = (F.col("pos").cast("decimal(38,0)")
             * (F.col("neg_below") * 2 + F.col("neg")).cast("decimal(38,0)"))
     g = c.groupBy(*k).agg(F.sum(term).alias("_num"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))

@@ -33,6 +33,26 @@ from foldwise.session import materialize
 _KEY = "_grp"
 
 
+# A key group with at most this many distinct scores is ranked by one plain window
+# task (bounded sort); larger groups take the bucketed plan.
+PLAIN_MAX = 2_000_000
+
+
+def plain_ok(df: DataFrame, keys: Sequence[str], score: str, limit: int = PLAIN_MAX) -> bool:
+    """Size check: every key group has at most ``limit`` distinct scores.
+
+    One HyperLogLog pass (partial sketches, tiny shuffle) -- the 'check of its
+    size' that decides between the single-window plan and the bucketed plan.
+    """
+    src = df.where(F.col(score).isNotNull())
+    nd = F.approx_count_distinct(score)
+    if keys:
+        top = src.groupBy(*keys).agg(nd.alias("nd")).agg(F.max("nd")).collect()[0][0]
+    else:
+        top = src.agg(nd).collect()[0][0]
+    return top is None or top <= limit
+
+
 def default_buckets(spark) -> int:
     """Power of two >= max(16, spark.sql.shuffle.partitions), capped at 2^16."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -77,10 +97,20 @@ def bucketize(t: DataFrame, keys: Sequence[str], score: str, buckets: int) -> Da
 
 
 def cumulative_below(t: DataFrame, keys: Sequence[str], score: str, counts: Sequence[str],
-                     buckets: int) -> DataFrame:
+                     buckets: int, plain: bool = False) -> DataFrame:
     """For each (keys, score) row of a tie table, add ``{c}_below``: the sum of ``c``
     over rows of the same key group with a strictly smaller score, and
-    ``{c}_total``: the group total."""
+    ``{c}_total``: the group total.
+
+    ``plain=True`` (only after ``plain_ok``): one window per key group."""
+    if plain:
+        w = (Window.partitionBy(*keys).orderBy(score) if keys else Window.orderBy(score)) \
+            .rowsBetween(Window.unboundedPreceding, -1)
+        wt = (Window.partitionBy(*keys) if keys else Window.partitionBy()) \
+            .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return t.select(*t.columns,
+                        *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_below") for c in counts],
+                        *[F.sum(c).over(wt).alias(f"{c}_total") for c in counts])
     tb = bucketize(t, keys, score, buckets)
     per = tb.groupBy(*keys, "_bkt").agg(*[F.sum(c).alias(f"_b_{c}") for c in counts])
     # <= B rows per key group: the offset window's input is bounded.
@@ -108,11 +138,14 @@ def tie_table(df: DataFrame, keys: Sequence[str], score: str, y: str | None = No
 
 
 def ranked_ties(df: DataFrame, score: str, keys: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """(keys, score, n, rank, n_group): average rank of each distinct score."""
+    """(keys, score, n, rank, n_group): average rank of each distinct score.
+
+    ``buckets`` forces the bucketed plan; by default the size check decides."""
+    plain = buckets is None and plain_ok(df, keys, score)
     buckets = buckets or default_buckets(df.sparkSession)
     df, k = _keys_or_const(df, keys)
     t = tie_table(df, k, score)
-    c = cumulative_below(t, k, score, ["n"], buckets)
+    c = cumulative_below(t, k, score, ["n"], buckets, plain)
     return c.select(*k, score, "n",
                     (F.col("n_below") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"),
                     F.col("n_total").alias("n_group"))

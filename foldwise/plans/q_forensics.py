@@ -278,3 +278,12 @@ ORACLE["moderation"] = FX.with_views(
     f"{sql_r6('avg(y)')} AS mean_y, {sql_r6('avg(x1)')} AS mean_x, "
     "count(CASE WHEN x1 IS NOT NULL AND y IS NOT NULL THEN 1 END) AS n FROM obs_events WHERE c1 IS NOT NULL GROUP BY c1",
     "obs_events")
+
+
+@q("ks_drift_bucketed")
+def ks_drift_bucketed(spark, sf):
+    """D2 through the bucketed running-sum plan (forced), same oracle."""
+    return _round_doubles(D.ks_drift(FX.obs_events(spark, sf), KS_COLS, buckets=64))
+
+
+ORACLE["ks_drift_bucketed"] = ORACLE["ks_drift"]

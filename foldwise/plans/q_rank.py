@@ -296,3 +296,38 @@ def _entry_sql():
 
 
 ORACLE["entry_subgroup_auc"] = _entry_sql()
+
+
+# ---------------------------------------------------------------- forced scale path
+# The default plan picks a single window per group when a HyperLogLog check shows
+# the groups are small (always true at test scale).  These keys force the
+# bucketed plan (64 range buckets) and reuse the plain oracles, so the path that
+# runs at 100 TB is checked against DuckDB on every round.
+
+
+@q("rank01_bucketed")
+def rank01_bucketed(spark, sf):
+    p = FX.preds(spark, sf)
+    out = R.rank01(p, "score", ["split", "seed", "model"], buckets=64)
+    return out.select("id", "split", "seed", "model", r6("rank01").alias("rank01"))
+
+
+ORACLE["rank01_bucketed"] = ORACLE["rank01"]
+
+
+@q("auc_panel_bucketed")
+def auc_panel_bucketed(spark, sf):
+    return _round_doubles(A.auc_panel(FX.obs_events(spark, sf), PANEL, buckets=64))
+
+
+ORACLE["auc_panel_bucketed"] = ORACLE["auc_panel"]
+
+
+@q("super_ensemble_auc_bucketed")
+def super_ensemble_auc_bucketed(spark, sf):
+    ens = R.super_ensemble(FX.preds(spark, sf).where(F.col("split") == "train"), "id", [], buckets=64)
+    labelled = A.attach_labels(ens, FX.labels_of(spark, sf).select("id", "y"))
+    return _round_doubles(A.auc(labelled, "score", buckets=64))
+
+
+ORACLE["super_ensemble_auc_bucketed"] = ORACLE["super_ensemble_auc"]
