@@ -68,6 +68,15 @@ def _keys_or_const(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[
     return df, list(keys)
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner equi-join where NULL keys match each other (a NULL group is a group)."""
+    r = right
+    for i, k in enumerate(keys):
+        r = r.withColumnRenamed(k, f"__fw_r{i}")
+    cond = [F.col(k).eqNullSafe(F.col(f"__fw_r{i}")) for i, k in enumerate(keys)]
+    return left.join(r, cond, "inner").drop(*[f"__fw_r{i}" for i in range(len(keys))])
+
+
 def _bisect(t: DataFrame, edges: Column, score: str, m: int) -> DataFrame:
     """``_bkt`` = number of the 2^m - 1 sorted edges below ``score``: an unrolled
     binary search, one cheap projection per step (codegen, no lambda)."""
@@ -92,7 +101,7 @@ def bucketize(t: DataFrame, keys: Sequence[str], score: str, buckets: int) -> Da
     edges = t.groupBy(*keys).agg(pa.alias("_edges"))
     # The edge table is #groups x B doubles; AQE broadcasts it when its measured
     # size is small and otherwise keeps a shuffled join.
-    joined = t.join(edges, list(keys), "inner")
+    joined = _join_null_safe(t, edges, keys)
     return _bisect(joined, F.col("_edges"), score, m).drop("_edges")
 
 
@@ -120,7 +129,7 @@ def cumulative_below(t: DataFrame, keys: Sequence[str], score: str, counts: Sequ
                       *[F.coalesce(F.sum(f"_b_{c}").over(wk), F.lit(0)).alias(f"_o_{c}") for c in counts],
                       *[F.sum(f"_b_{c}").over(wt).alias(f"{c}_total") for c in counts])
     wb = Window.partitionBy(*keys, "_bkt").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    joined = tb.join(offs, list(keys) + ["_bkt"], "inner")
+    joined = _join_null_safe(tb, offs, list(keys) + ["_bkt"])
     return joined.select(
         *t.columns,
         *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(wb), F.lit(0))).alias(f"{c}_below") for c in counts],
