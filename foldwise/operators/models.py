@@ -57,8 +57,9 @@ def _classifier(model_type: str, n_features: int, params: dict, seed: int, n_tra
         c = p.pop("C", 0.1)
         # scikit-learn's C on the summed loss == regParam 1 / (C * n) on Spark's mean loss
         reg = 1.0 / (c * max(n_train or 1, 1))
+        # scikit-learn's lbfgs defaults: 100 iterations, tolerance 1e-4
         return LogisticRegression(featuresCol="features", labelCol="_label", regParam=reg,
-                                  standardization=False, maxIter=p.pop("maxIter", 100))
+                                  standardization=False, maxIter=p.pop("maxIter", 100), tol=p.pop("tol", 1e-4))
     if model_type == "mlp":
         hidden = p.pop("layers", [64, 32])
         return MultilayerPerceptronClassifier(featuresCol="features", labelCol="_label", seed=seed,

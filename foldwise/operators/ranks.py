@@ -38,19 +38,22 @@ _KEY = "_grp"
 PLAIN_MAX = 2_000_000
 
 
-def plain_ok(df: DataFrame, keys: Sequence[str], score: str, limit: int = PLAIN_MAX) -> bool:
-    """Size check: every key group has at most ``limit`` distinct scores.
+def group_sizes(df: DataFrame, keys: Sequence[str], score: str) -> tuple[int, int]:
+    """(largest group's row count, largest group's distinct-score estimate).
 
-    One HyperLogLog pass (partial sketches, tiny shuffle) -- the 'check of its
-    size' that decides between the single-window plan and the bucketed plan.
+    One pass with partial aggregation and HyperLogLog sketches (tiny shuffle) --
+    the 'check of its size' that picks the plan for ordered computations.
     """
     src = df.where(F.col(score).isNotNull())
-    nd = F.approx_count_distinct(score)
-    if keys:
-        top = src.groupBy(*keys).agg(nd.alias("nd")).agg(F.max("nd")).collect()[0][0]
-    else:
-        top = src.agg(nd).collect()[0][0]
-    return top is None or top <= limit
+    aggs = [F.count(F.lit(1)).alias("n"), F.approx_count_distinct(score).alias("nd")]
+    g = src.groupBy(*keys).agg(*aggs) if keys else src.agg(*aggs)
+    row = g.agg(F.max("n"), F.max("nd")).collect()[0]
+    return int(row[0] or 0), int(row[1] or 0)
+
+
+def plain_ok(df: DataFrame, keys: Sequence[str], score: str, limit: int = PLAIN_MAX) -> bool:
+    """Every key group has at most ``limit`` distinct scores (tie-table window is bounded)."""
+    return group_sizes(df, keys, score)[1] <= limit
 
 
 def default_buckets(spark) -> int:
@@ -146,11 +149,13 @@ def tie_table(df: DataFrame, keys: Sequence[str], score: str, y: str | None = No
             .groupBy(*keys, F.col(score).cast("double").alias(score)).agg(*aggs))
 
 
-def ranked_ties(df: DataFrame, score: str, keys: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+def ranked_ties(df: DataFrame, score: str, keys: Sequence[str] = (), buckets: int | None = None,
+                plain: bool | None = None) -> DataFrame:
     """(keys, score, n, rank, n_group): average rank of each distinct score.
 
     ``buckets`` forces the bucketed plan; by default the size check decides."""
-    plain = buckets is None and plain_ok(df, keys, score)
+    if plain is None:
+        plain = buckets is None and plain_ok(df, keys, score)
     buckets = buckets or default_buckets(df.sparkSession)
     df, k = _keys_or_const(df, keys)
     t = tie_table(df, k, score)
@@ -165,11 +170,37 @@ def average_rank(df: DataFrame, score: str, keys: Sequence[str] = (), out: str =
     """Add the average-tie rank of ``score`` within ``keys`` (optionally
     rank / n as ``pct`` and the group's non-null count as ``n_out``).
 
-    The ranked tie table is joined back on (keys, score); a score value shared by
-    a third of the rows is one row on the small side, and AQE's skew-join
-    handling splits the large side's hot partition.
+    Plan, chosen by one size-check pass (``group_sizes``) unless ``buckets`` forces
+    the bucketed plan:
+
+    * every group <= PLAIN_MAX rows: one window per group over the raw rows;
+    * every group <= PLAIN_MAX distinct scores: window over the collapsed tie
+      table, joined back on (keys, score);
+    * otherwise: the bucketed tie-table plan, joined back.
+
+    In the join back a score value shared by a third of the rows is one row on
+    the small side; AQE's skew-join handling splits the large side's hot partition.
     """
-    rt = ranked_ties(df, score, keys, buckets)
+    plain = None
+    if buckets is None:
+        max_rows, max_distinct = group_sizes(df, keys, score)
+        plain = max_distinct <= PLAIN_MAX
+        if max_rows <= PLAIN_MAX:
+            # every group fits one task as raw rows: a single window, no join back
+            w = Window.partitionBy(*keys).orderBy(score) if keys else Window.orderBy(score)
+            wt = Window.partitionBy(*keys, score)
+            wn = Window.partitionBy(*keys) if keys else Window.partitionBy()
+            valid = F.col(score).isNotNull()
+            rank = F.when(valid, F.rank().over(w) - F.sum(F.when(~valid, 1).otherwise(0)).over(wn)
+                          + (F.count(F.lit(1)).over(wt) - 1) / F.lit(2.0))
+            n_grp = F.count(score).over(wn)
+            cols = [rank.cast("double").alias(out)]
+            if pct:
+                cols.append((rank / n_grp).alias(pct))
+            if n_out:
+                cols.append(F.when(valid, n_grp).alias(n_out))
+            return df.select("*", *cols)
+    rt = ranked_ties(df, score, keys, buckets, plain=plain)
     extra = []
     if pct:
         extra.append((F.col("rank") / F.col("n_group")).alias(pct))

@@ -77,3 +77,14 @@ def test_rank_average_exact_ties(spark):
                                for m, s in (("a", a), ("b", b))], "id int, model string, score double")
     out = {r.id: r.score for r in R.rank_average(p, "id", []).collect()}
     assert out[0] == out[1]  # (1/3 + 2/3)/2 on both rows: an exact tie
+
+
+@pytest.mark.parametrize("limit", [3000, 100])
+def test_all_three_rank_plans_agree(spark, skewed, monkeypatch, limit):
+    """limit 3000: tie-table window plan; limit 100: bucketed plan (auto)."""
+    direct = R.average_rank(skewed, "s", ["c1"], out="r").select("id", "r")
+    monkeypatch.setattr(R, "PLAIN_MAX", limit)
+    other = R.average_rank(skewed, "s", ["c1"], out="r2").select("id", "r2")
+    j = direct.join(other, "id")
+    assert j.count() == skewed.count()
+    assert j.where(~F.col("r").eqNullSafe(F.col("r2"))).count() == 0
