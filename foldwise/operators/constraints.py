@@ -92,7 +92,8 @@ def search(df: DataFrame, cands: Sequence[Constraint], min_support: int, eps: fl
     hits = res.where((F.col("violations") == 0) & (F.col("support") > min_support))
     if require_overlap:
         hits = hits.where(F.col("lhs_min") < F.col("rhs_max"))
-    return hits
+    # O1: hits by support, largest first (a sort of the small hit list)
+    return hits.orderBy(F.desc("support"), "name")
 
 
 def crosscheck(hits: DataFrame, other: DataFrame, eps: float = 1e-6) -> DataFrame:

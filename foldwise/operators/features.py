@@ -230,3 +230,49 @@ def proportional_impute(df: DataFrame, x: str, base: str, out: str | None = None
     both = df.where(F.col(x).isNotNull() & F.col(base).isNotNull())
     ratio = both.agg(X.safe_div(F.sum(x), F.sum(base)).alias("r")).scalar()
     return df.withColumn(out or f"est_{x}", F.coalesce(F.col(x), F.col(base) * ratio))
+
+
+def fill_missing(df: DataFrame, fills: Mapping[str, object], fitted_on: DataFrame | None = None) -> DataFrame:
+    """Coalesce with a constant or a statistic fitted on ``fitted_on`` (default df).
+
+    ``fills`` maps column -> constant | "mean" | "median".  Statistics are scalar
+    subqueries: one aggregate each, inlined as literals.
+    """
+    src = fitted_on if fitted_on is not None else df
+    cols = []
+    for c in df.columns:
+        if c not in fills:
+            cols.append(F.col(c))
+            continue
+        v = fills[c]
+        if v == "mean":
+            stat = src.agg(F.avg(c)).scalar()
+        elif v == "median":
+            stat = src.agg(F.percentile(c, F.lit(0.5))).scalar()
+        else:
+            stat = F.lit(v)
+        cols.append(F.coalesce(F.col(c), stat).alias(c))
+    return df.select(*cols)
+
+
+# Named candidate-feature bundles -- name -> builder(roles) -> FeatureSpec.
+def _bundle_total_screen(r):
+    return FeatureSpec().sum_of("total_screen", [r["daily"], r["weekend"]]).add(
+        "total_screen_isna", X.sum_of([r["daily"], r["weekend"]]).isNull().cast("int"))
+
+
+def _bundle_sm_weekend(r):
+    return FeatureSpec().sum_of("sm_weekend", [r["social"], r["weekend"]]).add(
+        "sm_weekend_isna", X.sum_of([r["social"], r["weekend"]]).isNull().cast("int"))
+
+
+def _bundle_all3(r):
+    parts = [r["daily"], r["social"], r["weekend"]]
+    return FeatureSpec().sum_of("all3_screen", parts).add("all3_screen_isna", X.sum_of(parts).isNull().cast("int"))
+
+
+BUNDLES = {"total_screen": _bundle_total_screen, "sm_weekend": _bundle_sm_weekend, "all3": _bundle_all3}
+
+
+def bundle(name: str, roles: Mapping[str, str]) -> FeatureSpec:
+    return BUNDLES[name](roles)

@@ -273,3 +273,37 @@ ORACLE["prop_impute"] = FX.with_views(
     "SELECT id, " + sql_r6("COALESCE(x1, value * (SELECT sum(x1) / NULLIF(sum(value), 0) FROM obs_events "
                            "WHERE x1 IS NOT NULL AND value IS NOT NULL))") + " AS est_x1 FROM obs_events",
     "obs_events")
+
+
+@q("fill_missing")
+def fill_missing(spark, sf):
+    """Constant, mean and median fills (statistics fitted on the labelled rows)."""
+    df = FX.obs_events(spark, sf)
+    tr = df.where(F.col("split") == "train")
+    out = FE.fill_missing(df, {"x1": "mean", "x2": "median", "c1": "missing"}, fitted_on=tr)
+    return out.select("id", r6("x1").alias("x1"), r6("x2").alias("x2"), "c1")
+
+
+ORACLE["fill_missing"] = FX.with_views(
+    "SELECT id, " + sql_r6("COALESCE(x1, (SELECT avg(x1) FROM obs_events WHERE split = 'train'))") + " AS x1, "
+    + sql_r6("COALESCE(x2, (SELECT quantile_cont(x2, 0.5) FROM obs_events WHERE split = 'train'))") + " AS x2, "
+    "COALESCE(c1, 'missing') AS c1 FROM obs_events", "obs_events")
+
+
+@q("feature_bundles")
+def feature_bundles(spark, sf):
+    """Named candidate bundles applied in one projection."""
+    df = FX.obs_orders(spark, sf)
+    spec = FE.FeatureSpec()
+    for name in FE.BUNDLES:
+        spec.items += FE.bundle(name, O_ROLES).items
+    out = spec.apply(df, keep=["id"])
+    return out.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+ORACLE["feature_bundles"] = FX.with_views(
+    "SELECT id, " + sql_r6("qty_total + price_max") + " AS total_screen, "
+    "CAST((qty_total + price_max) IS NULL AS INTEGER) AS total_screen_isna, "
+    + sql_r6("qty_a + price_max") + " AS sm_weekend, CAST((qty_a + price_max) IS NULL AS INTEGER) AS sm_weekend_isna, "
+    + sql_r6("qty_total + qty_a + price_max") + " AS all3_screen, "
+    "CAST((qty_total + qty_a + price_max) IS NULL AS INTEGER) AS all3_screen_isna FROM obs_orders", "obs_orders")
