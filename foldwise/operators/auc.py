@@ -22,12 +22,18 @@ from foldwise.operators import ranks as R
 
 
 def auc(df: DataFrame, score: str, y: str = "y", keys: Sequence[str] = (),
-        buckets: int | None = None) -> DataFrame:
+        buckets: int | None = None, max_group_rows: int | None = None) -> DataFrame:
     """(keys, auc, n_pos, n_neg) over rows with a non-null score.
 
-    ``buckets`` forces the bucketed plan; by default a HyperLogLog size check
-    picks a plain per-group window when every group is small enough."""
-    plain = buckets is None and R.plain_ok(df, keys, score)
+    ``buckets`` forces the bucketed plan; by default a size check picks a plain
+    per-group window when every group is small enough.  ``max_group_rows``: an
+    upper bound on rows per group already known to the caller (skips the check)."""
+    if buckets is not None:
+        plain = False
+    elif max_group_rows is not None and max_group_rows <= R.PLAIN_MAX:
+        plain = True
+    else:
+        plain = R.plain_ok(df, keys, score)
     buckets = buckets or R.default_buckets(df.sparkSession)
     src, k = R._keys_or_const(df, keys)
     t = R.tie_table(src, k, score, y)

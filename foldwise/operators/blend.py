@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from foldwise.operators import auc as A
 from foldwise.operators import ranks as R
+from foldwise.session import materialize
 
 # The blend ratios (first:second source, percent) of the
 # reference's raw and rank-scaled two-model sweeps.
@@ -58,22 +59,35 @@ def rank_scale(preds: DataFrame, by: Sequence[str] = (), model_col: str = "model
 
 def blend_long(wide: DataFrame, models: Sequence[str], weights: Sequence[Sequence[float]],
                keep: Sequence[str]) -> DataFrame:
-    """(keep..., w_id, score) with score = sum_m w_m * model_m for every weight vector."""
-    structs = []
-    for i, w in enumerate(weights):
+    """(keep..., w_id, score) with score = sum_m w_m * model_m for every weight vector.
+
+    ``posexplode`` of a primitive double array (w_id = position) is cheaper per
+    row than exploding structs."""
+    exprs = []
+    for w in weights:
         expr = None
         for m, wm in zip(models, w):
             term = F.lit(float(wm)) * F.col(m)
             expr = term if expr is None else expr + term
-        structs.append(F.struct(F.lit(i).alias("w_id"), expr.alias("score")))
-    return wide.select(*keep, F.inline(F.array(*structs)))
+        exprs.append(expr)
+    return wide.select(*keep, F.posexplode(F.array(*exprs)).alias("w_id", "score"))
 
 
 def blend_sweep(wide: DataFrame, models: Sequence[str], weights: Sequence[Sequence[float]],
                 y: str = "y") -> DataFrame:
-    """B1/B2: (w_id, weights..., auc, n_pos, n_neg) for every weight vector, one job."""
+    """B1/B2: (w_id, weights..., auc, n_pos, n_neg) for every weight vector, one job.
+
+    The weight expansion multiplies rows by len(weights) inside one stage, while
+    AQE sizes that stage by its (small) input; the scored table is therefore
+    spread over the cluster's parallelism first, and stored once because the
+    size check and the AUC both read it.
+    """
+    spark = wide.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    wide = materialize(wide.select(y, *models).repartition(n))
     long = blend_long(wide, models, weights, [y])
-    res = A.auc(long, "score", y, ["w_id"])
+    # every weight's group has at most one row per scored id: a proven size bound
+    res = A.auc(long, "score", y, ["w_id"], max_group_rows=wide.count())
     wt = wide.sparkSession.createDataFrame(
         [(i, *[float(x) for x in w]) for i, w in enumerate(weights)],
         "w_id int, " + ", ".join(f"w_{m} double" for m in models))

@@ -39,16 +39,21 @@ PLAIN_MAX = 2_000_000
 
 
 def group_sizes(df: DataFrame, keys: Sequence[str], score: str) -> tuple[int, int]:
-    """(largest group's row count, largest group's distinct-score estimate).
+    """(largest group's row count, largest group's distinct-score count or estimate).
 
-    One pass with partial aggregation and HyperLogLog sketches (tiny shuffle) --
-    the 'check of its size' that picks the plan for ordered computations.
+    The 'check of its size' that picks the plan for ordered computations: an
+    exact row count per group first (codegen'd partial aggregation, tiny
+    shuffle); only when some group exceeds PLAIN_MAX rows does a second pass
+    estimate distinct scores with HyperLogLog sketches.
     """
     src = df.where(F.col(score).isNotNull())
-    aggs = [F.count(F.lit(1)).alias("n"), F.approx_count_distinct(score).alias("nd")]
-    g = src.groupBy(*keys).agg(*aggs) if keys else src.agg(*aggs)
-    row = g.agg(F.max("n"), F.max("nd")).collect()[0]
-    return int(row[0] or 0), int(row[1] or 0)
+    g = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if keys else src.agg(F.count(F.lit(1)).alias("n"))
+    max_rows = int(g.agg(F.max("n")).collect()[0][0] or 0)
+    if max_rows <= PLAIN_MAX:
+        return max_rows, max_rows
+    nd = F.approx_count_distinct(score).alias("nd")
+    h = src.groupBy(*keys).agg(nd) if keys else src.agg(nd)
+    return max_rows, int(h.agg(F.max("nd")).collect()[0][0] or 0)
 
 
 def plain_ok(df: DataFrame, keys: Sequence[str], score: str, limit: int = PLAIN_MAX) -> bool:
