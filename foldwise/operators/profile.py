@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from foldwise.functions import exprs as X
 
-# Expressions per aggregate job are batched so generated code stays under the
-# JVM method-size limits.
-AGG_BATCH = 100
+# Pairs per aggregate job: each guarded correlation is four aggregate functions,
+# so a batch stays near 100 aggregates and under the JVM method-size limits.
+AGG_BATCH = 24
 
 
 def _not_null(keys: Sequence[str]) -> Column:

@@ -48,6 +48,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local"):
+            # a machine-local folder would not survive the loss of the executor that wrote it
+            raise RuntimeError("spark.checkpoint.dir must name shared storage (HDFS/S3/...) on a cluster")
         conf = tempfile.mkdtemp(prefix="foldwise-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
