@@ -209,3 +209,26 @@ ORACLE["category_codes"] = FX.with_views(
     "FROM obs_events e LEFT JOIN _lv l ON e.c1 = l.c1", "obs_events",
     extra=[("_lv", "SELECT c1, row_number() OVER (ORDER BY c1) - 1 AS code FROM "
                    "(SELECT DISTINCT c1 FROM obs_events WHERE split = 'train' AND c1 IS NOT NULL) d")])
+
+
+@q("label_scan")
+def label_scan(spark, sf):
+    """S3: single-column label read -- parquet column pruning keeps the scan to
+    the columns the label derives from."""
+    return FX.labels_of(spark, sf).select("id", "y")
+
+
+ORACLE["label_scan"] = FX.with_views("SELECT id, y FROM obs_events", "obs_events")
+
+
+@q("json_path_lookup")
+def json_path_lookup(spark, sf):
+    """Nested-JSON path lookup on the events' props column, then a profile of it."""
+    ev = FX.read_table(spark, sf, "events").select("event_type", IO.json_path("props", "$.k", "int").alias("k"))
+    return _round_doubles(ev.groupBy("event_type").agg(F.count("k").alias("n"), F.avg("k").alias("mean_k"),
+                                                       F.max("k").alias("max_k")))
+
+
+ORACLE["json_path_lookup"] = (
+    f"SELECT event_type, count(k) AS n, {sql_r6('avg(k)')} AS mean_k, max(k) AS max_k FROM "
+    "(SELECT event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events) t GROUP BY event_type")

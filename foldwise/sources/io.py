@@ -120,3 +120,8 @@ def schema_advisor(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
         rows.append(F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("dtype"), mn.alias("min"),
                              mx.alias("max"), sug.alias("suggested")))
     return wide.select(F.inline(F.array(*rows)))
+
+
+def json_path(c: str, path: str, dtype: str = "double"):
+    """S4 path lookup on a JSON string column (``$.a.b`` syntax), typed."""
+    return F.get_json_object(F.col(c), path).cast(dtype)
