@@ -17,6 +17,7 @@ from the TRAINING folds (md5 of the id), not from the scored fold.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -44,6 +45,9 @@ DEFAULTS = {
 }
 
 
+ROWS_PER_PARTITION = 250_000
+
+
 def _classifier(model_type: str, n_features: int, params: dict, seed: int, n_train: int | None):
     p = {**DEFAULTS.get(model_type, {}), **(params or {})}
     if model_type == "gbt":
@@ -57,9 +61,11 @@ def _classifier(model_type: str, n_features: int, params: dict, seed: int, n_tra
         c = p.pop("C", 0.1)
         # scikit-learn's C on the summed loss == regParam 1 / (C * n) on Spark's mean loss
         reg = 1.0 / (c * max(n_train or 1, 1))
-        # scikit-learn's lbfgs defaults: 100 iterations, tolerance 1e-4
+        # scikit-learn's lbfgs defaults: 100 iterations, tolerance 1e-4.  The L2
+        # penalty on standardised coefficients (standardization=True) is the same
+        # objective as StandardScaler + LogisticRegression, without a scaler pass.
         return LogisticRegression(featuresCol="features", labelCol="_label", regParam=reg,
-                                  standardization=False, maxIter=p.pop("maxIter", 100), tol=p.pop("tol", 1e-4))
+                                  standardization=True, maxIter=p.pop("maxIter", 100), tol=p.pop("tol", 1e-4))
     if model_type == "mlp":
         hidden = p.pop("layers", [64, 32])
         return MultilayerPerceptronClassifier(featuresCol="features", labelCol="_label", seed=seed,
@@ -70,7 +76,8 @@ def _classifier(model_type: str, n_features: int, params: dict, seed: int, n_tra
 def build_pipeline(numeric: Sequence[str], categorical: Sequence[str], flags: Sequence[str],
                    model_type: str, params: dict | None = None, seed: int = 42,
                    n_train: int | None = None) -> Pipeline:
-    """E5 (median imputation) + P20 (codes) + E6 (scaling for linear / MLP) + classifier."""
+    """E5 (median imputation) + P20 (codes) + E6 (scaling: StandardScaler for the MLP,
+    built-in standardisation for logistic regression) + classifier."""
     stages = []
     imp_out = [f"_imp_{c}" for c in numeric]
     if numeric:
@@ -79,7 +86,7 @@ def build_pipeline(numeric: Sequence[str], categorical: Sequence[str], flags: Se
     for c, o in zip(categorical, idx_out):
         stages.append(StringIndexer(inputCol=c, outputCol=o, stringOrderType="alphabetAsc", handleInvalid="keep"))
     cols = imp_out + list(flags) + idx_out
-    scaled = model_type in ("lr", "mlp")
+    scaled = model_type == "mlp"
     stages.append(VectorAssembler(inputCols=cols, outputCol="_raw" if scaled else "features",
                                   handleInvalid="keep"))
     if scaled:
@@ -106,7 +113,12 @@ def cv_train(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     data = train.select(*cols).withColumn("_label", F.col(y).cast("double"))
     if params and params.get("early_stopping"):
         data = data.withColumn("_is_val", X.hash_sample_pred(id_col, f"val{seed}", 0.1))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    # Iterative fits launch one job per iteration, so the task count matters:
+    # about ROWS_PER_PARTITION rows per partition, never fewer than a few.
+    n_rows = data.count()
+    sc = data.sparkSession.sparkContext
+    n_parts = max(math.ceil(n_rows / ROWS_PER_PARTITION), min(4, sc.defaultParallelism))
+    data = data.repartition(n_parts).persist(StorageLevel.MEMORY_AND_DISK)
     k_list = list(folds) if folds is not None else [
         r[0] for r in data.select(fold).distinct().orderBy(fold).collect()]
     oof_parts, test_parts = [], []
