@@ -82,15 +82,16 @@ def auc_by_fold(df: DataFrame, score: str, fold: str = "fold", y: str = "y", key
     return per, summ
 
 
-def log_loss_by(df: DataFrame, p: str, group: str | None, y: str = "y", eps: float = 1e-15) -> DataFrame:
-    """Log-loss (p clipped to [eps, 1 - eps]), Brier score and error rate at 0.5 by group."""
+def log_loss_by(df: DataFrame, p: str, group: str | Sequence[str] | None, y: str = "y",
+                eps: float = 1e-15) -> DataFrame:
+    """Log-loss (p clipped to [eps, 1 - eps]), Brier score and error rate at 0.5 by group(s)."""
     pc = F.greatest(F.least(F.col(p), F.lit(1.0 - eps)), F.lit(eps))
     yy = F.col(y).cast("double")
     ll = -(yy * F.log(pc) + (F.lit(1.0) - yy) * F.log(F.lit(1.0) - pc))
     src = df.where(F.col(p).isNotNull())
-    grp = [group] if group else []
-    if group:
-        src = src.where(F.col(group).isNotNull())
+    grp = [group] if isinstance(group, str) else list(group or [])
+    for g in grp:
+        src = src.where(F.col(g).isNotNull())
     return src.groupBy(*grp).agg(
         F.avg(ll).alias("log_loss"), F.avg((F.col(p) - yy) * (F.col(p) - yy)).alias("brier"),
         F.avg((F.when(F.col(p) >= 0.5, 1).otherwise(0) != F.col(y)).cast("int")).alias("error_rate"),

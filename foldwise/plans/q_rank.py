@@ -10,6 +10,7 @@ from foldwise.operators import binning as B
 from foldwise.operators import profile as P
 from foldwise.operators import ranks as R
 from foldwise.plans.common import E_MISSING, r6, sql_isna, sql_r6
+from foldwise.session import materialize
 from foldwise.sources import fixtures as FX
 
 QUERIES: dict = {}
@@ -331,3 +332,46 @@ def super_ensemble_auc_bucketed(spark, sf):
 
 
 ORACLE["super_ensemble_auc_bucketed"] = ORACLE["super_ensemble_auc"]
+
+
+# ---------------------------------------------------------------- OOF diagnostics
+
+
+def _diag_src(spark, sf):
+    """OOF predictions joined to labels and the row's missing count."""
+    ev = FX.obs_events(spark, sf).select("id", "y", X.missing_count(E_MISSING).alias("miss_n"))
+    p = FX.preds(spark, sf).where(F.col("split") == "train")
+    return A.attach_labels(p, ev).withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("score") - 100.0) / 25.0)))
+
+
+@q("oof_diagnostics")
+def oof_diagnostics(spark, sf):
+    """A17 + A19 + A21 in one report: AUC, log-loss and Brier per (seed, model),
+    overall (miss_n = -1) and per missing-count subgroup."""
+    src = _diag_src(spark, sf)
+    keys = ["seed", "model", "subgroup"]
+    # the labelled OOF table feeds the size check, the AUC and the log-loss: store it once
+    src = materialize(src.select("seed", "model", "score", "p", "y", "miss_n"))
+    both = src.withColumn("subgroup", F.col("miss_n")).unionByName(src.withColumn("subgroup", F.lit(-1)))
+    a = A.auc(both, "score", keys=keys)
+    ll = A.log_loss_by(both, "p", keys).select(*keys, "log_loss", "brier")
+    return _round_doubles(a.join(ll, keys, "inner"))
+
+
+def _diag_sql():
+    src = ("SELECT p.seed, p.model, p.score, e.y, 1.0 / (1.0 + exp(-(p.score - 100.0) / 25.0)) AS p, "
+           + " + ".join(sql_isna(c) for c in E_MISSING) + " AS miss_n FROM preds p JOIN obs_events e ON p.id = e.id "
+           "WHERE p.split = 'train'")
+    both = "SELECT *, miss_n AS subgroup FROM _src UNION ALL SELECT *, -1 AS subgroup FROM _src"
+    extra, final = auc_sql("_both", ["seed", "model", "subgroup"], "score")
+    ll = ("SELECT seed, model, subgroup, "
+          + sql_r6("avg(-(CAST(y AS DOUBLE) * ln(greatest(least(p, 1.0 - 1e-15), 1e-15)) + (1.0 - CAST(y AS DOUBLE))"
+                   " * ln(1.0 - greatest(least(p, 1.0 - 1e-15), 1e-15))))") + " AS log_loss, "
+          + sql_r6("avg((p - CAST(y AS DOUBLE)) * (p - CAST(y AS DOUBLE)))") + " AS brier "
+          "FROM _both GROUP BY seed, model, subgroup")
+    return FX.with_views(f"SELECT a.*, l.log_loss, l.brier FROM ({final}) a JOIN ({ll}) l "
+                         "ON a.seed = l.seed AND a.model = l.model AND a.subgroup = l.subgroup", "preds",
+                         extra=[("_src", src), ("_both", both)] + extra)
+
+
+ORACLE["oof_diagnostics"] = _diag_sql()
