@@ -19,11 +19,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.functions import exprs as X
+from foldwise.session import materialize
 
 
 def stratified_folds(df: DataFrame, id_col: str = "id", y: str = "y", k: int = 5, seed: int = 42,
-                     digits: int = 4, out: str = "fold") -> DataFrame:
-    """Add ``out`` (INT 0..k-1) to the labelled rows of ``df`` (NULL label -> no row)."""
+                     digits: int = 4, out: str = "fold", store: bool = False) -> DataFrame:
+    """Add ``out`` (INT 0..k-1) to the labelled rows of ``df`` (NULL label -> no row).
+
+    ``store=True`` checkpoints the result: a fold table is read by every fold's
+    fit, every encoding and every fold metric, so it is derived once."""
     lab = df.where(F.col(y).isNotNull()).withColumn("_h", X.hash_key(id_col, seed)) \
         .withColumn("_hb", F.substring("_h", 1, digits))
     counts = lab.groupBy(y, "_hb").agg(F.count(F.lit(1)).alias("_c"))
@@ -33,7 +37,8 @@ def stratified_folds(df: DataFrame, id_col: str = "id", y: str = "y", k: int = 5
     with_off = lab.join(F.broadcast(offs), [y, "_hb"], "inner")
     wr = Window.partitionBy(y, "_hb").orderBy("_h", id_col)
     fold = ((F.col("_off") + F.row_number().over(wr) - 1) % k).cast("int")
-    return with_off.withColumn(out, fold).drop("_h", "_hb", "_off")
+    res = with_off.withColumn(out, fold).drop("_h", "_hb", "_off")
+    return materialize(res) if store else res
 
 
 def fold_table(df: DataFrame, seeds: Sequence[int], id_col: str = "id", y: str = "y", k: int = 5) -> DataFrame:

@@ -32,7 +32,7 @@ def canonical_run(train: DataFrame, test: DataFrame, numeric: Sequence[str], cat
     fte = FE.build_features(test, id_col, None, numeric, categorical, roles)
     flags = [c for c in ftr.columns if c.endswith("_isna")]
     num = [c for c in ftr.columns if c not in (id_col, y, *categorical, *flags)]
-    by_seed = {s: FO.stratified_folds(ftr, id_col, y, k, s) for s in seeds}
+    by_seed = {s: FO.stratified_folds(ftr, id_col, y, k, s, store=True) for s in seeds}
     allp, ens = M.multi_seed(by_seed, configs, num, list(categorical), flags, test=fte, id_col=id_col)
     labels = train.select(id_col, y)
 

@@ -36,7 +36,7 @@ def fold_sql(src: str, seed: int = SEED, k: int = K, y: str = "y") -> str:
 
 def train_folds(spark, sf):
     tr = FX.obs_events(spark, sf).where(F.col("split") == "train")
-    return FO.stratified_folds(tr, "id", "y", K, SEED)
+    return FO.stratified_folds(tr, "id", "y", K, SEED, store=True)
 
 
 TRAIN_CTES = [("_tr", "SELECT * FROM obs_events WHERE split = 'train'"), ("_f", fold_sql("_tr"))]
@@ -111,7 +111,7 @@ DOC_CTES = [("_tr", "SELECT * FROM obs_docs WHERE split = 'train'"), ("_f", fold
 
 def doc_folds(spark, sf):
     docs = FX.obs_docs(spark, sf)
-    return docs, FO.stratified_folds(docs.where(F.col("split") == "train"), "id", "y", K, SEED)
+    return docs, FO.stratified_folds(docs.where(F.col("split") == "train"), "id", "y", K, SEED, store=True)
 
 
 @q("oof_target_encode_docs")

@@ -151,7 +151,7 @@ def multi_seed(spark, sf):
     flags = [c for c in feats.columns if c.endswith("_isna") and c not in ("c1_isna", "c2_isna")]
     numeric = [c for c in feats.columns if c not in ("id", "y", "c1", "c2") and c not in flags
                and not c.startswith("missing_count")]
-    by_seed = {s: FO.stratified_folds(feats, "id", "y", 5, s) for s in (42, 100)}
+    by_seed = {s: FO.stratified_folds(feats, "id", "y", 5, s, store=True) for s in (42, 100)}
     _, ens = M.multi_seed(by_seed, CONFIGS, numeric, O_CAT, flags)
     lab = ens.where(F.col("split") == "train").join(o.select("id", "y"), "id")
     return _round_doubles(A.auc(lab, "score"))
