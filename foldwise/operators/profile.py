@@ -100,14 +100,29 @@ def freq_dist(df: DataFrame, c: str) -> DataFrame:
 def summary(df: DataFrame, cols: Sequence[str], exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """describe() -- count, mean, std, min, 25/50/75 %, max per column, one pass.
 
-    ``exact`` uses ``percentile`` (linear interpolation, numpy/pandas default);
-    for continuous columns at very large scale pass ``exact=False``
-    (``percentile_approx`` sketch, bounded memory per task).
+    ``exact`` quartiles use linear interpolation (numpy/pandas default):
+    ``percentile`` inside the one aggregate for columns whose distinct count a
+    size check bounds, exact rank selection (bounded memory) for the others.
+    ``exact=False``: ``percentile_approx`` sketches.
     """
+    from foldwise.operators import binning as B
+    from foldwise.operators import ranks as R
+
+    big = set()
+    if exact:
+        n = df.count()
+        if n > R.PLAIN_MAX:
+            nd = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+            big = {c for i, c in enumerate(cols) if nd[f"d{i}"] > R.PLAIN_MAX}
     aggs = []
     for i, c in enumerate(cols):
-        q = (F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-             else F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy).cast("array<double>"))
+        if c in big:
+            vals = B.rank_select_quantiles(df, c, [0.25, 0.5, 0.75])
+            q = F.array(*[F.lit(v).cast("double") for v in vals])
+        elif exact:
+            q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        else:
+            q = F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy).cast("array<double>")
         aggs.append(F.struct(F.lit(c).alias("column_name"), F.count(c).alias("count"),
                              F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
                              F.min(c).cast("double").alias("min"), q.alias("q"),
