@@ -153,14 +153,6 @@ def cut_edges(x: ColumnOrName, edges: Sequence[float]) -> Column:
     return expr
 
 
-def count_above(x: ColumnOrName, edges: Sequence[Column]) -> Column:
-    """Number of edges strictly below x (NULL x -> NULL)."""
-    xc = col(x)
-    terms = [F.when(xc > e, 1).otherwise(0) for e in edges]
-    total = sum(terms[1:], terms[0]) if terms else F.lit(0)
-    return F.when(xc.isNull(), F.lit(None).cast("int")).otherwise(total)
-
-
 def safe_corr(a: ColumnOrName, b: ColumnOrName) -> Column:
     """Pearson r over pairwise-complete rows; NULL when either side is constant.
 

@@ -35,8 +35,8 @@ def auc(df: DataFrame, score: str, y: str = "y", keys: Sequence[str] = (),
     else:
         plain = R.plain_ok(df, keys, score)
     buckets = buckets or R.default_buckets(df.sparkSession)
-    src, k = R._keys_or_const(df, keys)
-    t = R.tie_table(src, k, score, y)
+    k = list(keys)
+    t = R.tie_table(df, k, score, y)
     c = R.cumulative_below(t, k, score, ["neg"], buckets, plain)
     term = (F.col("pos").cast("decimal(38,0)")
             * (F.col("neg_below") * 2 + F.col("neg")).cast("decimal(38,0)"))

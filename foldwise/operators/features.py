@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from foldwise.functions import exprs as X
 
 # Names of the domain features of the reference's canonical
-# 44-column set, in its order, with the role formula each one uses.
+# 44-column set, in its order, with the role formula each one uses
+# (``domain_spec`` builds exactly these).
 DOMAIN_FEATURES = [
     ("social_media_share", "social / daily"),
     ("gaming_share", "gaming / daily"),

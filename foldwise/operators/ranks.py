@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 
 from foldwise.session import materialize
 
-_KEY = "_grp"
-
 
 # A key group with at most this many distinct scores is ranked by one plain window
 # task (bounded sort); larger groups take the bucketed plan.
@@ -70,12 +68,6 @@ def default_buckets(spark) -> int:
     return b
 
 
-def _keys_or_const(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Keyless inputs are handled by the scalar-subquery path of ``bucketize``;
-    this only normalises the key list."""
-    return df, list(keys)
-
-
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner equi-join where NULL keys match each other (a NULL group is a group)."""
     r = right
@@ -162,7 +154,7 @@ def ranked_ties(df: DataFrame, score: str, keys: Sequence[str] = (), buckets: in
     if plain is None:
         plain = buckets is None and plain_ok(df, keys, score)
     buckets = buckets or default_buckets(df.sparkSession)
-    df, k = _keys_or_const(df, keys)
+    k = list(keys)
     t = tie_table(df, k, score)
     c = cumulative_below(t, k, score, ["n"], buckets, plain)
     return c.select(*k, score, "n",
@@ -254,10 +246,3 @@ def super_ensemble(preds: DataFrame, id_col: str, by: Sequence[str], seed_col: s
     # the per-seed ensemble is read several times by the second level: store it once
     per_seed = materialize(per_seed)
     return rank_average(per_seed, id_col, list(by), seed_col, "score", "score", buckets)
-
-
-def plain_window_rank(df: DataFrame, score: str, keys: Sequence[str] = (), out: str = "rank") -> Column:
-    """Reference form for tests only: single-window average rank (one task per group)."""
-    w = Window.partitionBy(*keys).orderBy(score) if keys else Window.orderBy(score)
-    wt = Window.partitionBy(*keys, score) if keys else Window.partitionBy(score)
-    return df.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(wt) - 1) / F.lit(2.0))
