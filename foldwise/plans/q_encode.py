@@ -188,3 +188,15 @@ def auc_fold_summary(spark, sf):
 
 
 ORACLE["auc_fold_summary"] = _fold_auc_sql(True)
+
+
+@q("fold_table_seeds")
+def fold_table_seeds(spark, sf):
+    """E4 for several seeds: long (id, seed, fold) table, one union."""
+    tr = FX.obs_events(spark, sf).where(F.col("split") == "train")
+    return FO.fold_table(tr, [42, 100], "id", "y", K)
+
+
+ORACLE["fold_table_seeds"] = FX.with_views(
+    " UNION ALL ".join(f"SELECT id, CAST({s} AS INTEGER) AS seed, fold FROM ({fold_sql('_tr', s)}) f{s}"
+                       for s in (42, 100)), "obs_events", extra=[TRAIN_CTES[0]])

@@ -155,3 +155,12 @@ def multi_seed(spark, sf):
     _, ens = M.multi_seed(by_seed, CONFIGS, numeric, O_CAT, flags)
     lab = ens.where(F.col("split") == "train").join(o.select("id", "y"), "id")
     return _round_doubles(A.auc(lab, "score"))
+
+
+@q("stack_logit")
+def stack_logit(spark, sf):
+    """Stacking on log-odds of clipped scores."""
+    lf = train_folds(spark, sf).select("id", "y", "fold")
+    oof = _fixture_oof(spark, sf).withColumn("score", F.col("score") / 500.0)
+    p = M.stack(oof, lf, ["m_a", "m_b", "m_c"], "logit")
+    return _fold_auc(p, spark, sf)
