@@ -110,7 +110,9 @@ def qcut(df: DataFrame, x: str, q: int, out: str | None = None, exact: bool = Tr
          edges_from: DataFrame | None = None) -> DataFrame:
     """Add a quantile-bin column. ``edges_from`` lets W7 compute edges on a subset."""
     edges = quantile_edges(edges_from if edges_from is not None else df, x, q, exact)
-    return df.withColumn(out or f"{x}_q{q}", qcut_expr(x, edges, q))
+    # attach the edges once (one subquery in one projection), then compare against the column
+    return (df.withColumn("__fw_edges", edges)
+            .withColumn(out or f"{x}_q{q}", qcut_expr(x, F.col("__fw_edges"), q)).drop("__fw_edges"))
 
 
 def cut_width(df: DataFrame, x: str, k: int, out: str | None = None) -> DataFrame:
@@ -145,7 +147,7 @@ def conditional_profile(df: DataFrame, x: str, edges: Sequence[float], z: str, q
     fb = df.withColumn("_b", X.cut_edges(x, edges))
     if not per_bin:
         edges_z = quantile_edges(df, z, q)
-        zb = fb.withColumn("_q", qcut_expr(z, edges_z, q))
+        zb = fb.withColumn("__fw_edges", edges_z).withColumn("_q", qcut_expr(z, F.col("__fw_edges"), q))
     else:
         from foldwise.operators import ranks as R
 
