@@ -100,7 +100,8 @@ def qcut_expr(x: ColumnOrStr, edges: Column, q: int) -> Column:
         first = (e[i] > e[i - 1]) & (e[i] < e[q])  # first occurrence, strictly interior
         terms.append(F.when(first & (xc > e[i]), 1).otherwise(0))
     total = sum(terms[1:], terms[0]) if terms else F.lit(0)
-    return F.when(xc.isNull(), F.lit(None).cast("int")).otherwise(total)
+    # all edges equal (constant column): no bin can be formed, as in pandas
+    return F.when(xc.isNull() | (e[0] == e[q]), F.lit(None).cast("int")).otherwise(total)
 
 
 ColumnOrStr = Column | str

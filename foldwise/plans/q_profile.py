@@ -173,7 +173,7 @@ def _qcut_sql(x: str, q: int, src: str, edge_src: str) -> str:
     terms = " + ".join(
         f"CASE WHEN e.q[{i + 1}] > e.q[{i}] AND e.q[{i + 1}] < e.q[{q + 1}] AND {x} > e.q[{i + 1}] THEN 1 ELSE 0 END"
         for i in range(1, q))
-    return (f"(SELECT quantile_cont({x}, [{fr}]) AS q FROM {edge_src}) e", f"CASE WHEN {x} IS NULL THEN NULL "
+    return (f"(SELECT quantile_cont({x}, [{fr}]) AS q FROM {edge_src}) e", f"CASE WHEN {x} IS NULL OR e.q[1] = e.q[{q + 1}] THEN NULL "
             f"ELSE {terms} END")
 
 
@@ -276,7 +276,7 @@ def _cp_per_bin_sql():
               f"e AS (SELECT value_bin, quantile_cont(s_b, [{fr}]) AS q FROM b WHERE value_bin IS NOT NULL "
               "GROUP BY value_bin) "
               f"SELECT value_bin, s_b_q, count(y) AS n, {sql_r6('avg(y)')} AS rate FROM "
-              f"(SELECT b.y, b.value_bin, CAST(CASE WHEN s_b IS NULL THEN NULL ELSE {terms} END AS INTEGER) AS s_b_q "
+              f"(SELECT b.y, b.value_bin, CAST(CASE WHEN s_b IS NULL OR e.q[1] = e.q[{q + 1}] THEN NULL ELSE {terms} END AS INTEGER) AS s_b_q "
               "FROM b JOIN e ON b.value_bin = e.value_bin) t WHERE s_b_q IS NOT NULL GROUP BY value_bin, s_b_q"
               ).replace("\n, b AS", ",\nb AS")
 

@@ -225,7 +225,7 @@ def _decile_sql():
     terms = " + ".join(
         f"CASE WHEN e.q[{i + 1}] > e.q[{i}] AND e.q[{i + 1}] < e.q[{q + 1}] AND value > e.q[{i + 1}] THEN 1 ELSE 0 END"
         for i in range(1, q))
-    src = (f"SELECT s_a, y, CAST(CASE WHEN value IS NULL THEN NULL ELSE {terms} END AS INTEGER) AS decile "
+    src = (f"SELECT s_a, y, CAST(CASE WHEN value IS NULL OR e.q[1] = e.q[{q + 1}] THEN NULL ELSE {terms} END AS INTEGER) AS decile "
            f"FROM obs_events, (SELECT quantile_cont(value, [{fr}]) AS q FROM obs_events) e")
     extra, final = auc_sql("_src", ["decile"], "s_a")
     return FX.with_views(final.replace("FROM _c", "FROM _c WHERE decile IS NOT NULL"), "obs_events",
@@ -288,7 +288,7 @@ def _entry_sql():
     terms = " + ".join(
         f"CASE WHEN e.q[{i + 1}] > e.q[{i}] AND e.q[{i + 1}] < e.q[{q + 1}] AND x1 > e.q[{i + 1}] THEN 1 ELSE 0 END"
         for i in range(1, q))
-    src = (f"SELECT s_a, y, CAST(CASE WHEN x1 IS NULL THEN NULL ELSE {terms} END AS INTEGER) AS x1_decile "
+    src = (f"SELECT s_a, y, CAST(CASE WHEN x1 IS NULL OR e.q[1] = e.q[{q + 1}] THEN NULL ELSE {terms} END AS INTEGER) AS x1_decile "
            f"FROM obs_events, (SELECT quantile_cont(x1, [{fr}]) AS q FROM obs_events) e")
     extra, final = auc_sql("_src", ["x1_decile"], "s_a")
     final = final.replace("FROM _c", "FROM _c WHERE x1_decile IS NOT NULL")
