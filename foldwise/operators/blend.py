@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from foldwise.operators import auc as A
 from foldwise.operators import ranks as R
-from foldwise.session import materialize
+from foldwise.session import materialize, parallelism
 
 # The blend ratios (first:second source, percent) of the
 # reference's raw and rank-scaled two-model sweeps.
@@ -83,7 +83,7 @@ def blend_sweep(wide: DataFrame, models: Sequence[str], weights: Sequence[Sequen
     size check and the AUC both read it.
     """
     spark = wide.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    n = max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     wide = materialize(wide.select(y, *models).repartition(n))
     long = blend_long(wide, models, weights, [y])
     # every weight's group has at most one row per scored id: a proven size bound

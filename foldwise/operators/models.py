@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from foldwise.functions import exprs as X
 from foldwise.operators import auc as A
 from foldwise.operators import ranks as R
+from foldwise.session import parallelism
 
 # Default hyper-parameters of the reference's model families,
 # re-expressed with Spark ML parameter names.
@@ -116,8 +117,7 @@ def cv_train(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     # Iterative fits launch one job per iteration, so the task count matters:
     # about ROWS_PER_PARTITION rows per partition, never fewer than a few.
     n_rows = data.count()
-    sc = data.sparkSession.sparkContext
-    n_parts = max(math.ceil(n_rows / ROWS_PER_PARTITION), min(4, sc.defaultParallelism))
+    n_parts = max(math.ceil(n_rows / ROWS_PER_PARTITION), min(4, parallelism(data.sparkSession)))
     data = data.repartition(n_parts).persist(StorageLevel.MEMORY_AND_DISK)
     k_list = list(folds) if folds is not None else [
         r[0] for r in data.select(fold).distinct().orderBy(fold).collect()]

@@ -37,13 +37,26 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
+def parallelism(spark: SparkSession) -> int:
+    """Cluster parallelism: the scheduler's default when reachable (classic
+    sessions), else ``spark.sql.shuffle.partitions`` (e.g. Spark Connect)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - no SparkContext behind a Connect session
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting points at shared storage and is used as is.  Only
-    when it is unset (local tests) a private scratch folder is created.
+    when it is unset (local tests) a private scratch folder is created.  Behind
+    Spark Connect the server's configured folder is used (returns None).
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001
+        return None
     current = sc.getCheckpointDir()
     if current:
         return current
