@@ -28,7 +28,8 @@ def auc(df: DataFrame, score: str, y: str = "y", keys: Sequence[str] = (),
     ``buckets`` forces the bucketed plan; by default a size check picks a plain
     per-group window when every group is small enough.  ``max_group_rows``: an
     upper bound on rows per group already known to the caller (skips the check)."""
-    if buckets is not None:
+    forced = buckets is not None
+    if forced:
         plain = False
     elif max_group_rows is not None and max_group_rows <= R.PLAIN_MAX:
         plain = True
@@ -37,7 +38,7 @@ def auc(df: DataFrame, score: str, y: str = "y", keys: Sequence[str] = (),
     buckets = buckets or R.default_buckets(df.sparkSession)
     k = list(keys)
     t = R.tie_table(df, k, score, y)
-    c = R.cumulative_below(t, k, score, ["neg"], buckets, plain)
+    c = R.cumulative_below(t, k, score, ["neg"], buckets, plain, 0 if forced else R.PLAIN_MAX)
     term = (F.col("pos").cast("decimal(38,0)")
             * (F.col("neg_below") * 2 + F.col("neg")).cast("decimal(38,0)"))
     g = c.groupBy(*k).agg(F.sum(term).alias("_num"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))

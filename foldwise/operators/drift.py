@@ -48,7 +48,7 @@ def ks_drift(df: DataFrame, cols: Sequence[str], split: str = "split", a: str =
         F.count(F.when(F.col(split) == a, 1)).alias("na"),
         F.count(F.when(F.col(split) == b, 1)).alias("nb"))
     plain = not forced and R.plain_ok(long, ["feature"], "value")
-    c = R.cumulative_below(t, ["feature"], "value", ["na", "nb"], buckets, plain)
+    c = R.cumulative_below(t, ["feature"], "value", ["na", "nb"], buckets, plain, 0 if forced else R.PLAIN_MAX)
     fa = (F.col("na_below") + F.col("na")) / F.nullif(F.col("na_total"), F.lit(0))
     fb = (F.col("nb_below") + F.col("nb")) / F.nullif(F.col("nb_total"), F.lit(0))
     return c.groupBy("feature").agg(F.max(F.abs(fa - fb)).alias("ks"),

@@ -68,13 +68,13 @@ def default_buckets(spark) -> int:
     return b
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner equi-join where NULL keys match each other (a NULL group is a group)."""
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join where NULL keys match each other (a NULL group is a group)."""
     r = right
     for i, k in enumerate(keys):
         r = r.withColumnRenamed(k, f"__fw_r{i}")
     cond = [F.col(k).eqNullSafe(F.col(f"__fw_r{i}")) for i, k in enumerate(keys)]
-    return left.join(r, cond, "inner").drop(*[f"__fw_r{i}" for i in range(len(keys))])
+    return left.join(r, cond, how).drop(*[f"__fw_r{i}" for i in range(len(keys))])
 
 
 def _bisect(t: DataFrame, edges: Column, score: str, m: int) -> DataFrame:
@@ -89,8 +89,14 @@ def _bisect(t: DataFrame, edges: Column, score: str, m: int) -> DataFrame:
     return t
 
 
-def bucketize(t: DataFrame, keys: Sequence[str], score: str, buckets: int) -> DataFrame:
-    """Add ``_bkt`` (0..B-1): ordered range bucket of ``score`` within each key group."""
+def bucketize(t: DataFrame, keys: Sequence[str], score: str, buckets: int, small_max: int = 0) -> DataFrame:
+    """Add ``_bkt`` (0..B-1): ordered range bucket of ``score`` within each key group.
+
+    ``small_max > 0``: only groups with more than ``small_max`` distinct scores get
+    range edges; the others keep bucket 0 (their whole tie table is one bounded
+    window partition), so a million small groups next to one giant group cost
+    edges for the giant group only.
+    """
     m = max(1, (buckets - 1).bit_length())
     nb = 1 << m
     fracs = [i / nb for i in range(1, nb)]
@@ -98,15 +104,22 @@ def bucketize(t: DataFrame, keys: Sequence[str], score: str, buckets: int) -> Da
     if not keys:
         # One group: the edges are a scalar subquery, evaluated once and inlined.
         return _bisect(t, t.agg(pa.alias("_edges")).scalar(), score, m)
-    edges = t.groupBy(*keys).agg(pa.alias("_edges"))
-    # The edge table is #groups x B doubles; AQE broadcasts it when its measured
-    # size is small and otherwise keeps a shuffled join.
-    joined = _join_null_safe(t, edges, keys)
+    if small_max > 0:
+        big = (t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nd"))
+               .where(F.col("_nd") > small_max).select(*keys))
+        edges = _join_null_safe(t, big, keys).groupBy(*keys).agg(pa.alias("_edges"))
+        # small groups find no edges: NULL probes never move the search, bucket 0
+        joined = _join_null_safe(t, edges, keys, how="left")
+    else:
+        edges = t.groupBy(*keys).agg(pa.alias("_edges"))
+        # The edge table is #groups x B doubles; AQE broadcasts it when its measured
+        # size is small and otherwise keeps a shuffled join.
+        joined = _join_null_safe(t, edges, keys)
     return _bisect(joined, F.col("_edges"), score, m).drop("_edges")
 
 
 def cumulative_below(t: DataFrame, keys: Sequence[str], score: str, counts: Sequence[str],
-                     buckets: int, plain: bool = False) -> DataFrame:
+                     buckets: int, plain: bool = False, small_max: int = 0) -> DataFrame:
     """For each (keys, score) row of a tie table, add ``{c}_below``: the sum of ``c``
     over rows of the same key group with a strictly smaller score, and
     ``{c}_total``: the group total.
@@ -120,7 +133,7 @@ def cumulative_below(t: DataFrame, keys: Sequence[str], score: str, counts: Sequ
         return t.select(*t.columns,
                         *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_below") for c in counts],
                         *[F.sum(c).over(wt).alias(f"{c}_total") for c in counts])
-    tb = bucketize(t, keys, score, buckets)
+    tb = bucketize(t, keys, score, buckets, small_max)
     per = tb.groupBy(*keys, "_bkt").agg(*[F.sum(c).alias(f"_b_{c}") for c in counts])
     # <= B rows per key group: the offset window's input is bounded.
     wk = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
@@ -151,12 +164,13 @@ def ranked_ties(df: DataFrame, score: str, keys: Sequence[str] = (), buckets: in
     """(keys, score, n, rank, n_group): average rank of each distinct score.
 
     ``buckets`` forces the bucketed plan; by default the size check decides."""
+    forced = buckets is not None
     if plain is None:
-        plain = buckets is None and plain_ok(df, keys, score)
+        plain = not forced and plain_ok(df, keys, score)
     buckets = buckets or default_buckets(df.sparkSession)
     k = list(keys)
     t = tie_table(df, k, score)
-    c = cumulative_below(t, k, score, ["n"], buckets, plain)
+    c = cumulative_below(t, k, score, ["n"], buckets, plain, 0 if forced else PLAIN_MAX)
     return c.select(*k, score, "n",
                     (F.col("n_below") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"),
                     F.col("n_total").alias("n_group"))

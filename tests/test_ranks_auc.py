@@ -88,3 +88,26 @@ def test_all_three_rank_plans_agree(spark, skewed, monkeypatch, limit):
     j = direct.join(other, "id")
     assert j.count() == skewed.count()
     assert j.where(~F.col("r").eqNullSafe(F.col("r2"))).count() == 0
+
+
+def test_hybrid_plan_mixed_group_sizes(spark, monkeypatch):
+    """One big group gets range buckets, small groups stay in bucket 0; ranks and
+    AUC still equal pandas / brute force."""
+    df = spark.range(6000).select(
+        "id",
+        F.when(F.col("id") < 4000, "big").when(F.col("id") < 5000, "small1").otherwise("small2").alias("g"),
+        F.when(F.col("id") < 4000, (F.col("id") * 7 % 3001).cast("double"))
+         .when(F.col("id") < 5000, (F.col("id") % 50).cast("double")).otherwise(F.lit(3.0)).alias("s"),
+        (F.col("id") * 7919 % 5 < 2).cast("int").alias("y"))
+    monkeypatch.setattr(R, "PLAIN_MAX", 1000)
+    got = R.average_rank(df, "s", ["g"], out="r").select("id", "r").toPandas()
+    pdf = df.toPandas()
+    pdf["exp"] = pdf.groupby("g")["s"].rank(method="average")
+    m = got.merge(pdf, on="id")
+    assert np.allclose(m["r"], m["exp"])
+    res = {r.g: r.auc for r in A.auc(df, "s", keys=["g"]).collect()}
+    for g, part in pdf.groupby("g"):
+        assert res[g] == pytest.approx(_brute_auc(part["s"], part["y"]), abs=1e-12)
+    tb = R.bucketize(R.tie_table(df, ["g"], "s"), ["g"], "s", 16, small_max=1000)
+    nb = {r.g: r.nb for r in tb.groupBy("g").agg(F.countDistinct("_bkt").alias("nb")).collect()}
+    assert nb["big"] > 1 and nb["small1"] == 1 and nb["small2"] == 1
