@@ -274,24 +274,29 @@ def _div_sql():
 ORACLE["diversity_corr"] = _div_sql()
 
 
+# Quintiles keep every subgroup above the 100-row support floor from the
+# smallest scale factor (1,000 events) upwards.
+ENTRY_Q = 5
+
+
 @q("entry_subgroup_auc")
 def entry_subgroup_auc(spark, sf):
-    """Flagship: how well does s_a rank y within each decile of x1 (groups > 100 rows)?"""
+    """Flagship: how well does s_a rank y within each quintile of x1 (groups > 100 rows)?"""
     df = FX.obs_events(spark, sf)
-    df = B.qcut(df, "x1", 10, out="x1_decile")
-    return _round_doubles(A.auc_subgroup(df, "s_a", "x1_decile", min_support=100))
+    df = B.qcut(df, "x1", ENTRY_Q, out="x1_quintile")
+    return _round_doubles(A.auc_subgroup(df, "s_a", "x1_quintile", min_support=100))
 
 
 def _entry_sql():
-    q = 10
+    q = ENTRY_Q
     fr = ", ".join(str(i / q) for i in range(q + 1))
     terms = " + ".join(
         f"CASE WHEN e.q[{i + 1}] > e.q[{i}] AND e.q[{i + 1}] < e.q[{q + 1}] AND x1 > e.q[{i + 1}] THEN 1 ELSE 0 END"
         for i in range(1, q))
-    src = (f"SELECT s_a, y, CAST(CASE WHEN x1 IS NULL OR e.q[1] = e.q[{q + 1}] THEN NULL ELSE {terms} END AS INTEGER) AS x1_decile "
-           f"FROM obs_events, (SELECT quantile_cont(x1, [{fr}]) AS q FROM obs_events) e")
-    extra, final = auc_sql("_src", ["x1_decile"], "s_a")
-    final = final.replace("FROM _c", "FROM _c WHERE x1_decile IS NOT NULL")
+    src = (f"SELECT s_a, y, CAST(CASE WHEN x1 IS NULL OR e.q[1] = e.q[{q + 1}] THEN NULL ELSE {terms} END AS INTEGER) "
+           f"AS x1_quintile FROM obs_events, (SELECT quantile_cont(x1, [{fr}]) AS q FROM obs_events) e")
+    extra, final = auc_sql("_src", ["x1_quintile"], "s_a")
+    final = final.replace("FROM _c", "FROM _c WHERE x1_quintile IS NOT NULL")
     return FX.with_views(f"SELECT * FROM ({final}) z WHERE n_pos + n_neg > 100", "obs_events",
                          extra=[("_src", src)] + extra)
 
