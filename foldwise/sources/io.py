@@ -13,7 +13,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,10 +50,16 @@ def write_predictions(preds: DataFrame, path: str, mode: str = "overwrite") -> N
 
 def read_predictions(spark: SparkSession, path: str, split: str | None = None, seed: int | None = None,
                      model: str | None = None) -> DataFrame:
-    """Partition-pruned read; a missing table or partition yields no rows."""
-    if not os.path.exists(path) and "://" not in path:
-        return spark.createDataFrame([], PRED_SCHEMA)
-    df = spark.read.schema(PRED_SCHEMA).parquet(path)
+    """Partition-pruned read; a missing table or partition yields no rows
+    (local or remote paths alike)."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        df = spark.read.schema(PRED_SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            return spark.createDataFrame([], PRED_SCHEMA)
+        raise
     if split is not None:
         df = df.where(F.col("split") == split)
     if seed is not None:
