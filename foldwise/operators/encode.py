@@ -63,15 +63,21 @@ def test_target_encode(train: DataFrame, test: DataFrame, c: str, y: str = "y",
             .withColumn(out or f"{c}_target_enc", F.coalesce(F.col("_te"), g)).drop("_te"))
 
 
-def category_codes(train: DataFrame, df: DataFrame, c: str, out: str | None = None) -> DataFrame:
+def category_codes(train: DataFrame, df: DataFrame, c: str, out: str | None = None,
+                   max_levels: int = 1_000_000) -> DataFrame:
     """P20: integer codes fitted on the labelled table only (alphabetical order);
     unseen and NULL categories share the extra code ``#levels``.
 
-    ``StringIndexer`` is the ML-edge primitive for this; fitting it ships only the
-    level list (bounded by the cardinality) to the driver.
+    ``StringIndexer`` is the ML-edge primitive for this; fitting it ships the
+    level list to the driver, so a HyperLogLog check refuses columns with more
+    than ``max_levels`` levels (use frequency / target encoding for those).
     """
     from pyspark.ml.feature import StringIndexer
 
+    n_levels = train.agg(F.approx_count_distinct(c)).first()[0]
+    if n_levels > max_levels:
+        raise ValueError(f"{c} has about {n_levels} levels; use frequency_encode / oof_target_encode")
+
     model = StringIndexer(inputCol=c, outputCol=out or f"{c}_code", stringOrderType="alphabetAsc",
                           handleInvalid="keep").fit(train)
     return model.transform(df)

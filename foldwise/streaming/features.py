@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from foldwise.operators import encode as EN
 from foldwise.operators.features import FeatureSpec
+from foldwise.session import materialize
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
@@ -35,13 +36,15 @@ def apply_encodings(stream: DataFrame, train: DataFrame, cols: Sequence[str], y:
     """E1 + E2 fitted on the static labelled table, looked up per streaming row.
 
     The global-mean fallback is fitted once (one scalar) and shipped as a literal;
-    the maps are static DataFrames joined stream-static (LEFT) on the category.
+    the maps are fitted once and stored (a stream-static join re-evaluates its
+    static side every micro-batch, which would re-aggregate the whole labelled
+    table), then joined stream-static (LEFT) on the category.
     """
     g = train.agg(F.avg(y)).collect()[0][0]
     out = stream
     for c in cols:
-        fm = EN.frequency_map(train, c)
-        tm = EN.target_map(train, c, y)
+        fm = materialize(EN.frequency_map(train, c))
+        tm = materialize(EN.target_map(train, c, y))
         out = (out.join(fm, c, "left").join(tm, c, "left")
                .withColumn(f"{c}_freq_enc", F.coalesce(F.col("_freq"), F.lit(0.0)))
                .withColumn(f"{c}_target_enc", F.coalesce(F.col("_te"), F.lit(g)))
