@@ -114,18 +114,20 @@ def cv_train(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     data = train.select(*cols).withColumn("_label", F.col(y).cast("double"))
     if params and params.get("early_stopping"):
         data = data.withColumn("_is_val", X.hash_sample_pred(id_col, f"val{seed}", 0.1))
+    # one small job: rows per fold (k rows) give the fold list, the partition
+    # count and each fold's training size (LR's regularisation scale)
+    sizes = {r[0]: r[1] for r in data.groupBy(fold).count().collect()}
+    n_rows = sum(sizes.values())
     # Iterative fits launch one job per iteration, so the task count matters:
     # about ROWS_PER_PARTITION rows per partition, never fewer than a few.
-    n_rows = data.count()
     n_parts = max(math.ceil(n_rows / ROWS_PER_PARTITION), min(4, parallelism(data.sparkSession)))
     data = data.repartition(n_parts).persist(StorageLevel.MEMORY_AND_DISK)
-    k_list = list(folds) if folds is not None else [
-        r[0] for r in data.select(fold).distinct().orderBy(fold).collect()]
+    k_list = list(folds) if folds is not None else sorted(k for k in sizes if k is not None)
     oof_parts, test_parts = [], []
     try:
         for k in k_list:
             tr = data.where(F.col(fold) != k)
-            n_train = tr.count() if model_type == "lr" else None
+            n_train = n_rows - sizes.get(k, 0) - sizes.get(None, 0)
             model = build_pipeline(numeric, categorical, flags, model_type, params, seed, n_train).fit(tr)
             scored = _positive_prob(model.transform(data.where(F.col(fold) == k)))
             oof_parts.append(scored.select(id_col, F.lit("train").alias("split"), F.lit(name).alias("model"),
