@@ -29,11 +29,12 @@ def r6(c: Column | str) -> Column:
     DuckDB's binary rounding on exact-looking ties such as 515.6554375.
     """
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double") * F.lit(1e6), 0) / F.lit(1e6)
+    # "+ 0.0" turns a -0.0 into 0.0 (DuckDB keeps the sign of a rounded tiny negative)
+    return F.round(c.cast("double") * F.lit(1e6), 0) / F.lit(1e6) + F.lit(0.0)
 
 
 def sql_r6(expr: str) -> str:
-    return f"(round(CAST({expr} AS DOUBLE) * 1e6, 0) / 1e6)"
+    return f"(round(CAST({expr} AS DOUBLE) * 1e6, 0) / 1e6 + 0.0)"
 
 
 def sql_div(a: str, b: str) -> str:

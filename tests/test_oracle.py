@@ -15,7 +15,7 @@ ORACLE = E.oracle_sql()
 
 def _norm(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6) + 0.0
+        return None if math.isnan(v) else repr(round(v, 6))
     return v
 
 
