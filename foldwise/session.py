@@ -77,3 +77,26 @@ def materialize(df):
     checkpoint."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def recommended_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
+                     max_partitions: int = 200_000) -> dict[str, str]:
+    """Cluster settings sized to the input, for a cluster session builder.
+
+    The large shuffles of this library (tie tables, window inputs, fold and
+    encoding joins) carry roughly the scanned columns, so the shuffle partition
+    count follows the input at ~256 MB per partition (100 TB -> ~400k, capped).
+    Range buckets follow ``spark.sql.shuffle.partitions`` (see ranks.default_buckets).
+    """
+    parts = max(200, min(max_partitions, -(-input_bytes // target_partition_bytes)))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        # broadcast only what AQE measured as small
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
