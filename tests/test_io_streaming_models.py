@@ -98,3 +98,11 @@ def test_canonical_run_end_to_end(spark):
     assert IO.read_predictions(spark, f"{out}/predictions", split="test").count() == 2 * te.count()
     back = _json.loads(spark.read.text(f"{out}/metrics").first().value)
     assert back["super_ensemble_auc"] == m["super_ensemble_auc"]
+
+
+def test_recommended_conf_scales_with_input():
+    from foldwise.session import recommended_conf
+    small, big = recommended_conf(10 ** 9), recommended_conf(100 * 10 ** 12)
+    assert int(small["spark.sql.shuffle.partitions"]) == 200
+    assert int(big["spark.sql.shuffle.partitions"]) == 200_000
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
