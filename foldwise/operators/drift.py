@@ -71,7 +71,9 @@ def missing_drift(df: DataFrame, cols: Sequence[str], split: str = "split", a: s
     ra = F.col("xa") / F.nullif(F.col("na"), F.lit(0))
     rb = F.col("xb") / F.nullif(F.col("nb"), F.lit(0))
     p = (F.col("xa") + F.col("xb")) / F.nullif(F.col("na") + F.col("nb"), F.lit(0))
-    se = F.sqrt(p * (F.lit(1.0) - p) * (F.lit(1.0) / F.col("na") + F.lit(1.0) / F.col("nb")))
+    # an empty split gives NULL, never an ANSI division error
+    se = F.sqrt(p * (F.lit(1.0) - p) * (F.lit(1.0) / F.nullif(F.col("na"), F.lit(0))
+                                         + F.lit(1.0) / F.nullif(F.col("nb"), F.lit(0))))
     return s.select("column_name", ra.alias("rate_a"), rb.alias("rate_b"),
                     ((ra - rb) / F.nullif(se, F.lit(0.0))).alias("z"))
 

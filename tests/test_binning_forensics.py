@@ -103,3 +103,9 @@ def test_large_column_paths_agree(spark, ev, monkeypatch):
     key = ["value_bin", "s_b_q"]
     m = prof.merge(prof2, on=key, suffixes=("", "_2"))
     assert len(m) == len(prof) == len(prof2) and (m["n"] == m["n_2"]).all()
+
+
+def test_missing_drift_with_an_empty_split(spark):
+    df = spark.createDataFrame([(1.0, "train"), (None, "train")], "x double, split string")
+    r = D.missing_drift(df, ["x"]).first()
+    assert r.rate_a == pytest.approx(0.5) and r.rate_b is None and r.z is None
