@@ -95,3 +95,21 @@ def test_folds_balanced(spark, n, k, seed):
     for _, g in out.groupby("y"):
         counts = g.set_index("fold")["count"].reindex(range(k), fill_value=0)
         assert counts.max() - counts.min() <= 1
+
+
+def test_empty_inputs_do_not_fail(spark):
+    from foldwise.operators import blend as BL
+    from foldwise.operators import drift as D
+    from foldwise.operators import encode as EN
+    from foldwise.operators import profile as P
+    empty = spark.createDataFrame([], "id long, s double, y int, g string, split string")
+    assert A.auc(empty, "s", keys=["g"]).count() == 0
+    assert A.auc(empty, "s").first().auc is None  # a global aggregate: one row of NULLs
+    assert R.average_rank(empty, "s", ["g"]).count() == 0
+    assert B.qcut(empty, "s", 4, out="b").count() == 0
+    assert FO.stratified_folds(empty).count() == 0
+    assert D.ks_drift(empty, ["s"]).count() == 0
+    assert P.summary(empty, ["s"]).count() == 1
+    assert EN.oof_target_encode(FO.stratified_folds(empty), "g").count() == 0
+    wide = empty.select("y", F.col("s").alias("m_a"), F.col("s").alias("m_b"))
+    assert BL.blend_sweep(wide, ["m_a", "m_b"], BL.ratio_weights()).count() == 0
