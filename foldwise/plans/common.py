@@ -99,3 +99,19 @@ def sql_safe_corr(a: str, b: str) -> str:
     both = f"({a}) IS NOT NULL AND ({b}) IS NOT NULL"
     ap, bp = f"CASE WHEN {both} THEN {a} END", f"CASE WHEN {both} THEN {b} END"
     return f"(covar_samp({ap}, {bp}) / NULLIF(sqrt(var_samp({ap}) * var_samp({bp})), 0))"
+
+
+def sql_qcut(x: str, q: int, edge_src: str, cte: str = "_e") -> tuple[tuple[str, str], str]:
+    """Oracle qcut: ((cte name, edge CTE body), bin expression).
+
+    The q+1 edges live in a one-row CTE read through scalar subqueries, so the
+    oracle needs no join to attach them.  bin = number of distinct interior
+    edges below x; NULL for NULL x or a constant column.
+    """
+    fr = ", ".join(str(i / q) for i in range(q + 1))
+    e = f"(SELECT q FROM {cte})"
+    terms = " + ".join(
+        f"CASE WHEN {e}[{i + 1}] > {e}[{i}] AND {e}[{i + 1}] < {e}[{q + 1}] AND {x} > {e}[{i + 1}] THEN 1 ELSE 0 END"
+        for i in range(1, q))
+    expr = f"CASE WHEN {x} IS NULL OR {e}[1] = {e}[{q + 1}] THEN NULL ELSE {terms} END"
+    return (cte, f"SELECT quantile_cont({x}, [{fr}]) AS q FROM {edge_src}"), expr

@@ -68,8 +68,12 @@ def _sweep_ctes(models, weights, rank_scaled=False):
     vals = ", ".join("(" + ", ".join([str(i)] + [f"CAST({float(x)!r} AS DOUBLE)" for x in w]) + ")"
                      for i, w in enumerate(weights))
     ctes.append(("_wt", f"SELECT * FROM (VALUES {vals}) t(w_id, " + ", ".join(f"w_{m}" for m in models) + ")"))
-    expr = " + ".join(f"t.w_{m} * l.{m}" for m in models)
-    ctes.append(("_bl", f"SELECT t.w_id, l.y, {expr} AS score FROM _lab l, _wt t"))
+    # one branch per weight vector: every labelled row scored under each weight
+    branches = []
+    for i, w in enumerate(weights):
+        expr = " + ".join(f"CAST({float(x)!r} AS DOUBLE) * l.{m}" for m, x in zip(models, w))
+        branches.append(f"SELECT {i} AS w_id, l.y, {expr} AS score FROM _lab l")
+    ctes.append(("_bl", " UNION ALL ".join(branches)))
     extra, final = auc_sql("_bl", ["w_id"], "score")
     return ctes + extra, final
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foldwise.operators import binning as B
 from foldwise.operators import profile as P
-from foldwise.plans.common import r6, sql_r6
+from foldwise.plans.common import r6, sql_qcut, sql_r6
 from foldwise.plans.q_features import EVENT_TYPES
 from foldwise.sources import fixtures as FX
 
@@ -167,16 +167,6 @@ ORACLE["distinct_counts"] = ev(
     "count(DISTINCT c1) AS c1_distinct FROM obs_events")
 
 
-def _qcut_sql(x: str, q: int, src: str, edge_src: str) -> str:
-    """Oracle: bin = number of distinct interior quantile edges below x."""
-    fr = ", ".join(str(i / q) for i in range(q + 1))
-    terms = " + ".join(
-        f"CASE WHEN e.q[{i + 1}] > e.q[{i}] AND e.q[{i + 1}] < e.q[{q + 1}] AND {x} > e.q[{i + 1}] THEN 1 ELSE 0 END"
-        for i in range(1, q))
-    return (f"(SELECT quantile_cont({x}, [{fr}]) AS q FROM {edge_src}) e", f"CASE WHEN {x} IS NULL OR e.q[1] = e.q[{q + 1}] THEN NULL "
-            f"ELSE {terms} END")
-
-
 @q("qcut_rate")
 def qcut_rate(spark, sf):
     df = B.qcut(FX.obs_events(spark, sf), "x1", 10, out="bin")
@@ -184,9 +174,10 @@ def qcut_rate(spark, sf):
 
 
 def _qcut_rate_sql():
-    e, expr = _qcut_sql("x1", 10, "obs_events", "obs_events")
-    return ev(f"SELECT bin, count(y) AS n, {sql_r6('avg(y)')} AS rate FROM "
-              f"(SELECT y, CAST({expr} AS INTEGER) AS bin FROM obs_events, {e}) t WHERE bin IS NOT NULL GROUP BY bin")
+    cte, expr = sql_qcut("x1", 10, "obs_events")
+    return FX.with_views(f"SELECT bin, count(y) AS n, {sql_r6('avg(y)')} AS rate FROM "
+                         f"(SELECT y, CAST({expr} AS INTEGER) AS bin FROM obs_events) t WHERE bin IS NOT NULL "
+                         "GROUP BY bin", "obs_events", extra=[cte])
 
 
 ORACLE["qcut_rate"] = _qcut_rate_sql()
@@ -201,11 +192,11 @@ def qcut_subset(spark, sf):
 
 
 def _qcut_subset_sql():
-    e, expr = _qcut_sql("s_c", 5, "mid", "mid")
-    return ev(f", mid AS (SELECT * FROM obs_events WHERE value > 100 AND value <= 300) "
-              f"SELECT bin, count(y) AS n, {sql_r6('avg(y)')} AS rate FROM "
-              f"(SELECT y, CAST({expr} AS INTEGER) AS bin FROM mid, {e}) t WHERE bin IS NOT NULL GROUP BY bin"
-              ).replace("\n, mid AS", ",\nmid AS")
+    cte, expr = sql_qcut("s_c", 5, "mid")
+    return FX.with_views(f"SELECT bin, count(y) AS n, {sql_r6('avg(y)')} AS rate FROM "
+                         f"(SELECT y, CAST({expr} AS INTEGER) AS bin FROM mid) t WHERE bin IS NOT NULL GROUP BY bin",
+                         "obs_events",
+                         extra=[("mid", "SELECT * FROM obs_events WHERE value > 100 AND value <= 300"), cte])
 
 
 ORACLE["qcut_subset"] = _qcut_subset_sql()
@@ -217,11 +208,11 @@ def cut_width(spark, sf):
     return _round_doubles(B.binned_rate(df, "bin"))
 
 
-ORACLE["cut_width"] = ev(
+ORACLE["cut_width"] = FX.with_views(
     f"SELECT bin, count(y) AS n, {sql_r6('avg(y)')} AS rate FROM (SELECT y, "
-    "CAST(greatest(ceil((value - m.lo) / NULLIF((m.hi - m.lo) / 10.0, 0)) - 1, 0) AS BIGINT) AS bin "
-    "FROM obs_events, (SELECT CAST(min(value) AS DOUBLE) AS lo, CAST(max(value) AS DOUBLE) AS hi FROM obs_events) m) t "
-    "WHERE bin IS NOT NULL GROUP BY bin")
+    "CAST(greatest(ceil((value - (SELECT lo FROM _m)) / NULLIF(((SELECT hi FROM _m) - (SELECT lo FROM _m)) / 10.0, 0))"
+    " - 1, 0) AS BIGINT) AS bin FROM obs_events) t WHERE bin IS NOT NULL GROUP BY bin", "obs_events",
+    extra=[("_m", "SELECT CAST(min(value) AS DOUBLE) AS lo, CAST(max(value) AS DOUBLE) AS hi FROM obs_events")])
 
 EDGES = [0.0, 50.0, 100.0, 200.0, 300.0, 400.0]
 
@@ -251,10 +242,12 @@ def conditional_profile(spark, sf):
 
 
 def _cp_sql():
-    e, expr = _qcut_sql("s_b", 4, "obs_events", "obs_events")
-    return ev(f"SELECT value_bin, s_b_q, count(y) AS n, {sql_r6('avg(y)')} AS rate FROM "
-              f"(SELECT y, {_case_edges('value', CP_EDGES)} AS value_bin, CAST({expr} AS INTEGER) AS s_b_q "
-              f"FROM obs_events, {e}) t WHERE value_bin IS NOT NULL AND s_b_q IS NOT NULL GROUP BY value_bin, s_b_q")
+    cte, expr = sql_qcut("s_b", 4, "obs_events")
+    return FX.with_views(
+        f"SELECT value_bin, s_b_q, count(y) AS n, {sql_r6('avg(y)')} AS rate FROM "
+        f"(SELECT y, {_case_edges('value', CP_EDGES)} AS value_bin, CAST({expr} AS INTEGER) AS s_b_q "
+        "FROM obs_events) t WHERE value_bin IS NOT NULL AND s_b_q IS NOT NULL GROUP BY value_bin, s_b_q",
+        "obs_events", extra=[cte])
 
 
 ORACLE["conditional_profile"] = _cp_sql()

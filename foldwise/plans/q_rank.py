@@ -9,7 +9,7 @@ from foldwise.operators import auc as A
 from foldwise.operators import binning as B
 from foldwise.operators import profile as P
 from foldwise.operators import ranks as R
-from foldwise.plans.common import E_MISSING, r6, sql_isna, sql_r6
+from foldwise.plans.common import E_MISSING, r6, sql_isna, sql_qcut, sql_r6
 from foldwise.session import materialize
 from foldwise.sources import fixtures as FX
 
@@ -220,16 +220,11 @@ def auc_by_decile(spark, sf):
 
 
 def _decile_sql():
-    q = 10
-    fr = ", ".join(str(i / q) for i in range(q + 1))
-    terms = " + ".join(
-        f"CASE WHEN e.q[{i + 1}] > e.q[{i}] AND e.q[{i + 1}] < e.q[{q + 1}] AND value > e.q[{i + 1}] THEN 1 ELSE 0 END"
-        for i in range(1, q))
-    src = (f"SELECT s_a, y, CAST(CASE WHEN value IS NULL OR e.q[1] = e.q[{q + 1}] THEN NULL ELSE {terms} END AS INTEGER) AS decile "
-           f"FROM obs_events, (SELECT quantile_cont(value, [{fr}]) AS q FROM obs_events) e")
+    cte, expr = sql_qcut("value", 10, "obs_events")
+    src = f"SELECT s_a, y, CAST({expr} AS INTEGER) AS decile FROM obs_events"
     extra, final = auc_sql("_src", ["decile"], "s_a")
     return FX.with_views(final.replace("FROM _c", "FROM _c WHERE decile IS NOT NULL"), "obs_events",
-                         extra=[("_src", src)] + extra)
+                         extra=[cte, ("_src", src)] + extra)
 
 
 ORACLE["auc_by_decile"] = _decile_sql()
@@ -288,17 +283,12 @@ def entry_subgroup_auc(spark, sf):
 
 
 def _entry_sql():
-    q = ENTRY_Q
-    fr = ", ".join(str(i / q) for i in range(q + 1))
-    terms = " + ".join(
-        f"CASE WHEN e.q[{i + 1}] > e.q[{i}] AND e.q[{i + 1}] < e.q[{q + 1}] AND x1 > e.q[{i + 1}] THEN 1 ELSE 0 END"
-        for i in range(1, q))
-    src = (f"SELECT s_a, y, CAST(CASE WHEN x1 IS NULL OR e.q[1] = e.q[{q + 1}] THEN NULL ELSE {terms} END AS INTEGER) "
-           f"AS x1_quintile FROM obs_events, (SELECT quantile_cont(x1, [{fr}]) AS q FROM obs_events) e")
+    cte, expr = sql_qcut("x1", ENTRY_Q, "obs_events")
+    src = f"SELECT s_a, y, CAST({expr} AS INTEGER) AS x1_quintile FROM obs_events"
     extra, final = auc_sql("_src", ["x1_quintile"], "s_a")
     final = final.replace("FROM _c", "FROM _c WHERE x1_quintile IS NOT NULL")
     return FX.with_views(f"SELECT * FROM ({final}) z WHERE n_pos + n_neg > 100", "obs_events",
-                         extra=[("_src", src)] + extra)
+                         extra=[cte, ("_src", src)] + extra)
 
 
 ORACLE["entry_subgroup_auc"] = _entry_sql()
