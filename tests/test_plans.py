@@ -17,11 +17,16 @@ def _executed_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
+                "FlatMapCoGroupsInPandas", "AggregateInPandas")
+
+
 @pytest.mark.parametrize("name", sorted(set(E.queries()) - ITERATIVE))
-def test_no_cross_join(spark, name):
+def test_no_cross_join_no_python(spark, name):
     plan = _executed_plan(E.queries()[name](spark, SF_SMALL))
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
+    assert not any(node in plan for node in PYTHON_NODES)  # everything stays JVM-side
 
 
 def test_bucketed_auc_windows_on_bucket(spark):
