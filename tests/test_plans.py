@@ -33,3 +33,16 @@ def test_bucketed_auc_windows_on_bucket(spark):
     df = FX.obs_events(spark, SF_SMALL)
     plan = _executed_plan(A.auc(df, "s_a", keys=["c1"], buckets=16))
     assert "_bkt" in plan and "Window" in plan
+
+
+def _read_schemas(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [seg.split("]")[0] for seg in plan.split("ReadSchema: ")[1:]]
+
+
+def test_scans_read_only_referenced_columns(spark):
+    schemas = _read_schemas(E.queries()["label_scan"](spark, SF_SMALL))
+    assert schemas and all(s.startswith("struct<event_id:bigint,value:double>") for s in schemas)
+    schemas = _read_schemas(E.queries()["schema_advisor"](spark, SF_SMALL))
+    assert schemas and all("l_returnflag" not in s and "l_shipdate" not in s for s in schemas)
