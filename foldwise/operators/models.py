@@ -84,8 +84,10 @@ def build_pipeline(numeric: Sequence[str], categorical: Sequence[str], flags: Se
     if numeric:
         stages.append(Imputer(strategy="median", inputCols=list(numeric), outputCols=imp_out))
     idx_out = [f"_idx_{c}" for c in categorical]
-    for c, o in zip(categorical, idx_out):
-        stages.append(StringIndexer(inputCol=c, outputCol=o, stringOrderType="alphabetAsc", handleInvalid="keep"))
+    if categorical:
+        # one multi-column indexer: one fitting job for all categorical columns
+        stages.append(StringIndexer(inputCols=list(categorical), outputCols=idx_out,
+                                    stringOrderType="alphabetAsc", handleInvalid="keep"))
     cols = imp_out + list(flags) + idx_out
     scaled = model_type == "mlp"
     stages.append(VectorAssembler(inputCols=cols, outputCol="_raw" if scaled else "features",
