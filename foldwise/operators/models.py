@@ -48,8 +48,14 @@ DEFAULTS = {
 
 ROWS_PER_PARTITION = 250_000
 
+# The reference's model-family names, mapped to the Spark ML family
+# that replaces each (boosters -> GBTClassifier, extra trees -> random forest).
+MODEL_ALIASES = {"lgbm": "gbt", "xgb": "gbt", "hist_gb": "gbt", "catboost": "gbt", "et": "rf",
+                 "rf": "rf", "lr": "lr", "gbt": "gbt", "mlp": "mlp"}
+
 
 def _classifier(model_type: str, n_features: int, params: dict, seed: int, n_train: int | None):
+    model_type = MODEL_ALIASES.get(model_type, model_type)
     p = {**DEFAULTS.get(model_type, {}), **(params or {})}
     if model_type == "gbt":
         extra = {}
@@ -89,7 +95,7 @@ def build_pipeline(numeric: Sequence[str], categorical: Sequence[str], flags: Se
         stages.append(StringIndexer(inputCols=list(categorical), outputCols=idx_out,
                                     stringOrderType="alphabetAsc", handleInvalid="keep"))
     cols = imp_out + list(flags) + idx_out
-    scaled = model_type == "mlp"
+    scaled = MODEL_ALIASES.get(model_type, model_type) == "mlp"
     stages.append(VectorAssembler(inputCols=cols, outputCol="_raw" if scaled else "features",
                                   handleInvalid="keep"))
     if scaled:

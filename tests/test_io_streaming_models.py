@@ -106,3 +106,9 @@ def test_recommended_conf_scales_with_input():
     assert int(small["spark.sql.shuffle.partitions"]) == 200
     assert int(big["spark.sql.shuffle.partitions"]) == 200_000
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_reference_model_names_map_to_spark_families(spark):
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+    assert isinstance(M._classifier("lgbm", 3, {"maxIter": 2}, 1, None), GBTClassifier)
+    assert isinstance(M._classifier("et", 3, {"numTrees": 2}, 1, None), RandomForestClassifier)
