@@ -43,7 +43,7 @@ def ascii_lower(text: Column) -> Column:
 def row_key(doc_id: Column, text: Column) -> Column:
     """Key of a (doc_id, text) row: rows share it only if both are equal (null is a value)."""
     return F.md5(F.concat(
-        F.coalesce(F.concat(F.lit("i"), doc_id.cast("string")), F.lit("n")), F.lit("\x00"),
+        F.coalesce(F.concat(F.lit("i"), doc_id.cast("string")), F.lit("n")), F.lit("\x1f"),
         F.coalesce(F.concat(F.lit("t"), text), F.lit("n"))))
 
 
