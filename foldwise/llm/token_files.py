@@ -221,7 +221,9 @@ def read_token_files(manifest: DataFrame, id_col: str = "doc_id", id_type: T.Dat
                     raise ValueError(f"{uri} does not hold the documents that its manifest lists")
                 yield rows(out)
 
-    return manifest.select("path", "start", "n_docs").repartition("path").mapInArrow(decode, schema)
+    files = manifest.select("path", "start", "n_docs")
+    # a number of its own keeps the few small rows of many large files in as many tasks
+    return files.repartition(max(1, files.count())).mapInArrow(decode, schema)
 
 
 def token_table(docs: DataFrame, **options) -> DataFrame:
