@@ -139,6 +139,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                     (F.col("n_hit") > 0).alias("contaminated")))
 
 
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` in which no window of ``items`` occurs."""
+    dirty = (contamination(docs, items, id_col, text_col, **options).where("contaminated")
+             .select(F.col("row_key").alias("k")).distinct())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       row_key(F.col(id_col), F.col(text_col).cast("string")).alias("k"))
+    return rows.join(dirty, "k", "left_anti").select("row.*")
+
+
 def _no_hits(own: DataFrame) -> DataFrame:
     """The row that stands for each document."""
     return own.select("id", "k", F.size("w").cast("long").alias("n_words"), F.lit(True).alias("first"),

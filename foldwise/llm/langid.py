@@ -150,7 +150,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     keep = docs.columns if keep is None else keep
     if {lang_name, score_name} & set(keep):
         raise ValueError("the names of the new columns are taken")
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_text_to_score"))
+    last = "text_to_score" + "_" * sum(map(len, keep))  # no other name is as long
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias(last))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -167,3 +168,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names[best], pa.string()), pa.array(prob)], names=schema.names)
 
     return rows.mapInArrow(score, schema)
+
+
+def known_language(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is told with a probability of at least ``min_score``;
+    texts that are null or have no letter go."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    told = predict(rows, model, "text", keep=["row"])
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")

@@ -22,7 +22,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -228,8 +228,20 @@ def fingerprint_links(fps: DataFrame, bits: int = MAX_BITS, hot: int = 16_384, s
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(linked, edge).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, seed: int = 42,
-                    bits: int = MAX_BITS) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, seed: int = 42,
+           bits: int = MAX_BITS) -> DataFrame:
+    """(id, k, fp, root, component_id) of each row; ``root`` is the smallest fingerprint of the
+    group, and so names it even where all ids are null."""
+    light = materialize(fingerprints(docs, id_col, text_col, size, seed))
+    fps = materialize(light.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = components(fingerprint_links(fps, bits), "u", "v")
+    placed = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    placed = placed.join(ids, "root").select("fp", "root", "component_id")
+    return light.join(placed, "fp").select("id", "k", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """SimHash groups of whole texts: (id, row_key, fingerprint, component_id).
 
     One row per input row, repeated rows included.  ``fingerprint`` has 16 hex digits;
@@ -238,12 +250,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     like any other.  A null id is kept; a group of only null ids has a null component.
     Rows with equal fingerprints become one before links are sought, so exact copies
     cost nothing more.  Only the named columns are read."""
-    light = materialize(fingerprints(docs, id_col, text_col, size, seed))
-    fps = materialize(light.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(fingerprint_links(fps, bits), "u", "v")
-    placed = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = placed.join(ids, "root").select("fp", "component_id")
-    return (light.join(placed, "fp")
-            .select(F.col("id").alias(id_col), F.col("k").alias("row_key"),
-                    F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+    return groups(docs, id_col, text_col, **options).select(
+        F.col("id").alias(id_col), F.col("k").alias("row_key"),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stand for their group: of each, one row with the smallest id
+    (null last; of rows with that id, the smallest key; of equal rows, one)."""
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k")).alias("best")
+    kept = groups(docs, id_col, text_col, **options).groupBy("root").agg(best).select(F.col("best.k").alias("k"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       row_key(F.col(id_col), F.col(text_col).cast("string")).alias("k"))
+    first = Window.partitionBy("k").orderBy(F.xxhash64(F.to_json("row")))
+    return (rows.join(kept, "k").withColumn("n", F.row_number().over(first)).where("n = 1").select("row.*"))
