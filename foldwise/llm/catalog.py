@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foldwise.llm import q_decontam, q_dedup, q_lang, q_mix, q_pages, q_tokens
+from foldwise.llm import q_decontam, q_dedup, q_lang, q_mix, q_pages, q_tokens, q_vectors
 
-MODULES = (q_lang, q_mix, q_pages, q_dedup, q_decontam, q_tokens)
+MODULES = (q_lang, q_mix, q_pages, q_dedup, q_decontam, q_tokens, q_vectors)
 
 
 def queries():
