@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foldwise.llm import q_decontam, q_dedup, q_lang, q_mix, q_pages, q_tokens, q_vectors
+from foldwise.llm import q_decontam, q_dedup, q_lang, q_licenses, q_mix, q_pages, q_tokens, q_vectors
 
-MODULES = (q_lang, q_mix, q_pages, q_dedup, q_decontam, q_tokens, q_vectors)
+MODULES = (q_lang, q_mix, q_pages, q_dedup, q_decontam, q_tokens, q_vectors, q_licenses)
 
 
 def queries():
