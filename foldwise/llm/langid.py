@@ -23,6 +23,9 @@ UNKNOWN = "und"
 #: Odd multipliers of the n-gram hash, by place (fixed so that a stored model stays valid).
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
+#: Characters of a batch.
+PART = 1 << 18
+
 
 @functools.lru_cache(maxsize=1)
 def _is_letter() -> np.ndarray:
@@ -42,15 +45,15 @@ def letters(text: str) -> np.ndarray:
     return np.concatenate(([32] if c[0] != 32 else [], c, [32] if c[-1] != 32 else [])).astype(np.uint32)
 
 
-def ngrams(c: np.ndarray, bits: int) -> np.ndarray:
-    """Buckets of the n-grams of 1 to 3 characters."""
+def ngrams(c: np.ndarray, bits: int, starts: int | None = None) -> np.ndarray:
+    """Buckets of the n-grams of 1 to 3 characters (that start at the first ``starts`` places)."""
     out, h = [], np.zeros(len(c), np.uint32)
     for n in range(1, 4):
         if len(c) < n:
             break
         h = (h[:len(c) - n + 1] + c[n - 1:] * MULTIPLIERS[n - 1]).astype(np.uint32)
         mixed = h ^ (h >> np.uint32(15))
-        out.append((mixed * np.uint32(0x2C1B3C6D + 2 * n)) >> np.uint32(32 - bits))
+        out.append((mixed[:starts] * np.uint32(0x2C1B3C6D + 2 * n)) >> np.uint32(32 - bits))
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
@@ -60,12 +63,10 @@ def _parts(texts: list[str | None], most: int) -> Iterator[tuple[list[int], list
     rows, parts, held = [], [], 0
     for i, text in enumerate(texts):
         c = letters(text) if text else np.zeros(0, np.uint32)
-        for at in range(0, max(len(c) - 2, 1), most):
-            part = c[at:at + most + 2]
-            if len(part):
-                rows.append(i)
-                parts.append(part)
-                held += len(part)
+        for at in range(0, len(c), most):
+            rows.append(i)
+            parts.append(c[at:at + most + 2])
+            held += len(parts[-1])
             if held >= most:
                 yield rows, parts
                 rows, parts, held = [], [], 0
@@ -80,12 +81,12 @@ class Model:
     log_prob: np.ndarray  # languages x buckets
     bits: int
 
-    def scores(self, texts: list[str | None], most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, texts: list[str | None], most: int = PART) -> tuple[np.ndarray, np.ndarray]:
         """(joint log-probability by text and language, whether the text has a letter)."""
         out = np.tile(self.log_prior, (len(texts), 1))
         seen = np.zeros(len(texts), bool)
         for rows, parts in _parts(texts, most):
-            grams = [ngrams(p, self.bits) for p in parts]
+            grams = [ngrams(p, self.bits, most) for p in parts]
             starts = np.cumsum([0, *map(len, grams[:-1])])
             g = np.concatenate(grams)
             seen[rows] = True
@@ -121,10 +122,10 @@ def train(docs: DataFrame, where: Column | None = None, text_col: str = "text",
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             names = b.column(1).to_pylist()
-            for at, parts in _parts(b.column(0).to_pylist(), 1 << 18):
+            for at, parts in _parts(b.column(0).to_pylist(), PART):
                 for i, p in zip(at, parts):
                     own = sums.setdefault(names[i], np.zeros(1 << bits, np.int64))
-                    own += np.bincount(ngrams(p, bits), minlength=1 << bits)
+                    own += np.bincount(ngrams(p, bits, PART), minlength=1 << bits)
         for name, own in sums.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at])],
