@@ -106,10 +106,10 @@ def templates(texts: dict[str, list[str]]) -> list[Template]:
     return made
 
 
-def _stretches(words: list[str], t: Template, need: int, room: int) -> list[int]:
+def _stretches(words: list[str], t: Template, need: int, room: int) -> list[tuple[int, int]]:
     """Starts of stretches of ``room`` words that hold at least ``need`` of the template's words,
-    counted as often as the template has them: of each run of such starts, the first that holds the most, and
-    again after a stretch's end."""
+    counted as often as the template has them: within each length of ``room``, the first
+    and the last that hold the most."""
     n = len(words)
     where: dict[str, list[int]] = {}
     for i, w in enumerate(words):
@@ -122,16 +122,27 @@ def _stretches(words: list[str], t: Template, need: int, room: int) -> list[int]
     for w, p in where.items():
         p = np.array(p)
         held += np.minimum(np.searchsorted(p, starts + room) - np.searchsorted(p, starts), t.counts[w]).astype(np.int32)
-    out, at = [], 0
+    out: list[tuple[int, int]] = []
+    at = 0
     good = np.flatnonzero(held >= need)
     while at < len(good):
         s = int(good[at])
-        best = s + int(np.argmax(held[s:s + room]))
-        out.append(best)
-        at = int(np.searchsorted(good, best + room))
+        best = np.flatnonzero(held[s:s + room] == held[s:s + room].max())
+        out.append((s + int(best[0]), s + int(best[-1])))
+        at = int(np.searchsorted(good, s + int(best[-1]) + room))
     return out
 
 
+def _aligned(words: list[str], start: int, room: int, template: list[str]) -> list[tuple[int, int]]:
+    """Alignment of a stretch, moved to start at its first aligned word while that aligns more."""
+    best: list[tuple[int, int]] = []
+    while True:
+        pairs = [(start + i, j) for i, j in align(words[start:start + room], template)]
+        if len(pairs) <= len(best):
+            return best or pairs
+        best, start = pairs, pairs[0][0]
+
+
 def scan(text: str | None, known: list[Template], min_coverage: float) -> list[tuple[str, int, int, float, int]]:
     """(license, start, end, coverage, words) of each place in a text, in order; start and end are
     code points.  Of places that overlap, that with the most aligned words stays, then
@@ -145,10 +156,10 @@ def scan(text: str | None, known: list[Template], min_coverage: float) -> list[t
         if sum(c for w, c in t.counts.items() if w not in have) > len(t.words) - need:
             continue
         room = len(t.words) + len(t.words) // 2 + 4
-        for s in _stretches(lowered, t, need, room):
-            pairs = align(lowered[s:s + room], t.words)
+        for first, last in _stretches(lowered, t, need, room):
+            pairs = max((_aligned(lowered, s, room, t.words) for s in {first, last}), key=len)
             if len(pairs) >= need:
-                i, j = s + pairs[0][0], s + pairs[-1][0]
+                i, j = pairs[0][0], pairs[-1][0]
                 found.append((t.license, spans[i][0], spans[j][1], len(pairs) / len(t.words), len(pairs)))
     kept: list = []
     for x in sorted(found, key=lambda x: (-x[4], -x[3], x[0], x[1])):
