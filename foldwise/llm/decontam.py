@@ -18,6 +18,8 @@ from foldwise.llm.common import ascii_lower, materialize, row_key
 #: Separators between words (after A-Z are lower-cased): ASCII other than digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+HITS = "array<struct<s:bigint,n:bigint,ids:array<string>>>"
+
 
 def words(text: Column) -> Column:
     """Lower-cased words of a text (null: none)."""
@@ -108,10 +110,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         first = F.coalesce(F.col("at"), F.lit(0)) == 0
         if len(sizes) > 1:  # a place has a row for each size
             first = F.lit(False)
-        hits = joined.select("id", "k", F.size("w").cast("long").alias("n_words"), first.alias("first"),
-                             F.transform(found, lambda x: F.struct(
-                                 (F.col("at") - x["offset"]).cast("long").alias("s"), x["n"].cast("long").alias("n"),
-                                 x["ids"].alias("ids"))).alias("hits")).where(F.col("first") | (F.size("hits") > 0))
+        # this condition is compiled with the join, so a row with its words is built for few places only;
+        # one on the lambdas' result would be merged with it, and is not needed
+        hits = joined.where(first | F.col("ws").isNotNull()).select(
+            "id", "k", F.size("w").cast("long").alias("n_words"), first.alias("first"),
+            F.coalesce(F.transform(found, lambda x: F.struct(
+                (F.col("at") - x["offset"]).cast("long").alias("s"), x["n"].cast("long").alias("n"),
+                x["ids"].alias("ids"))), F.array().cast(HITS)).alias("hits"))
         if len(sizes) > 1:
             hits = hits.unionByName(_no_hits(own))
     else:
@@ -151,4 +156,4 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 def _no_hits(own: DataFrame) -> DataFrame:
     """The row that stands for each document."""
     return own.select("id", "k", F.size("w").cast("long").alias("n_words"), F.lit(True).alias("first"),
-                      F.array().cast("array<struct<s:bigint,n:bigint,ids:array<string>>>").alias("hits"))
+                      F.array().cast(HITS).alias("hits"))
