@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
+from itertools import combinations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,7 +70,8 @@ def is_member(c: ColumnOrName, values: Iterable) -> Column:
 
 
 def clip(c: ColumnOrName, lo: float = 0.0, hi: float = 1.0) -> Column:
-    return F.greatest(F.least(col(c), F.lit(hi)), F.lit(lo))
+    """c within [lo, hi]; NULL stays NULL (``least`` and ``greatest`` alone skip it)."""
+    return F.when(col(c).isNotNull(), F.greatest(F.least(col(c), F.lit(hi)), F.lit(lo)))
 
 
 def cross(a: ColumnOrName, b: ColumnOrName, sep: str = "_") -> Column:
@@ -105,16 +107,15 @@ def row_stats(cols: Sequence[ColumnOrName], prefix: str = "row_num_") -> list[Co
     ]
 
 
-def pair_features(cols: Sequence[str], first_k: int = 8, eps: float = 1e-5) -> list[Column]:
-    """a / (nullif(b, 0) + eps) and a * b for every pair of the first k columns."""
-    top = list(cols)[:first_k]
-    out = []
-    for i in range(len(top)):
-        for j in range(i + 1, len(top)):
-            a, b = top[i], top[j]
-            out.append((F.col(a) / (F.nullif(F.col(b), F.lit(0)) + F.lit(eps))).alias(f"{a}_div_{b}"))
-            out.append((F.col(a) * F.col(b)).alias(f"{a}_mul_{b}"))
-    return out
+def pair_features(cols: Sequence[str], eps: float = 1e-5) -> list[Column]:
+    """Ratio and product of every two of the columns, in the order given.
+
+    Fixed names: ``{a}_div_{b}`` is a / (nullif(b, 0) + eps), ``{a}_mul_{b}`` is a * b."""
+    def both(a: str, b: str) -> list[Column]:
+        ratio = F.col(a) / (F.nullif(F.col(b), F.lit(0)) + F.lit(eps))
+        return [ratio.alias(f"{a}_div_{b}"), (F.col(a) * F.col(b)).alias(f"{a}_mul_{b}")]
+
+    return [e for pair in combinations(cols, 2) for e in both(*pair)]
 
 
 def hash_bucket(id_col: ColumnOrName, seed, digits: int = 3) -> Column:

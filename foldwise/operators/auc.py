@@ -3,8 +3,8 @@
 AUC = sum over distinct scores of pos * (neg_below + neg / 2) / (P * N), the
 Mann-Whitney form with ties counted as 1/2 -- identical to scikit-learn's
 ``roc_auc_score``.  It needs only the collapsed tie table (keys, score, pos, neg),
-so per-row data never reaches a window; ``neg_below`` comes from the bucketed
-running sum of ``foldwise.operators.ranks``.  The numerator is accumulated as an
+so per-row data never reaches a window; ``neg_below`` comes from running sums
+within ranges (``foldwise.operators.ranks``).  The numerator is accumulated as an
 exact DECIMAL(38,0) of ``pos * (2 * neg_below + neg)``; single-class groups give NULL.
 
 ``BinaryClassificationEvaluator`` is not used: with its default ``numBins=1000``
@@ -15,44 +15,44 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldwise.functions import exprs as X
 from foldwise.operators import ranks as R
 
 
 def auc(df: DataFrame, score: str, y: str = "y", keys: Sequence[str] = (),
-        buckets: int | None = None, max_group_rows: int | None = None) -> DataFrame:
-    """(keys, auc, n_pos, n_neg) over rows with a non-null score.
-
-    ``buckets`` forces the bucketed plan; by default a size check picks a plain
-    per-group window when every group is small enough.  ``max_group_rows``: an
-    upper bound on rows per group already known to the caller (skips the check)."""
-    forced = buckets is not None
-    if forced:
-        plain = False
-    elif max_group_rows is not None and max_group_rows <= R.PLAIN_MAX:
-        plain = True
-    else:
-        plain = R.plain_ok(df, keys, score)
-    buckets = buckets or R.default_buckets(df.sparkSession)
+        buckets: int | None = None) -> DataFrame:
+    """(keys, auc, n_pos, n_neg) over rows with a non-null score and label.
+
+    One chain of shuffles, each smaller than the last, and one reading of the input: tie
+    table -> ranges (``ranks.range_buckets``) -> one row per range -> one row per key.
+    A range adds sum of pos * (2 * neg_below + neg) with ``neg_below`` counted within it, and
+    2 * pos for each negative in the ranges before."""
     k = list(keys)
-    t = R.tie_table(df, k, score, y)
-    c = R.cumulative_below(t, k, score, ["neg"], buckets, plain, 0 if forced else R.PLAIN_MAX)
-    term = (F.col("pos").cast("decimal(38,0)")
-            * (F.col("neg_below") * 2 + F.col("neg")).cast("decimal(38,0)"))
-    g = c.groupBy(*k).agg(F.sum(term).alias("_num"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    tb = R.range_buckets(R.tie_table(df, k, score, y), k, score, buckets)
+    within = Window.partitionBy(*k, "_bkt").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    big = "decimal(38,0)"
+    ties = tb.select(*k, "_bkt", "pos", "neg", F.coalesce(F.sum("neg").over(within), F.lit(0)).alias("_below"))
+    term = F.col("pos").cast(big) * (F.col("_below") * 2 + F.col("neg")).cast(big)
+    per = ties.groupBy(*k, "_bkt").agg(F.sum(term).alias("_num"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    before = Window.partitionBy(*k).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_before", F.coalesce(F.sum("neg").over(before), F.lit(0)))
+    num = F.col("_num").cast(big) + F.col("pos").cast(big) * (F.col("_before") * 2).cast(big)
+    g = per.groupBy(*k).agg(F.sum(num).alias("_num"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     den = F.col("n_pos").cast("double") * F.col("n_neg").cast("double") * 2.0
-    out = g.select(*k, (F.col("_num").cast("double") / F.nullif(den, F.lit(0.0))).alias("auc"),
-                   F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"))
-    return out
+    return g.select(*k, (F.col("_num").cast("double") / F.nullif(den, F.lit(0.0))).alias("auc"),
+                    F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"))
 
 
 def auc_panel(df: DataFrame, features: Sequence[str], y: str = "y", keys: Sequence[str] = (),
               buckets: int | None = None) -> DataFrame:
     """Univariate AUC of many columns in ONE job: unpivot to (feature, score)
     then AUC keyed by feature (each on its own non-null rows)."""
-    long = df.select(*keys, y, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(
+    # columns of one type keep it; others meet as doubles
+    one = len({df.schema[f].dataType.simpleString() for f in features}) == 1
+    long = df.select(*keys, y, *[F.col(f) if one else F.col(f).cast("double").alias(f) for f in features]).unpivot(
         [*keys, y], list(features), "feature", "score")
     return auc(long, "score", y, [*keys, "feature"], buckets)
 
@@ -86,10 +86,10 @@ def auc_by_fold(df: DataFrame, score: str, fold: str = "fold", y: str = "y", key
 def log_loss_by(df: DataFrame, p: str, group: str | Sequence[str] | None, y: str = "y",
                 eps: float = 1e-15) -> DataFrame:
     """Log-loss (p clipped to [eps, 1 - eps]), Brier score and error rate at 0.5 by group(s)."""
-    pc = F.greatest(F.least(F.col(p), F.lit(1.0 - eps)), F.lit(eps))
+    pc = X.clip(p, eps, 1.0 - eps)
     yy = F.col(y).cast("double")
     ll = -(yy * F.log(pc) + (F.lit(1.0) - yy) * F.log(F.lit(1.0) - pc))
-    src = df.where(F.col(p).isNotNull())
+    src = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
     grp = [group] if isinstance(group, str) else list(group or [])
     for g in grp:
         src = src.where(F.col(g).isNotNull())

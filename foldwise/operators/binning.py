@@ -5,17 +5,15 @@ approximate (``QuantileDiscretizer``) and ``ntile`` splits ties, so the bins her
 are explicit expressions:
 
 * quantile edges are computed once and shipped to every task as a literal (the
-  big table is never joined or shuffled to attach them): ``percentile`` as a
-  scalar subquery when a size check bounds the column's distinct count, else
-  exact rank selection over bucketed cumulative counts (``percentile`` would merge
-  a map of all distinct values in one task); ``percentile_approx`` on request;
+  big table is never joined or shuffled to attach them): exact rank selection over
+  cumulative counts at every size (``percentile`` would merge a map of all distinct
+  values in one task); ``percentile_approx`` on request;
 * bin = number of distinct interior edges strictly below x, which is pandas
   ``qcut(x, q, labels=False, duplicates='drop')``; equal values always share a bin.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,71 +22,40 @@ from pyspark.sql import functions as F
 from foldwise.functions import exprs as X
 
 
-def rank_select_quantiles(df: DataFrame, x: str, fracs: Sequence[float]) -> list[float | None]:
-    """Exact linearly interpolated quantiles by rank selection, bounded memory.
+def quantiles(df: DataFrame, x: str, fracs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, q): exact, linearly interpolated quantiles of x (NULLs skipped) by rank selection.
 
     ``percentile`` merges a map of every distinct value into ONE final task, which
-    cannot hold a continuous column of 10^11 values.  Here: tie table ->
-    cumulative counts (bucketed running sums, no single-task window) -> keep only
-    the <= 2 * len(fracs) distinct values covering the target order statistics
-    -> interpolate on the driver with ``percentile``'s formula
-    ((hi - pos) * v_lo + (pos - lo) * v_hi).
+    cannot hold a continuous column of 10^11 values.  Here: tie table -> cumulative
+    counts (running sums within ranges) -> the values that cover the wanted order
+    statistics -> ``percentile``'s formula ((hi - pos) * v_lo + (pos - lo) * v_hi).
     """
     from foldwise.operators import ranks as R
 
-    src = df.where(F.col(x).isNotNull())
-    n = src.count()
-    if n == 0:
-        return [None for _ in fracs]
-    _, max_distinct = R.group_sizes(src, [], x)
-    t = R.tie_table(src, [], x)
-    c = R.cumulative_below(t, [], x, ["n"], R.default_buckets(df.sparkSession), max_distinct <= R.PLAIN_MAX)
-    positions = sorted({int(math.floor(f * (n - 1))) for f in fracs} | {int(math.ceil(f * (n - 1))) for f in fracs})
-    cover = None
-    for p in positions:
-        cond = (F.col("n_below") <= p) & (F.col("n_below") + F.col("n") > p)
-        cover = cond if cover is None else cover | cond
-    rows = sorted((r[0], r[1], r[2]) for r in c.where(cover).select("n_below", "n", x).collect())
-
-    def at(p):
-        for below, cnt, v in rows:
-            if below <= p < below + cnt:
-                return v
-        raise RuntimeError("order statistic not found")
-
-    out = []
-    for f in fracs:
-        pos = f * (n - 1)
-        lo, hi = int(math.floor(pos)), int(math.ceil(pos))
-        out.append(at(lo) if lo == hi else (hi - pos) * at(lo) + (pos - lo) * at(hi))
-    return out
-
-
-def quantile_edges(df: DataFrame, x: str, q: int, exact: bool = True, accuracy: int = 100000,
-                   method: str = "auto") -> Column:
-    """Column holding the q+1 quantile edges of x (NULLs skipped).
-
-    method: ``percentile`` (scalar subquery, exact, one final task holds a map of
-    the distinct values), ``rank`` (exact rank selection, bounded memory),
-    ``approx`` (``percentile_approx`` sketch) or ``auto``: ``percentile`` when a
-    size check bounds the distinct count by PLAIN_MAX, else ``rank``.
-    ``exact=False`` is ``approx``.
-    """
-    from foldwise.operators import ranks as R
+    k = list(keys)
+    c = R.cumulative_below(R.tie_table(df, k, x), k, x, ["n"])
+    v = F.col(x).cast("double")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("n_below") <= place) & (F.col("n_below") + F.col("n") > place), v))
+
+    aggs, out = [], []
+    for i, f in enumerate(fracs):
+        pos = F.lit(float(f)) * (F.col("n_total") - 1)
+        aggs += [at(F.floor(pos)).alias(f"_lo{i}"), at(F.ceil(pos)).alias(f"_hi{i}"), F.max(pos - F.floor(pos)).alias(f"_f{i}")]
+        lo, hi, part = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_f{i}")
+        out.append(F.when(part == 0, lo).otherwise((1 - part) * lo + part * hi))
+    g = c.groupBy(*k).agg(*aggs) if k else c.agg(*aggs)
+    return g.select(*k, F.array(*out).alias("q"))
 
+
+def quantile_edges(df: DataFrame, x: str, q: int, exact: bool = True, accuracy: int = 100000) -> Column:
+    """Column holding the q+1 quantile edges of x (NULLs skipped): a scalar subquery.
+    ``exact=False``: the ``percentile_approx`` sketch."""
     fracs = [i / q for i in range(q + 1)]
     if not exact:
-        method = "approx"
-    if method == "auto":
-        method = "percentile" if R.group_sizes(df, [], x)[1] <= R.PLAIN_MAX else "rank"
-    if method == "rank":
-        vals = rank_select_quantiles(df, x, fracs)
-        return F.array(*[F.lit(v).cast("double") for v in vals])
-    if method == "percentile":
-        agg = F.percentile(x, F.array(*[F.lit(f) for f in fracs]))
-    else:
-        agg = F.percentile_approx(F.col(x).cast("double"), fracs, accuracy)
-    return df.agg(agg.alias("edges")).scalar()
+        return df.agg(F.percentile_approx(F.col(x).cast("double"), fracs, accuracy).alias("edges")).scalar()
+    return quantiles(df, x, fracs).scalar()
 
 
 def qcut_expr(x: ColumnOrStr, edges: Column, q: int) -> Column:
@@ -122,8 +89,9 @@ def cut_width(df: DataFrame, x: str, k: int, out: str | None = None) -> DataFram
     lo = mm.select("lo").scalar()
     hi = mm.select("hi").scalar()
     width = (hi - lo) / F.lit(float(k))
-    b = F.greatest(F.ceil((F.col(x) - lo) / F.nullif(width, F.lit(0.0))) - 1, F.lit(0))
-    return df.withColumn(out or f"{x}_w{k}", b)
+    # a NULL value, or a column without a range, has no bin (``greatest`` alone would give 0)
+    b = F.ceil((F.col(x) - lo) / F.nullif(width, F.lit(0.0))) - 1
+    return df.withColumn(out or f"{x}_w{k}", F.when(b.isNotNull(), F.greatest(b, F.lit(0))))
 
 
 def cut_edges(df: DataFrame, x: str, edges: Sequence[float], out: str | None = None) -> DataFrame:
@@ -150,17 +118,8 @@ def conditional_profile(df: DataFrame, x: str, edges: Sequence[float], z: str, q
         edges_z = quantile_edges(df, z, q)
         zb = fb.withColumn("__fw_edges", edges_z).withColumn("_q", qcut_expr(z, F.col("__fw_edges"), q))
     else:
-        from foldwise.operators import ranks as R
-
-        fr = [i / q for i in range(q + 1)]
         inside = fb.where(F.col("_b").isNotNull())
-        if R.group_sizes(inside, ["_b"], z)[1] <= R.PLAIN_MAX:
-            per = inside.groupBy("_b").agg(F.percentile(z, F.array(*[F.lit(f) for f in fr])).alias("_e"))
-        else:
-            # one bounded-memory selection per fixed bin (the bin count is the caller's edge list)
-            rows = [(i, [float(v) if v is not None else None for v in rank_select_quantiles(
-                inside.where(F.col("_b") == i), z, fr)]) for i in range(len(edges) - 1)]
-            per = df.sparkSession.createDataFrame(rows, "_b int, _e array<double>")
+        per = quantiles(inside, z, [i / q for i in range(q + 1)], ["_b"]).withColumnRenamed("q", "_e")
         zb = fb.join(F.broadcast(per), "_b", "left").withColumn("_q", qcut_expr(z, F.col("_e"), q))
     return (zb.where(F.col("_b").isNotNull() & F.col("_q").isNotNull())
             .groupBy(F.col("_b").alias(f"{x}_bin"), F.col("_q").alias(f"{z}_q"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from foldwise.operators import auc as A
 from foldwise.operators import ranks as R
-from foldwise.session import materialize, parallelism
+from foldwise.session import parallelism
 
 # The blend ratios (first:second source, percent) of the
 # reference's raw and rank-scaled two-model sweeps.
@@ -79,15 +79,13 @@ def blend_sweep(wide: DataFrame, models: Sequence[str], weights: Sequence[Sequen
 
     The weight expansion multiplies rows by len(weights) inside one stage, while
     AQE sizes that stage by its (small) input; the scored table is therefore
-    spread over the cluster's parallelism first, and stored once because the
-    size check and the AUC both read it.
+    spread over the cluster's parallelism first.
     """
     spark = wide.sparkSession
     n = max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    wide = materialize(wide.select(y, *models).repartition(n))
+    wide = wide.select(y, *models).repartition(n)
     long = blend_long(wide, models, weights, [y])
-    # every weight's group has at most one row per scored id: a proven size bound
-    res = A.auc(long, "score", y, ["w_id"], max_group_rows=wide.count())
+    res = A.auc(long, "score", y, ["w_id"])
     wt = wide.sparkSession.createDataFrame(
         [(i, *[float(x) for x in w]) for i, w in enumerate(weights)],
         "w_id int, " + ", ".join(f"w_{m} double" for m in models))

@@ -1,9 +1,9 @@
 """Hard-constraint search and quantization profile.
 
-Candidates are generated on the driver as column EXPRESSIONS (metadata), never
-as a data cross join: every candidate contributes a handful of aggregates to one
-wide ``agg`` over the table, batched so each job carries at most ``AGG_BATCH``
-expressions (JVM method-size limits).  The statistics of candidate i:
+Candidates are generated on the driver as column EXPRESSIONS (metadata).  Every row
+becomes one (candidate, lhs, rhs) triple per candidate inside the stage that reads it, and
+one aggregate keyed by candidate gives all statistics: the input is evaluated once, and
+only one row per candidate and task is shuffled.  The statistics of a candidate:
 
 * support     = rows where lhs and every rhs part are present
 * violations  = count_if(lhs < rhs - eps)
@@ -23,9 +23,6 @@ from pyspark.sql import functions as F
 
 from foldwise.functions import exprs as X
 
-AGG_BATCH = 48  # measured: larger batches exceed codegen field limits and run slower
-
-
 @dataclass(frozen=True)
 class Constraint:
     lhs: str
@@ -51,38 +48,35 @@ def sum_candidates(cols: Sequence[str], n_addends: int = 2) -> list[Constraint]:
     return out
 
 
-def _stats(c: Constraint, i: int, eps: float, y: str | None) -> list[Column]:
-    lhs = F.col(c.lhs).cast("double")
-    rhs = F.col(c.rhs[0]).cast("double")
-    for p in c.rhs[1:]:
-        rhs = rhs + F.col(p).cast("double")
-    resid = lhs - rhs
-    fields = [F.lit(c.name).alias("name"), F.lit(c.lhs).alias("lhs"),
-              F.lit(" + ".join(c.rhs)).alias("rhs"),
-              F.count(resid).alias("support"),
-              F.count_if(lhs < rhs - F.lit(eps)).alias("violations"),
-              F.min(resid).alias("min_resid"),
-              F.min(F.when(rhs.isNotNull(), lhs)).alias("lhs_min"),
-              F.max(F.when(lhs.isNotNull(), rhs)).alias("rhs_max")]
+def check_constraints(df: DataFrame, cands: Sequence[Constraint], eps: float = 1e-6,
+                      y: str | None = None) -> DataFrame:
+    """K1 for a list of candidates: one row per candidate, from one evaluation of ``df``.
+
+    ``rhs`` is text for reports; ``parts`` holds the addends."""
+    def side(names: Sequence[str]) -> Column:
+        return X.sum_of([F.col(n).cast("double") for n in names])
+
+    sides = F.array(*[F.struct(side([c.lhs]).alias("lhs"), side(c.rhs).alias("rhs")) for c in cands])
+    keep = [] if y is None else [F.col(y).cast("double").alias("_y")]
+    long = df.select(*keep, F.posexplode(sides).alias("_c", "_s")).select(
+        "_c", *(["_y"] if keep else []), F.col("_s.lhs").alias("lhs"), F.col("_s.rhs").alias("rhs"))
+    resid = F.col("lhs") - F.col("rhs")
+    aggs = [F.count(resid).alias("support"),
+            F.count_if(F.col("lhs") < F.col("rhs") - F.lit(eps)).alias("violations"),
+            F.min(resid).alias("min_resid"),
+            F.min(F.when(F.col("rhs").isNotNull(), F.col("lhs"))).alias("lhs_min"),
+            F.max(F.when(F.col("lhs").isNotNull(), F.col("rhs"))).alias("rhs_max")]
     if y is not None:
-        fields.append(X.safe_corr(resid, F.col(y).cast("double")).alias("r_target"))
-    return [F.struct(*fields).alias(f"k{i}")]
+        aggs.append(X.safe_corr(resid, "_y").alias("r_target"))
 
+    def of(values) -> Column:
+        return F.get(F.array(*values), F.col("_c"))
 
-def check_constraints(df: DataFrame, cands: Sequence[Constraint], eps: float = 1e-6,
-                      y: str | None = None) -> DataFrame:
-    """K1 for a list of candidates: one row per candidate, batched wide aggregates."""
-    batch = max(1, AGG_BATCH // (6 if y is None else 7))
-    parts = []
-    for start in range(0, len(cands), batch):
-        chunk = cands[start:start + batch]
-        aggs = [a for i, c in enumerate(chunk) for a in _stats(c, i, eps, y)]
-        wide = df.agg(*aggs)
-        parts.append(wide.select(F.inline(F.array(*[F.col(f"k{i}") for i in range(len(chunk))]))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    stats = long.groupBy("_c").agg(*aggs)
+    return stats.select(of([F.lit(c.name) for c in cands]).alias("name"), of([F.lit(c.lhs) for c in cands]).alias("lhs"),
+                        of([F.lit(" + ".join(c.rhs)) for c in cands]).alias("rhs"),
+                        of([F.array(*map(F.lit, c.rhs)) for c in cands]).alias("parts"),
+                        *[x for x in stats.columns if x != "_c"])
 
 
 def search(df: DataFrame, cands: Sequence[Constraint], min_support: int, eps: float = 1e-6,
@@ -100,10 +94,9 @@ def crosscheck(hits: DataFrame, other: DataFrame, eps: float = 1e-6) -> DataFram
     """K4: re-evaluate found constraints on a second table.
 
     Only the hit list (bounded by the candidate count) reaches the driver; the
-    second table is scanned by batched aggregates as in ``check_constraints``.
+    second table is evaluated once, as in ``check_constraints``.
     """
-    rows = hits.select("lhs", "rhs").collect()
-    cands = [Constraint(r.lhs, tuple(r.rhs.split(" + "))) for r in rows]
+    cands = [Constraint(r.lhs, tuple(r.parts)) for r in hits.select("lhs", "parts").collect()]
     if not cands:
         return other.sparkSession.createDataFrame([], "name string, support bigint, violations bigint, "
                                                       "min_resid double")

@@ -4,7 +4,7 @@
   conditional counts; NULLs group as equal; partial aggregation collapses a hot
   duplicate before the shuffle.
 * D2 two-sample KS per numeric column: unpivot -> (feature, value) counts per
-  split -> cumulative shares via the bucketed running sums of
+  split -> cumulative shares via the running sums within ranges of
   ``foldwise.operators.ranks`` (no single-task window) -> max |F_a - F_b|.
   (``ml.stat.KolmogorovSmirnovTest`` is one-sample only.)
 * D3 missing-rate drift with a pooled two-proportion z statistic, one pass.
@@ -38,8 +38,6 @@ def duplicate_rows(df: DataFrame, features: Sequence[str], split: str = "split",
 def ks_drift(df: DataFrame, cols: Sequence[str], split: str = "split", a: str = "train", b: str = "test",
              buckets: int | None = None) -> DataFrame:
     """(feature, ks, n_a, n_b) two-sample KS statistic per column (NULLs skipped)."""
-    forced = buckets is not None
-    buckets = buckets or R.default_buckets(df.sparkSession)
     long = (df.where(F.col(split).isin(a, b))
             .select(split, *[F.col(c).cast("double").alias(c) for c in cols])
             .unpivot([split], list(cols), "feature", "value")
@@ -47,8 +45,7 @@ def ks_drift(df: DataFrame, cols: Sequence[str], split: str = "split", a: str =
     t = long.groupBy("feature", "value").agg(
         F.count(F.when(F.col(split) == a, 1)).alias("na"),
         F.count(F.when(F.col(split) == b, 1)).alias("nb"))
-    plain = not forced and R.plain_ok(long, ["feature"], "value")
-    c = R.cumulative_below(t, ["feature"], "value", ["na", "nb"], buckets, plain, 0 if forced else R.PLAIN_MAX)
+    c = R.cumulative_below(t, ["feature"], "value", ["na", "nb"], buckets)
     fa = (F.col("na_below") + F.col("na")) / F.nullif(F.col("na_total"), F.lit(0))
     fb = (F.col("nb_below") + F.col("nb")) / F.nullif(F.col("nb_total"), F.lit(0))
     return c.groupBy("feature").agg(F.max(F.abs(fa - fb)).alias("ks"),

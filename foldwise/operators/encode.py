@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldwise.session import materialize
+
 
 def frequency_map(train: DataFrame, c: str) -> DataFrame:
     """E1 map: (c, freq) with freq = count / count of non-null c."""
@@ -63,21 +65,16 @@ def test_target_encode(train: DataFrame, test: DataFrame, c: str, y: str = "y",
             .withColumn(out or f"{c}_target_enc", F.coalesce(F.col("_te"), g)).drop("_te"))
 
 
-def category_codes(train: DataFrame, df: DataFrame, c: str, out: str | None = None,
-                   max_levels: int = 1_000_000) -> DataFrame:
-    """P20: integer codes fitted on the labelled table only (alphabetical order);
-    unseen and NULL categories share the extra code ``#levels``.
-
-    ``StringIndexer`` is the ML-edge primitive for this; fitting it ships the
-    level list to the driver, so a HyperLogLog check refuses columns with more
-    than ``max_levels`` levels (use frequency / target encoding for those).
-    """
-    from pyspark.ml.feature import StringIndexer
+def category_codes(train: DataFrame, df: DataFrame, c: str, out: str | None = None) -> DataFrame:
+    """P20: codes 0, 1, ... of the labelled table's levels in alphabetical order; unseen and
+    NULL categories share the extra code ``#levels``.
 
-    n_levels = train.agg(F.approx_count_distinct(c)).first()[0]
-    if n_levels > max_levels:
-        raise ValueError(f"{c} has about {n_levels} levels; use frequency_encode / oof_target_encode")
+    The level table stays distributed whatever its size: a level's code is the number of
+    levels below it (``ranks.cumulative_below``), joined back like every encoding."""
+    from foldwise.operators import ranks as R
 
-    model = StringIndexer(inputCol=c, outputCol=out or f"{c}_code", stringOrderType="alphabetAsc",
-                          handleInvalid="keep").fit(train)
-    return model.transform(df)
+    levels = train.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("_level")).distinct().withColumn("one", F.lit(1))
+    codes = materialize(R.cumulative_below(levels, [], "_level", ["one"]).select("_level", F.col("one_below").alias("_code")))
+    n = codes.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return (df.join(codes, F.col(c).cast("string") == F.col("_level"), "left")
+            .withColumn(out or f"{c}_code", F.coalesce("_code", n).cast("double")).drop("_level", "_code"))

@@ -157,9 +157,10 @@ def row_stats(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ("id",))
     return df.select(*keep, *X.row_stats(cols))
 
 
-def pair_features(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ("id",), first_k: int = 8) -> DataFrame:
-    """P10: pairwise ratios/products over the first k numeric columns in one projection."""
-    return df.select(*keep, *X.pair_features(cols, first_k))
+def pair_features(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ("id",)) -> DataFrame:
+    """P10/O2: pairwise ratios/products of the given columns in one projection (the caller
+    picks and orders the columns; none is left out)."""
+    return df.select(*keep, *X.pair_features(cols))
 
 
 def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -204,17 +205,10 @@ def one_hot(df: DataFrame, c: str, levels: Sequence[str], prefix: str | None = N
     return [X.false_if_null(F.col(c) == F.lit(v)).cast("int").alias(f"{p}{v}") for v in levels]
 
 
-def fitted_levels(df: DataFrame, c: str, max_levels: int = 256) -> list[str]:
-    """Sorted distinct non-null levels of a low-cardinality column.
-
-    Only a bounded list of level names reaches the driver: the job stops with an
-    error when the column has more than ``max_levels`` levels.
-    """
-    rows = (df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("v"))
-            .distinct().limit(max_levels + 1).collect())
-    if len(rows) > max_levels:
-        raise ValueError(f"{c} has more than {max_levels} levels; use a frequency or target encoding")
-    return sorted(r.v for r in rows)
+def fitted_levels(df: DataFrame, c: str) -> list[str]:
+    """Sorted distinct non-null levels of a column: the names of its one-hot columns, so the
+    driver holds as many strings as the result has columns."""
+    return sorted(r.v for r in df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("v")).distinct().collect())
 
 
 def hash_sample(df: DataFrame, id_col: str, seed, fraction: float) -> DataFrame:
@@ -237,8 +231,10 @@ def fill_missing(df: DataFrame, fills: Mapping[str, object], fitted_on: DataFram
     """Coalesce with a constant or a statistic fitted on ``fitted_on`` (default df).
 
     ``fills`` maps column -> constant | "mean" | "median".  Statistics are scalar
-    subqueries: one aggregate each, inlined as literals.
+    subqueries, inlined as literals; the median is exact, by rank selection.
     """
+    from foldwise.operators import binning as B
+
     src = fitted_on if fitted_on is not None else df
     cols = []
     for c in df.columns:
@@ -249,7 +245,7 @@ def fill_missing(df: DataFrame, fills: Mapping[str, object], fitted_on: DataFram
         if v == "mean":
             stat = src.agg(F.avg(c)).scalar()
         elif v == "median":
-            stat = src.agg(F.percentile(c, F.lit(0.5))).scalar()
+            stat = F.get(B.quantiles(src, c, [0.5]).scalar(), 0)
         else:
             stat = F.lit(v)
         cols.append(F.coalesce(F.col(c), stat).alias(c))

@@ -100,37 +100,24 @@ def freq_dist(df: DataFrame, c: str) -> DataFrame:
 def summary(df: DataFrame, cols: Sequence[str], exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """describe() -- count, mean, std, min, 25/50/75 %, max per column, one pass.
 
-    ``exact`` quartiles use linear interpolation (numpy/pandas default):
-    ``percentile`` inside the one aggregate for columns whose distinct count a
-    size check bounds, exact rank selection (bounded memory) for the others.
+    ``exact`` quartiles use linear interpolation (numpy/pandas default), by one rank
+    selection over all columns at once (``binning.quantiles`` keyed by column).
     ``exact=False``: ``percentile_approx`` sketches.
     """
     from foldwise.operators import binning as B
-    from foldwise.operators import ranks as R
 
-    big = set()
-    if exact:
-        n = df.count()
-        if n > R.PLAIN_MAX:
-            nd = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-            big = {c for i, c in enumerate(cols) if nd[f"d{i}"] > R.PLAIN_MAX}
     aggs = []
     for i, c in enumerate(cols):
-        if c in big:
-            vals = B.rank_select_quantiles(df, c, [0.25, 0.5, 0.75])
-            q = F.array(*[F.lit(v).cast("double") for v in vals])
-        elif exact:
-            q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        else:
-            q = F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy).cast("array<double>")
+        q = [] if exact else [F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy).cast("array<double>").alias("q")]
         aggs.append(F.struct(F.lit(c).alias("column_name"), F.count(c).alias("count"),
                              F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                             F.min(c).cast("double").alias("min"), q.alias("q"),
-                             F.max(c).cast("double").alias("max")).alias(f"s{i}"))
-    wide = df.agg(*aggs)
-    return (wide.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(cols))])))
-            .select("column_name", "count", "mean", "std", "min",
-                    F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max"))
+                             F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), *q).alias(f"s{i}"))
+    rows = df.agg(*aggs).select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(cols))])))
+    if exact:
+        long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column_name", "_v")
+        rows = rows.join(B.quantiles(long, "_v", [0.25, 0.5, 0.75], ["column_name"]), "column_name", "left")
+    return rows.select("column_name", "count", "mean", "std", "min",
+                       F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
 def corr_panel(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -149,10 +136,6 @@ def corr_panel(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     return out
 
 
-def corr_with_target(df: DataFrame, cols: Sequence[str], y: str = "y") -> DataFrame:
-    return corr_panel(df, [(c, y) for c in cols])
-
-
 def corr_by_group(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
     """Correlation within each group (one groupBy, not a loop over groups)."""
     return (df.where(F.col(group).isNotNull()).groupBy(group).agg(

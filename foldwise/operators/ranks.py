@@ -1,78 +1,29 @@
 """Scale-safe ordered computations: average-tie ranks and cumulative counts.
 
 A plain ``Window.partitionBy(keys).orderBy(score)`` puts every row of a key group
-(with no keys: the whole table) into ONE task.  One size-check pass
-(``group_sizes``: exact rows per group, HyperLogLog distinct scores only when a
-group is large) picks the plan:
-
-* direct: every group <= PLAIN_MAX rows -> one window per group over raw rows;
-* tie table: every group <= PLAIN_MAX distinct scores -> collapse ties with
-  ``groupBy(keys, score)`` (map-side partial aggregation: a value repeated a
-  billion times becomes one row per map task, then one row) and run the window
-  over the tie table;
-* bucketed, for groups above the bound:
-  1. B-1 range edges per large group from ``percentile_approx`` over its
-     distinct scores (B a power of two; small groups keep bucket 0);
-  2. bucket = number of edges below the score, by an unrolled binary search
-     (log2 B cheap projections, codegen); equal scores always share a bucket and
-     buckets are ordered ranges, so the bucket is a pure function of
-     (keys, score) and every branch of the plan agrees without materialising;
-  3. per-(keys, bucket) totals -> running offsets by a window over <= B rows per
-     key group;
-  4. in-bucket running sums by ``Window.partitionBy(keys, bucket)``: each window
-     partition holds about 1/B of a large group's distinct scores.
-
-All plans give identical results (tested against each other, against pandas
-``rank(method='average')`` and against brute force).
+(with no keys: the whole table) into ONE task.  Here every size takes one path, in the
+score's own type:
+
+1. tie table: ``groupBy(keys, score)`` (map-side partial aggregation: a value repeated a
+   billion times becomes one row per map task, then one row);
+2. the tie table is range-partitioned by (keys, score).  Equal rows do not exist in it, so
+   a range may end anywhere: a giant group is cut over many ranges and small groups
+   share one, whatever their sizes.  The range number is stored with the row
+   (``_bkt``), so all later steps see the same ranges;
+3. running sums within (keys, range), plus the sums of the ranges before: a window over
+   at most as many rows per group as there are ranges.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.session import materialize
 
 
-# A key group with at most this many distinct scores is ranked by one plain window
-# task (bounded sort); larger groups take the bucketed plan.
-PLAIN_MAX = 2_000_000
-
-
-def group_sizes(df: DataFrame, keys: Sequence[str], score: str) -> tuple[int, int]:
-    """(largest group's row count, largest group's distinct-score count or estimate).
-
-    The 'check of its size' that picks the plan for ordered computations: an
-    exact row count per group first (codegen'd partial aggregation, tiny
-    shuffle); only when some group exceeds PLAIN_MAX rows does a second pass
-    estimate distinct scores with HyperLogLog sketches.
-    """
-    src = df.where(F.col(score).isNotNull())
-    g = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if keys else src.agg(F.count(F.lit(1)).alias("n"))
-    max_rows = int(g.agg(F.max("n")).collect()[0][0] or 0)
-    if max_rows <= PLAIN_MAX:
-        return max_rows, max_rows
-    nd = F.approx_count_distinct(score).alias("nd")
-    h = src.groupBy(*keys).agg(nd) if keys else src.agg(nd)
-    return max_rows, int(h.agg(F.max("nd")).collect()[0][0] or 0)
-
-
-def plain_ok(df: DataFrame, keys: Sequence[str], score: str, limit: int = PLAIN_MAX) -> bool:
-    """Every key group has at most ``limit`` distinct scores (tie-table window is bounded)."""
-    return group_sizes(df, keys, score)[1] <= limit
-
-
-def default_buckets(spark) -> int:
-    """Power of two >= max(16, spark.sql.shuffle.partitions), capped at 2^16."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    b = 16
-    while b < parts and b < 65536:
-        b *= 2
-    return b
-
-
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join where NULL keys match each other (a NULL group is a group)."""
     r = right
@@ -82,65 +33,25 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(r, cond, how).drop(*[f"__fw_r{i}" for i in range(len(keys))])
 
 
-def _bisect(t: DataFrame, edges: Column, score: str, m: int) -> DataFrame:
-    """``_bkt`` = number of the 2^m - 1 sorted edges below ``score``: an unrolled
-    binary search, one cheap projection per step (codegen, no lambda)."""
-    s = F.col(score)
-    t = t.withColumn("_bkt", F.lit(0))
-    for k in range(m - 1, -1, -1):
-        st = 1 << k
-        probe = F.get(edges, F.col("_bkt") + (st - 1))
-        t = t.withColumn("_bkt", F.when(probe < s, F.col("_bkt") + st).otherwise(F.col("_bkt")))
-    return t
-
+def range_buckets(t: DataFrame, keys: Sequence[str], score: str, buckets: int | None = None) -> DataFrame:
+    """Add ``_bkt``, the number of the row's range of (keys, score); ranges are ordered.
 
-def bucketize(t: DataFrame, keys: Sequence[str], score: str, buckets: int, small_max: int = 0) -> DataFrame:
-    """Add ``_bkt`` (0..B-1): ordered range bucket of ``score`` within each key group.
-
-    ``small_max > 0``: only groups with more than ``small_max`` distinct scores get
-    range edges; the others keep bucket 0 (their whole tie table is one bounded
-    window partition), so a million small groups next to one giant group cost
-    edges for the giant group only.
-    """
-    m = max(1, (buckets - 1).bit_length())
-    nb = 1 << m
-    fracs = [i / nb for i in range(1, nb)]
-    pa = F.percentile_approx(score, fracs, 10000)
-    if not keys:
-        # One group: the edges are a scalar subquery, evaluated once and inlined.
-        return _bisect(t, t.agg(pa.alias("_edges")).scalar(), score, m)
-    if small_max > 0:
-        big = (t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nd"))
-               .where(F.col("_nd") > small_max).select(*keys))
-        edges = _join_null_safe(t, big, keys).groupBy(*keys).agg(pa.alias("_edges"))
-        # small groups find no edges: NULL probes never move the search, bucket 0
-        joined = _join_null_safe(t, edges, keys, how="left")
-    else:
-        edges = t.groupBy(*keys).agg(pa.alias("_edges"))
-        # The edge table is #groups x B doubles; AQE broadcasts it when its measured
-        # size is small and otherwise keeps a shuffled join.
-        joined = _join_null_safe(t, edges, keys)
-    return _bisect(joined, F.col("_edges"), score, m).drop("_edges")
+    ``buckets``: the number of ranges; by default ``spark.sql.shuffle.partitions``, fewer
+    where adaptive execution finds the table small.  The number is that of the task
+    that holds the row: read it once, or store the table (see ``cumulative_below``)."""
+    cols = [*keys, score]
+    ranged = t.repartitionByRange(buckets, *cols) if buckets else t.repartitionByRange(*cols)
+    return ranged.withColumn("_bkt", F.spark_partition_id())
 
 
 def cumulative_below(t: DataFrame, keys: Sequence[str], score: str, counts: Sequence[str],
-                     buckets: int, plain: bool = False, small_max: int = 0) -> DataFrame:
+                     buckets: int | None = None) -> DataFrame:
     """For each (keys, score) row of a tie table, add ``{c}_below``: the sum of ``c``
     over rows of the same key group with a strictly smaller score, and
-    ``{c}_total``: the group total.
-
-    ``plain=True`` (only after ``plain_ok``): one window per key group."""
-    if plain:
-        w = (Window.partitionBy(*keys).orderBy(score) if keys else Window.orderBy(score)) \
-            .rowsBetween(Window.unboundedPreceding, -1)
-        wt = (Window.partitionBy(*keys) if keys else Window.partitionBy()) \
-            .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return t.select(*t.columns,
-                        *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_below") for c in counts],
-                        *[F.sum(c).over(wt).alias(f"{c}_total") for c in counts])
-    tb = bucketize(t, keys, score, buckets, small_max)
+    ``{c}_total``: the group total."""
+    tb = materialize(range_buckets(t, keys, score, buckets))
     per = tb.groupBy(*keys, "_bkt").agg(*[F.sum(c).alias(f"_b_{c}") for c in counts])
-    # <= B rows per key group: the offset window's input is bounded.
+    # one row per range and key group: the offset window's input is bounded.
     wk = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     wt = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offs = per.select(*keys, "_bkt",
@@ -155,27 +66,20 @@ def cumulative_below(t: DataFrame, keys: Sequence[str], score: str, counts: Sequ
 
 
 def tie_table(df: DataFrame, keys: Sequence[str], score: str, y: str | None = None) -> DataFrame:
-    """(keys, score, n[, pos, neg]) over rows with a non-null score."""
+    """(keys, score, n[, pos, neg]) over rows with a non-null score (and label ``y``)."""
     aggs = [F.count(F.lit(1)).alias("n")]
+    src = df.where(F.col(score).isNotNull())
     if y is not None:
+        src = src.where(F.col(y).isNotNull())
         aggs += [F.sum(F.col(y).cast("long")).alias("pos"),
                  (F.count(F.lit(1)) - F.sum(F.col(y).cast("long"))).alias("neg")]
-    return (df.where(F.col(score).isNotNull())
-            .groupBy(*keys, F.col(score).cast("double").alias(score)).agg(*aggs))
-
+    return src.groupBy(*keys, score).agg(*aggs)
 
-def ranked_ties(df: DataFrame, score: str, keys: Sequence[str] = (), buckets: int | None = None,
-                plain: bool | None = None) -> DataFrame:
-    """(keys, score, n, rank, n_group): average rank of each distinct score.
 
-    ``buckets`` forces the bucketed plan; by default the size check decides."""
-    forced = buckets is not None
-    if plain is None:
-        plain = not forced and plain_ok(df, keys, score)
-    buckets = buckets or default_buckets(df.sparkSession)
+def ranked_ties(df: DataFrame, score: str, keys: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """(keys, score, n, rank, n_group): average rank of each distinct score."""
     k = list(keys)
-    t = tie_table(df, k, score)
-    c = cumulative_below(t, k, score, ["n"], buckets, plain, 0 if forced else PLAIN_MAX)
+    c = cumulative_below(tie_table(df, k, score), k, score, ["n"], buckets)
     return c.select(*k, score, "n",
                     (F.col("n_below") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"),
                     F.col("n_total").alias("n_group"))
@@ -186,37 +90,11 @@ def average_rank(df: DataFrame, score: str, keys: Sequence[str] = (), out: str =
     """Add the average-tie rank of ``score`` within ``keys`` (optionally
     rank / n as ``pct`` and the group's non-null count as ``n_out``).
 
-    Plan, chosen by one size-check pass (``group_sizes``) unless ``buckets`` forces
-    the bucketed plan:
-
-    * every group <= PLAIN_MAX rows: one window per group over the raw rows;
-    * every group <= PLAIN_MAX distinct scores: window over the collapsed tie
-      table, joined back on (keys, score);
-    * otherwise: the bucketed tie-table plan, joined back.
-
-    In the join back a score value shared by a third of the rows is one row on
-    the small side; AQE's skew-join handling splits the large side's hot partition.
+    The ranked tie table is joined back on (keys, score).  A score value shared by a
+    third of the rows is one row on the small side; AQE's skew-join handling splits
+    the large side's hot partition.
     """
-    plain = None
-    if buckets is None:
-        max_rows, max_distinct = group_sizes(df, keys, score)
-        plain = max_distinct <= PLAIN_MAX
-        if max_rows <= PLAIN_MAX:
-            # every group fits one task as raw rows: a single window, no join back
-            w = Window.partitionBy(*keys).orderBy(score) if keys else Window.orderBy(score)
-            wt = Window.partitionBy(*keys, score)
-            wn = Window.partitionBy(*keys) if keys else Window.partitionBy()
-            valid = F.col(score).isNotNull()
-            rank = F.when(valid, F.rank().over(w) - F.sum(F.when(~valid, 1).otherwise(0)).over(wn)
-                          + (F.count(F.lit(1)).over(wt) - 1) / F.lit(2.0))
-            n_grp = F.count(score).over(wn)
-            cols = [rank.cast("double").alias(out)]
-            if pct:
-                cols.append((rank / n_grp).alias(pct))
-            if n_out:
-                cols.append(F.when(valid, n_grp).alias(n_out))
-            return df.select("*", *cols)
-    rt = ranked_ties(df, score, keys, buckets, plain=plain)
+    rt = ranked_ties(df, score, keys, buckets)
     extra = []
     if pct:
         extra.append((F.col("rank") / F.col("n_group")).alias(pct))
@@ -225,7 +103,7 @@ def average_rank(df: DataFrame, score: str, keys: Sequence[str] = (), out: str =
     r = rt.select(*[F.col(k).alias(f"__fw_k{i}") for i, k in enumerate(keys)], F.col(score).alias("__fw_s"),
                   F.col("rank").alias(out), *extra)
     cond = [F.col(k).eqNullSafe(F.col(f"__fw_k{i}")) for i, k in enumerate(keys)]
-    cond.append(F.col(score).cast("double") == F.col("__fw_s"))
+    cond.append(F.col(score) == F.col("__fw_s"))
     joined = df.join(r, cond, "left")
     return joined.drop(*[f"__fw_k{i}" for i in range(len(keys))], "__fw_s")
 

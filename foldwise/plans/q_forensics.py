@@ -57,7 +57,7 @@ PAIRS = K.pair_candidates(O_NUM)
 
 @q("constraint_pairs")
 def constraint_pairs(spark, sf):
-    return _round_doubles(K.search(FX.obs_orders(spark, sf), PAIRS, MIN_SUPPORT, EPS))
+    return _round_doubles(K.search(FX.obs_orders(spark, sf), PAIRS, MIN_SUPPORT, EPS).drop("parts"))
 
 
 ORACLE["constraint_pairs"] = _search_sql(PAIRS, "obs_orders", ["obs_orders"])
@@ -68,7 +68,7 @@ SUMS = K.sum_candidates(O_NUM, 2)
 @q("constraint_sums")
 def constraint_sums(spark, sf):
     """K3 + K5: c >= a + b with the residual's correlation to the target."""
-    return _round_doubles(K.search(FX.obs_orders(spark, sf), SUMS, MIN_SUPPORT, EPS, y="y"))
+    return _round_doubles(K.search(FX.obs_orders(spark, sf), SUMS, MIN_SUPPORT, EPS, y="y").drop("parts"))
 
 
 ORACLE["constraint_sums"] = _search_sql(SUMS, "obs_orders", ["obs_orders"], y="y")
@@ -80,7 +80,7 @@ SUMS3 = K.sum_candidates(SUM3_COLS, 3)
 @q("constraint_sums3")
 def constraint_sums3(spark, sf):
     """K3 with three addends (the promoted constraint's shape)."""
-    return _round_doubles(K.search(FX.obs_orders(spark, sf), SUMS3, MIN_SUPPORT, EPS, y="y"))
+    return _round_doubles(K.search(FX.obs_orders(spark, sf), SUMS3, MIN_SUPPORT, EPS, y="y").drop("parts"))
 
 
 ORACLE["constraint_sums3"] = _search_sql(SUMS3, "obs_orders", ["obs_orders"], y="y")
@@ -89,7 +89,7 @@ ORACLE["constraint_sums3"] = _search_sql(SUMS3, "obs_orders", ["obs_orders"], y=
 @q("constraint_nontrivial")
 def constraint_nontrivial(spark, sf):
     """K6: zero-violation pairs whose lhs and rhs ranges overlap."""
-    return _round_doubles(K.search(FX.obs_orders(spark, sf), PAIRS, MIN_SUPPORT, EPS, require_overlap=True))
+    return _round_doubles(K.search(FX.obs_orders(spark, sf), PAIRS, MIN_SUPPORT, EPS, require_overlap=True).drop("parts"))
 
 
 ORACLE["constraint_nontrivial"] = FX.with_views(

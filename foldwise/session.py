@@ -62,8 +62,8 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
-        if not sc.master.startswith("local"):
-            # a machine-local folder would not survive the loss of the executor that wrote it
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            # one process only; elsewhere (local-cluster too) executors do not share a machine-local folder
             raise RuntimeError("spark.checkpoint.dir must name shared storage (HDFS/S3/...) on a cluster")
         conf = tempfile.mkdtemp(prefix="foldwise-ckpt-")
     sc.setCheckpointDir(conf)
@@ -80,13 +80,13 @@ def materialize(df):
 
 
 def recommended_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
-                     max_partitions: int = 200_000) -> dict[str, str]:
+                     max_partitions: int = 1_000_000) -> dict[str, str]:
     """Cluster settings sized to the input, for a cluster session builder.
 
     The large shuffles of this library (tie tables, window inputs, fold and
     encoding joins) carry roughly the scanned columns, so the shuffle partition
-    count follows the input at ~256 MB per partition (100 TB -> ~400k, capped).
-    Range buckets follow ``spark.sql.shuffle.partitions`` (see ranks.default_buckets).
+    count follows the input at ~256 MB per partition (100 TB -> ~400k).
+    Ranges follow ``spark.sql.shuffle.partitions`` too (see ranks.range_buckets).
     """
     parts = max(200, min(max_partitions, -(-input_bytes // target_partition_bytes)))
     return {
