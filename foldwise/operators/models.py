@@ -1,13 +1,20 @@
 """Cross-validated training and model-level ensembling.
 
-Training is Spark ML: every fold's ``Pipeline`` (median ``Imputer`` -> ``StringIndexer``
--> ``VectorAssembler`` [-> ``StandardScaler``] -> classifier) is FIT ON THE TRAINING
-FOLDS ONLY, so imputation medians, category codes and scaling never see the scored
-fold.  The k fits are a driver loop over distributed fits -- the same shape as
+Everything a fold's model learns comes from the training folds only, so the scored fold
+never enters medians, category codes, encodings or scaling:
+
+* medians (E5) are exact, for all columns and folds from one rank selection;
+* categories enter trees and MLP as codes where they have at most ``CODE_LEVELS`` levels;
+  wider ones, and all of them in the families that take numeric columns only
+  (logistic regression, forests), as frequency and target encodings (E1, E3) computed by
+  "total minus fold" from one (category, fold) table;
+* then ``VectorAssembler`` [-> ``StandardScaler``] -> classifier.
+
+The k fits run a few at a time over one stored training table -- the shape of
 ``CrossValidator`` -- and every prediction is a keyed row (id, fold, model, score),
-never a positional array.
+never a positional array.  The test table is read once, by the k models in a chain.
 
-Spark ML trees reject NaN and NULL vectors, hence the imputer and the explicit
+Spark ML trees reject NaN and NULL vectors, hence the imputation and the explicit
 ``_isna`` flags.  Mapping of the reference's boosting knobs (SURVEY 2.8.1):
 learning_rate -> stepSize, n_estimators -> maxIter, num_leaves -> maxDepth,
 min_child_samples -> minInstancesPerNode, subsample -> subsamplingRate,
@@ -19,15 +26,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
-from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions import exprs as X
@@ -45,17 +53,29 @@ DEFAULTS = {
     "mlp": {"layers": [64, 32], "maxIter": 100},
 }
 
-
 ROWS_PER_PARTITION = 250_000
+#: Levels that a category may have to enter a tree as codes (with the code of unseen levels,
+#: the bins that Spark's trees have by default); wider categories are encoded.
+CODE_LEVELS = 31
+#: Folds that are fitted at the same time.
+FIT_THREADS = 3
 
 # The reference's model-family names, mapped to the Spark ML family
 # that replaces each (boosters -> GBTClassifier, extra trees -> random forest).
-MODEL_ALIASES = {"lgbm": "gbt", "xgb": "gbt", "hist_gb": "gbt", "catboost": "gbt", "et": "rf",
+MODEL_ALIASES = {"lgbm": "gbt", "xgb": "gbt", "hist_gb": "gbt", "catboost": "gbt", "extra_trees": "rf", "et": "rf",
                  "rf": "rf", "lr": "lr", "gbt": "gbt", "mlp": "mlp"}
+#: Families that take numeric columns only.
+NUMERIC_ONLY = ("rf", "lr")
+
+
+def family(model_type: str) -> str:
+    if model_type not in MODEL_ALIASES:
+        raise ValueError(f"unknown model_type {model_type}")
+    return MODEL_ALIASES[model_type]
 
 
 def _classifier(model_type: str, n_features: int, params: dict, seed: int, n_train: int | None):
-    model_type = MODEL_ALIASES.get(model_type, model_type)
+    model_type = family(model_type)
     p = {**DEFAULTS.get(model_type, {}), **(params or {})}
     if model_type == "gbt":
         extra = {}
@@ -68,44 +88,125 @@ def _classifier(model_type: str, n_features: int, params: dict, seed: int, n_tra
         c = p.pop("C", 0.1)
         # scikit-learn's C on the summed loss == regParam 1 / (C * n) on Spark's mean loss
         reg = 1.0 / (c * max(n_train or 1, 1))
-        # scikit-learn's lbfgs defaults: 100 iterations, tolerance 1e-4.  The L2
+        # scikit-learn's lbfgs with the reference's 1000 iterations, tolerance 1e-4.  The L2
         # penalty on standardised coefficients (standardization=True) is the same
-        # objective as StandardScaler + LogisticRegression, without a scaler pass.
+        # objective as StandardScaler + LogisticRegression, without a scaler pass;
+        # a model without a scaler passes standardization=False.
         return LogisticRegression(featuresCol="features", labelCol="_label", regParam=reg,
-                                  standardization=True, maxIter=p.pop("maxIter", 100), tol=p.pop("tol", 1e-4))
-    if model_type == "mlp":
-        hidden = p.pop("layers", [64, 32])
-        return MultilayerPerceptronClassifier(featuresCol="features", labelCol="_label", seed=seed,
-                                              layers=[n_features, *hidden, 2], **p)
-    raise ValueError(f"unknown model_type {model_type}")
+                                  standardization=p.pop("standardization", True),
+                                  maxIter=p.pop("maxIter", 1000), tol=p.pop("tol", 1e-4))
+    hidden = p.pop("layers", [64, 32])
+    return MultilayerPerceptronClassifier(featuresCol="features", labelCol="_label", seed=seed,
+                                          layers=[n_features, *hidden, 2], **p)
 
 
-def build_pipeline(numeric: Sequence[str], categorical: Sequence[str], flags: Sequence[str],
-                   model_type: str, params: dict | None = None, seed: int = 42,
+def build_pipeline(features: Sequence[str], model_type: str, params: dict | None = None, seed: int = 42,
                    n_train: int | None = None) -> Pipeline:
-    """E5 (median imputation) + P20 (codes) + E6 (scaling: StandardScaler for the MLP,
-    built-in standardisation for logistic regression) + classifier."""
-    stages = []
-    imp_out = [f"_imp_{c}" for c in numeric]
-    if numeric:
-        stages.append(Imputer(strategy="median", inputCols=list(numeric), outputCols=imp_out))
-    idx_out = [f"_idx_{c}" for c in categorical]
-    if categorical:
-        # one multi-column indexer: one fitting job for all categorical columns
-        stages.append(StringIndexer(inputCols=list(categorical), outputCols=idx_out,
-                                    stringOrderType="alphabetAsc", handleInvalid="keep"))
-    cols = imp_out + list(flags) + idx_out
-    scaled = MODEL_ALIASES.get(model_type, model_type) == "mlp"
-    stages.append(VectorAssembler(inputCols=cols, outputCol="_raw" if scaled else "features",
-                                  handleInvalid="keep"))
+    """Assembler, scaling (E6: StandardScaler for the MLP, built-in standardisation for
+    logistic regression) and classifier over feature columns without NULLs."""
+    scaled = family(model_type) == "mlp"
+    stages = [VectorAssembler(inputCols=list(features), outputCol="_raw" if scaled else "features", handleInvalid="error")]
     if scaled:
         stages.append(StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True))
-    stages.append(_classifier(model_type, len(cols), dict(params or {}), seed, n_train))
+    stages.append(_classifier(model_type, len(features), dict(params or {}), seed, n_train))
     return Pipeline(stages=stages)
 
 
-def _positive_prob(df: DataFrame) -> DataFrame:
-    return df.withColumn("score", vector_to_array("probability").getItem(1))
+def fold_medians(train: DataFrame, numeric: Sequence[str], ks: Sequence[int], fold: str = "fold") -> DataFrame:
+    """E5: (column_name, fold, median): the exact median of each column over the rows outside
+    each fold, from one rank selection over all columns: a value's tie row counts it once
+    for every fold that does not hold it.  NULL where a column has no value there."""
+    long = train.where(F.col(fold).isNotNull()).select(fold, *[F.col(c).cast("double").alias(c) for c in numeric]).unpivot(
+        [fold], list(numeric), "column_name", "_v")
+    ties = long.where(F.col("_v").isNotNull()).groupBy("column_name", "_v").agg(
+        *[F.count(F.when(F.col(fold) != k, 1)).alias(f"n{k}") for k in ks])
+    c = R.cumulative_below(ties, ["column_name"], "_v", [f"n{k}" for k in ks])
+
+    def at(k: int, place: Column) -> Column:
+        below = F.col(f"n{k}_below")
+        return F.max(F.when((below <= place) & (below + F.col(f"n{k}") > place), F.col("_v")))
+
+    def median(k: int) -> Column:
+        last = F.col(f"n{k}_total") - 1
+        return (at(k, F.floor(last / 2)) + at(k, F.ceil(last / 2))) / 2
+
+    wide = c.groupBy("column_name").agg(F.array(*[F.struct(F.lit(k).alias("fold"), median(k).alias("median")) for k in ks]).alias("m"))
+    return wide.select("column_name", F.inline("m"))
+
+
+def category_cells(train: DataFrame, c: str, y: str = "y", fold: str = "fold") -> DataFrame:
+    """(c, _cells, _all): sums and counts of the label by fold, and over all folds, of each level.
+
+    ``_cells`` has one entry per fold, so a level's row is bounded by the number of folds."""
+    own = train.where(F.col(c).isNotNull() & F.col(fold).isNotNull() & F.col(y).isNotNull())
+    cells = own.groupBy(c, fold).agg(F.sum(F.col(y).cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
+    return cells.groupBy(c).agg(F.map_from_entries(F.collect_list(F.struct(fold, F.struct("s", "n")))).alias("_cells"),
+                                F.struct(F.sum("s").alias("s"), F.sum("n").alias("n")).alias("_all"))
+
+
+def _without(c: str, folds: Sequence[Column], field: str) -> Column:
+    """Sum over the level's folds except these (NULL: the level has no row)."""
+    out = F.col(f"_all_{c}")[field]
+    for f in folds:
+        out = out - F.coalesce(F.try_element_at(F.col(f"_cells_{c}"), f)[field], F.lit(0))
+    return out
+
+
+class FoldFeatures:
+    """Feature columns of each fold, over a training table and others made like it."""
+
+    def __init__(self, train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], flags: Sequence[str],
+                 model_type: str, id_col: str, y: str, fold: str):
+        self.numeric, self.categorical, self.flags = list(numeric), list(categorical), list(flags)
+        self.id_col, self.y, self.fold = id_col, y, fold
+        stats = train.groupBy(fold).agg(F.count(F.lit(1)), F.sum(F.col(y).cast("double")), F.count(y),
+                                        *[F.count(c) for c in self.categorical]).collect()
+        self.sizes = {r[0]: tuple(r[1:]) for r in stats if r[0] is not None}
+        self.ks = sorted(self.sizes)
+        self.medians = {(r.column_name, r.fold): r["median"] for r in fold_medians(train, numeric, self.ks, fold).collect()} if numeric else {}
+        self.cells = {c: materialize(category_cells(train, c, y, fold)) for c in self.categorical}
+        self.codes = {}
+        if family(model_type) not in NUMERIC_ONLY:
+            for c, cells in self.cells.items():
+                levels = [r[0] for r in cells.select(F.col(c).cast("string")).limit(CODE_LEVELS + 1).collect()]
+                if len(levels) <= CODE_LEVELS:  # else the category is encoded
+                    self.codes[c] = sorted(levels)
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        """Join the level tables of the encoded categories (left joins; AQE broadcasts small ones)."""
+        for c, cells in self.cells.items():
+            if c not in self.codes:
+                t = cells.withColumnsRenamed({c: f"_level_{c}", "_cells": f"_cells_{c}", "_all": f"_all_{c}"})
+                df = df.join(t, F.col(c) == F.col(f"_level_{c}"), "left").drop(f"_level_{c}")
+        return df
+
+    def columns(self, k: int, training: bool) -> list[Column]:
+        """Fold k's features, without NULLs; ``training``: the rows it is fitted on, whose target
+        encoding leaves out their own fold as well."""
+        n, s, labelled = (sum(self.sizes[j][i] for j in self.ks if j != k) for i in range(3))
+        mean = s / labelled if labelled else 0.0
+        out = [F.coalesce(F.col(c).cast("double"), F.lit(self.medians.get((c, k))), F.lit(0.0)).alias(f"_x_{c}") for c in self.numeric]
+        out += [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x_{c}") for c in self.flags]
+        for i, c in enumerate(self.categorical):
+            if c in self.codes:
+                code = F.array_position(F.array(*map(F.lit, self.codes[c])), F.col(c).cast("string")) if self.codes[c] else F.lit(0)
+                # position 0: not found; unseen and NULL share the code after the last
+                out.append(F.coalesce(F.nullif(code, F.lit(0)) - 1, F.lit(len(self.codes[c]))).cast("double").alias(f"_x_{c}"))
+                continue
+            seen = sum(self.sizes[j][3 + i] for j in self.ks if j != k)
+            away = [F.lit(k), F.col(self.fold)] if training else [F.lit(k)]
+            target = _without(c, away, "s") / F.nullif(_without(c, away, "n"), F.lit(0))
+            out.append(F.coalesce(target, F.lit(mean)).alias(f"_x_{c}_target"))
+            out.append((F.coalesce(_without(c, [F.lit(k)], "n"), F.lit(0)) / F.lit(float(max(seen, 1)))).alias(f"_x_{c}_freq"))
+        return out
+
+    def names(self) -> list[str]:
+        cats = [n for c in self.categorical for n in ([f"_x_{c}"] if c in self.codes else [f"_x_{c}_target", f"_x_{c}_freq"])]
+        return [f"_x_{c}" for c in [*self.numeric, *self.flags]] + cats
+
+
+def _positive_prob(df: DataFrame, name: str = "score") -> DataFrame:
+    return df.withColumn(name, vector_to_array("probability").getItem(1))
 
 
 def cv_train(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
@@ -115,50 +216,49 @@ def cv_train(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     """M1: out-of-fold scores for ``train`` and fold-averaged scores for ``test``.
 
     Returns (id, split, model, fold, score): OOF rows carry their fold; test rows
-    carry fold = NULL and the mean over the k fold models.
+    carry fold = NULL and the mean over the k fold models.  Rows without a label are scored,
+    not fitted on; rows without a fold take no part.  The training table is stored in
+    shared storage once (the fits read it many times); the test table is read once.
     """
     name = model_name or model_type
     cols = [id_col, y, fold, *numeric, *categorical, *flags]
-    data = train.select(*cols).withColumn("_label", F.col(y).cast("double"))
+    data = train.where(F.col(fold).isNotNull()).select(*cols)
+    feats = FoldFeatures(data, numeric, categorical, flags, model_type, id_col, y, fold)
+    data = feats.attach(data).withColumn("_label", F.col(y).cast("double"))
     if params and params.get("early_stopping"):
         data = data.withColumn("_is_val", X.hash_sample_pred(id_col, f"val{seed}", 0.1))
-    # one small job: rows per fold (k rows) give the fold list, the partition
-    # count and each fold's training size (LR's regularisation scale)
-    sizes = {r[0]: r[1] for r in data.groupBy(fold).count().collect()}
-    n_rows = sum(sizes.values())
+    n_rows = sum(v[0] for v in feats.sizes.values())
     # Iterative fits launch one job per iteration, so the task count matters:
     # about ROWS_PER_PARTITION rows per partition, never fewer than a few.
     n_parts = max(math.ceil(n_rows / ROWS_PER_PARTITION), min(4, parallelism(data.sparkSession)))
-    data = data.repartition(n_parts).persist(StorageLevel.MEMORY_AND_DISK)
-    k_list = list(folds) if folds is not None else sorted(k for k in sizes if k is not None)
-    oof_parts, test_parts = [], []
-    try:
-        for k in k_list:
-            tr = data.where(F.col(fold) != k)
-            n_train = n_rows - sizes.get(k, 0) - sizes.get(None, 0)
-            model = build_pipeline(numeric, categorical, flags, model_type, params, seed, n_train).fit(tr)
-            scored = _positive_prob(model.transform(data.where(F.col(fold) == k)))
-            oof_parts.append(scored.select(id_col, F.lit("train").alias("split"), F.lit(name).alias("model"),
-                                           F.col(fold).cast("int").alias("fold"), "score"))
-            if test is not None:
-                ts = _positive_prob(model.transform(test.select(id_col, *numeric, *categorical, *flags)))
-                test_parts.append(ts.select(id_col, "score"))
-        out = oof_parts[0]
-        for p in oof_parts[1:]:
-            out = out.unionByName(p)
-        if test_parts:
-            t = test_parts[0]
-            for p in test_parts[1:]:
-                t = t.unionByName(p)
-            t = t.groupBy(id_col).agg(F.avg("score").alias("score")).select(
-                id_col, F.lit("test").alias("split"), F.lit(name).alias("model"),
-                F.lit(None).cast("int").alias("fold"), "score")
-            out = out.unionByName(t)
-        # predictions are materialised before the cached training data is released
-        out = materialize(out)
-    finally:
-        data.unpersist()
-    return out
+    data = materialize(data.repartition(n_parts))
+    k_list = list(folds) if folds is not None else feats.ks
+    extra = [c for c in ("_is_val",) if c in data.columns]
+
+    def fit(k: int):
+        tr = data.where((F.col(fold) != k) & F.col("_label").isNotNull()).select("_label", *extra, *feats.columns(k, True))
+        n_train = sum(v[2] for j, v in feats.sizes.items() if j != k)
+        return build_pipeline(feats.names(), model_type, params, seed, n_train).fit(tr)
+
+    with ThreadPool(min(FIT_THREADS, max(1, len(k_list)))) as pool:
+        models = pool.map(inheritable_thread_target(data.sparkSession)(fit), k_list)
+    out = None
+    for k, model in zip(k_list, models):
+        rows = data.where(F.col(fold) == k).select(id_col, fold, *feats.columns(k, False))
+        part = _positive_prob(model.transform(rows)).select(id_col, F.lit("train").alias("split"), F.lit(name).alias("model"),
+                                                            F.col(fold).cast("int").alias("fold"), "score")
+        out = part if out is None else out.unionByName(part)
+    if test is not None:
+        t = feats.attach(test.select(id_col, *numeric, *categorical, *flags))
+        keep = t.columns
+        for i, (k, model) in enumerate(zip(k_list, models)):
+            scored = model.transform(t.select("*", *feats.columns(k, False)))
+            keep.append(f"_score{i}")
+            t = _positive_prob(scored, f"_score{i}").select(*keep)
+        mean = X.sum_of([f"_score{i}" for i in range(len(k_list))]) / F.lit(float(len(k_list)))
+        out = out.unionByName(t.select(id_col, F.lit("test").alias("split"), F.lit(name).alias("model"),
+                                       F.lit(None).cast("int").alias("fold"), mean.alias("score")))
+    return materialize(out)
 
 
 def oof_auc(preds: DataFrame, labels: DataFrame, id_col: str = "id", y: str = "y",
@@ -195,19 +295,26 @@ def multi_seed(train_by_seed: dict[int, DataFrame], configs, numeric, categorica
 
 
 def stack(oof: DataFrame, labels_folds: DataFrame, models: Sequence[str], transform: str = "raw",
-          id_col: str = "id", y: str = "y", fold: str = "fold", test: DataFrame | None = None) -> DataFrame:
-    """Logistic meta-model over the OOF score matrix, cross-validated on the
-    same folds; ``transform`` = raw | rank (rank / n per model) | logit."""
+          id_col: str = "id", y: str = "y", fold: str = "fold", test: DataFrame | None = None,
+          seeds: Sequence[int] | None = None) -> DataFrame:
+    """Logistic meta-model (C = 1, no scaling) over the OOF score matrix, cross-validated
+    on the same folds; ``transform`` = raw | rank (rank / n per model) | logit.
+
+    With ``seeds`` (column ``seed``) every model and seed is a column of its own."""
     src = oof.where(F.col("model").isin(list(models)))
+    names = list(models)
+    if seeds is not None:
+        names = [f"{m}_{s}" for m in models for s in seeds]
+        src = src.where(F.col("seed").isin(list(seeds))).withColumn("model", F.concat_ws("_", "model", F.col("seed").cast("string")))
     if transform == "rank":
         src = R.rank01(src, "score", ["split", "model"], out="_s").drop("score").withColumnRenamed("_s", "score")
     elif transform == "logit":
         p = X.clip("score", 1e-6, 1 - 1e-6)
         src = src.withColumn("score", F.log(p / (F.lit(1.0) - p)))
-    wide = src.groupBy(id_col, "split").pivot("model", list(models)).agg(F.first("score"))
+    wide = src.groupBy(id_col, "split").pivot("model", names).agg(F.first("score"))
     tr = wide.where(F.col("split") == "train").join(labels_folds.select(id_col, y, fold), id_col, "inner")
     te = wide.where(F.col("split") == "test") if test is None else test
-    return cv_train(tr, list(models), model_type="lr", params={"C": 1.0}, test=te, id_col=id_col, y=y,
+    return cv_train(tr, names, model_type="lr", params={"C": 1.0, "standardization": False}, test=te, id_col=id_col, y=y,
                     fold=fold, model_name=f"stack_{transform}")
 
 
@@ -257,7 +364,7 @@ def tune_scan(train, candidates: dict[str, dict], numeric, categorical=(), flags
     for p in parts[1:]:
         allp = allp.unionByName(p)
     _, overall = oof_auc(allp, labels, id_col, y)
-    return overall.select(F.col("model").alias("candidate"), "auc")
+    return overall.select(F.col("model").alias("candidate"), "auc").orderBy(F.desc("auc"), "candidate")
 
 
 def screen(train, base: dict, candidate: dict, model_type="gbt", params=None, id_col="id", y="y",

@@ -1,17 +1,22 @@
 """Catalog step 7: cross-validated Spark ML training and model-level ensembles
 (M1-M10, E5, E6, B3-B6).  Iterative fits are not SQL-expressible: these keys have
-no oracle (row-count check) and are covered by property tests instead."""
+no oracle (row-count check).  What the fits are given is: exact fold medians, category
+cells and the rows of each fold have keys with an oracle of their own."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foldwise.functions import exprs as X
 from foldwise.operators import auc as A
+from foldwise.operators import binning as B
+from foldwise.operators import encode as EN
 from foldwise.operators import features as FE
 from foldwise.operators import folds as FO
 from foldwise.operators import models as M
-from foldwise.plans.common import O_NUM, O_ROLES, r6
-from foldwise.plans.q_encode import train_folds
+from foldwise.operators import ranks as R
+from foldwise.plans.common import O_NUM, O_ROLES, r6, sql_r6
+from foldwise.plans.q_encode import TRAIN_CTES, train_folds
 from foldwise.sources import fixtures as FX
 
 QUERIES: dict = {}
@@ -21,12 +26,6 @@ NUM = ["x1", "x2", "x3", "s_b"]
 CAT = ["c1", "c2"]
 FLAGS = ["x1_isna", "x2_isna", "x3_isna"]
 
-# Small model sizes keep the registered checks quick; the library defaults
-# (models.DEFAULTS) carry the reference's full-size settings.
-GBT_SMALL = {"maxIter": 15, "maxDepth": 4, "minInstancesPerNode": 20}
-RF_SMALL = {"numTrees": 20, "maxDepth": 6}
-MLP_SMALL = {"layers": [16, 8], "maxIter": 40}
-
 
 def q(name):
     def deco(fn):
@@ -63,32 +62,36 @@ def cv_lr(spark, sf):
 
 @q("cv_rf")
 def cv_rf(spark, sf):
-    p = M.cv_train(_train(spark, sf), NUM, CAT, FLAGS, "rf", RF_SMALL)
+    p = M.cv_train(_train(spark, sf), NUM, CAT, FLAGS, "rf", test=_test(spark, sf))
     return _fold_auc(p, spark, sf)
 
 
 @q("cv_gbt")
 def cv_gbt(spark, sf):
     """M3 + M7: gradient boosting with early stopping on rows drawn from the training folds."""
-    p = M.cv_train(_train(spark, sf), NUM, CAT, FLAGS, "gbt", {**GBT_SMALL, "early_stopping": True})
+    p = M.cv_train(_train(spark, sf), NUM, CAT, FLAGS, "gbt", {"early_stopping": True}, test=_test(spark, sf))
     return _fold_auc(p, spark, sf)
 
 
 @q("cv_mlp")
 def cv_mlp(spark, sf):
-    p = M.cv_train(_train(spark, sf), NUM, CAT, FLAGS, "mlp", MLP_SMALL)
+    p = M.cv_train(_train(spark, sf), NUM, CAT, FLAGS, "mlp", test=_test(spark, sf))
     return _fold_auc(p, spark, sf)
 
 
+SEEDS = [42, 100]
+MODELS = ["m_a", "m_b", "m_c"]
+
+
 def _fixture_oof(spark, sf):
-    return FX.preds(spark, sf).where(F.col("seed") == 42).select("id", "split", "model", "score")
+    return FX.preds(spark, sf).select("id", "split", "seed", "model", "score")
 
 
 @q("stack_lr")
 def stack_lr(spark, sf):
     """Logistic stacking over the OOF score matrix, same folds."""
     lf = train_folds(spark, sf).select("id", "y", "fold")
-    p = M.stack(_fixture_oof(spark, sf), lf, ["m_a", "m_b", "m_c"], "raw")
+    p = M.stack(_fixture_oof(spark, sf), lf, MODELS, "raw", seeds=SEEDS)
     return _fold_auc(p, spark, sf)
 
 
@@ -96,7 +99,7 @@ def stack_lr(spark, sf):
 def stack_ranks(spark, sf):
     """Stacking on rank percentiles."""
     lf = train_folds(spark, sf).select("id", "y", "fold")
-    p = M.stack(_fixture_oof(spark, sf), lf, ["m_a", "m_b", "m_c"], "rank")
+    p = M.stack(_fixture_oof(spark, sf), lf, MODELS, "rank", seeds=SEEDS)
     return _fold_auc(p, spark, sf)
 
 
@@ -104,7 +107,7 @@ def stack_ranks(spark, sf):
 def isotonic(spark, sf):
     """Per-fold isotonic calibration of a model's OOF scores; AUC before/after."""
     lf = train_folds(spark, sf).select("id", "y", "fold")
-    oof = _fixture_oof(spark, sf).where(F.col("model") == "m_a")
+    oof = _fixture_oof(spark, sf).where((F.col("model") == "m_a") & (F.col("seed") == 42))
     cal = M.isotonic_oof(oof, lf).join(lf.select("id", "y"), "id")
     raw = A.auc(cal, "score", keys=["fold"]).withColumnRenamed("auc", "auc_raw")
     iso = A.auc(cal, "calibrated", keys=["fold"]).select("fold", F.col("auc").alias("auc_calibrated"))
@@ -164,5 +167,108 @@ def stack_logit(spark, sf):
     """Stacking on log-odds of clipped scores."""
     lf = train_folds(spark, sf).select("id", "y", "fold")
     oof = _fixture_oof(spark, sf).withColumn("score", F.col("score") / 500.0)
-    p = M.stack(oof, lf, ["m_a", "m_b", "m_c"], "logit")
+    p = M.stack(oof, lf, MODELS, "logit", seeds=SEEDS)
     return _fold_auc(p, spark, sf)
+
+
+@q("fold_medians")
+def fold_medians(spark, sf):
+    """E5: the exact medians that each fold's model imputes with."""
+    return _round_doubles(M.fold_medians(train_folds(spark, sf), NUM, range(5)))
+
+
+ORACLE["fold_medians"] = FX.with_views(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, k AS fold, {sql_r6(f'quantile_cont(CAST({c} AS DOUBLE), 0.5)')} AS median "
+    f"FROM _f, _k WHERE fold <> k GROUP BY k" for c in NUM), "obs_events",
+    extra=[*TRAIN_CTES, ("_k", "SELECT CAST(unnest(range(5)) AS INTEGER) AS k")])
+
+
+@q("category_cells")
+def category_cells(spark, sf):
+    """E3 within training: label sums and counts by level and fold, and over all folds."""
+    cells = M.category_cells(train_folds(spark, sf), "c2")
+    return _round_doubles(cells.select("c2", F.explode("_cells").alias("fold", "cell"), F.col("_all.s").alias("s_all"), F.col("_all.n").alias("n_all"))
+                          .select("c2", "fold", F.col("cell.s").alias("s"), F.col("cell.n").alias("n"), "s_all", "n_all"))
+
+
+ORACLE["category_cells"] = FX.with_views(
+    "SELECT c2, fold, s, n, sum(s) OVER (PARTITION BY c2) AS s_all, CAST(sum(n) OVER (PARTITION BY c2) AS BIGINT) AS n_all FROM ("
+    "SELECT c2, fold, sum(CAST(y AS DOUBLE)) AS s, count(*) AS n FROM _f WHERE c2 IS NOT NULL GROUP BY c2, fold) z", "obs_events", extra=TRAIN_CTES)
+
+
+@q("stack_rows")
+def stack_rows(spark, sf):
+    """Rows and classes that the stack scores in each fold, and the test rows it averages."""
+    lf = train_folds(spark, sf).select("id", "y", "fold")
+    p = M.stack(_fixture_oof(spark, sf), lf, MODELS, "raw", seeds=SEEDS)
+    return p.join(lf.select("id", "y"), "id", "left").groupBy("split", "fold").agg(
+        F.count("score").alias("n"), F.count_distinct("id").alias("n_ids"), F.count_if(F.col("y") == 1).alias("n_pos"),
+        F.count_if((F.col("score") >= 0) & (F.col("score") <= 1)).alias("n_probabilities"))
+
+
+ORACLE["stack_rows"] = FX.with_views(
+    "SELECT 'train' AS split, fold, count(*) AS n, count(DISTINCT id) AS n_ids, count(*) FILTER (WHERE y = 1) AS n_pos, "
+    "count(*) AS n_probabilities FROM _f GROUP BY fold UNION ALL "
+    "SELECT 'test', NULL, count(*), count(DISTINCT id), 0, count(*) FROM obs_events WHERE split = 'test'", "obs_events", extra=TRAIN_CTES)
+
+
+def _holes(df):
+    """Labels, scores and bin values missing on fixed rows; a BIGINT score above 2^53."""
+    return df.select("id", F.when(F.col("id") % 5 != 1, F.col("y")).alias("y"), F.when(F.col("id") % 7 != 2, F.col("x1")).alias("x1"),
+                     F.when(F.col("id") % 7 != 2, F.lit(2 ** 53) + F.col("id") % 1000).alias("big"))
+
+
+_HOLES_SQL = ("SELECT id, CASE WHEN id % 5 <> 1 THEN y END AS y, CASE WHEN id % 7 <> 2 THEN x1 END AS x1, "
+              "CASE WHEN id % 7 <> 2 THEN 9007199254740992 + id % 1000 END AS big FROM obs_events")
+
+
+@q("null_safe_auc")
+def null_safe_auc(spark, sf):
+    """A14 over rows with NULL labels and NULL scores, by an integer score that no double holds."""
+    return _round_doubles(A.auc(_holes(FX.obs_events(spark, sf)), "big"))
+
+
+ORACLE["null_safe_auc"] = FX.with_views(
+    "SELECT " + sql_r6("sum(CASE WHEN y = 1 THEN below + same / 2.0 END) / (max(p) * max(n))")
+    + " AS auc, CAST(max(p) AS BIGINT) AS n_pos, CAST(max(n) AS BIGINT) AS n_neg FROM ("
+    "SELECT y, coalesce(sum(1 - y) OVER (ORDER BY big RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, "
+    "sum(1 - y) OVER (PARTITION BY big) AS same, sum(y) OVER () AS p, sum(1 - y) OVER () AS n FROM _h "
+    "WHERE y IS NOT NULL AND big IS NOT NULL) z", "obs_events", extra=[("_h", _HOLES_SQL)])
+
+
+@q("big_integer_rank")
+def big_integer_rank(spark, sf):
+    """W1/W8 in the score's own type."""
+    return _round_doubles(R.average_rank(_holes(FX.obs_events(spark, sf)).select("id", "big"), "big", out="r", pct="r01"))
+
+
+ORACLE["big_integer_rank"] = FX.with_views(
+    "SELECT id, big, CASE WHEN big IS NOT NULL THEN r END AS r, CASE WHEN big IS NOT NULL THEN " + sql_r6("r / n") + " END AS r01 FROM ("
+    "SELECT id, big, rank() OVER (ORDER BY big NULLS LAST) + (count(*) OVER (PARTITION BY big) - 1) / 2.0 AS r, "
+    "count(big) OVER () AS n FROM _h) z", "obs_events", extra=[("_h", _HOLES_SQL)])
+
+
+@q("null_safe_bins")
+def null_safe_bins(spark, sf):
+    """W5 and P19 with NULL values: no bin, no score."""
+    df = _holes(FX.obs_events(spark, sf))
+    return _round_doubles(B.cut_width(df, "x1", 8, "bin").select("id", "bin", X.clip(F.col("x1") / 10, 0.1, 0.9).alias("clipped")))
+
+
+ORACLE["null_safe_bins"] = FX.with_views(
+    "SELECT id, CAST(CASE WHEN x1 IS NULL THEN NULL WHEN x1 <= lo THEN 0 ELSE ceil((x1 - lo) / ((hi - lo) / 8.0)) - 1 END AS BIGINT) AS bin, "
+    + sql_r6("CASE WHEN x1 IS NULL THEN NULL WHEN x1 / 10 < 0.1 THEN 0.1 WHEN x1 / 10 > 0.9 THEN 0.9 ELSE x1 / 10 END")
+    + " AS clipped FROM _h, (SELECT min(x1) AS lo, max(x1) AS hi FROM _h) m", "obs_events", extra=[("_h", _HOLES_SQL)])
+
+
+@q("wide_category_codes")
+def wide_category_codes(spark, sf):
+    """P20 on a category of more than 256 levels."""
+    o = FX.obs_events(spark, sf).select("id", "split", (F.col("id") % 701).cast("string").alias("wide"))
+    return EN.category_codes(o.where("split = 'train'"), o, "wide").select("id", "wide", F.col("wide_code").cast("long").alias("wide_code"))
+
+
+ORACLE["wide_category_codes"] = FX.with_views(
+    "SELECT o.id, o.wide, CAST(coalesce(c.code, (SELECT count(*) FROM _c)) AS BIGINT) AS wide_code FROM _o o LEFT JOIN _c c ON o.wide = c.wide",
+    "obs_events", extra=[("_o", "SELECT id, split, CAST(id % 701 AS VARCHAR) AS wide FROM obs_events"),
+                         ("_c", "SELECT wide, row_number() OVER (ORDER BY wide) - 1 AS code FROM (SELECT DISTINCT wide FROM _o WHERE split = 'train') z")])

@@ -78,31 +78,23 @@ def test_simplex_grid():
 def test_rank_selection_quantiles_equal_percentile(spark, ev, col):
     fr = [i / 10 for i in range(11)]
     exact = ev.agg(F.percentile(col, F.array(*[F.lit(f) for f in fr]))).first()[0]
-    got = B.rank_select_quantiles(ev, col, fr)
+    got = B.quantiles(ev, col, fr).first()["q"]
     assert np.allclose(got, exact, rtol=0, atol=1e-9)
 
 
-def test_qcut_rank_method_equals_percentile_method(spark, ev):
-    a = B.qcut(ev, "x1", 10, out="b").select("id", "b")
-    edges = B.quantile_edges(ev, "x1", 10, method="rank")
-    b = ev.withColumn("b2", B.qcut_expr("x1", edges, 10)).select("id", "b2")
-    assert a.join(b, "id").where(~F.col("b").eqNullSafe(F.col("b2"))).count() == 0
-
-
-def test_large_column_paths_agree(spark, ev, monkeypatch):
-    """With the size bound lowered, summary and per-bin profiles take the
-    rank-selection path and give the same numbers."""
-    from foldwise.operators import profile as P
-    from foldwise.operators import ranks as R
-    small = P.summary(ev, ["value", "x3"]).toPandas().sort_values("column_name").reset_index(drop=True)
-    prof = B.conditional_profile(ev, "value", [0.0, 100.0, 250.0, 500.0], "s_b", 4, per_bin=True).toPandas()
-    monkeypatch.setattr(R, "PLAIN_MAX", 50)
-    big = P.summary(ev, ["value", "x3"]).toPandas().sort_values("column_name").reset_index(drop=True)
-    prof2 = B.conditional_profile(ev, "value", [0.0, 100.0, 250.0, 500.0], "s_b", 4, per_bin=True).toPandas()
-    assert np.allclose(small[["p25", "p50", "p75"]].values, big[["p25", "p50", "p75"]].values)
-    key = ["value_bin", "s_b_q"]
-    m = prof.merge(prof2, on=key, suffixes=("", "_2"))
-    assert len(m) == len(prof) == len(prof2) and (m["n"] == m["n_2"]).all()
+def test_keyed_quantiles_equal_percentile_by_group(spark, ev):
+    fr = [0.0, 0.25, 0.5, 0.9, 1.0]
+    exact = {r.c1: r.q for r in ev.groupBy("c1").agg(F.percentile("x1", F.array(*[F.lit(f) for f in fr])).alias("q")).collect()}
+    got = {r.c1: r.q for r in B.quantiles(ev, "x1", fr, ["c1"]).collect()}
+    assert got.keys() == exact.keys()
+    assert all(np.allclose(got[k], exact[k], rtol=0, atol=1e-9) for k in got)
+
+
+def test_null_and_constant_columns_have_no_equal_width_bin(spark):
+    df = spark.createDataFrame([(0.0, 5.0), (None, 5.0), (10.0, 5.0), (4.0, None)], "x double, c double")
+    assert [r.x_w4 for r in B.cut_width(df, "x", 4).collect()] == [0, None, 3, 1]
+    assert {r.c_w4 for r in B.cut_width(df, "c", 4).collect()} == {None}
+
 
 
 def test_missing_drift_with_an_empty_split(spark):

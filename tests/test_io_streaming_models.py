@@ -104,11 +104,62 @@ def test_recommended_conf_scales_with_input():
     from foldwise.session import recommended_conf
     small, big = recommended_conf(10 ** 9), recommended_conf(100 * 10 ** 12)
     assert int(small["spark.sql.shuffle.partitions"]) == 200
-    assert int(big["spark.sql.shuffle.partitions"]) == 200_000
+    assert int(big["spark.sql.shuffle.partitions"]) == 372_530
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
 
 
 def test_reference_model_names_map_to_spark_families(spark):
     from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
     assert isinstance(M._classifier("lgbm", 3, {"maxIter": 2}, 1, None), GBTClassifier)
-    assert isinstance(M._classifier("et", 3, {"numTrees": 2}, 1, None), RandomForestClassifier)
+    assert isinstance(M._classifier("extra_trees", 3, {"numTrees": 2}, 1, None), RandomForestClassifier)
+
+
+def test_fold_medians_are_exact(spark):
+    import numpy as np
+    df = spark.range(2001).select(F.col("id"), (F.col("id") % 5).cast("int").alias("fold"), F.when(F.col("id") % 3 > 0, F.col("id") * 1.0).alias("a"),
+                                  F.lit(None).cast("double").alias("none"), (F.col("id") % 2).alias("y"))
+    pdf = df.toPandas()
+    got = {(r.column_name, r.fold): r["median"] for r in M.fold_medians(df, ["a", "none"], range(5)).collect()}
+    assert got == {("a", k): float(np.nanmedian(pdf[pdf.fold != k]["a"].astype(float))) for k in range(5)}
+
+
+@pytest.mark.parametrize("model_type,params", [("gbt", {"maxIter": 3, "maxDepth": 3}), ("lr", {}), ("extra_trees", {"numTrees": 3, "maxDepth": 3})])
+def test_wide_categories_train_and_score(spark, model_type, params):
+    """A category of 400 levels, unseen levels, NULL categories and labels."""
+    df = spark.range(1200).select("id", F.when(F.col("id") % 11 > 0, F.concat(F.lit("c"), (F.col("id") % 400).cast("string"))).alias("wide"),
+                                  F.when(F.col("id") % 7 > 0, (F.col("id") * 37 % 101) * 1.0).alias("x"),
+                                  F.when(F.col("id") != 5, (F.col("id") % 400 < 150).cast("int")).alias("y"), (F.col("id") % 3).cast("int").alias("fold"))
+    test = spark.createDataFrame([(5000, "never seen", 3.0), (5001, None, None), (5002, "c7", 1.0), (5002, "c7", 1.0)], "id long, wide string, x double")
+    p = M.cv_train(df, ["x"], ["wide"], [], model_type, params, test=test)
+    assert p.where("split = 'train'").count() == 1200 and p.where("split = 'test'").count() == 4
+    assert p.where("score is null or score < 0 or score > 1").count() == 0
+
+
+def test_target_encoding_leaves_out_both_folds(spark):
+    df = spark.createDataFrame([(i, "a" if i % 2 else "b", i % 3, int(i % 5 == 0), 1.0) for i in range(90)], "id long, c string, fold int, y int, x double")
+    feats = M.FoldFeatures(df, ["x"], ["c"], [], "lr", "id", "y", "fold")
+    pdf = df.toPandas()
+    data = feats.attach(df)
+    for training in (True, False):
+        for r in data.select("id", "c", "fold", *feats.columns(0, training)).collect():
+            if (r.fold != 0) != training:
+                continue
+            away = {0, r.fold} if training else {0}
+            own = pdf[(pdf.c == r.c) & ~pdf.fold.isin(away)]
+            assert abs(r._x_c_target - own.y.mean()) < 1e-12
+            assert abs(r._x_c_freq - len(pdf[(pdf.c == r.c) & (pdf.fold != 0)]) / len(pdf[pdf.fold != 0])) < 1e-12
+
+
+def test_clip_and_logit_keep_null(spark):
+    from foldwise.functions import exprs as X
+    rows = spark.createDataFrame([(None,), (-1.0,), (0.5,), (2.0,)], "s double").select(X.clip("s").alias("c")).collect()
+    assert [r.c for r in rows] == [None, 0.0, 0.5, 1.0]
+
+
+def test_stack_keeps_seeds_apart(spark):
+    ev = FX.obs_events(spark, SF_SMALL)
+    tr = FO.stratified_folds(ev.where("split = 'train'"), k=3)
+    oof = FX.preds(spark, SF_SMALL)
+    p = M.stack(oof, tr.select("id", "y", "fold"), ["m_a", "m_b"], seeds=[42, 100])
+    assert p.where("split = 'train'").count() == tr.count()
+    assert p.where("split = 'test'").count() == ev.where("split = 'test'").count()

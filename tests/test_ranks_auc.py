@@ -79,35 +79,49 @@ def test_rank_average_exact_ties(spark):
     assert out[0] == out[1]  # (1/3 + 2/3)/2 on both rows: an exact tie
 
 
-@pytest.mark.parametrize("limit", [3000, 100])
-def test_all_three_rank_plans_agree(spark, skewed, monkeypatch, limit):
-    """limit 3000: tie-table window plan; limit 100: bucketed plan (auto)."""
-    direct = R.average_rank(skewed, "s", ["c1"], out="r").select("id", "r")
-    monkeypatch.setattr(R, "PLAIN_MAX", limit)
-    other = R.average_rank(skewed, "s", ["c1"], out="r2").select("id", "r2")
-    j = direct.join(other, "id")
+@pytest.mark.parametrize("buckets", [1, 3, 200])
+def test_the_number_of_ranges_does_not_change_ranks(spark, skewed, buckets):
+    one = R.average_rank(skewed, "s", ["c1"], out="r").select("id", "r")
+    other = R.average_rank(skewed, "s", ["c1"], out="r2", buckets=buckets).select("id", "r2")
+    j = one.join(other, "id")
     assert j.count() == skewed.count()
     assert j.where(~F.col("r").eqNullSafe(F.col("r2"))).count() == 0
 
 
-def test_hybrid_plan_mixed_group_sizes(spark, monkeypatch):
-    """One big group gets range buckets, small groups stay in bucket 0; ranks and
-    AUC still equal pandas / brute force."""
+def test_mixed_group_sizes(spark):
+    """One big group is cut over several ranges, small groups share one; ranks and AUC equal
+    pandas / brute force."""
     df = spark.range(6000).select(
         "id",
         F.when(F.col("id") < 4000, "big").when(F.col("id") < 5000, "small1").otherwise("small2").alias("g"),
         F.when(F.col("id") < 4000, (F.col("id") * 7 % 3001).cast("double"))
          .when(F.col("id") < 5000, (F.col("id") % 50).cast("double")).otherwise(F.lit(3.0)).alias("s"),
         (F.col("id") * 7919 % 5 < 2).cast("int").alias("y"))
-    monkeypatch.setattr(R, "PLAIN_MAX", 1000)
-    got = R.average_rank(df, "s", ["g"], out="r").select("id", "r").toPandas()
+    got = R.average_rank(df, "s", ["g"], out="r", buckets=16).select("id", "r").toPandas()
     pdf = df.toPandas()
     pdf["exp"] = pdf.groupby("g")["s"].rank(method="average")
     m = got.merge(pdf, on="id")
     assert np.allclose(m["r"], m["exp"])
-    res = {r.g: r.auc for r in A.auc(df, "s", keys=["g"]).collect()}
+    res = {r.g: r.auc for r in A.auc(df, "s", keys=["g"], buckets=16).collect()}
     for g, part in pdf.groupby("g"):
         assert res[g] == pytest.approx(_brute_auc(part["s"], part["y"]), abs=1e-12)
-    tb = R.bucketize(R.tie_table(df, ["g"], "s"), ["g"], "s", 16, small_max=1000)
+    tb = R.range_buckets(R.tie_table(df, ["g"], "s"), ["g"], "s", 16)
     nb = {r.g: r.nb for r in tb.groupBy("g").agg(F.countDistinct("_bkt").alias("nb")).collect()}
-    assert nb["big"] > 1 and nb["small1"] == 1 and nb["small2"] == 1
+    assert nb["big"] > 8 and nb["small1"] <= 2 and nb["small2"] == 1
+
+
+def test_scores_keep_their_type(spark):
+    """Integers that are one double, and decimals wider than one, have ranks of their own."""
+    for kind, base in (("bigint", 2 ** 53), ("decimal(30,0)", 10 ** 25)):
+        df = spark.createDataFrame([(i, str(base + i)) for i in range(4)], "id int, t string").select("id", F.col("t").cast(kind).alias("s"))
+        for buckets in (None, 4):
+            got = {r.id: r.r for r in R.average_rank(df, "s", out="r", buckets=buckets).collect()}
+            assert got == {0: 1.0, 1: 2.0, 2: 3.0, 3: 4.0}
+
+
+def test_rows_without_a_label_or_score_take_no_part(spark):
+    rows = [(1, 0.9), (0, 0.8), (1, 0.7), (0, 0.1), (None, 0.95), (None, 0.05), (1, None), (0, None)]
+    df = spark.createDataFrame(rows, "y int, s double")
+    r = A.auc(df, "s").first()
+    assert (r.auc, r.n_pos, r.n_neg) == (0.75, 2, 2)
+    assert A.log_loss_by(df, "s", None).first().n == 4
