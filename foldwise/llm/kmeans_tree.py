@@ -107,20 +107,33 @@ def _matrix(column, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def top(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def top(x: np.ndarray, ids: np.ndarray, rough: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(places in x, scores) of the k vectors of largest inner product with q, ties to smaller
-    ids.  Rough products choose, with room for their rounding; exact ones decide."""
-    rough = x @ q
+    ids.  Rough products (-inf: no candidate) choose, with room for their rounding;
+    exact ones decide."""
     if len(x) > k:
         bound = np.partition(rough, len(x) - k)[len(x) - k]
-        at = np.flatnonzero(rough >= bound - 1e-9 * (1 + abs(bound)))
+        at = np.flatnonzero((rough >= bound - 1e-9 * (1 + abs(bound))) & (rough > -np.inf)) if bound > -np.inf else np.flatnonzero(rough > -np.inf)
     else:
-        at = np.arange(len(x))
+        at = np.flatnonzero(rough > -np.inf)
     score = (x[at] * q).sum(1)
     order = np.lexsort((ids[at], -score))[:k]
     return at[order], score[order]
 
 
+def pack(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each leaf, blocks of each group): neighbouring leaves share a group of about
+    ``most`` vectors; a larger leaf is a group of its own, cut into blocks."""
+    group, held, g, blocks = np.zeros(len(sizes), np.int64), 0, -1, []
+    for i, n in enumerate(sizes.tolist()):
+        if g < 0 or held + n > most:
+            g, held = g + 1, 0
+            blocks.append(max(1, -(-n // most)))
+        group[i] = g
+        held += n
+    return group, np.array(blocks)
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
     """((id, v) of the vectors that take part, their dimension).  Out stay rows with a null id,
     null and zero vectors, those with a null or non-finite component, and those whose
@@ -140,7 +153,7 @@ def _share(rows: DataFrame, n: int, most: int, salt: str) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(1 << 30)) < int(min(1.0, most / max(n, 1)) * (1 << 30)))
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.97,
+def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.95,
            sample: int = 50_000, calibrate: int = 100, leaf_size: int = 256, block: int = 8192,
            queries_per_group: int = 4096, seed: int = 42) -> DataFrame:
     """The k nearest rows found for each query: (query_id, rank, id, score), by inner product in
@@ -154,9 +167,11 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
 
     The tree is fitted on about ``sample`` vectors, and the number of visits on about
     ``calibrate`` queries (documented bounds); every vector is placed and may be found.
-    Leaves are cut into blocks of about ``block`` vectors, so one leaf, or one vector that
-    is very common, is shared out over tasks; a task keeps only k neighbours of each
-    query of a group.  The tree (about sample / leaf_size * 1.2 nodes) is broadcast."""
+    Neighbouring leaves go to one group of about ``block`` vectors, and a larger leaf is cut into
+    blocks, so one leaf, or one vector that is very common, is shared out over tasks.  A
+    query goes to a group once, with the leaves that it visits there; a task keeps only k
+    neighbours of each of ``queries_per_group`` queries at a time.  The tree (about
+    sample / leaf_size * 1.2 nodes) is broadcast."""
     spark = vectors.sparkSession
     rows, dim = usable(vectors, id_col, vec_col)
     id_type = rows.schema["id"].dataType
@@ -178,92 +193,100 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
 
     placed = materialize(rows.mapInArrow(place, placed_type))
     # by leaf, bounded by the tree
-    sizes = {r.leaf: r.n for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_blocks = np.array([max(1, -(-sizes.get(i, 0) // block)) for i in range(n_leaves)])
-    spans = spark.createDataFrame([(i, int(b)) for i, b in enumerate(n_blocks)], "leaf int, n_blocks int")
+    sizes = np.zeros(n_leaves, np.int64)
+    for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r.leaf] = r.n
+    group, n_blocks = pack(sizes, block)
+    spans = spark.createDataFrame([(i, int(g), int(n_blocks[g])) for i, g in enumerate(group)], "leaf int, g int, n_blocks int")
     blocks = (placed.join(F.broadcast(spans), "leaf")
-              .select("leaf", F.pmod(F.xxhash64(F.lit("block"), "id"), "n_blocks").cast("int").alias("b"), "id", "v"))
+              .select("g", F.pmod(F.xxhash64(F.lit("block"), "id"), "n_blocks").cast("int").alias("b"), "id", "v", "leaf",
+                      F.lit(None).cast("array<int>").alias("visits")))
     queries = materialize(placed.where(is_query).groupBy("id").agg(F.min("v").alias("v")))
     n_queries = queries.count()
 
-    def near(query_leaves: DataFrame) -> DataFrame:
-        """Best k of each query within each task's blocks; (id, v, leaf) rows say which to visit."""
-        visits = (query_leaves.join(F.broadcast(spans), "leaf").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-                  .select("leaf", F.col("b").cast("int").alias("b"), "id", "v", F.lit(True).alias("query")))
-        both = blocks.select("leaf", "b", "id", "v", F.lit(False).alias("query")).unionByName(visits)
-        both = both.repartition("leaf", "b").sortWithinPartitions("leaf", "b", "query")
-
-        def scan(batches):
-            here, xs, ids, seen = None, [], [], None
-            best: dict = {}
-            for b in batches:
-                leaf, part = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                key, query = leaf.astype(np.int64) << 32 | part, b.column(4).to_numpy(zero_copy_only=False)
-                names, v = b.column(2).to_pylist(), _matrix(b.column(3), dim)
-                starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (query[1:] != query[:-1])]) if len(key) else key
-                for s, e in zip(starts, [*starts[1:], len(key)]):
-                    if key[s] != here:
-                        here, xs, ids, seen = key[s], [], [], None
-                    if not query[s]:
-                        xs.append(v[s:e])
-                        ids += names[s:e]
-                        continue
-                    if seen is None and ids:
-                        seen = (np.concatenate(xs), np.array(ids))
-                    for q, vec in zip(names[s:e], v[s:e]) if ids else []:
-                        x, own = seen
-                        at, score = top(x, own, vec, k + 1)
-                        keep = own[at] != q
-                        if not keep.all() or len(at) <= k:
-                            if (~keep).sum() > 1:  # several vectors share the query's id
-                                others = np.flatnonzero(own != q)
-                                at, score = top(x[others], own[others], vec, k)
-                                at = others[at]
-                            else:
-                                at, score = at[keep], score[keep]
-                        got = best.get(q)
-                        new_ids, new = own[at[:k]], score[:k]
-                        if got is not None:
-                            new_ids, new = np.concatenate([got[0], new_ids]), np.concatenate([got[1], new])
-                            order = np.lexsort((new_ids, -new))[:k]
-                            new_ids, new = new_ids[order], new[order]
-                        best[q] = (new_ids, new)
-                        if len(best) >= queries_per_group:
-                            yield batch(best)
-                            best = {}
-            yield batch(best)
-
-        def batch(best):
-            q = [x for x, (i, _) in best.items() for _ in range(len(i))]
-            ids = [y for i, _ in best.values() for y in i.tolist()]
-            score = np.concatenate([s for _, s in best.values()]) if best else np.zeros(0)
-            from pyspark.sql.pandas.types import to_arrow_type
-            kind = to_arrow_type(id_type)
-            return pa.RecordBatch.from_arrays([pa.array(q, kind), pa.array(ids, kind), pa.array(score)], names=["query_id", "id", "score"])
-
+    def near(asked: DataFrame, leaves: int) -> DataFrame:
+        """Best k of each query in the first ``leaves`` leaves of its walk."""
+        both = blocks.unionByName(walked(asked, leaves)).repartition("g", "b").sortWithinPartitions("g", "b", F.col("visits").isNotNull())
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
         return both.mapInArrow(scan, found).withColumn("rank", rank).where(F.col("rank") <= k)
 
-    def visits(leaves: int):
-        kind = T.StructType([*queries.schema.fields, T.StructField("leaf", T.IntegerType())])
+    def walked(asked: DataFrame, leaves: int) -> DataFrame:
+        """A row for each query and block to visit, with the leaves wanted there."""
+        kind = T.StructType([*queries.schema.fields, T.StructField("g", T.IntegerType()), T.StructField("n_blocks", T.IntegerType()),
+                             T.StructField("visits", T.ArrayType(T.IntegerType()))])
 
         def walk(batches):
-            for b in batches:
-                names, v = b.column(0), _matrix(b.column(1), dim)
-                order = []
-                for q in v:
-                    bins = tree.value.best_bins(q)
-                    order += [x for x, _ in zip(bins, range(leaves))]
-                per = min(leaves, n_leaves)
-                at = pa.array(np.repeat(np.arange(len(v)), per))
-                yield pa.RecordBatch.from_arrays([names.take(at), b.column(1).take(at), pa.array(order, pa.int32())], names=["id", "v", "leaf"])
-
-        return queries.mapInArrow(walk, kind)
+            for batch in batches:
+                rows, gs, wanted = [], [], []
+                for i, q in enumerate(_matrix(batch.column(1), dim)):
+                    order = np.fromiter((x for x, _ in zip(tree.value.best_bins(q), range(leaves))), np.int64)
+                    order = order[np.argsort(group[order], kind="stable")]
+                    at = group[order]
+                    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                    rows += [i] * len(starts)
+                    gs += at[starts].tolist()
+                    wanted += [x.tolist() for x in np.split(order, starts[1:])]
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(gs, pa.int32()),
+                     pa.array(n_blocks[np.array(gs, np.int64)], pa.int32()), pa.array(wanted, pa.list_(pa.int32()))], names=kind.names)
+
+        return (asked.mapInArrow(walk, kind).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+                .select("g", F.col("b").cast("int").alias("b"), "id", "v", F.lit(None).cast("int").alias("leaf"), "visits"))
+
+    def scan(batches):
+        here, parts, seen = None, [], None
+        best: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g, b = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            key, query = g << 32 | b, batch.column(5).is_valid().to_numpy(zero_copy_only=False)
+            names, v = batch.column(2).to_pylist(), _matrix(batch.column(3), dim)
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (query[1:] != query[:-1])])
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
+                if key[s] != here:
+                    here, parts, seen = key[s], [], None
+                if not query[s]:
+                    parts.append((v[s:e], names[s:e], batch.column(4).slice(s, e - s).to_numpy(zero_copy_only=False)))
+                    continue
+                if not parts:
+                    continue
+                if seen is None:
+                    seen = (np.concatenate([x for x, _, _ in parts]), np.array([i for _, ids, _ in parts for i in ids]),
+                            np.concatenate([x for _, _, x in parts]).astype(np.int64))
+                x, ids, leaf = seen
+                for at in range(s, e, 256):
+                    to = min(e, at + 256)
+                    rough = v[at:to] @ x.T
+                    for j, wanted in enumerate(batch.column(5).slice(at, to - at).to_pylist()):
+                        visit = np.zeros(n_leaves, bool)
+                        visit[wanted] = True
+                        q = names[at + j]
+                        places, score = top(x, ids, np.where(visit[leaf] & (ids != q), rough[j], -np.inf), v[at + j], k)
+                        near_ids = ids[places]
+                        if q in best:
+                            near_ids, score = np.concatenate([best[q][0], near_ids]), np.concatenate([best[q][1], score])
+                            order = np.lexsort((near_ids, -score))[:k]
+                            near_ids, score = near_ids[order], score[order]
+                        best[q] = (near_ids, score)
+                    if len(best) >= queries_per_group:
+                        yield found_rows(best)
+                        best = {}
+        yield found_rows(best)
+
+    def found_rows(best):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kind = to_arrow_type(id_type)
+        q = [x for x, (i, _) in best.items() for _ in range(len(i))]
+        ids = [y for i, _ in best.values() for y in i.tolist()]
+        score = np.concatenate([s for _, s in best.values()]) if best else np.zeros(0)
+        return pa.RecordBatch.from_arrays([pa.array(q, kind), pa.array(ids, kind), pa.array(score)], names=["query_id", "id", "score"])
 
     # exact neighbours of a sample of the queries, against all blocks
     some = _share(queries, n_queries, calibrate, "calibrate")
-    everywhere = some.withColumn("leaf", F.explode(F.sequence(F.lit(0), F.lit(n_leaves - 1))))
-    truth = near(everywhere).select("query_id", F.col("id").alias("i"))
+    truth = near(some, n_leaves).select("query_id", F.col("id").alias("i"))
     truth = (truth.join(placed.select(F.col("id").alias("i"), "leaf"), "i").groupBy("query_id").agg(F.collect_list("leaf").alias("leaves"))
              .join(some.select(F.col("id").alias("query_id"), "v"), "query_id").collect())
     hits, total = np.zeros(n_leaves + 1, np.int64), 0
@@ -273,4 +296,4 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
         total += len(r["leaves"])
     reached = np.cumsum(hits)
     width = int(np.searchsorted(reached, np.ceil(recall * total))) + 1 if total else n_leaves
-    return (near(visits(min(width, n_leaves))).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score"))
+    return (near(queries, min(width, n_leaves)).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score"))
