@@ -7,7 +7,7 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
-from foldwise.llm.common import new_dir, sf_table
+from foldwise.llm.common import new_dir, sf_table, ship
 from foldwise.llm.decontam import clean
 from foldwise.llm.langid import known_language, train
 from foldwise.llm.mixing import mix
@@ -50,6 +50,7 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """The last stage's rows for ``documents`` of ``sf_dir``."""
+    ship(spark)
     docs = sf_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         folder = new_dir(spark, name)

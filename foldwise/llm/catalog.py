@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import functools
+
 from foldwise.llm import q_decontam, q_dedup, q_lang, q_licenses, q_mix, q_pages, q_tokens, q_vectors
+from foldwise.llm.common import ship
 
 MODULES = (q_lang, q_mix, q_pages, q_dedup, q_decontam, q_tokens, q_vectors, q_licenses)
 
 
+def _shipped(query):
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+    return run
+
+
 def queries():
-    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
+    return {k: _shipped(v) for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql():

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foldwise.session import checkpoint_dir, materialize
 
-__all__ = ["ascii_lower", "materialize", "new_dir", "open_fs", "row_key", "sf_table", "token_count"]
+__all__ = ["ascii_lower", "materialize", "new_dir", "open_fs", "row_key", "sf_table", "ship", "token_count"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -19,6 +22,18 @@ def sf_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context, as ``--py-files`` would:
+    the functions that run there import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_foldwise_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="foldwise-")  # on the driver; Spark serves the file from there
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "foldwise"), "zip", os.path.dirname(package), os.path.basename(package)))
+    sc._foldwise_shipped = True
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder name (URI) below ``spark.checkpoint.dir``, the storage that the
     driver and all executors share."""
