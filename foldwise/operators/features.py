@@ -16,26 +16,6 @@ from pyspark.sql import functions as F
 
 from foldwise.functions import exprs as X
 
-# Names of the domain features of the reference's canonical
-# 44-column set, in its order, with the role formula each one uses
-# (``domain_spec`` builds exactly these).
-DOMAIN_FEATURES = [
-    ("social_media_share", "social / daily"),
-    ("gaming_share", "gaming / daily"),
-    ("work_study_share", "work / daily"),
-    ("entertainment_share", "(social + gaming) / daily"),
-    ("weekend_weekday_ratio", "weekend / daily"),
-    ("weekend_extra_screen", "weekend - daily"),
-    ("screen_sleep_ratio", "daily / sleep"),
-    ("sleep_awake_share", "sleep / (sleep + daily)"),
-    ("notifications_per_screen_hour", "notif / daily"),
-    ("app_opens_per_screen_hour", "opens / daily"),
-    ("notifications_per_app_open", "notif / opens"),
-    ("engagement_intensity", "(social + gaming + work) / daily"),
-    ("work_sleep_ratio", "work / sleep"),
-    ("app_opens_per_notification", "opens / notif"),
-    ("total_active_hours", "social + gaming + work"),
-]
 RESIDUAL_FEATURE = "other_screen_time"
 ROLES = ("daily", "social", "gaming", "work", "weekend", "sleep", "notif", "opens")
 
@@ -97,7 +77,9 @@ def missing_count_spec(numeric: Sequence[str], categorical: Sequence[str]) -> Fe
 
 
 def domain_spec(roles: Mapping[str, str]) -> FeatureSpec:
-    """The 15 ratio/interaction features (P6) on a role -> column mapping."""
+    """The 15 ratio/interaction features (P6) on a role -> column mapping.
+
+    Fixed values: the names and formulas of the canonical 44-column set, in its order."""
     r = {k: F.col(v) for k, v in roles.items()}
     d, s, g, w = r["daily"], r["social"], r["gaming"], r["work"]
     spec = FeatureSpec()
@@ -268,7 +250,24 @@ def _bundle_all3(r):
     return FeatureSpec().sum_of("all3_screen", parts).add("all3_screen_isna", X.sum_of(parts).isNull().cast("int"))
 
 
-BUNDLES = {"total_screen": _bundle_total_screen, "sm_weekend": _bundle_sm_weekend, "all3": _bundle_all3}
+# The high-rate ages of the reference's age bundle.
+AGE_HIGH_BAND = (22, 24, 26, 28, 32)
+
+
+def _bundle_age(r):
+    age = F.col(r["age"])
+    return FeatureSpec().add("age_cat", age.cast("string")).add("age_even", X.is_even(age)).add(
+        "age_high_band", X.is_member(age, AGE_HIGH_BAND))
+
+
+def _bundle_both(r):
+    out = _bundle_total_screen(r)
+    out.items += _bundle_age(r).items
+    return out
+
+
+BUNDLES = {"total_screen": _bundle_total_screen, "sm_weekend": _bundle_sm_weekend, "all3": _bundle_all3,
+           "age": _bundle_age, "both": _bundle_both}
 
 
 def bundle(name: str, roles: Mapping[str, str]) -> FeatureSpec:

@@ -33,8 +33,9 @@ def stratified_folds(df: DataFrame, id_col: str = "id", y: str = "y", k: int = 5
     counts = lab.groupBy(y, "_hb").agg(F.count(F.lit(1)).alias("_c"))
     wo = Window.partitionBy(y).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(y, "_hb", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
-    # at most (#classes x 16^digits) rows: a proven bound, so the broadcast is safe
-    with_off = lab.join(F.broadcast(offs), [y, "_hb"], "inner")
+    # (#classes x 16^digits) rows: few for a binary label, many for many classes, so the
+    # join is left to adaptive execution, which broadcasts by measured size
+    with_off = lab.join(offs, [y, "_hb"], "inner")
     wr = Window.partitionBy(y, "_hb").orderBy("_h", id_col)
     fold = ((F.col("_off") + F.row_number().over(wr) - 1) % k).cast("int")
     res = with_off.withColumn(out, fold).drop("_h", "_hb", "_off")
@@ -60,7 +61,9 @@ def fold_leakage(df: DataFrame, features: Sequence[str], fold: str = "fold", spl
     together.  Partial aggregation collapses a hot duplicate inside each map task.
     """
     if hash_key:
-        key = F.sha2(F.to_json(F.struct(*[F.col(c) for c in features])), 256)
+        # + 0.0: -0.0 and 0.0 are one value, as they are for groupBy
+        real = {c for c, t in df.dtypes if t in ("double", "float")}
+        key = F.sha2(F.to_json(F.struct(*[(F.col(c) + F.lit(0.0)).alias(c) if c in real else F.col(c) for c in features])), 256)
         g = df.groupBy(key.alias("_key"))
     else:
         g = df.groupBy(*features)

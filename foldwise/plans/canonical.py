@@ -61,6 +61,6 @@ def canonical_run(train: DataFrame, test: DataFrame, numeric: Sequence[str], cat
     if out_dir:
         IO.write_predictions(allp.select(id_col, "score", "split", "seed", "model")
                              .withColumnRenamed(id_col, "id"), f"{out_dir}/predictions")
-        IO.write_scored_csv(ens.where(F.col("split") == "test"), f"{out_dir}/submission", id_col=id_col)
+        IO.write_scored_csv(ens.where(F.col("split") == "test"), f"{out_dir}/submission", y, id_col=id_col)
         IO.write_metrics(spark, metrics, f"{out_dir}/metrics")
     return metrics

@@ -295,8 +295,8 @@ def feature_bundles(spark, sf):
     """Named candidate bundles applied in one projection."""
     df = FX.obs_orders(spark, sf)
     spec = FE.FeatureSpec()
-    for name in FE.BUNDLES:
-        spec.items += FE.bundle(name, O_ROLES).items
+    for name in ("sm_weekend", "all3", "both"):  # "both" is "total_screen" and "age"
+        spec.items += FE.bundle(name, {**O_ROLES, "age": "n_lines"}).items
     out = spec.apply(df, keep=["id"])
     return out.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
@@ -306,4 +306,6 @@ ORACLE["feature_bundles"] = FX.with_views(
     "CAST((qty_total + price_max) IS NULL AS INTEGER) AS total_screen_isna, "
     + sql_r6("qty_a + price_max") + " AS sm_weekend, CAST((qty_a + price_max) IS NULL AS INTEGER) AS sm_weekend_isna, "
     + sql_r6("qty_total + qty_a + price_max") + " AS all3_screen, "
-    "CAST((qty_total + qty_a + price_max) IS NULL AS INTEGER) AS all3_screen_isna FROM obs_orders", "obs_orders")
+    "CAST((qty_total + qty_a + price_max) IS NULL AS INTEGER) AS all3_screen_isna, CAST(n_lines AS VARCHAR) AS age_cat, "
+    "CASE WHEN n_lines % 2 = 0 THEN 1 ELSE 0 END AS age_even, CASE WHEN n_lines IN (22, 24, 26, 28, 32) THEN 1 ELSE 0 END AS age_high_band "
+    "FROM obs_orders", "obs_orders")

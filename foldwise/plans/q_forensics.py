@@ -73,8 +73,7 @@ def constraint_sums(spark, sf):
 
 ORACLE["constraint_sums"] = _search_sql(SUMS, "obs_orders", ["obs_orders"], y="y")
 
-SUM3_COLS = ["n_lines", "qty_total", "qty_a", "qty_n", "qty_r"]
-SUMS3 = K.sum_candidates(SUM3_COLS, 3)
+SUMS3 = K.sum_candidates(O_NUM, 3)
 
 
 @q("constraint_sums3")
@@ -104,12 +103,12 @@ def constraint_crosscheck(spark, sf):
     """K4: constraints found on high-priority orders, re-checked on the others."""
     o = FX.obs_orders(spark, sf)
     first, second = o.where(F.col("c1").isin(HIGH)), o.where(~F.col("c1").isin(HIGH))
-    hits = K.search(first, PAIRS + K.sum_candidates(["qty_total", "qty_a", "qty_n", "qty_r"], 3), 500, EPS)
+    hits = K.search(first, PAIRS + SUMS3, 500, EPS)
     return _round_doubles(K.crosscheck(hits, second, EPS))
 
 
 def _crosscheck_sql():
-    cands = PAIRS + K.sum_candidates(["qty_total", "qty_a", "qty_n", "qty_r"], 3)
+    cands = PAIRS + SUMS3
     inlist = ", ".join(f"'{v}'" for v in HIGH)
     first = " UNION ALL ".join(_cand_sql(c, "_first") for c in cands)
     second = " UNION ALL ".join(_cand_sql(c, "_second") for c in cands)
@@ -158,10 +157,27 @@ def dup_rows(spark, sf):
 
 
 ORACLE["dup_rows"] = FX.with_views(
-    "SELECT c1, c2, x3, count(*) AS n, count(*) FILTER (WHERE split = 'train') AS n_train, "
+    "SELECT " + ", ".join(DUP_COLS) + ", count(*) AS n, count(*) FILTER (WHERE split = 'train') AS n_train, "
     "count(*) FILTER (WHERE split = 'test') AS n_test, "
     "min(" + " + ".join(f"CAST({c} IS NOT NULL AS INTEGER)" for c in DUP_COLS) + ") AS width "
-    "FROM obs_events GROUP BY c1, c2, x3 HAVING count(*) > 1", "obs_events")
+    "FROM obs_events GROUP BY " + ", ".join(DUP_COLS) + " HAVING count(*) > 1", "obs_events")
+
+DUP_NUM = ["value", "x1", "x2", "x3", "s_a", "s_b", "s_c"]
+
+
+@q("dup_rows_all")
+def dup_rows_all(spark, sf):
+    """D1 over all features; the continuous ones in steps of 100, or no two rows are alike."""
+    ev = FX.obs_events(spark, sf)
+    return D.duplicate_rows(ev.select("split", "c1", "c2", *[F.floor(F.col(c) / 100).alias(c) for c in DUP_NUM]), ["c1", "c2", *DUP_NUM])
+
+
+ORACLE["dup_rows_all"] = FX.with_views(
+    "SELECT " + ", ".join(["c1", "c2", *DUP_NUM]) + ", count(*) AS n, count(*) FILTER (WHERE split = 'train') AS n_train, "
+    "count(*) FILTER (WHERE split = 'test') AS n_test, "
+    "min(" + " + ".join(f"CAST({c} IS NOT NULL AS INTEGER)" for c in ["c1", "c2", *DUP_NUM]) + ") AS width "
+    "FROM _g GROUP BY " + ", ".join(["c1", "c2", *DUP_NUM]) + " HAVING count(*) > 1", "obs_events",
+    extra=[("_g", "SELECT split, c1, c2, " + ", ".join(f"CAST(floor({c} / 100) AS BIGINT) AS {c}" for c in DUP_NUM) + " FROM obs_events")])
 
 KS_COLS = ["value", "x1", "x2", "x3", "s_a"]
 

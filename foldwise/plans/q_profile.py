@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldwise.operators import binning as B
+from foldwise.operators import features as FE
 from foldwise.operators import profile as P
 from foldwise.plans.common import r6, sql_qcut, sql_r6
 from foldwise.plans.q_features import EVENT_TYPES
@@ -97,7 +98,8 @@ ORACLE["hi_lo_diff"] = ev(
 
 @q("pivot_rate")
 def pivot_rate(spark, sf):
-    return _round_doubles(P.pivot_mean(FX.obs_events(spark, sf), "c2", "c1", EVENT_TYPES, "y"))
+    df = FX.obs_events(spark, sf)
+    return _round_doubles(P.pivot_mean(df, "c2", "c1", FE.fitted_levels(df, "c1"), "y"))  # a new type is a new column
 
 
 ORACLE["pivot_rate"] = ev(

@@ -69,9 +69,10 @@ def read_predictions(spark: SparkSession, path: str, split: str | None = None, s
     return df
 
 
-def write_scored_csv(df: DataFrame, path: str, id_col: str = "id", score: str = "score",
-                     target: str = "addicted_label", mode: str = "overwrite") -> None:
-    """Id, clipped probability; header on every part file."""
+def write_scored_csv(df: DataFrame, path: str, target: str, id_col: str = "id", score: str = "score",
+                     mode: str = "overwrite") -> None:
+    """Id, clipped probability named ``target``; header on every part file.  A missing score
+    is an empty field."""
     (df.select(F.col(id_col).alias("id"), X.clip(score).alias(target))
      .write.mode(mode).option("header", True).csv(path))
 

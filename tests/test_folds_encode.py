@@ -67,3 +67,17 @@ def test_frequency_and_test_encoding_defaults(spark):
     assert f["a"] == pytest.approx(2 / 3) and f["z"] == 0.0 and f[None] == 0.0
     t = {r.c: r.c_target_enc for r in EN.test_target_encode(tr, te, "c").collect()}
     assert t["a"] == pytest.approx(0.5) and t["z"] == pytest.approx(0.75) and t[None] == pytest.approx(0.75)
+
+
+def test_leakage_digest_and_grouping_agree_on_signed_zero(spark):
+    df = spark.createDataFrame([(1, 0.0, "train", 0), (2, -0.0, "test", 1), (3, 5.0, "train", 0)], "id long, x double, split string, fold int")
+    assert [FO.fold_leakage(df, ["x"], hash_key=h).count() for h in (True, False)] == [1, 1]
+
+
+def test_wide_category_codes(spark):
+    from foldwise.operators import encode as EN
+    df = spark.range(3000).select("id", F.when(F.col("id") % 10 > 0, F.concat(F.lit("k"), (F.col("id") % 700).cast("string"))).alias("c"))
+    train = df.where("id < 1500")
+    levels = sorted({r.c for r in train.where("c is not null").collect()})
+    for r in EN.category_codes(train, df, "c").collect():
+        assert r.c_code == (levels.index(r.c) if r.c in levels else len(levels))

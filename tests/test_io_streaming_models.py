@@ -34,10 +34,10 @@ def test_csv_nan_to_null_and_scored_csv(spark):
     df = IO.read_table(spark, f"{d}/t.csv", "id long, a double, b string", fmt="csv")
     rows = {r.id: r for r in df.collect()}
     assert rows[2].a is None and rows[3].a is None and rows[2].b is None
-    scored = spark.createDataFrame([(1, 1.7), (2, -0.2), (3, 0.4)], "id long, score double")
-    IO.write_scored_csv(scored, f"{d}/sub")
+    scored = spark.createDataFrame([(1, 1.7), (2, -0.2), (3, 0.4), (4, None)], "id long, score double")
+    IO.write_scored_csv(scored, f"{d}/sub", "label")
     back = spark.read.option("header", True).csv(f"{d}/sub").collect()
-    assert sorted(float(r.addicted_label) for r in back) == [0.0, 0.4, 1.0]
+    assert {int(r.id): r.label and float(r.label) for r in back} == {1: 1.0, 2: 0.0, 3: 0.4, 4: None}
 
 
 def test_metrics_json(spark):
