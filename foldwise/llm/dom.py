@@ -15,6 +15,7 @@ _TAG = re.compile(
     r"<!--(?:(?=-?>)-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>"
     r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>|<(?=[a-zA-Z/!?])[^>]*\Z", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_ABOUT = re.compile(r"(?:has|with|without|no|is|hide|show)(?:[-_]|(?=[A-Z]))")
 _SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
@@ -64,7 +65,9 @@ def _attrs(source: str) -> tuple[str, frozenset, dict]:
     found = {m[1].lower(): next((html.unescape(x) for x in m.groups()[1:] if x is not None), "") for m in _ATTR.finditer(source)}
     names = " ".join(found.get(k, "") for k in ("class", "id"))
     style = "".join("." + re.sub(r"\d+", "9", x.lower())[:40] for x in sorted(set(names.split())))
-    words = re.split(r"[\W_\d]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{names} {found.get('role', '')}").lower())
+    # "has-sidebar" says what else is on the page, not what the element is
+    told = " ".join(n for n in [*names.split(), *found.get("role", "").split()] if not _ABOUT.match(n))
+    words = re.split(r"[\W_\d]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", told).lower())
     return style, frozenset(w for w in words if w), found
 
 

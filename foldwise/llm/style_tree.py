@@ -41,6 +41,10 @@ NOISE_WORDS = frozenset("""ad ads advert adverts advertisement advertising adsen
     sidebar aside complementary widget nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer
     contentinfo header masthead topbar toolbar search share sharing social related recommended comment comments disqus
     respond reply replies discussion form""".split())
+#: Beginnings of words that name noise too ("commentlist", "adverts2").
+NOISE_STEMS = ("advert", "comment", "cookie", "newsletter", "sidebar")
+#: Words that name a title within a landmark, and noise elsewhere.
+TITLE_WORDS = frozenset(("header", "masthead"))
 LANDMARKS = frozenset(("article", "main"))
 COMMENT_WORDS = frozenset(("comment", "comments", "reply", "replies", "respond", "disqus", "discussion"))
 OWN_TEXT = "#text"
@@ -59,6 +63,14 @@ def node_id(host: str, path: str) -> int:
     return _hash(f"{host}\0{path}")
 
 
+def _named_noise(e: dom.Element, inside: bool) -> bool:
+    if e.tag in ("html", "body"):
+        return False
+    if e.tag in LANDMARKS:
+        return bool(e.words & COMMENT_WORDS)
+    return bool(e.words & NOISE_WORDS - (TITLE_WORDS if inside else frozenset())) or any(w.startswith(NOISE_STEMS) for w in e.words)
+
+
 def noise_by_meaning(page: dom.Page) -> tuple[np.ndarray, np.ndarray]:
     """(noise, guarded) by element: importance 0 by meaning; landmarks and what holds them."""
     n = len(page.elements)
@@ -84,9 +96,7 @@ def noise_by_meaning(page: dom.Page) -> tuple[np.ndarray, np.ndarray]:
     for i, e in enumerate(page.elements):
         if i == 0 or guarded[i]:
             continue
-        words = COMMENT_WORDS if e.tag in LANDMARKS else NOISE_WORDS
-        noise[i] = (noise[e.parent] or e.tag in NOISE_TAGS or e.tag == "header" and not inside[i]
-                    or e.tag not in ("html", "body") and bool(e.words & words))
+        noise[i] = noise[e.parent] or e.tag in NOISE_TAGS or e.tag == "header" and not inside[i] or _named_noise(e, inside[i])
     return noise | (marked & ~inside), guarded
 
 

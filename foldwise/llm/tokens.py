@@ -82,7 +82,7 @@ class _Memo(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, remember: int = 800_000):
+    def __init__(self, path: str, remember: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -90,7 +90,7 @@ class Encoder:
         self.by_word = self._drops_space()
         self.pattern = self._word_pattern(path) if self.by_word else None
         self.chars = _byte_chars()
-        self.parts = _Memo(self._part, remember // 2)
+        self.parts = _Memo(self._part, remember // 4)
         self.ids = _Memo(self._word, remember)
         self.lens = _Memo(lambda w: len(self._word(w)) // 4, remember)
 

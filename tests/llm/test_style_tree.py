@@ -24,6 +24,9 @@ def text(source):
     ("<form><input value=v><button>b</button></form><p>x", "x"),
     ("<p title='a>b'>q</p><p title=\"x>y\">r", "q\nr"),
     ("<P>&#233;&eacute;&lt;p&gt;&nbsp;z</P>", "éé<p> z"),
+    ("<div class='page has-sidebar'><p>kept</p><ol class=commentlist><li>c</ol></div>", "kept"),
+    ("<article><div class='post-header'><h2>T</h2></div><p>A</p></article>", "T\nA"),
+    ("<div class='site-header'>S</div><p>A</p>", "A"),
     ("<div>tail<div>in</div>after</div>", "tail\nin\nafter"),
 ])
 def test_main_text(source, want):
