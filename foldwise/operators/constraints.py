@@ -1,9 +1,10 @@
 """Hard-constraint search and quantization profile.
 
-Candidates are generated on the driver as column EXPRESSIONS (metadata).  Every row
-becomes one (candidate, lhs, rhs) triple per candidate inside the stage that reads it, and
-one aggregate keyed by candidate gives all statistics: the input is evaluated once, and
-only one row per candidate and task is shuffled.  The statistics of a candidate:
+Candidates are generated on the driver as column EXPRESSIONS (metadata).  Inside the
+stage that reads it, a row becomes one row per batch of ``BATCH`` candidates (``stack``:
+no arrays, compiled), and one aggregate keyed by batch gives the statistics of all its
+candidates: the input is evaluated once for any number of candidates, and a task
+shuffles one row per batch.  The statistics of a candidate:
 
 * support     = rows where lhs and every rhs part are present
 * violations  = count_if(lhs < rhs - eps)
@@ -23,6 +24,10 @@ from pyspark.sql import functions as F
 
 from foldwise.functions import exprs as X
 
+#: Candidates of a batch; their aggregates together stay within the compiler's field limit.
+BATCH = 6
+
+
 @dataclass(frozen=True)
 class Constraint:
     lhs: str
@@ -56,27 +61,38 @@ def check_constraints(df: DataFrame, cands: Sequence[Constraint], eps: float = 1
     def side(names: Sequence[str]) -> Column:
         return X.sum_of([F.col(n).cast("double") for n in names])
 
-    sides = F.array(*[F.struct(side([c.lhs]).alias("lhs"), side(c.rhs).alias("rhs")) for c in cands])
+    n_batches = -(-len(cands) // BATCH)
+    slots = [*cands, *[None] * (n_batches * BATCH - len(cands))]
+    none = F.lit(None).cast("double")
+    cells = []
+    for i, c in enumerate(slots):
+        cells += [F.lit(i // BATCH)] if i % BATCH == 0 else []
+        cells += [none, none] if c is None else [side([c.lhs]), side(c.rhs)]
+    names = ["_b", *[f"_{s}{i}" for i in range(BATCH) for s in "lr"]]
     keep = [] if y is None else [F.col(y).cast("double").alias("_y")]
-    long = df.select(*keep, F.posexplode(sides).alias("_c", "_s")).select(
-        "_c", *(["_y"] if keep else []), F.col("_s.lhs").alias("lhs"), F.col("_s.rhs").alias("rhs"))
-    resid = F.col("lhs") - F.col("rhs")
-    aggs = [F.count(resid).alias("support"),
-            F.count_if(F.col("lhs") < F.col("rhs") - F.lit(eps)).alias("violations"),
-            F.min(resid).alias("min_resid"),
-            F.min(F.when(F.col("rhs").isNotNull(), F.col("lhs"))).alias("lhs_min"),
-            F.max(F.when(F.col("lhs").isNotNull(), F.col("rhs"))).alias("rhs_max")]
-    if y is not None:
-        aggs.append(X.safe_corr(resid, "_y").alias("r_target"))
+    long = df.select(*keep, F.stack(F.lit(n_batches), *cells).alias(*names))
+
+    def stats(i: int) -> Column:
+        lhs, rhs = F.col(f"_l{i}"), F.col(f"_r{i}")
+        resid = lhs - rhs
+        fields = [F.lit(i).alias("slot"), F.count(resid).alias("support"),
+                  F.count_if(lhs < rhs - F.lit(eps)).alias("violations"),
+                  F.min(resid).alias("min_resid"),
+                  F.min(F.when(rhs.isNotNull(), lhs)).alias("lhs_min"),
+                  F.max(F.when(lhs.isNotNull(), rhs)).alias("rhs_max")]
+        return F.struct(*fields, *([X.safe_corr(resid, "_y").alias("r_target")] if y is not None else []))
+
+    wide = long.groupBy("_b").agg(*[stats(i).alias(f"k{i}") for i in range(BATCH)])
+    rows = wide.select("_b", F.inline(F.array(*[F.col(f"k{i}") for i in range(BATCH)])))
+    rows = rows.withColumn("_c", F.col("_b") * BATCH + F.col("slot")).where(F.col("_c") < len(cands))
 
     def of(values) -> Column:
         return F.get(F.array(*values), F.col("_c"))
 
-    stats = long.groupBy("_c").agg(*aggs)
-    return stats.select(of([F.lit(c.name) for c in cands]).alias("name"), of([F.lit(c.lhs) for c in cands]).alias("lhs"),
-                        of([F.lit(" + ".join(c.rhs)) for c in cands]).alias("rhs"),
-                        of([F.array(*map(F.lit, c.rhs)) for c in cands]).alias("parts"),
-                        *[x for x in stats.columns if x != "_c"])
+    return rows.select(of([F.lit(c.name) for c in cands]).alias("name"), of([F.lit(c.lhs) for c in cands]).alias("lhs"),
+                       of([F.lit(" + ".join(c.rhs)) for c in cands]).alias("rhs"),
+                       of([F.array(*map(F.lit, c.rhs)) for c in cands]).alias("parts"),
+                       *[x for x in rows.columns if x not in ("_b", "_c", "slot")])
 
 
 def search(df: DataFrame, cands: Sequence[Constraint], min_support: int, eps: float = 1e-6,
