@@ -11,8 +11,8 @@ class and id, and its style nodes are the sequences of children that pages show
   importance, weighted by share, of its styles; that of a style is the mean of its
   children, the own text being one of them.
 
-A page's branch is removed where the importance of its node is below a threshold.  What
-is noise on any site by its meaning (navigation, forms, adverts, comments, ...) has
+A page's branch is removed where the importance of every own text in it is below a
+threshold: a mean or a fade below it does not take unique text with it.  What is noise on any site by its meaning (navigation, forms, adverts, comments, ...) has
 importance 0; the landmarks ``article`` and ``main`` are never removed themselves, and where
 a page has one with text, branches that neither hold it nor lie in it have importance 0.
 """
@@ -103,16 +103,13 @@ def noise_by_meaning(page: dom.Page) -> tuple[np.ndarray, np.ndarray]:
 def main_text(source: str | None, low, host: str) -> str:
     """The text of a page without its noise; ``low`` tells whether a node id has low importance.
 
-    If that would leave nothing of a page that has text apart from noise by meaning,
+    A branch goes where all own texts in it are low, so only these are asked for.  If that would leave nothing of a page that has text apart from noise by meaning,
     only the latter is removed."""
     if not source:
         return ""
     page = dom.parse(source)
-    noise, guarded = noise_by_meaning(page)
-    cut = np.zeros(len(page.elements), bool)
+    noise, _ = noise_by_meaning(page)
     own: dict[int, bool] = {}
-    for i, e in enumerate(page.elements):
-        cut[i] = (i > 0 and cut[e.parent]) or (not guarded[i] and i > 0 and low(node_id(host, e.path)))
 
     def render(merged: bool) -> str:
         blocks: list[str] = []
@@ -121,8 +118,6 @@ def main_text(source: str | None, low, host: str) -> str:
             if not r.text or noise[r.owner]:
                 continue
             if merged:
-                if cut[r.owner]:
-                    continue
                 if r.owner not in own:
                     own[r.owner] = low(node_id(host, f"{page.elements[r.owner].path}/{OWN_TEXT}"))
                 if own[r.owner]:

@@ -110,3 +110,19 @@ def test_copies_keep_their_text(spark):
 
 def test_depth_is_bounded():
     assert max(e.depth for e in dom.parse("<div>" * 500 + "x").elements) == dom.MAX_DEPTH
+
+
+def test_unique_text_survives_low_means(spark):
+    """Constant siblings in an article, and more wrappers than the fade bears, take no unique text with them."""
+    def page(i, body):
+        return f"<html><body><div class=top><a href=/>Home</a></div>{body}<div class=bottom>All rights held</div></body></html>"
+
+    entry = [f"<article><h1>Title {c}</h1><div class=entry><p>first of {c}</p><p>second of {c * 2}</p><span class=byline>By the staff</span>"
+             "<ul class=tags><li>news</li></ul><div class=offer>Buy now</div></div></article>" for c in "abcdefgh"]
+    deep = ["<div class=w>" * 14 + f"<p>deep words of {c}</p>" + "</div>" * 14 for c in "abcdefgh"]
+    rows = [(i, f"http://entry.org/{i}", page(i, b)) for i, b in enumerate(entry)]
+    rows += [(100 + i, f"http://deep.org/{i}", page(i, b)) for i, b in enumerate(deep)]
+    got = {r.page_id: r.text for r in st.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, c in enumerate("abcdefgh"):
+        assert got[i] == f"Title {c}\nfirst of {c}\nsecond of {c * 2}"
+        assert got[100 + i] == f"deep words of {c}"
