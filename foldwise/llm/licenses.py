@@ -5,6 +5,11 @@ within a stretch of the text, the stretch and the template are aligned: words un
 both are anchors, the longest increasing subsequence of them is kept, and the gaps
 between anchors are aligned in the same way.  Coverage is the share of the template's
 words that are aligned.
+
+A share alone does not name a license: of templates below ``SHORT`` words every word must
+be there, those from the license's name on next to each other; of headers (below ``HEADER`` words) the
+share holds for their numbers and names too, and of all longer ones for each clause that
+a similar text of another license lacks.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +28,16 @@ from pyspark.sql import types as T
 from foldwise.llm.license_texts import TEMPLATES
 
 _WORD = re.compile(r"[^\W_]+")
+#: Templates below this many words are notices, which need all of their words.
+SHORT = 20
+#: Words that stand before the license's name in a notice.
+LEAD = frozenset("a is licensed released the this under work".split())
+#: Templates below this many words name their license in few places, all of which count.
+HEADER = 200
+#: Words that, besides numbers, name a license.
+NAMES = frozenset("affero apache lesser mozilla".split())
+#: So many words in a row that another license lacks are a clause.
+CLAUSE = 10
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -99,13 +114,62 @@ class Template:
     license: str
     words: list
     counts: Counter
+    name: int = 0  # of a notice: place of the first word of the license's name
+    telling: list = field(default_factory=list)  # groups of places that tell it from other licenses
+
+
+def _clauses(t: Template, other: Template) -> list[frozenset]:
+    """Places of each clause that ``other`` lacks, if it has most of the words."""
+    if sum((t.counts & other.counts).values()) < 0.7 * len(t.words):
+        return []
+    has = {i for i, _ in align(t.words, other.words)}
+    groups: list[list[int]] = [[]]
+    for j in range(len(t.words)):
+        if j not in has:
+            groups[-1].append(j)
+        elif groups[-1]:
+            groups.append([])
+    return [frozenset(g) for g in groups if len(g) >= CLAUSE] if len(has) >= 0.7 * len(t.words) else []
 
 
 def templates(texts: dict[str, list[str]]) -> list[Template]:
     made = [Template(name, w, Counter(w)) for name, each in texts.items() for t in each if (w := _WORD.findall(t.lower()))]
+    for t in made:
+        if len(t.words) < SHORT:
+            t.name = next((j for j, w in enumerate(t.words) if w not in LEAD), 0)
+        else:
+            t.telling = list({g for o in made if o.license != t.license and len(o.words) >= SHORT for g in _clauses(t, o)})
+            if len(t.words) < HEADER:
+                t.telling.append(frozenset(j for j, w in enumerate(t.words) if w[0].isdigit() or w in NAMES))
     return made
 
 
+def _notices(words: list[str], t: Template, room: int) -> list[tuple[int, int]]:
+    """(first, last) word of each place of a notice: its name as it stands, and the words before it,
+    in order, within ``room`` words."""
+    name = t.words[t.name:]
+    out: list[tuple[int, int]] = []
+    free = 0
+    for start in [i for i, w in enumerate(words) if w == name[0]]:
+        if words[start:start + len(name)] != name:
+            continue
+        last = start + len(name) - 1
+        floor = max(free, last + 1 - room)
+        for w in reversed(t.words[:t.name]):
+            start = next((k for k in range(start - 1, floor - 1, -1) if words[k] == w), -1)
+            if start < 0:
+                break
+        else:
+            out.append((start, last))
+            free = last + 1
+    return out
+
+
+def _told(pairs: list[tuple[int, int]], t: Template, min_coverage: float) -> bool:
+    held = {j for _, j in pairs}
+    return all(len(g & held) >= min_coverage * len(g) - 1e-9 for g in t.telling)
+
+
 def _stretches(words: list[str], t: Template, need: int, room: int) -> list[tuple[int, int]]:
     """Starts of stretches of ``room`` words that hold at least ``need`` of the template's words,
     counted as often as the template has them: within each length of ``room``, the first
@@ -152,13 +216,17 @@ def scan(text: str | None, known: list[Template], min_coverage: float) -> list[t
     have = set(lowered)
     found = []
     for t in known:
+        room = len(t.words) + len(t.words) // 2 + 4
+        if len(t.words) < SHORT:
+            if t.counts.keys() <= have:
+                found += [(t.license, spans[i][0], spans[j][1], 1.0, len(t.words)) for i, j in _notices(lowered, t, room)]
+            continue
         need = int(np.ceil(min_coverage * len(t.words) - 1e-9))
         if sum(c for w, c in t.counts.items() if w not in have) > len(t.words) - need:
             continue
-        room = len(t.words) + len(t.words) // 2 + 4
         for first, last in _stretches(lowered, t, need, room):
             pairs = max((_aligned(lowered, s, room, t.words) for s in {first, last}), key=len)
-            if len(pairs) >= need:
+            if len(pairs) >= need and _told(pairs, t, min_coverage):
                 i, j = pairs[0][0], pairs[-1][0]
                 found.append((t.license, spans[i][0], spans[j][1], len(pairs) / len(t.words), len(pairs)))
     kept: list = []
@@ -175,6 +243,7 @@ def scan_licenses(docs: DataFrame, texts: dict[str, list[str]] | None = None, id
     One row per input row.  ``places`` lists (license, start, end, coverage, words) in the order of the text;
     ``license`` is that of the place with the most aligned words (ties: greater coverage,
     then the first name), and null if there is none, as for null and empty texts.
+    Templates below ``SHORT`` words count only whole, whatever ``min_coverage``.
     Templates without words are left out; no templates give no places.  Texts are read
     whole, and only stretches that hold enough of a template's words are aligned, which
     loses no place whose words stand within one and a half times the template's length."""

@@ -71,3 +71,13 @@ def test_query_against_plain_search(spark):
     for r in out:
         want = sorted((docs[r.doc_id].find(n), name) for n, name in notices.items() if n in docs[r.doc_id])
         assert [name for _, name in want] == [p.license for p in r.places]
+
+
+def test_other_licenses_and_prose_are_not_taken():
+    known = lc.templates(TEMPLATES)
+    for text in ["Released under the BSD License.", "Released under the same license as the rest.", "Licensed under the Foo License.",
+                 "Licensed under CC BY 3.0.", "Licensed under CC BY 3.0, see section 4.0", "This work is licensed under the GNU General Public License, version 1.",
+                 "Licensed under the Eclipse Public License, Version 2.0.", TEMPLATES["GPL-3.0"][1].replace("version 3", "version 1")]:
+        assert lc.scan(text, known, 0.8) == [], text
+    assert "Apache-2.0" not in {x[0] for x in lc.scan("Licensed under the Mozilla Public License, Version 2.0.", known, 0.8)}
+    assert [x[0] for x in lc.scan("Released under the terms of the MIT License", known, 0.8)] == ["MIT"]
