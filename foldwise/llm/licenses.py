@@ -8,8 +8,7 @@ words that are aligned.
 
 A share alone does not name a license: of templates below ``SHORT`` words every word must
 be there, those from the license's name on next to each other; of headers (below ``HEADER`` words) the
-share holds for their numbers and names too, and of all longer ones for each clause that
-a similar text of another license lacks.
+share holds for their numbers and names too.  Among longer texts the more complete wins.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +35,6 @@ LEAD = frozenset("a is licensed released the this under work".split())
 HEADER = 200
 #: Words that, besides numbers, name a license.
 NAMES = frozenset("affero apache lesser mozilla".split())
-#: So many words in a row that another license lacks are a clause.
-CLAUSE = 10
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -115,21 +112,7 @@ class Template:
     words: list
     counts: Counter
     name: int = 0  # of a notice: place of the first word of the license's name
-    telling: list = field(default_factory=list)  # groups of places that tell it from other licenses
-
-
-def _clauses(t: Template, other: Template) -> list[frozenset]:
-    """Places of each clause that ``other`` lacks, if it has most of the words."""
-    if sum((t.counts & other.counts).values()) < 0.7 * len(t.words):
-        return []
-    has = {i for i, _ in align(t.words, other.words)}
-    groups: list[list[int]] = [[]]
-    for j in range(len(t.words)):
-        if j not in has:
-            groups[-1].append(j)
-        elif groups[-1]:
-            groups.append([])
-    return [frozenset(g) for g in groups if len(g) >= CLAUSE] if len(has) >= 0.7 * len(t.words) else []
+    telling: frozenset = frozenset()  # of a header: places of its numbers and names
 
 
 def templates(texts: dict[str, list[str]]) -> list[Template]:
@@ -138,9 +121,8 @@ def templates(texts: dict[str, list[str]]) -> list[Template]:
         if len(t.words) < SHORT:
             t.name = next((j for j, w in enumerate(t.words) if w not in LEAD), 0)
         else:
-            t.telling = list({g for o in made if o.license != t.license and len(o.words) >= SHORT for g in _clauses(t, o)})
             if len(t.words) < HEADER:
-                t.telling.append(frozenset(j for j, w in enumerate(t.words) if w[0].isdigit() or w in NAMES))
+                t.telling = frozenset(j for j, w in enumerate(t.words) if w[0].isdigit() or w in NAMES)
     return made
 
 
@@ -166,8 +148,7 @@ def _notices(words: list[str], t: Template, room: int) -> list[tuple[int, int]]:
 
 
 def _told(pairs: list[tuple[int, int]], t: Template, min_coverage: float) -> bool:
-    held = {j for _, j in pairs}
-    return all(len(g & held) >= min_coverage * len(g) - 1e-9 for g in t.telling)
+    return sum(j in t.telling for _, j in pairs) >= min_coverage * len(t.telling) - 1e-9
 
 
 def _stretches(words: list[str], t: Template, need: int, room: int) -> list[tuple[int, int]]:
@@ -222,7 +203,7 @@ def scan(text: str | None, known: list[Template], min_coverage: float) -> list[t
                 found += [(t.license, spans[i][0], spans[j][1], 1.0, len(t.words)) for i, j in _notices(lowered, t, room)]
             continue
         need = int(np.ceil(min_coverage * len(t.words) - 1e-9))
-        if sum(c for w, c in t.counts.items() if w not in have) > len(t.words) - need:
+        if len(lowered) < need or len(t.counts) - len(have.intersection(t.counts)) > len(t.words) - need:
             continue
         for first, last in _stretches(lowered, t, need, room):
             pairs = max((_aligned(lowered, s, room, t.words) for s in {first, last}), key=len)

@@ -77,7 +77,17 @@ def test_other_licenses_and_prose_are_not_taken():
     known = lc.templates(TEMPLATES)
     for text in ["Released under the BSD License.", "Released under the same license as the rest.", "Licensed under the Foo License.",
                  "Licensed under CC BY 3.0.", "Licensed under CC BY 3.0, see section 4.0", "This work is licensed under the GNU General Public License, version 1.",
-                 "Licensed under the Eclipse Public License, Version 2.0.", TEMPLATES["GPL-3.0"][1].replace("version 3", "version 1")]:
+                 "Licensed under the Eclipse Public License, Version 2.0.", TEMPLATES["GPL-3.0"][1].replace("version 3", "version 9")]:
         assert lc.scan(text, known, 0.8) == [], text
     assert "Apache-2.0" not in {x[0] for x in lc.scan("Licensed under the Mozilla Public License, Version 2.0.", known, 0.8)}
     assert [x[0] for x in lc.scan("Released under the terms of the MIT License", known, 0.8)] == ["MIT"]
+
+
+def test_the_more_complete_sibling_wins():
+    known = lc.templates(TEMPLATES)
+    for name in ("AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0"):
+        assert len(max(TEMPLATES[name], key=len).split()) > 130
+        for t in TEMPLATES[name]:
+            assert [(x[0], x[3]) for x in lc.scan(f"Some words before. {t} And after.", known, 0.8)] == [(name, 1.0)], t[:80]
+    header = max((t for t in TEMPLATES["AGPL-3.0"] if len(t.split()) < 100), key=len)
+    assert [x[0] for x in lc.scan(header.replace("hope", "wish"), known, 0.8)] == ["AGPL-3.0"]
