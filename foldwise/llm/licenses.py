@@ -77,10 +77,42 @@ def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` with each beginning of ``b``, bit-parallel."""
+    places: dict[str, int] = {}
+    for j, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    rest = full
+    for w in a:
+        hit = rest & places.get(w, 0)
+        rest = (rest + hit | rest - hit) & full
+    bits = np.unpackbits(np.frombuffer(rest.to_bytes((len(b) + 7) // 8, "little"), np.uint8), bitorder="little")[:len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _common_long(a: list[str], b: list[str], small: int) -> list[tuple[int, int]]:
+    """Longest common subsequence in linear space: halves of ``a`` against the best cut of ``b``."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, n, j, m = todo.pop()
+        if i == n or j == m:
+            continue
+        if n - i == 1:
+            out += [(i, b.index(a[i], j, m))] if a[i] in b[j:m] else []
+        elif (n - i) * (m - j) <= small:
+            out += [(i + x, j + y) for x, y in _common(a[i:n], b[j:m])]
+        else:
+            half = (i + n) // 2
+            cut = j + int(np.argmax(_lengths(a[i:half], b[j:m]) + _lengths(a[half:n][::-1], b[j:m][::-1])[::-1]))
+            todo += [(i, half, j, cut), (half, n, cut, m)]
+    return out
+
+
 def align(a: list[str], b: list[str], small: int = 4096) -> list[tuple[int, int]]:
     """Aligned (place in a, place in b), by anchors and recursion.  A gap without words unique
-    to both sides is aligned by its longest common subsequence if it has at most
-    ``small`` pairs of places, else at its equal ends only."""
+    to both sides is aligned by its longest common subsequence, in linear space if it has
+    more than ``small`` pairs of places."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -101,8 +133,8 @@ def align(a: list[str], b: list[str], small: int = 4096) -> list[tuple[int, int]
             out += anchors
             ends = [(i - 1, j - 1), *anchors, (n, m)]
             todo += [(x + 1, x2, y + 1, y2) for (x, y), (x2, y2) in zip(ends, ends[1:])]
-        elif (n - i) * (m - j) <= small:
-            out += [(i + x, j + y) for x, y in _common(a[i:n], b[j:m])]
+        else:
+            out += [(i + x, j + y) for x, y in _common_long(a[i:n], b[j:m], small)]
     return sorted(out)
 
 
@@ -151,43 +183,59 @@ def _told(pairs: list[tuple[int, int]], t: Template, min_coverage: float) -> boo
     return sum(j in t.telling for _, j in pairs) >= min_coverage * len(t.telling) - 1e-9
 
 
-def _stretches(words: list[str], t: Template, need: int, room: int) -> list[tuple[int, int]]:
-    """Starts of stretches of ``room`` words that hold at least ``need`` of the template's words,
-    counted as often as the template has them: within each length of ``room``, the first
-    and the last that hold the most."""
-    n = len(words)
+def _starts(words: list[str], t: Template, need: int, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, held): where a place can start -- at a word of the template that leaves ``need`` words,
+    with at least ``need`` of its words, counted as often as it has them, in the next ``room``."""
     where: dict[str, list[int]] = {}
     for i, w in enumerate(words):
         if w in t.counts:
             where.setdefault(w, []).append(i)
+    none = np.zeros(0, np.int64)
     if sum(min(len(p), t.counts[w]) for w, p in where.items()) < need:
-        return []
-    held = np.zeros(max(n - room, 0) + 1, np.int32)
-    starts = np.arange(len(held))
+        return none, none
+    starts = np.array(sorted(i for w in set(t.words[:len(t.words) - need + 1]) for i in where.get(w, ())), np.int64)
+    held = np.zeros(len(starts), np.int64)
     for w, p in where.items():
         p = np.array(p)
-        held += np.minimum(np.searchsorted(p, starts + room) - np.searchsorted(p, starts), t.counts[w]).astype(np.int32)
-    out: list[tuple[int, int]] = []
-    at = 0
-    good = np.flatnonzero(held >= need)
-    while at < len(good):
-        s = int(good[at])
-        best = np.flatnonzero(held[s:s + room] == held[s:s + room].max())
-        out.append((s + int(best[0]), s + int(best[-1])))
-        at = int(np.searchsorted(good, s + int(best[-1]) + room))
-    return out
+        held += np.minimum(np.searchsorted(p, starts + room) - np.searchsorted(p, starts), t.counts[w])
+    return starts[held >= need], held[held >= need]
 
 
-def _aligned(words: list[str], start: int, room: int, template: list[str]) -> list[tuple[int, int]]:
-    """Alignment of a stretch, moved to start at its first aligned word while that aligns more."""
+def _aligned(words: list[str], start: int, room: int, end: int, template: list[str]) -> list[tuple[int, int]]:
+    """Alignment of a stretch before ``end``, moved to start at its first aligned word while that aligns more."""
     best: list[tuple[int, int]] = []
     while True:
-        pairs = [(start + i, j) for i, j in align(words[start:start + room], template)]
+        pairs = [(start + i, j) for i, j in align(words[start:min(start + room, end)], template)]
         if len(pairs) <= len(best):
             return best or pairs
         best, start = pairs, pairs[0][0]
 
 
+def _places(words: list[str], t: Template, need: int, room: int, min_coverage: float) -> list[list[tuple[int, int]]]:
+    """Alignments that do not overlap, with at least ``need`` words.  After a place, what lies before
+    it and behind it is searched too.  A stretch moved by d words aligns at most d more, so
+    one that lacks d words is moved by d."""
+    starts, held = _starts(words, t, need, room)
+    out: list[list[tuple[int, int]]] = []
+    todo = [(0, len(words))]
+    while todo:
+        lo, hi = todo.pop()
+        k = int(np.searchsorted(starts, lo))
+        while k < len(starts) and (s := int(starts[k])) + need <= hi:
+            pairs = _aligned(words, s, room, hi, t.words)
+            if len(pairs) < need or not _told(pairs, t, min_coverage):
+                k = int(np.searchsorted(starts, s + max(1, need - len(pairs))))
+                continue
+            upto = int(np.searchsorted(starts, pairs[-1][0]))
+            most = k + np.flatnonzero(held[k:upto] == held[k:upto].max())  # a stray word may have begun it too early
+            tries = [pairs, *(_aligned(words, int(starts[x]), room, hi, t.words) for x in {int(most[0]), int(most[-1])})]
+            pairs = max((p for p in tries if _told(p, t, min_coverage)), key=lambda p: (len(p), p[0][0] - p[-1][0]))
+            out.append(pairs)
+            todo += [(pairs[-1][0] + 1, hi), (lo, pairs[0][0])]
+            break
+    return out
+
+
 def scan(text: str | None, known: list[Template], min_coverage: float) -> list[tuple[str, int, int, float, int]]:
     """(license, start, end, coverage, words) of each place in a text, in order; start and end are
     code points.  Of places that overlap, that with the most aligned words stays, then
@@ -205,11 +253,9 @@ def scan(text: str | None, known: list[Template], min_coverage: float) -> list[t
         need = int(np.ceil(min_coverage * len(t.words) - 1e-9))
         if len(lowered) < need or len(t.counts) - len(have.intersection(t.counts)) > len(t.words) - need:
             continue
-        for first, last in _stretches(lowered, t, need, room):
-            pairs = max((_aligned(lowered, s, room, t.words) for s in {first, last}), key=len)
-            if len(pairs) >= need and _told(pairs, t, min_coverage):
-                i, j = pairs[0][0], pairs[-1][0]
-                found.append((t.license, spans[i][0], spans[j][1], len(pairs) / len(t.words), len(pairs)))
+        for pairs in _places(lowered, t, need, room, min_coverage):
+            i, j = pairs[0][0], pairs[-1][0]
+            found.append((t.license, spans[i][0], spans[j][1], len(pairs) / len(t.words), len(pairs)))
     kept: list = []
     for x in sorted(found, key=lambda x: (-x[4], -x[3], x[0], x[1])):
         if all(x[2] <= y[1] or x[1] >= y[2] for y in kept):

@@ -91,3 +91,24 @@ def test_the_more_complete_sibling_wins():
             assert [(x[0], x[3]) for x in lc.scan(f"Some words before. {t} And after.", known, 0.8)] == [(name, 1.0)], t[:80]
     header = max((t for t in TEMPLATES["AGPL-3.0"] if len(t.split()) < 100), key=len)
     assert [x[0] for x in lc.scan(header.replace("hope", "wish"), known, 0.8)] == ["AGPL-3.0"]
+
+
+def test_repeats_are_all_found():
+    known = lc.templates(TEMPLATES)
+    for name, texts in TEMPLATES.items():
+        for t in texts:
+            for between in (" ", " x y z. "):
+                if len(t.split()) < 300 or between == " ":
+                    got = lc.scan(between.join([t] * 3), known, 0.8)
+                    assert [(x[0], x[3]) for x in got] == [(name, 1.0)] * 3, (t[:80], between)
+
+
+def test_large_gaps_are_aligned():
+    rng = random.Random(3)
+    for small in (1, 4096):
+        for _ in range(60):
+            a, b = ([rng.choice("abc") for _ in range(rng.randrange(30))] for _ in range(2))
+            assert len(lc._common_long(a, b, small)) == len(lc._common(a, b))
+    a, b = ([rng.choice("abc") for _ in range(200)] for _ in range(2))
+    got = lc.align(a, b)
+    assert all(a[i] == b[j] for i, j in got) and len(got) >= len(lc._common(a, b)) - 2
