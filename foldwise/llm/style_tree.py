@@ -45,6 +45,10 @@ NOISE_WORDS = frozenset("""ad ads advert adverts advertisement advertising adsen
 NOISE_STEMS = ("advert", "comment", "cookie", "newsletter", "sidebar")
 #: Words that name a title within a landmark, and noise elsewhere.
 TITLE_WORDS = frozenset(("header", "masthead"))
+#: Noise words that also name parts of a text ("related-work", "form-factor").  Within a landmark they name noise
+#: only where at least ``LINKED`` of the text is links, or where "related" is all that is said.
+AMBIGUOUS = frozenset("alert discussion form notice related search share social".split())
+LINKED = 0.5
 LANDMARKS = frozenset(("article", "main"))
 COMMENT_WORDS = frozenset(("comment", "comments", "reply", "replies", "respond", "disqus", "discussion"))
 OWN_TEXT = "#text"
@@ -63,12 +67,26 @@ def node_id(host: str, path: str) -> int:
     return _hash(f"{host}\0{path}")
 
 
-def _named_noise(e: dom.Element, inside: bool) -> bool:
+def _named_noise(e: dom.Element, inside: bool, linked: float) -> bool:
     if e.tag in ("html", "body"):
         return False
-    if e.tag in LANDMARKS:
-        return bool(e.words & COMMENT_WORDS)
-    return bool(e.words & NOISE_WORDS - (TITLE_WORDS if inside else frozenset())) or any(w.startswith(NOISE_STEMS) for w in e.words)
+    named = e.words & (COMMENT_WORDS if e.tag in LANDMARKS else NOISE_WORDS - (TITLE_WORDS if inside else frozenset()))
+    if inside and named <= AMBIGUOUS and e.words != {"related"} and linked < LINKED:
+        named = frozenset()
+    return bool(named) or e.tag not in LANDMARKS and any(w.startswith(NOISE_STEMS) for w in e.words)
+
+
+def _linked(page: dom.Page) -> np.ndarray:
+    """Share of links in the text of each element."""
+    n = len(page.elements)
+    link, chars = np.zeros(n, bool), np.zeros((2, n))
+    for i, e in enumerate(page.elements):
+        link[i] = i > 0 and link[e.parent] or e.tag == "a"
+    for r in page.runs:
+        chars[:, r.owner] += len(r.text.strip()) * np.array([1, link[r.owner]])
+    for i in range(n - 1, 0, -1):
+        chars[:, page.elements[i].parent] += chars[:, i]
+    return chars[1] / np.maximum(chars[0], 1)
 
 
 def noise_by_meaning(page: dom.Page) -> tuple[np.ndarray, np.ndarray]:
@@ -93,10 +111,11 @@ def noise_by_meaning(page: dom.Page) -> tuple[np.ndarray, np.ndarray]:
                 i = page.elements[i].parent
                 guarded[i] = True
     noise, marked = np.zeros(n, bool), inside.any()
+    linked = _linked(page) if any(inside[i] and e.words & AMBIGUOUS for i, e in enumerate(page.elements)) else np.zeros(n)
     for i, e in enumerate(page.elements):
         if i == 0 or guarded[i]:
             continue
-        noise[i] = noise[e.parent] or e.tag in NOISE_TAGS or e.tag == "header" and not inside[i] or _named_noise(e, inside[i])
+        noise[i] = noise[e.parent] or e.tag in NOISE_TAGS or e.tag == "header" and not inside[i] or _named_noise(e, inside[i], linked[i])
     return noise | (marked & ~inside), guarded
 
 

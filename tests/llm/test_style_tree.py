@@ -126,3 +126,13 @@ def test_unique_text_survives_low_means(spark):
     for i, c in enumerate("abcdefgh"):
         assert got[i] == f"Title {c}\nfirst of {c}\nsecond of {c * 2}"
         assert got[100 + i] == f"deep words of {c}"
+
+
+@pytest.mark.parametrize("part,want", [
+    ("<section id='discussion'><p>We discuss it.</p></section>", "A\nWe discuss it."), ("<div class='related-work'><p>Others <a href=/x>did</a> so.</p></div>", "A\nOthers did so."),
+    ("<div id='form-factor'>small</div><p class='share-price'>12</p><div class='search-results'>three</div>", "A\nsmall\n12\nthree"),
+    ("<div class='share'><a href=/x>Tweet</a> <a href=/y>Mail</a></div>", "A"), ("<div class='related-posts'><a href=/x>More</a></div>", "A"),
+    ("<section id='comments'><p>first!</p></section>", "A"), ("<div class='social newsletter'>Sign up</div>", "A"),
+])
+def test_ambiguous_names_in_an_article(part, want):
+    assert text(f"<body><article><p>A</p>{part}</article><div class=notice>n</div></body>") == want
