@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MID
+from tables import SF_MID
 from foldwise.operators import auc as A
 from foldwise.operators import binning as B
 from foldwise.operators import blend as BL

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF_MID
+from tables import SF_MID
 from foldwise.functions import exprs as X
 from foldwise.operators import encode as EN
 from foldwise.operators import folds as FO

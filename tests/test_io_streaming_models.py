@@ -7,7 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from tables import SF_SMALL
 from foldwise.operators import features as FE
 from foldwise.operators import folds as FO
 from foldwise.operators import models as M

@@ -7,10 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from tables import SF_SMALL
+from foldwise.plans import catalog
 from foldwise.sources.fixtures import BASE_TABLES
 
-ORACLE = E.oracle_sql()
+QUERIES = catalog.queries()
+ORACLE = catalog.oracle_sql()
 
 
 def _norm(v):
@@ -37,7 +39,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = QUERIES[name](spark, SF_SMALL)
     got = [tuple(r) for r in df.collect()]
     res = con.execute(ORACLE[name])
     dcols = [d[0] for d in res.description]
@@ -46,8 +48,7 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_oracle_or_is_iterative():
-    qs = E.queries()
-    missing = sorted(set(qs) - set(ORACLE))
+    missing = sorted(set(QUERIES) - set(ORACLE))
     iterative = {"cv_lr", "cv_rf", "cv_gbt", "cv_mlp", "stack_lr", "stack_ranks", "stack_logit", "isotonic", "ablation",
                  "screen", "tune_scan", "multi_seed"}
     assert set(missing) == iterative

@@ -3,11 +3,12 @@ scale path really windows on (keys, bucket)."""
 
 import pytest
 
-import __spark_entry__ as E
-from conftest import SF_SMALL
+from tables import SF_SMALL
 from foldwise.operators import auc as A
+from foldwise.plans import catalog
 from foldwise.sources import fixtures as FX
 
+QUERIES = catalog.queries()
 ITERATIVE = {"cv_lr", "cv_rf", "cv_gbt", "cv_mlp", "stack_lr", "stack_ranks", "stack_logit", "isotonic",
              "ablation", "screen", "tune_scan", "multi_seed"}
 
@@ -21,9 +22,9 @@ PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "
                 "FlatMapCoGroupsInPandas", "AggregateInPandas")
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - ITERATIVE))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - ITERATIVE))
 def test_no_cross_join_no_python(spark, name):
-    plan = _executed_plan(E.queries()[name](spark, SF_SMALL))
+    plan = _executed_plan(QUERIES[name](spark, SF_SMALL))
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
     assert not any(node in plan for node in PYTHON_NODES)  # everything stays JVM-side
@@ -42,7 +43,7 @@ def _read_schemas(df):
 
 
 def test_scans_read_only_referenced_columns(spark):
-    schemas = _read_schemas(E.queries()["label_scan"](spark, SF_SMALL))
+    schemas = _read_schemas(QUERIES["label_scan"](spark, SF_SMALL))
     assert schemas and all(s.startswith("struct<event_id:bigint,value:double>") for s in schemas)
-    schemas = _read_schemas(E.queries()["schema_advisor"](spark, SF_SMALL))
+    schemas = _read_schemas(QUERIES["schema_advisor"](spark, SF_SMALL))
     assert schemas and all("l_returnflag" not in s and "l_shipdate" not in s for s in schemas)
