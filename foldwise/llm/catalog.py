@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import functools
 
-from foldwise.llm import q_bpe, q_decontam, q_dedup, q_lang, q_licenses, q_mix, q_pages, q_tokens, q_vectors
+from foldwise.llm import q_bpe, q_decontam, q_dedup, q_lang, q_licenses, q_mix, q_pages, q_sources, q_tokens, q_vectors
 from foldwise.llm.common import ship
 
-MODULES = (q_lang, q_mix, q_pages, q_dedup, q_decontam, q_tokens, q_vectors, q_licenses, q_bpe)
+MODULES = (q_lang, q_mix, q_pages, q_dedup, q_decontam, q_tokens, q_vectors, q_licenses, q_bpe, q_sources)
 
 
 def _shipped(query):
