@@ -12,6 +12,9 @@ score's own type:
    (``_bkt``), so all later steps see the same ranges;
 3. running sums within (keys, range), plus the sums of the ranges before: a window over
    at most as many rows per group as there are ranges.
+
+Ranks of rows (``average_rank``) take the rows themselves through steps 2 and 3, so that
+nothing is joined back to them but one row per range and key group.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.session import materialize
+from foldwise.session import materialize, small
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -33,13 +36,13 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(r, cond, how).drop(*[f"__fw_r{i}" for i in range(len(keys))])
 
 
-def range_buckets(t: DataFrame, keys: Sequence[str], score: str, buckets: int | None = None) -> DataFrame:
-    """Add ``_bkt``, the number of the row's range of (keys, score); ranges are ordered.
+def range_buckets(t: DataFrame, keys: Sequence[str], score: str, buckets: int | None = None, *more: str) -> DataFrame:
+    """Add ``_bkt``, the number of the row's range of (keys, score, more); ranges are ordered.
 
     ``buckets``: the number of ranges; by default ``spark.sql.shuffle.partitions``, fewer
     where adaptive execution finds the table small.  The number is that of the task
     that holds the row: read it once, or store the table (see ``cumulative_below``)."""
-    cols = [*keys, score]
+    cols = [*keys, score, *more]
     ranged = t.repartitionByRange(buckets, *cols) if buckets else t.repartitionByRange(*cols)
     return ranged.withColumn("_bkt", F.spark_partition_id())
 
@@ -76,36 +79,55 @@ def tie_table(df: DataFrame, keys: Sequence[str], score: str, y: str | None = No
     return src.groupBy(*keys, score).agg(*aggs)
 
 
-def ranked_ties(df: DataFrame, score: str, keys: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """(keys, score, n, rank, n_group): average rank of each distinct score."""
-    k = list(keys)
-    c = cumulative_below(tie_table(df, k, score), k, score, ["n"], buckets)
-    return c.select(*k, score, "n",
-                    (F.col("n_below") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"),
-                    F.col("n_total").alias("n_group"))
-
-
 def average_rank(df: DataFrame, score: str, keys: Sequence[str] = (), out: str = "rank",
                  pct: str | None = None, n_out: str | None = None, buckets: int | None = None) -> DataFrame:
     """Add the average-tie rank of ``score`` within ``keys`` (optionally
     rank / n as ``pct`` and the group's non-null count as ``n_out``).
 
-    The ranked tie table is joined back on (keys, score).  A score value shared by a
-    third of the rows is one row on the small side; AQE's skew-join handling splits
-    the large side's hot partition.
-    """
-    rt = ranked_ties(df, score, keys, buckets)
-    extra = []
-    if pct:
-        extra.append((F.col("rank") / F.col("n_group")).alias(pct))
+    Rows are range-partitioned by (keys, score, hash of the row) and ranked inside their
+    range, where they are stored; the hash cuts a score that a third of the rows share over
+    many ranges.  One row per range and key group then says how many rows come before, and
+    joins the ties that cross a border of ranges.  Rows without a score have no rank."""
+    k = list(keys)
+    plain = [f.name for f in df.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    spread = range_buckets(df.withColumn("__fw_salt", F.xxhash64(*plain)), k, score, buckets, "__fw_salt")
+    within = Window.partitionBy(*k, "_bkt", F.col(score).isNull()).orderBy(score)
+    rows = spread.select(*df.columns, F.col("_bkt").alias("__fw_b"), F.rank().over(within).alias("__fw_r"),
+                         F.count(F.lit(1)).over(within).alias("__fw_le"))
+    rows = materialize(rows)
+    per = small(_range_starts(rows.where(F.col(score).isNotNull()), k, score))
+    joined = _join_null_safe(rows, per, [*k, "__fw_b"], "left")
+    ties = F.col("__fw_le") - F.col("__fw_r") + 1
+    start = F.col("__fw_before") + F.col("__fw_r") - 1
+    low, high = (F.col(score) == F.col(f"__fw_{e}") for e in ("lo", "hi"))
+    first = F.when(low, F.col("__fw_lo_start")).when(high, F.col("__fw_hi_start")).otherwise(start)
+    size = F.when(low, F.col("__fw_lo_n")).when(high, F.col("__fw_hi_n")).otherwise(ties)
+    rank = F.when(F.col(score).isNotNull(), first + (size + 1) / F.lit(2.0))
+    extra = [(rank / F.col("__fw_n")).alias(pct)] if pct else []
     if n_out:
-        extra.append(F.col("n_group").alias(n_out))
-    r = rt.select(*[F.col(k).alias(f"__fw_k{i}") for i, k in enumerate(keys)], F.col(score).alias("__fw_s"),
-                  F.col("rank").alias(out), *extra)
-    cond = [F.col(k).eqNullSafe(F.col(f"__fw_k{i}")) for i, k in enumerate(keys)]
-    cond.append(F.col(score) == F.col("__fw_s"))
-    joined = df.join(r, cond, "left")
-    return joined.drop(*[f"__fw_k{i}" for i in range(len(keys))], "__fw_s")
+        extra.append(F.col("__fw_n").alias(n_out))
+    return joined.select(*df.columns, rank.alias(out), *extra)
+
+
+def _range_starts(rows: DataFrame, k: list[str], score: str) -> DataFrame:
+    """One row per key group and range: rows of the group before the range, the group's size, and
+    for the lowest and highest score of the range where its ties start and how many there
+    are in all ranges."""
+    per = rows.groupBy(*k, "__fw_b").agg(
+        F.count(F.lit(1)).alias("n"), F.min(score).alias("lo"), F.max(score).alias("hi"), F.max("__fw_r").alias("hi_r"),
+        F.count_if(F.col("__fw_r") == 1).alias("lo_n"))
+    before = Window.partitionBy(*k).orderBy("__fw_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy(*k)))
+    edges = per.select(*k, "__fw_b", "total", "before", F.inline(F.array(
+        F.struct(F.lit(True).alias("low"), F.col("lo").alias("s"), F.col("before").alias("start"), F.col("lo_n").alias("ties")),
+        F.struct(F.lit(False).alias("low"), F.col("hi").alias("s"), (F.col("before") + F.col("hi_r") - 1).alias("start"),
+                 # a range of one score is counted once
+                 F.when(F.col("lo") == F.col("hi"), F.lit(0)).otherwise(F.col("n") - F.col("hi_r") + 1).alias("ties")))))
+    tie = Window.partitionBy(*k, "s")
+    edges = edges.withColumn("start", F.min("start").over(tie)).withColumn("ties", F.sum("ties").over(tie))
+    one = [F.max(F.when(F.col("low") == e, F.col(c))).alias(f"__fw_{n}{x}")
+           for e, n in ((True, "lo"), (False, "hi")) for c, x in (("s", ""), ("start", "_start"), ("ties", "_n"))]
+    return edges.groupBy(*k, "__fw_b").agg(F.first("before").alias("__fw_before"), F.first("total").alias("__fw_n"), *one)
 
 
 def rank01(df: DataFrame, score: str, keys: Sequence[str] = (), out: str = "rank01",

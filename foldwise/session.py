@@ -11,6 +11,7 @@ import os
 import tempfile
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -79,6 +80,17 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+#: Tables up to this number of rows are broadcast, after they were stored and counted.
+BROADCAST_ROWS = 100_000
+
+
+def small(df, rows: int = BROADCAST_ROWS):
+    """Store a table that is expected to be small, count it, and mark it for broadcast up to
+    ``rows`` rows; a larger one is joined by a shuffle."""
+    stored = materialize(df)
+    return F.broadcast(stored) if stored.count() <= rows else stored
+
+
 def recommended_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
                      max_partitions: int = 1_000_000) -> dict[str, str]:
     """Cluster settings sized to the input, for a cluster session builder.

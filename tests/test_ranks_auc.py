@@ -125,3 +125,30 @@ def test_rows_without_a_label_or_score_take_no_part(spark):
     r = A.auc(df, "s").first()
     assert (r.auc, r.n_pos, r.n_neg) == (0.75, 2, 2)
     assert A.log_loss_by(df, "s", None).first().n == 4
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 64])
+def test_ties_across_borders_nulls_and_equal_rows(spark, buckets):
+    """A hot score over many ranges, signed zeros, NaN, NULL scores and keys, equal rows."""
+    rng = np.random.default_rng(3)
+    scores = np.where(rng.random(3000) < 0.4, 5.0, rng.integers(0, 12, 3000).astype(float))
+    rows = [(["a", "b", None][i % 3], None if i % 17 == 0 else float(s)) for i, s in enumerate(scores)]
+    rows += [("a", -0.0)] * 5 + [("z", None)] * 3 + [("y", float("nan"))] * 2 + [("y", 1.0)]
+    df = spark.createDataFrame(rows, "g string, s double").repartition(5)
+    got = R.average_rank(df, "s", ["g"], out="r", pct="p", n_out="n", buckets=buckets).toPandas()
+    assert len(got) == len(rows)
+    pdf = pd.DataFrame(rows, columns=["g", "s"])
+    order = pdf["s"].where(~((pdf["g"] == "y") & pdf["s"].isna()), np.inf)  # NaN ranks last, NULL does not rank
+    pdf["r"] = order.groupby(pdf["g"], dropna=False).rank(method="average")
+    pdf["n"] = order.groupby(pdf["g"], dropna=False).transform("count")
+    key = lambda d: sorted((str(g), str(round(s + 0.0, 6)) if s == s else "-", -1.0 if r != r else r)
+                           for g, s, r in zip(d["g"], d["s"], d["r"]))
+    assert key(got) == key(pdf)
+    ranked = got[got["r"].notna()]
+    assert np.allclose(ranked["p"], ranked["r"] / ranked["n"])
+    assert dict(zip(ranked["g"].astype(str), ranked["n"])) == {str(g): n for g, n in zip(pdf["g"], pdf["n"]) if n}
+
+
+def test_rank_plan_has_no_join_of_the_rows(spark, skewed):
+    plan = R.average_rank(skewed, "s", ["c1"], out="r")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
