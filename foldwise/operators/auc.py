@@ -22,9 +22,10 @@ from foldwise.functions import exprs as X
 from foldwise.operators import ranks as R
 
 
-def auc(df: DataFrame, score: str, y: str = "y", keys: Sequence[str] = (),
-        buckets: int | None = None) -> DataFrame:
-    """(keys, auc, n_pos, n_neg) over rows with a non-null score and label.
+def pair_counts(df: DataFrame, score: str, y: str = "y", keys: Sequence[str] = (),
+                buckets: int | None = None) -> DataFrame:
+    """(keys, num, n_pos, n_neg): twice the number of (positive, negative) pairs in order, ties
+    as one, over rows with a non-null score and label.
 
     One chain of shuffles, each smaller than the last, and one reading of the input: tie
     table -> ranges (``ranks.range_buckets``) -> one row per range -> one row per key.
@@ -40,10 +41,20 @@ def auc(df: DataFrame, score: str, y: str = "y", keys: Sequence[str] = (),
     before = Window.partitionBy(*k).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_before", F.coalesce(F.sum("neg").over(before), F.lit(0)))
     num = F.col("_num").cast(big) + F.col("pos").cast(big) * (F.col("_before") * 2).cast(big)
-    g = per.groupBy(*k).agg(F.sum(num).alias("_num"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    den = F.col("n_pos").cast("double") * F.col("n_neg").cast("double") * 2.0
-    return g.select(*k, (F.col("_num").cast("double") / F.nullif(den, F.lit(0.0))).alias("auc"),
-                    F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"))
+    return per.groupBy(*k).agg(F.sum(num).cast(big).alias("num"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+
+
+def auc_of_pairs(num: str = "num", pos: str = "n_pos", neg: str = "n_neg") -> Column:
+    """The AUC of exact pair counts; NULL for a single class."""
+    den = F.col(pos).cast("double") * F.col(neg).cast("double") * 2.0
+    return F.col(num).cast("double") / F.nullif(den, F.lit(0.0))
+
+
+def auc(df: DataFrame, score: str, y: str = "y", keys: Sequence[str] = (),
+        buckets: int | None = None) -> DataFrame:
+    """(keys, auc, n_pos, n_neg) over rows with a non-null score and label (``pair_counts``)."""
+    g = pair_counts(df, score, y, keys, buckets)
+    return g.select(*keys, auc_of_pairs().alias("auc"), F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"))
 
 
 def auc_panel(df: DataFrame, features: Sequence[str], y: str = "y", keys: Sequence[str] = (),

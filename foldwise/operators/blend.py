@@ -1,10 +1,11 @@
 """Blend-weight sweeps, run comparison and promotion verdicts.
 
 The reference optimises linear blend weights with a finite-difference solver on a
-piecewise-constant objective; here the search is a deterministic grid sweep:
-every weight vector is scored in ONE job.  Predictions are pivoted to one column
-per model (a shuffle by id), each weight vector becomes one generated expression,
-``inline`` turns them into (w_id, score) rows and the exact AUC is keyed by w_id.
+piecewise-constant objective; here the search is a deterministic grid sweep.  Predictions
+are pivoted to one column per model (a shuffle by id) and stored; each weight vector is one
+generated expression over them.  Bin counts of every weight's scores bound its AUC without
+a shuffle of rows x weights, so that the best weight needs exact scores of few; a sweep that
+reports the exact AUC of every weight shuffles each weight's scores once, by bin (``Blend``).
 The weight list is a driver-side parameter (bounded), never a data cross join.
 """
 
@@ -12,12 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.operators import auc as A
 from foldwise.operators import ranks as R
-from foldwise.session import parallelism
+from foldwise.session import materialize, parallelism
 
 # The blend ratios (first:second source, percent) of the
 # reference's raw and rank-scaled two-model sweeps.
@@ -57,63 +58,175 @@ def rank_scale(preds: DataFrame, by: Sequence[str] = (), model_col: str = "model
     return r.select(*by, id_col, model_col, F.col("_r01").alias(score))
 
 
-def blend_long(wide: DataFrame, models: Sequence[str], weights: Sequence[Sequence[float]],
-               keep: Sequence[str]) -> DataFrame:
-    """(keep..., w_id, score) with score = sum_m w_m * model_m for every weight vector.
-
-    ``posexplode`` of a primitive double array (w_id = position) is cheaper per
-    row than exploding structs."""
-    exprs = []
-    for w in weights:
-        expr = None
-        for m, wm in zip(models, w):
-            term = F.lit(float(wm)) * F.col(m)
-            expr = term if expr is None else expr + term
-        exprs.append(expr)
-    return wide.select(*keep, F.posexplode(F.array(*exprs)).alias("w_id", "score"))
+#: Bins of a weight's scores.
+BINS = 1024
+
+
+class Blend:
+    """Scores of many weight vectors over one wide table, read a few times and never shuffled
+    by row and weight unless a weight's exact AUC is asked for.
+
+    ``wide`` has a column per model, the label and the ``by`` columns; it is stored.  A weight's
+    scores are binned between the bounds that the models' extremes give, and positives and
+    negatives are counted by (by, weight, bin).  Bin counts merge: what is shuffled is bounded by
+    weights x bins for each task, whatever the number of rows.  Pairs in different bins are in
+    order, so the counts bound each AUC from both sides."""
+
+    def __init__(self, wide: DataFrame, models: Sequence[str], weights: Sequence[Sequence[float]], y: str = "y",
+                 by: Sequence[str] = (), bins: int = BINS):
+        self.models, self.weights, self.y, self.by, self.bins = list(models), [tuple(map(float, w)) for w in weights], y, list(by), bins
+        spark = wide.sparkSession
+        n = max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+        # AQE sizes the stage by its small input, while every row is scored once for each weight
+        rows = wide.where(F.col(y).isNotNull()).select(*self.by, F.col(y).cast("long").alias("__fw_y"), *self.models)
+        self.wide = materialize(rows.repartition(n))
+        # NaN and infinities are left to the clamp of the bins
+        finite = [F.when(F.abs(F.col(m).cast("double")) < F.lit(float("inf")), F.col(m).cast("double")) for m in self.models]
+        ends = self.wide.agg(*[f(c) for c in finite for f in (F.min, F.max)]).head()
+        low, high = [0.0 if e is None else e for e in ends[0::2]], [0.0 if e is None else e for e in ends[1::2]]
+        self.low = [sum(w * (a if w >= 0 else b) for w, a, b in zip(ws, low, high)) for ws in self.weights]
+        self.high = [sum(w * (b if w >= 0 else a) for w, a, b in zip(ws, low, high)) for ws in self.weights]
+        self.counts = materialize(self._binned(range(len(self.weights))).groupBy(*self.by, "w_id", "__fw_bin").agg(
+            F.sum("__fw_y").alias("pos"), (F.count(F.lit(1)) - F.sum("__fw_y")).alias("neg")))
+
+    def _binned(self, chosen: Sequence[int]) -> DataFrame:
+        """(by, __fw_y, w_id, score, __fw_bin) of the chosen weights."""
+        chosen = list(chosen)
+        exprs = []
+        for i in chosen:
+            terms = [F.lit(w) * F.col(m) for w, m in zip(self.weights[i], self.models)]
+            exprs.append(sum(terms[1:], terms[0]))
+        # exploding a primitive array is cheaper for each row than exploding structs
+        long = self.wide.select(*self.by, "__fw_y", F.posexplode(F.array(*exprs)).alias("__fw_at", "score")).where(F.col("score").isNotNull())
+
+        def of(values):
+            return F.get(F.array(*[F.lit(v) for v in values]), F.col("__fw_at"))
+
+        scale = [self.bins / (self.high[i] - self.low[i]) if self.high[i] > self.low[i] else 0.0 for i in chosen]
+        scale = [s if s < float("inf") else 0.0 for s in scale]
+        at = (F.col("score") - of([self.low[i] for i in chosen])) * of(scale)
+        # NaN is the largest score; a bin is a non-decreasing function of the score
+        place = F.when(at >= self.bins - 1, self.bins - 1).when(at > 0, F.floor(at)).otherwise(0).cast("int")
+        last = F.when(F.isnan("score"), F.lit(self.bins - 1)).otherwise(place)
+        return long.select(*self.by, "__fw_y", of(chosen).alias("w_id"), "score", last.alias("__fw_bin"))
+
+    def _across(self) -> DataFrame:
+        """(by, w_id, num, pos, neg): twice the pairs in order across bins, and the pairs within bins."""
+        before = Window.partitionBy(*self.by, "w_id").orderBy("__fw_bin").rowsBetween(Window.unboundedPreceding, -1)
+        big = "decimal(38,0)"
+        c = self.counts.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
+        return c.groupBy(*self.by, "w_id").agg(
+            F.sum(F.col("pos").cast(big) * (F.col("below") * 2).cast(big)).cast(big).alias("num"),
+            F.sum(F.col("pos").cast(big) * F.col("neg").cast(big)).cast(big).alias("within"),
+            F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+
+    def bounds(self) -> DataFrame:
+        """(by, w_id, auc_low, auc_high, n_pos, n_neg): bounds of every weight's AUC, from the bins alone."""
+        c = self._across().withColumn("top", F.col("num") + F.col("within") * 2)
+        return c.select(*self.by, "w_id", A.auc_of_pairs("num").alias("auc_low"), A.auc_of_pairs("top").alias("auc_high"),
+                        F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"))
+
+    def exact(self, chosen: Sequence[int] | None = None) -> DataFrame:
+        """(by, w_id, auc, n_pos, n_neg) of the chosen weights (all by default), exact.
+
+        Pairs across bins come from the counts, pairs within a bin from one shuffle of the
+        chosen weights' scores by bin.  A bin that holds many times its share (a hot score, an outlier
+        that stretches the scale) goes through ranges instead (``auc.pair_counts``)."""
+        chosen = list(range(len(self.weights)) if chosen is None else chosen)
+        key = [*self.by, "w_id", "__fw_bin"]
+        rows = self._binned(chosen)
+        mean = F.sum(F.col("pos") + F.col("neg")).over(Window.partitionBy(*self.by, "w_id")) / self.bins
+        hot = (self.counts.withColumn("mean", mean).where((F.col("pos") > 0) & (F.col("neg") > 0) & F.col("w_id").isin(chosen))
+               .where(F.col("pos") + F.col("neg") > F.greatest(F.col("mean") * 16, F.lit(HOT_BIN))).select(*key))
+        hot = materialize(hot)  # at most bins / 16 for each weight
+        big = "decimal(38,0)"
+        n_hot = hot.count()
+        within = [A.pair_counts(_matching(rows, hot, key, "left_semi"), "score", "__fw_y", key).select(*self.by, "w_id", "num")] if n_hot else []
+        if n_hot:
+            rows = _matching(rows, hot, key, "left_anti")
+        upto = Window.partitionBy(*key).orderBy("score").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        pos_upto, upto = F.sum("__fw_y").over(upto), F.count(F.lit(1)).over(upto)
+        # negatives up to a positive: in order or tied; positives up to a negative: out of order or tied
+        up = F.when(F.col("__fw_y") == 1, F.col("upto") - F.col("pos_upto")).otherwise(-F.col("pos_upto"))
+        light = rows.select(*key, "__fw_y", pos_upto.alias("pos_upto"), upto.alias("upto")).groupBy(*key).agg(
+            F.sum(up).alias("up"), F.sum("__fw_y").alias("pos"), (F.count(F.lit(1)) - F.sum("__fw_y")).alias("neg"))
+        within.append(light.select(*self.by, "w_id", (F.col("up").cast(big) + F.col("pos").cast(big) * F.col("neg").cast(big)).cast(big).alias("num")))
+        parts = self._across().where(F.col("w_id").isin(chosen)).select(*self.by, "w_id", "num", "n_pos", "n_neg")
+        for w in within:
+            parts = parts.unionByName(w.select(*self.by, "w_id", "num", F.lit(0).cast("long").alias("n_pos"), F.lit(0).cast("long").alias("n_neg")))
+        g = parts.groupBy(*self.by, "w_id").agg(F.sum("num").alias("num"), F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
+        return g.select(*self.by, "w_id", A.auc_of_pairs().alias("auc"), F.col("n_pos").cast("long").alias("n_pos"),
+                        F.col("n_neg").cast("long").alias("n_neg"))
+
+    def with_weights(self, scored: DataFrame) -> DataFrame:
+        """Add the weights of each ``w_id``."""
+        wt = scored.sparkSession.createDataFrame([(i, *w) for i, w in enumerate(self.weights)],
+                                                 "w_id int, " + ", ".join(f"w_{m} double" for m in self.models))
+        # the weight table is the parameter list itself: bounded, so broadcast it
+        return scored.join(F.broadcast(wt), "w_id", "inner")
+
+    def best(self) -> DataFrame:
+        """The weight of the highest AUC in each ``by`` group (ties: lowest w_id), exact: only weights
+        whose upper bound reaches the highest lower bound are scored row by row."""
+        b = self.bounds().withColumn("bar", F.max("auc_low").over(Window.partitionBy(*self.by)))
+        # at most one row for each weight of the parameter list
+        chosen = [r.w_id for r in b.where(F.col("auc_high") >= F.col("bar")).select("w_id").distinct().collect()]
+        return blend_best(self.with_weights(self.exact(sorted(chosen) or [0])), self.by)
+
+
+#: Rows of a bin below which it is never hot.
+HOT_BIN = 100_000
+
+
+def _matching(rows: DataFrame, keys: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    right = keys.select(*[F.col(c).alias(f"__fw_m{i}") for i, c in enumerate(on)])
+    cond = [F.col(c).eqNullSafe(F.col(f"__fw_m{i}")) for i, c in enumerate(on)]
+    return rows.join(F.broadcast(right), cond, how)
 
 
 def blend_sweep(wide: DataFrame, models: Sequence[str], weights: Sequence[Sequence[float]],
-                y: str = "y") -> DataFrame:
-    """B1/B2: (w_id, weights..., auc, n_pos, n_neg) for every weight vector, one job.
+                y: str = "y", by: Sequence[str] = ()) -> DataFrame:
+    """B1/B2: (by, w_id, weights..., auc, n_pos, n_neg), exact for every weight vector."""
+    b = Blend(wide, models, weights, y, by)
+    return b.with_weights(b.exact())
 
-    The weight expansion multiplies rows by len(weights) inside one stage, while
-    AQE sizes that stage by its (small) input; the scored table is therefore
-    spread over the cluster's parallelism first.
-    """
-    spark = wide.sparkSession
-    n = max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    wide = wide.select(y, *models).repartition(n)
-    long = blend_long(wide, models, weights, [y])
-    res = A.auc(long, "score", y, ["w_id"])
-    wt = wide.sparkSession.createDataFrame(
-        [(i, *[float(x) for x in w]) for i, w in enumerate(weights)],
-        "w_id int, " + ", ".join(f"w_{m} double" for m in models))
-    # the weight table is the parameter list itself: bounded, so broadcast it
-    return res.join(F.broadcast(wt), "w_id", "inner")
+
+def blend_bounds(wide: DataFrame, models: Sequence[str], weights: Sequence[Sequence[float]],
+                 y: str = "y", by: Sequence[str] = (), bins: int = BINS) -> DataFrame:
+    """B1: (by, w_id, weights..., auc_low, auc_high, n_pos, n_neg) without sorting any weight's scores."""
+    b = Blend(wide, models, weights, y, by, bins)
+    return b.with_weights(b.bounds())
+
+
+def best_weights(wide: DataFrame, models: Sequence[str], weights: Sequence[Sequence[float]],
+                 y: str = "y", by: Sequence[str] = ()) -> DataFrame:
+    """B1: the weight vector with the highest AUC in each ``by`` group (``Blend.best``)."""
+    return Blend(wide, models, weights, y, by).best()
 
 
-def blend_best(sweep: DataFrame) -> DataFrame:
-    """Top-1 report: the weight vector with the highest AUC (ties -> lowest w_id)."""
-    return sweep.orderBy(F.desc("auc"), F.asc("w_id")).limit(1)
+def blend_best(sweep: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Top-1 report of a sweep: the highest AUC in each ``by`` group (ties -> lowest w_id)."""
+    order = Window.partitionBy(*by).orderBy(F.desc("auc"), F.asc("w_id"))
+    return sweep.withColumn("__fw_i", F.row_number().over(order)).where(F.col("__fw_i") == 1).drop("__fw_i")
 
 
 def compare_runs(scored: DataFrame, run_col: str, base: str, cand: str, score: str = "score",
-                 fold: str = "fold", y: str = "y") -> DataFrame:
-    """Per-fold AUC of a baseline and a candidate run and their difference."""
-    per = A.auc(scored.where(F.col(run_col).isin(base, cand)), score, y, [run_col, fold])
-    b = per.where(F.col(run_col) == base).select(fold, F.col("auc").alias("auc_base"))
-    c = per.where(F.col(run_col) == cand).select(fold, F.col("auc").alias("auc_cand"))
-    return b.join(c, fold, "inner").withColumn("delta", F.col("auc_cand") - F.col("auc_base"))
+                 fold: str = "fold", y: str = "y", by: Sequence[str] = ()) -> DataFrame:
+    """Per-fold AUC of a baseline and a candidate run and their difference (J4), within ``by``."""
+    per = A.auc(scored.where(F.col(run_col).isin(base, cand)), score, y, [*by, run_col, fold])
+    g = per.groupBy(*by, fold).agg(*[F.max(F.when(F.col(run_col) == run, F.col("auc"))).alias(n) for run, n in ((base, "auc_base"), (cand, "auc_cand"))],
+                                   F.count(F.lit(1)).alias("__fw_n"))
+    # a fold that one of the runs lacks has no difference
+    return g.where(F.col("__fw_n") == 2).drop("__fw_n").withColumn("delta", F.col("auc_cand") - F.col("auc_base"))
 
 
-def promotion_verdict(deltas: DataFrame, threshold: float = 0.0003) -> DataFrame:
-    """Mean delta, sd of paired deltas, folds improved and a verdict.
+def promotion_verdict(deltas: DataFrame, threshold: float = 0.0003, by: Sequence[str] = ()) -> DataFrame:
+    """Mean delta, sd of paired deltas, folds improved and a verdict, within ``by``.
 
     promote: mean delta above the noise threshold AND a majority of folds improved;
     reject: mean delta below zero; otherwise neutral.
     """
-    g = deltas.agg(F.avg("delta").alias("mean_delta"), F.stddev_samp("delta").alias("sd_delta"),
+    g = deltas.groupBy(*by).agg(F.avg("delta").alias("mean_delta"), F.stddev_samp("delta").alias("sd_delta"),
                    F.count_if(F.col("delta") > 0).alias("folds_improved"), F.count("delta").alias("n_folds"))
     verdict = (F.when((F.col("mean_delta") > threshold) & (F.col("folds_improved") * 2 > F.col("n_folds")),
                       F.lit("promote"))

@@ -33,37 +33,37 @@ RATIOS = BL.ratio_weights()
 
 
 def _train_preds(spark, sf):
-    return FX.preds(spark, sf).where((F.col("seed") == 42) & (F.col("split") == "train"))
+    return FX.preds(spark, sf).where(F.col("split") == "train")
 
 
 def _labelled_wide(spark, sf, models, rank_scaled=False):
     p = _train_preds(spark, sf).where(F.col("model").isin(list(models)))
     if rank_scaled:
-        p = BL.rank_scale(p)
-    wide = BL.pivot_models(p, models)
+        p = BL.rank_scale(p, ["seed"])
+    wide = BL.pivot_models(p, models, by=["seed"])
     return wide.join(FX.labels_of(spark, sf).select("id", "y"), "id", "inner")
 
 
 def _sweep(spark, sf, models, weights, rank_scaled=False):
-    return BL.blend_sweep(_labelled_wide(spark, sf, models, rank_scaled), models, weights)
+    return BL.blend_sweep(_labelled_wide(spark, sf, models, rank_scaled), models, weights, by=["seed"])
 
 
 @q("blend_sweep")
 def blend_sweep(spark, sf):
-    """B1: exact AUC of every 3-model weight vector on a 0.1 simplex grid."""
+    """B1: exact AUC of every 3-model weight vector on a 0.1 simplex grid, for each seed."""
     return _round_doubles(_sweep(spark, sf, MODELS, GRID))
 
 
 def _sweep_ctes(models, weights, rank_scaled=False):
     src = "_p"
-    ctes = [("_p", "SELECT * FROM preds WHERE seed = 42 AND split = 'train' AND model IN ("
+    ctes = [("_p", "SELECT * FROM preds WHERE split = 'train' AND model IN ("
              + ", ".join(f"'{m}'" for m in models) + ")")]
     if rank_scaled:
-        ctes.append(("_pr", "SELECT id, model, " + rank_sql("_p", ["model"], "score")
-                     + " / count(*) OVER (PARTITION BY model) AS score FROM _p"))
+        ctes.append(("_pr", "SELECT seed, id, model, " + rank_sql("_p", ["seed", "model"], "score")
+                     + " / count(*) OVER (PARTITION BY seed, model) AS score FROM _p"))
         src = "_pr"
-    ctes.append(("_wide", "SELECT id, " + ", ".join(f"max(CASE WHEN model = '{m}' THEN score END) AS {m}"
-                                                    for m in models) + f" FROM {src} GROUP BY id"))
+    ctes.append(("_wide", "SELECT seed, id, " + ", ".join(f"max(CASE WHEN model = '{m}' THEN score END) AS {m}"
+                                                          for m in models) + f" FROM {src} GROUP BY seed, id"))
     ctes.append(("_lab", "SELECT w.*, e.y FROM _wide w JOIN obs_events e ON w.id = e.id"))
     vals = ", ".join("(" + ", ".join([str(i)] + [f"CAST({float(x)!r} AS DOUBLE)" for x in w]) + ")"
                      for i, w in enumerate(weights))
@@ -72,9 +72,9 @@ def _sweep_ctes(models, weights, rank_scaled=False):
     branches = []
     for i, w in enumerate(weights):
         expr = " + ".join(f"CAST({float(x)!r} AS DOUBLE) * l.{m}" for m, x in zip(models, w))
-        branches.append(f"SELECT {i} AS w_id, l.y, {expr} AS score FROM _lab l")
+        branches.append(f"SELECT l.seed, {i} AS w_id, l.y, {expr} AS score FROM _lab l")
     ctes.append(("_bl", " UNION ALL ".join(branches)))
-    extra, final = auc_sql("_bl", ["w_id"], "score")
+    extra, final = auc_sql("_bl", ["seed", "w_id"], "score")
     return ctes + extra, final
 
 
@@ -90,7 +90,8 @@ ORACLE["blend_sweep"] = _sweep_sql(MODELS, GRID)
 
 @q("blend_best")
 def blend_best(spark, sf):
-    return _round_doubles(BL.blend_best(_sweep(spark, sf, MODELS, GRID)))
+    """B1: the best weight vector of each seed; bin counts rule out most of the others."""
+    return _round_doubles(BL.best_weights(_labelled_wide(spark, sf, MODELS), MODELS, GRID, by=["seed"]))
 
 
 def _best_sql():
@@ -102,12 +103,45 @@ def _best_sql():
         " * CAST(sum(neg) AS DOUBLE) * 2.0, 0)")
     wcols = ", ".join(f"{sql_r6(f'_wt.w_{m}')} AS w_{m}" for m in MODELS)
     return FX.with_views(
-        f"SELECT a.w_id, {sql_r6('a.auc')} AS auc, a.n_pos, a.n_neg, {wcols} FROM ({raw}) a "
-        "JOIN _wt ON a.w_id = _wt.w_id ORDER BY a.auc DESC, a.w_id LIMIT 1", "preds", extra=ctes)
+        f"SELECT a.seed, a.w_id, {sql_r6('a.auc')} AS auc, a.n_pos, a.n_neg, {wcols} FROM "
+        f"(SELECT *, row_number() OVER (PARTITION BY seed ORDER BY auc DESC, w_id) AS i FROM ({raw}) r) a "
+        "JOIN _wt ON a.w_id = _wt.w_id WHERE a.i = 1", "preds", extra=ctes)
 
 
 ORACLE["blend_best"] = _best_sql()
 
+
+BOUND_BINS = 64
+
+
+@q("blend_bounds")
+def blend_bounds(spark, sf):
+    """B1: bounds of every weight vector's AUC from bin counts, which merge in any order."""
+    return _round_doubles(BL.blend_bounds(_labelled_wide(spark, sf, MODELS), MODELS, GRID, by=["seed"], bins=BOUND_BINS))
+
+
+def _bounds_sql():
+    ctes, _ = _sweep_ctes(MODELS, GRID)
+    ctes = [c for c in ctes if c[0] not in ("_t", "_c")]
+    ends = ", ".join(f"min({m}) AS lo_{m}, max({m}) AS hi_{m}" for m in MODELS)
+    ctes.append(("_ends", f"SELECT {ends} FROM _lab"))
+    lo, hi = (" + ".join(f"_wt.w_{m} * _ends.{e}_{m}" for m in MODELS) for e in ("lo", "hi"))
+    ctes.append(("_scale", f"SELECT w_id, {lo} AS lo, {BOUND_BINS} / ({hi} - ({lo})) AS scale FROM _wt, _ends"))
+    ctes.append(("_bins", "SELECT b.seed, b.w_id, b.y, CAST(greatest(0, least("
+                 f"{BOUND_BINS - 1}, floor((b.score - s.lo) * s.scale))) AS INTEGER) AS bin FROM _bl b JOIN _scale s ON s.w_id = b.w_id"))
+    ctes.append(("_n", "SELECT seed, w_id, bin, sum(y) AS pos, count(*) - sum(y) AS neg FROM _bins GROUP BY seed, w_id, bin"))
+    ctes.append(("_below", "SELECT *, COALESCE(sum(neg) OVER (PARTITION BY seed, w_id ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING "
+                 "AND 1 PRECEDING), 0) AS below FROM _n"))
+    low, high = (f"CAST(sum(CAST(pos AS HUGEINT) * CAST({t} AS HUGEINT)) AS DOUBLE) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE) * 2.0)"
+                 for t in ("2 * below", "2 * below + 2 * neg"))
+    agg = (f"SELECT seed, w_id, {sql_r6(low)} AS auc_low, {sql_r6(high)} AS auc_high, CAST(sum(pos) AS BIGINT) AS n_pos, "
+           "CAST(sum(neg) AS BIGINT) AS n_neg FROM _below GROUP BY seed, w_id")
+    wcols = ", ".join(f"{sql_r6(f'_wt.w_{m}')} AS w_{m}" for m in MODELS)
+    return FX.with_views(f"SELECT a.*, {wcols} FROM ({agg}) a JOIN _wt ON a.w_id = _wt.w_id", "preds", extra=ctes)
+
+
+ORACLE["blend_bounds"] = _bounds_sql()
+
 TWO = ["m_a", "m_b"]
 
 
@@ -132,7 +166,7 @@ ORACLE["blend_ratios_rank"] = _sweep_sql(TWO, RATIOS, rank_scaled=True)
 def _run_compare_df(spark, sf):
     folds = train_folds(spark, sf).select("id", "fold", "y")
     scored = _train_preds(spark, sf).join(folds, "id", "inner")
-    return BL.compare_runs(scored, "model", "m_b", "m_a")
+    return BL.compare_runs(scored, "model", "m_b", "m_a", by=["seed"])
 
 
 @q("run_compare")
@@ -142,35 +176,35 @@ def run_compare(spark, sf):
 
 
 def _compare_ctes():
-    src = ("SELECT p.model, p.score, f.fold, f.y FROM preds p JOIN _f f ON p.id = f.id "
-           "WHERE p.seed = 42 AND p.split = 'train' AND p.model IN ('m_a', 'm_b')")
-    extra, final = auc_sql("_src", ["model", "fold"], "score")
+    src = ("SELECT p.seed, p.model, p.score, f.fold, f.y FROM preds p JOIN _f f ON p.id = f.id "
+           "WHERE p.split = 'train' AND p.model IN ('m_a', 'm_b')")
+    extra, final = auc_sql("_src", ["seed", "model", "fold"], "score")
     raw = final.replace(sql_r6(
         "CAST(sum(CAST(pos AS HUGEINT) * CAST(2 * nb + neg AS HUGEINT)) AS DOUBLE) / NULLIF(CAST(sum(pos) AS DOUBLE)"
         " * CAST(sum(neg) AS DOUBLE) * 2.0, 0)"),
         "CAST(sum(CAST(pos AS HUGEINT) * CAST(2 * nb + neg AS HUGEINT)) AS DOUBLE) / NULLIF(CAST(sum(pos) AS DOUBLE)"
         " * CAST(sum(neg) AS DOUBLE) * 2.0, 0)")
-    cmp = ("SELECT b.fold, b.auc AS auc_base, c.auc AS auc_cand, c.auc - b.auc AS delta "
-           "FROM _per b JOIN _per c ON b.fold = c.fold WHERE b.model = 'm_b' AND c.model = 'm_a'")
+    cmp = ("SELECT b.seed, b.fold, b.auc AS auc_base, c.auc AS auc_cand, c.auc - b.auc AS delta "
+           "FROM _per b JOIN _per c ON b.seed = c.seed AND b.fold = c.fold WHERE b.model = 'm_b' AND c.model = 'm_a'")
     return TRAIN_CTES + [("_src", src)] + extra + [("_per", raw), ("_cmp", cmp)]
 
 
 ORACLE["run_compare"] = FX.with_views(
-    f"SELECT fold, {sql_r6('auc_base')} AS auc_base, {sql_r6('auc_cand')} AS auc_cand, {sql_r6('delta')} AS delta "
+    f"SELECT seed, fold, {sql_r6('auc_base')} AS auc_base, {sql_r6('auc_cand')} AS auc_cand, {sql_r6('delta')} AS delta "
     "FROM _cmp", "preds", extra=_compare_ctes())
 
 
 @q("promotion_verdict")
 def promotion_verdict(spark, sf):
     """mean/sd of paired fold deltas, folds improved, verdict."""
-    return _round_doubles(BL.promotion_verdict(_run_compare_df(spark, sf)))
+    return _round_doubles(BL.promotion_verdict(_run_compare_df(spark, sf), by=["seed"]))
 
 
 ORACLE["promotion_verdict"] = FX.with_views(
-    f"SELECT {sql_r6('avg(delta)')} AS mean_delta, {sql_r6('stddev_samp(delta)')} AS sd_delta, "
+    f"SELECT seed, {sql_r6('avg(delta)')} AS mean_delta, {sql_r6('stddev_samp(delta)')} AS sd_delta, "
     "count(*) FILTER (WHERE delta > 0) AS folds_improved, count(delta) AS n_folds, "
     "CASE WHEN avg(delta) > 0.0003 AND count(*) FILTER (WHERE delta > 0) * 2 > count(delta) THEN 'promote' "
-    "WHEN avg(delta) < 0 THEN 'reject' ELSE 'neutral' END AS verdict FROM _cmp", "preds", extra=_compare_ctes())
+    "WHEN avg(delta) < 0 THEN 'reject' ELSE 'neutral' END AS verdict FROM _cmp GROUP BY seed", "preds", extra=_compare_ctes())
 
 ADVISE = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"),
           ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double")]

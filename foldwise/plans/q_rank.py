@@ -76,15 +76,12 @@ def _rank_avg_ctes():
 
 @q("rank_average")
 def rank_average(spark, sf):
-    p = FX.preds(spark, sf).where(F.col("seed") == 42)
-    out = R.rank_average(p, "id", ["split", "seed"])
+    out = R.rank_average(FX.preds(spark, sf), "id", ["split", "seed"])
     return out.select("split", "seed", "id", r6("score").alias("score"))
 
 
 ORACLE["rank_average"] = FX.with_views(
-    f"SELECT split, seed, id, {sql_r6('score')} AS score FROM _a", "preds",
-    extra=[("_p42", "SELECT * FROM preds WHERE seed = 42")] + [
-        (n, b.replace("FROM preds", "FROM _p42")) for n, b in _rank_avg_ctes()])
+    f"SELECT split, seed, id, {sql_r6('score')} AS score FROM _a", "preds", extra=_rank_avg_ctes())
 
 
 def _super_ctes():
