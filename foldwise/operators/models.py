@@ -1,4 +1,4 @@
-"""Cross-validated training and model-level ensembling.
+"""Cross-validated training and model-level ensembling.
 
 Everything a fold's model learns comes from the training folds only, so the scored fold
 never enters medians, category codes, encodings or scaling:
@@ -8,11 +8,13 @@ never enters medians, category codes, encodings or scaling:
   wider ones, and all of them in the families that take numeric columns only
   (logistic regression, forests), as frequency and target encodings (E1, E3) computed by
   "total minus fold" from one (category, fold) table;
-* then ``VectorAssembler`` [-> ``StandardScaler``] -> classifier.
+* then Newton steps for logistic regressions (``logistic``), or ``VectorAssembler`` [-> ``StandardScaler``]
+  -> classifier.
 
-The k fits run a few at a time over one stored training table -- the shape of
-``CrossValidator`` -- and every prediction is a keyed row (id, fold, model, score),
-never a positional array.  The test table is read once, by the k models in a chain.
+The features of all folds are computed and stored once (``FoldStore``), for any number of candidates; every
+prediction is a keyed row (id, fold, model, score), never a positional array.  Logistic fits of all folds
+and candidates share their passes; the k fits of other families run a few at a time.  The test table
+is read once.
 
 Spark ML trees reject NaN and NULL vectors, hence the imputation and the explicit
 ``_isna`` flags.  Mapping of the reference's boosting knobs (SURVEY 2.8.1):
@@ -30,16 +32,15 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions import exprs as X
 from foldwise.operators import auc as A
+from foldwise.operators import logistic as LG
 from foldwise.operators import ranks as R
 from foldwise.session import materialize, parallelism
 
@@ -74,7 +75,7 @@ def family(model_type: str) -> str:
     return MODEL_ALIASES[model_type]
 
 
-def _classifier(model_type: str, n_features: int, params: dict, seed: int, n_train: int | None):
+def _classifier(model_type: str, n_features: int, params: dict, seed: int):
     model_type = family(model_type)
     p = {**DEFAULTS.get(model_type, {}), **(params or {})}
     if model_type == "gbt":
@@ -84,31 +85,19 @@ def _classifier(model_type: str, n_features: int, params: dict, seed: int, n_tra
         return GBTClassifier(featuresCol="features", labelCol="_label", seed=seed, **p, **extra)
     if model_type == "rf":
         return RandomForestClassifier(featuresCol="features", labelCol="_label", seed=seed, **p)
-    if model_type == "lr":
-        c = p.pop("C", 0.1)
-        # scikit-learn's C on the summed loss == regParam 1 / (C * n) on Spark's mean loss
-        reg = 1.0 / (c * max(n_train or 1, 1))
-        # scikit-learn's lbfgs with the reference's 1000 iterations, tolerance 1e-4.  The L2
-        # penalty on standardised coefficients (standardization=True) is the same
-        # objective as StandardScaler + LogisticRegression, without a scaler pass;
-        # a model without a scaler passes standardization=False.
-        return LogisticRegression(featuresCol="features", labelCol="_label", regParam=reg,
-                                  standardization=p.pop("standardization", True),
-                                  maxIter=p.pop("maxIter", 1000), tol=p.pop("tol", 1e-4))
     hidden = p.pop("layers", [64, 32])
     return MultilayerPerceptronClassifier(featuresCol="features", labelCol="_label", seed=seed,
                                           layers=[n_features, *hidden, 2], **p)
 
 
-def build_pipeline(features: Sequence[str], model_type: str, params: dict | None = None, seed: int = 42,
-                   n_train: int | None = None) -> Pipeline:
-    """Assembler, scaling (E6: StandardScaler for the MLP, built-in standardisation for
-    logistic regression) and classifier over feature columns without NULLs."""
+def build_pipeline(features: Sequence[str], model_type: str, params: dict | None = None, seed: int = 42) -> Pipeline:
+    """Assembler, scaling (E6: StandardScaler for the MLP) and classifier over feature columns
+    without NULLs.  Logistic regressions are fitted by ``logistic.fit_logistic``."""
     scaled = family(model_type) == "mlp"
     stages = [VectorAssembler(inputCols=list(features), outputCol="_raw" if scaled else "features", handleInvalid="error")]
     if scaled:
         stages.append(StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True))
-    stages.append(_classifier(model_type, len(features), dict(params or {}), seed, n_train))
+    stages.append(_classifier(model_type, len(features), dict(params or {}), seed))
     return Pipeline(stages=stages)
 
 
@@ -135,13 +124,15 @@ def fold_medians(train: DataFrame, numeric: Sequence[str], ks: Sequence[int], fo
 
 
 def category_cells(train: DataFrame, c: str, y: str = "y", fold: str = "fold") -> DataFrame:
-    """(c, _cells, _all): sums and counts of the label by fold, and over all folds, of each level.
+    """(c, _cells, _all): by fold, and over all folds, of each level: the label's sum (s), labelled rows (n)
+    and all rows (m).
 
     ``_cells`` has one entry per fold, so a level's row is bounded by the number of folds."""
-    own = train.where(F.col(c).isNotNull() & F.col(fold).isNotNull() & F.col(y).isNotNull())
-    cells = own.groupBy(c, fold).agg(F.sum(F.col(y).cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
-    return cells.groupBy(c).agg(F.map_from_entries(F.collect_list(F.struct(fold, F.struct("s", "n")))).alias("_cells"),
-                                F.struct(F.sum("s").alias("s"), F.sum("n").alias("n")).alias("_all"))
+    own = train.where(F.col(c).isNotNull() & F.col(fold).isNotNull())
+    cells = own.groupBy(c, fold).agg(F.coalesce(F.sum(F.col(y).cast("double")), F.lit(0.0)).alias("s"), F.count(y).alias("n"),
+                                     F.count(F.lit(1)).alias("m"))
+    return cells.groupBy(c).agg(F.map_from_entries(F.collect_list(F.struct(fold, F.struct("s", "n", "m")))).alias("_cells"),
+                                F.struct(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("m").alias("m")).alias("_all"))
 
 
 def _without(c: str, folds: Sequence[Column], field: str) -> Column:
@@ -197,7 +188,7 @@ class FoldFeatures:
             away = [F.lit(k), F.col(self.fold)] if training else [F.lit(k)]
             target = _without(c, away, "s") / F.nullif(_without(c, away, "n"), F.lit(0))
             out.append(F.coalesce(target, F.lit(mean)).alias(f"_x_{c}_target"))
-            out.append((F.coalesce(_without(c, [F.lit(k)], "n"), F.lit(0)) / F.lit(float(max(seen, 1)))).alias(f"_x_{c}_freq"))
+            out.append((F.coalesce(_without(c, [F.lit(k)], "m"), F.lit(0)) / F.lit(float(max(seen, 1)))).alias(f"_x_{c}_freq"))
         return out
 
     def names(self) -> list[str]:
@@ -209,51 +200,114 @@ def _positive_prob(df: DataFrame, name: str = "score") -> DataFrame:
     return df.withColumn(name, vector_to_array("probability").getItem(1))
 
 
-def cv_train(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
+class FoldStore:
+    """The features of every fold, computed and stored once for any number of fits on them.
+
+    A row holds one array of features for each left-out fold k: in the rows of fold k as the model
+    that left it out scores them, in the others as it is fitted on them.  Candidates (feature groups,
+    hyper-parameters, model families of one kind) take positions of these arrays."""
+
+    def __init__(self, train: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), flags: Sequence[str] = (),
+                 model_type: str = "gbt", id_col: str = "id", y: str = "y", fold: str = "fold"):
+        self.id_col, self.fold = id_col, fold
+        data = train.where(F.col(fold).isNotNull()).select(id_col, y, fold, *numeric, *categorical, *flags)
+        self.feats = FoldFeatures(data, numeric, categorical, flags, model_type, id_col, y, fold)
+        self.ks, self.names = self.feats.ks, self.feats.names()
+        n_rows = sum(v[0] for v in self.feats.sizes.values())
+        # Iterative fits launch one job per iteration, so the task count matters:
+        # about ROWS_PER_PARTITION rows per partition, never fewer than a few.
+        n_parts = max(math.ceil(n_rows / ROWS_PER_PARTITION), min(4, parallelism(train.sparkSession)))
+        arrays = [F.when(F.col(fold) == k, F.array(*self.feats.columns(k, False))).otherwise(F.array(*self.feats.columns(k, True)))
+                  .alias(self.column(k)) for k in self.ks]
+        rows = self.feats.attach(data).select(id_col, F.col(fold).cast("int").alias(fold), F.col(y).cast("double").alias("_label"), *arrays)
+        self.data = materialize(rows.repartition(n_parts))
+
+    @staticmethod
+    def column(k: int) -> str:
+        return f"_f{k}"
+
+    def positions(self, numeric: Sequence[str], categorical: Sequence[str] = (), flags: Sequence[str] = ()) -> list[int]:
+        """Where the features of these columns are in the arrays."""
+        cats = [n for c in categorical for n in ([f"_x_{c}"] if c in self.feats.codes else [f"_x_{c}_target", f"_x_{c}_freq"])]
+        return [self.names.index(n) for n in [*(f"_x_{c}" for c in [*numeric, *flags]), *cats]]
+
+    def test_rows(self, test: DataFrame, ks: Sequence[int]) -> DataFrame:
+        """(id, arrays) of rows that no fold holds."""
+        f = self.feats
+        t = f.attach(test.select(self.id_col, *f.numeric, *f.categorical, *f.flags))
+        return t.select(self.id_col, *[F.array(*f.columns(k, False)).alias(self.column(k)) for k in ks])
+
+
+def _long_scores(scored: DataFrame, id_col: str, split: str, fold, names: Sequence[str]) -> DataFrame:
+    name = F.get(F.array(*map(F.lit, names)), F.col("_at"))
+    return scored.select(id_col, fold, F.posexplode("scores").alias("_at", "score")).select(
+        id_col, F.lit(split).alias("split"), name.alias("model"), "fold", "score")
+
+
+def cv_logistic(store: FoldStore, runs: dict[str, tuple[Sequence[int], dict]], test: DataFrame | None = None,
+                folds: Sequence[int] | None = None) -> tuple[DataFrame, list]:
+    """M1 for logistic regressions: ``runs`` (name -> feature positions, parameters) on all folds, fitted
+    together (``logistic.fit_logistic``).  Returns (predictions as ``cv_train`` gives them, the fits)."""
+    ks = list(folds) if folds is not None else store.ks
+    features = {k: store.column(k) for k in ks}
+    fits = []
+    for at, params in runs.values():
+        p = {**DEFAULTS["lr"], **(params or {})}
+        fits += [LG.Fit(k, float(p["C"]), tuple(at), bool(p.get("standardization", True))) for k in ks]
+    models = LG.fit_logistic(store.data, fits, features, "_label", store.fold)
+    by_run = [models[i * len(ks):(i + 1) * len(ks)] for i in range(len(runs))]
+    own = store.data.where(F.col(store.fold).isin(ks))
+    scored = LG.score_logistic(own, by_run, features, [store.id_col, store.fold], store.fold)
+    out = _long_scores(scored, store.id_col, "train", F.col(store.fold).alias("fold"), list(runs))
+    if test is not None:
+        rows = LG.score_logistic(store.test_rows(test, ks), by_run, features, [store.id_col])
+        out = out.unionByName(_long_scores(rows, store.id_col, "test", F.lit(None).cast("int").alias("fold"), list(runs)))
+    return materialize(out), models
+
+
+def cv_train(train: DataFrame | None, numeric: Sequence[str], categorical: Sequence[str] = (),
              flags: Sequence[str] = (), model_type: str = "gbt", params: dict | None = None,
              test: DataFrame | None = None, id_col: str = "id", y: str = "y", fold: str = "fold",
-             seed: int = 42, model_name: str | None = None, folds: Sequence[int] | None = None) -> DataFrame:
+             seed: int = 42, model_name: str | None = None, folds: Sequence[int] | None = None,
+             store: FoldStore | None = None) -> DataFrame:
     """M1: out-of-fold scores for ``train`` and fold-averaged scores for ``test``.
 
     Returns (id, split, model, fold, score): OOF rows carry their fold; test rows
     carry fold = NULL and the mean over the k fold models.  Rows without a label are scored,
-    not fitted on; rows without a fold take no part.  The training table is stored in
-    shared storage once (the fits read it many times); the test table is read once.
+    not fitted on; rows without a fold take no part.  The features of all folds are stored in
+    shared storage once (the fits read them many times); ``store`` gives those of an earlier
+    run, of which the named columns are used.  The test table is read once.
     """
     name = model_name or model_type
-    cols = [id_col, y, fold, *numeric, *categorical, *flags]
-    data = train.where(F.col(fold).isNotNull()).select(*cols)
-    feats = FoldFeatures(data, numeric, categorical, flags, model_type, id_col, y, fold)
-    data = feats.attach(data).withColumn("_label", F.col(y).cast("double"))
-    if params and params.get("early_stopping"):
-        data = data.withColumn("_is_val", X.hash_sample_pred(id_col, f"val{seed}", 0.1))
-    n_rows = sum(v[0] for v in feats.sizes.values())
-    # Iterative fits launch one job per iteration, so the task count matters:
-    # about ROWS_PER_PARTITION rows per partition, never fewer than a few.
-    n_parts = max(math.ceil(n_rows / ROWS_PER_PARTITION), min(4, parallelism(data.sparkSession)))
-    data = materialize(data.repartition(n_parts))
-    k_list = list(folds) if folds is not None else feats.ks
-    extra = [c for c in ("_is_val",) if c in data.columns]
+    store = store or FoldStore(train, numeric, categorical, flags, model_type, id_col, y, fold)
+    at = store.positions(numeric, categorical, flags)
+    if family(model_type) == "lr":
+        return cv_logistic(store, {name: (at, params)}, test, folds)[0]
+    id_col, fold, data, names = store.id_col, store.fold, store.data, [store.names[i] for i in at]
+    extra = [X.hash_sample_pred(id_col, f"val{seed}", 0.1).alias("_is_val")] if params and params.get("early_stopping") else []
+    k_list = list(folds) if folds is not None else store.ks
+
+    def columns(k: int) -> list[Column]:
+        return [F.col(store.column(k))[i].alias(n) for i, n in zip(at, names)]
 
     def fit(k: int):
-        tr = data.where((F.col(fold) != k) & F.col("_label").isNotNull()).select("_label", *extra, *feats.columns(k, True))
-        n_train = sum(v[2] for j, v in feats.sizes.items() if j != k)
-        return build_pipeline(feats.names(), model_type, params, seed, n_train).fit(tr)
+        tr = data.where((F.col(fold) != k) & F.col("_label").isNotNull()).select("_label", *extra, *columns(k))
+        return build_pipeline(names, model_type, params, seed).fit(tr)
 
     with ThreadPool(min(FIT_THREADS, max(1, len(k_list)))) as pool:
         models = pool.map(inheritable_thread_target(data.sparkSession)(fit), k_list)
     out = None
     for k, model in zip(k_list, models):
-        rows = data.where(F.col(fold) == k).select(id_col, fold, *feats.columns(k, False))
+        rows = data.where(F.col(fold) == k).select(id_col, fold, *columns(k))
         part = _positive_prob(model.transform(rows)).select(id_col, F.lit("train").alias("split"), F.lit(name).alias("model"),
-                                                            F.col(fold).cast("int").alias("fold"), "score")
+                                                            F.col(fold).alias("fold"), "score")
         out = part if out is None else out.unionByName(part)
     if test is not None:
-        t = feats.attach(test.select(id_col, *numeric, *categorical, *flags))
+        t = store.test_rows(test, k_list)
         keep = t.columns
         for i, (k, model) in enumerate(zip(k_list, models)):
-            scored = model.transform(t.select("*", *feats.columns(k, False)))
-            keep.append(f"_score{i}")
+            scored = model.transform(t.select("*", *columns(k)))
+            keep = [*keep, f"_score{i}"]
             t = _positive_prob(scored, f"_score{i}").select(*keep)
         mean = X.sum_of([f"_score{i}" for i in range(len(k_list))]) / F.lit(float(len(k_list)))
         out = out.unionByName(t.select(id_col, F.lit("test").alias("split"), F.lit(name).alias("model"),
@@ -261,6 +315,18 @@ def cv_train(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     return materialize(out)
 
 
+def _runs(store: FoldStore, runs: dict[str, tuple[dict, dict]], model_type: str, folds: Sequence[int] | None = None) -> DataFrame:
+    """OOF scores of named runs (columns by kind, parameters) over one store; logistic runs are fitted together."""
+    spec = {n: (c.get("numeric", []), c.get("categorical", []), c.get("flags", []), p) for n, (c, p) in runs.items()}
+    if family(model_type) == "lr":
+        return cv_logistic(store, {n: (store.positions(*s[:3]), s[3]) for n, s in spec.items()}, folds=folds)[0]
+    out = None
+    for n, s in spec.items():
+        part = cv_train(None, *s[:3], model_type, s[3], model_name=n, folds=folds, store=store)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def oof_auc(preds: DataFrame, labels: DataFrame, id_col: str = "id", y: str = "y",
             keys: Sequence[str] = ("model",)) -> tuple[DataFrame, DataFrame]:
     """A18/A19 over cv_train output: (per-fold AUC, overall OOF AUC)."""
@@ -273,8 +339,14 @@ def oof_auc(preds: DataFrame, labels: DataFrame, id_col: str = "id", y: str = "y
 def run_configs(train, configs: dict[str, tuple[str, dict]], numeric, categorical=(), flags=(), test=None,
                 seed: int = 42, **kw) -> DataFrame:
     """M2: several model configs on the same folds -> long (id, split, model, fold, score, seed)."""
-    parts = [cv_train(train, numeric, categorical, flags, mt, p, test, seed=seed, model_name=name, **kw)
-             for name, (mt, p) in configs.items()]
+    stores: dict[bool, FoldStore] = {}
+    parts = []
+    for name, (mt, p) in configs.items():
+        kind = family(mt) in NUMERIC_ONLY
+        if kind not in stores:
+            ids = {c: kw[c] for c in ("id_col", "y", "fold") if c in kw}
+            stores[kind] = FoldStore(train, numeric, categorical, flags, mt, **ids)
+        parts.append(cv_train(train, numeric, categorical, flags, mt, p, test, seed=seed, model_name=name, store=stores[kind], **kw))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -294,13 +366,12 @@ def multi_seed(train_by_seed: dict[int, DataFrame], configs, numeric, categorica
     return allp, ens
 
 
-def stack(oof: DataFrame, labels_folds: DataFrame, models: Sequence[str], transform: str = "raw",
-          id_col: str = "id", y: str = "y", fold: str = "fold", test: DataFrame | None = None,
-          seeds: Sequence[int] | None = None) -> DataFrame:
-    """Logistic meta-model (C = 1, no scaling) over the OOF score matrix, cross-validated
-    on the same folds; ``transform`` = raw | rank (rank / n per model) | logit.
+#: The meta-model: C = 1 on the columns as they are.
+STACK_PARAMS = {"C": 1.0, "standardization": False}
 
-    With ``seeds`` (column ``seed``) every model and seed is a column of its own."""
+
+def _score_matrix(oof: DataFrame, models: Sequence[str], transform: str, id_col: str, seeds: Sequence[int] | None) -> tuple[DataFrame, list[str]]:
+    """(id, split, a column per model [and seed]) and those columns' names."""
     src = oof.where(F.col("model").isin(list(models)))
     names = list(models)
     if seeds is not None:
@@ -311,44 +382,42 @@ def stack(oof: DataFrame, labels_folds: DataFrame, models: Sequence[str], transf
     elif transform == "logit":
         p = X.clip("score", 1e-6, 1 - 1e-6)
         src = src.withColumn("score", F.log(p / (F.lit(1.0) - p)))
-    wide = src.groupBy(id_col, "split").pivot("model", names).agg(F.first("score"))
+    return src.groupBy(id_col, "split").pivot("model", names).agg(F.first("score")), names
+
+
+def stack_store(oof: DataFrame, labels_folds: DataFrame, models: Sequence[str], transform: str = "raw", id_col: str = "id",
+                y: str = "y", fold: str = "fold", seeds: Sequence[int] | None = None) -> tuple[FoldStore, list[str]]:
+    """The OOF score matrix as the features of a meta-model."""
+    wide, names = _score_matrix(oof, models, transform, id_col, seeds)
     tr = wide.where(F.col("split") == "train").join(labels_folds.select(id_col, y, fold), id_col, "inner")
-    te = wide.where(F.col("split") == "test") if test is None else test
-    return cv_train(tr, names, model_type="lr", params={"C": 1.0, "standardization": False}, test=te, id_col=id_col, y=y,
-                    fold=fold, model_name=f"stack_{transform}")
+    return FoldStore(tr, names, model_type="lr", id_col=id_col, y=y, fold=fold), names
 
 
-def isotonic_oof(oof: DataFrame, labels_folds: DataFrame, id_col: str = "id", y: str = "y",
-                 fold: str = "fold") -> DataFrame:
-    """Per-fold isotonic calibration of OOF scores (fit on the other folds)."""
-    d = oof.where(F.col("split") == "train").select(id_col, "score").join(
-        labels_folds.select(id_col, y, fold), id_col, "inner").withColumn("_label", F.col(y).cast("double"))
-    ks = [r[0] for r in d.select(fold).distinct().orderBy(fold).collect()]
-    parts = []
-    for k in ks:
-        iso = IsotonicRegression(featuresCol="score", labelCol="_label", predictionCol="calibrated",
-                                 isotonic=True).fit(d.where(F.col(fold) != k))
-        parts.append(iso.transform(d.where(F.col(fold) == k)).select(id_col, fold, "score", "calibrated"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def stack(oof: DataFrame, labels_folds: DataFrame, models: Sequence[str], transform: str = "raw",
+          id_col: str = "id", y: str = "y", fold: str = "fold", test: DataFrame | None = None,
+          seeds: Sequence[int] | None = None) -> DataFrame:
+    """Logistic meta-model (C = 1, no scaling) over the OOF score matrix, cross-validated
+    on the same folds; ``transform`` = raw | rank (rank / n per model) | logit.
+
+    With ``seeds`` (column ``seed``) every model and seed is a column of its own."""
+    wide, names = _score_matrix(oof, models, transform, id_col, seeds)
+    tr = wide.where(F.col("split") == "train").join(labels_folds.select(id_col, y, fold), id_col, "inner")
+    te = wide.where(F.col("split") == "test") if test is None else test
+    return cv_train(tr, names, model_type="lr", params=STACK_PARAMS, test=te, id_col=id_col, y=y, fold=fold,
+                    model_name=f"stack_{transform}")
 
 
 def ablation(train, groups: dict[str, Sequence[str]], numeric, categorical=(), flags=(), model_type="gbt",
              params=None, id_col="id", y="y", labels=None) -> DataFrame:
-    """M8: leave-one-group-out CV; (group, auc, delta vs the full feature set)."""
+    """M8: leave-one-group-out CV; (group, auc, delta vs the full feature set).  One store serves all runs."""
     labels = labels if labels is not None else train.select(id_col, y)
-    full = cv_train(train, numeric, categorical, flags, model_type, params, model_name="__full__")
-    rows = [full]
-    for g, cols in groups.items():
+    store = FoldStore(train, numeric, categorical, flags, model_type, id_col, y)
+    runs = {}
+    for g, cols in {"__full__": (), **groups}.items():
         drop = set(cols)
-        rows.append(cv_train(train, [c for c in numeric if c not in drop], [c for c in categorical if c not in drop],
-                             [c for c in flags if c not in drop], model_type, params, model_name=g))
-    allp = rows[0]
-    for r in rows[1:]:
-        allp = allp.unionByName(r)
-    _, overall = oof_auc(allp, labels, id_col, y)
+        runs[g] = ({n: [c for c in own if c not in drop] for n, own in
+                    (("numeric", numeric), ("categorical", categorical), ("flags", flags))}, params)
+    _, overall = oof_auc(_runs(store, runs, model_type), labels, id_col, y)
     full_auc = overall.where(F.col("model") == "__full__").select("auc").scalar()
     return (overall.where(F.col("model") != "__full__")
             .select(F.col("model").alias("group"), "auc", (F.col("auc") - full_auc).alias("delta")))
@@ -356,14 +425,11 @@ def ablation(train, groups: dict[str, Sequence[str]], numeric, categorical=(), f
 
 def tune_scan(train, candidates: dict[str, dict], numeric, categorical=(), flags=(), model_type="gbt",
               id_col="id", y="y", labels=None) -> DataFrame:
-    """Every hyper-parameter candidate on the same folds -> (candidate, auc), best first."""
+    """Every hyper-parameter candidate on the same folds and store -> (candidate, auc), best first."""
     labels = labels if labels is not None else train.select(id_col, y)
-    parts = [cv_train(train, numeric, categorical, flags, model_type, p, model_name=name)
-             for name, p in candidates.items()]
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    _, overall = oof_auc(allp, labels, id_col, y)
+    store = FoldStore(train, numeric, categorical, flags, model_type, id_col, y)
+    columns = {"numeric": numeric, "categorical": categorical, "flags": flags}
+    _, overall = oof_auc(_runs(store, {n: (columns, p) for n, p in candidates.items()}, model_type), labels, id_col, y)
     return overall.select(F.col("model").alias("candidate"), "auc").orderBy(F.desc("auc"), "candidate")
 
 
@@ -375,10 +441,8 @@ def screen(train, base: dict, candidate: dict, model_type="gbt", params=None, id
     ``folds=[0]`` gives the single-fold screen."""
     from foldwise.operators.blend import compare_runs
 
-    runs = []
-    for name, spec in (("baseline", base), ("candidate", candidate)):
-        runs.append(cv_train(train, spec.get("numeric", []), spec.get("categorical", []), spec.get("flags", []),
-                             model_type, params, model_name=name, folds=folds))
-    scored = runs[0].unionByName(runs[1]).where(F.col("split") == "train").join(
-        train.select(id_col, y), id_col, "inner")
+    every = {n: list(dict.fromkeys([*base.get(n, []), *candidate.get(n, [])])) for n in ("numeric", "categorical", "flags")}
+    store = FoldStore(train, every["numeric"], every["categorical"], every["flags"], model_type, id_col, y)
+    preds = _runs(store, {"baseline": (base, params), "candidate": (candidate, params)}, model_type, folds)
+    scored = preds.where(F.col("split") == "train").join(train.select(id_col, y), id_col, "inner")
     return compare_runs(scored, "model", "baseline", "candidate")

@@ -1,7 +1,8 @@
 """Catalog step 7: cross-validated Spark ML training and model-level ensembles
-(M1-M10, E5, E6, B3-B6).  Iterative fits are not SQL-expressible: these keys have
-no oracle (row-count check).  What the fits are given is: exact fold medians, category
-cells and the rows of each fold have keys with an oracle of their own."""
+(M1-M10, E5, E6, B3-B6).  Scores of iterative fits are not SQL-expressible: those keys have
+no oracle (row-count check).  What can be checked has keys of its own with one: what the fits are
+given (fold medians, category cells, rows of each fold), that logistic fits are optimal, and isotonic
+fits as a whole."""
 
 from __future__ import annotations
 
@@ -13,9 +14,11 @@ from foldwise.operators import binning as B
 from foldwise.operators import encode as EN
 from foldwise.operators import features as FE
 from foldwise.operators import folds as FO
+from foldwise.operators import isotonic as ISO
+from foldwise.operators import logistic as LG
 from foldwise.operators import models as M
 from foldwise.operators import ranks as R
-from foldwise.plans.common import O_NUM, O_ROLES, r6, sql_r6
+from foldwise.plans.common import DOMAIN_SQL, O_NUM, O_ROLES, r6, sql_r6
 from foldwise.plans.q_encode import TRAIN_CTES, train_folds
 from foldwise.sources import fixtures as FX
 
@@ -105,23 +108,127 @@ def stack_ranks(spark, sf):
 
 @q("isotonic")
 def isotonic(spark, sf):
-    """Per-fold isotonic calibration of a model's OOF scores; AUC before/after."""
+    """Per-fold isotonic calibration of every seed's and model's OOF scores; AUC before and after."""
+    cal = ISO.isotonic_oof(_labelled_oof(spark, sf), by=["seed", "model"])
+    keys = ["seed", "model", "fold"]
+    raw = A.auc(cal, "score", keys=keys).select(*keys, F.col("auc").alias("auc_raw"))
+    iso = A.auc(cal, "calibrated", keys=keys).select(*keys, F.col("auc").alias("auc_calibrated"))
+    return _round_doubles(raw.join(iso, keys))
+
+
+def _labelled_oof(spark, sf):
     lf = train_folds(spark, sf).select("id", "y", "fold")
-    oof = _fixture_oof(spark, sf).where((F.col("model") == "m_a") & (F.col("seed") == 42))
-    cal = M.isotonic_oof(oof, lf).join(lf.select("id", "y"), "id")
-    raw = A.auc(cal, "score", keys=["fold"]).withColumnRenamed("auc", "auc_raw")
-    iso = A.auc(cal, "calibrated", keys=["fold"]).select("fold", F.col("auc").alias("auc_calibrated"))
-    return _round_doubles(raw.join(iso, "fold").select("fold", "auc_raw", "auc_calibrated"))
+    return _fixture_oof(spark, sf).where(F.col("split") == "train").drop("split").join(lf, "id")
+
+
+@q("isotonic_fit")
+def isotonic_fit(spark, sf):
+    """The calibrated value of every whole score, fitted on the other folds."""
+    d = _labelled_oof(spark, sf).withColumn("score", F.floor("score").cast("double"))
+    out = ISO.isotonic_values(d, ["seed", "model"])
+    return _round_doubles(out.select("seed", "model", "fold", "score", "n", "s", "calibrated"))
+
+
+def _isotonic_sql():
+    fit = "seed, model, k"
+    ctes = [
+        *TRAIN_CTES,
+        ("_o", "SELECT p.seed, p.model, f.fold, f.y, CAST(floor(p.score) AS DOUBLE) AS x FROM preds p JOIN _f f ON p.id = f.id WHERE p.split = 'train'"),
+        ("_c", "SELECT seed, model, fold, x, count(*) AS n, CAST(sum(y) AS BIGINT) AS s FROM _o GROUP BY seed, model, fold, x"),
+        ("_k", "SELECT DISTINCT fold AS k FROM _f"),
+        ("_t", f"SELECT {fit}, x, sum(n) AS n, sum(s) AS s FROM _c, _k WHERE fold <> k GROUP BY {fit}, x"),
+        ("_u", f"SELECT *, sum(n) OVER w AS cn, sum(s) OVER w AS cs FROM _t WINDOW w AS (PARTITION BY {fit} ORDER BY x)"),
+        # the least mean from a up to any b at or after x, then the greatest of these over a at or before x
+        ("_m", "SELECT a.seed, a.model, a.k, a.x AS a, b.x AS x, min((b.cs - a.cs + a.s) / (b.cn - a.cn + a.n)) OVER "
+               "(PARTITION BY a.seed, a.model, a.k, a.x ORDER BY b.x DESC) AS least "
+               "FROM _u a JOIN _u b ON a.seed = b.seed AND a.model = b.model AND a.k = b.k AND a.x <= b.x"),
+        ("_g", f"SELECT {fit}, x, max(least) AS g FROM _m GROUP BY {fit}, x"),
+        ("_lo", "SELECT c.*, g.x AS lo_x, g.g AS lo FROM _c c ASOF LEFT JOIN _g g ON c.seed = g.seed AND c.model = g.model AND c.fold = g.k AND c.x >= g.x"),
+        ("_hi", "SELECT c.*, g.x AS hi_x, g.g AS hi FROM _lo c ASOF LEFT JOIN _g g ON c.seed = g.seed AND c.model = g.model AND c.fold = g.k AND c.x <= g.x"),
+    ]
+    value = ("CASE WHEN lo IS NULL THEN hi WHEN hi IS NULL OR hi_x = lo_x THEN lo ELSE lo + (x - lo_x) * ((hi - lo) / (hi_x - lo_x)) END")
+    return FX.with_views(f"SELECT seed, model, fold, x AS score, n, s, {sql_r6(value)} AS calibrated FROM _hi", "preds", extra=ctes)
+
+
+ORACLE["isotonic_fit"] = _isotonic_sql()
+
+
+def _certificate(store, models, label="_label"):
+    """Gradients from an aggregate of their own, and the moments that the fits standardise with."""
+    features = {k: store.column(k) for k in store.ks}
+    cert = LG.certificate(store.data, models, store.names, features, label, store.fold)
+    return _round_doubles(cert.select("left_out", "term", "n", "mean", "scale", "gradient"))
+
+
+@q("lr_certificate")
+def lr_certificate(spark, sf):
+    """M5 + E5 + E6: the logistic fits of cv_lr's numeric columns: optimal (gradient 0), on standardised imputed columns."""
+    store = M.FoldStore(_train(spark, sf), NUM, [], FLAGS, "lr")
+    _, models = M.cv_logistic(store, {"lr": (store.positions(NUM, [], FLAGS), {})})
+    return _certificate(store, models)
+
+
+def _lr_certificate_sql():
+    parts = []
+    for c in NUM:
+        v = f"COALESCE(CAST({c} AS DOUBLE), quantile_cont(CAST({c} AS DOUBLE), 0.5) OVER (PARTITION BY k))"
+        parts.append(f"SELECT k AS left_out, '_x_{c}' AS term, {v} AS v FROM _e")
+    parts += [f"SELECT k AS left_out, '_x_{c}_isna' AS term, CAST(CAST({c} IS NULL AS INTEGER) AS DOUBLE) AS v FROM _e" for c in ("x1", "x2", "x3")]
+    moments = ("SELECT left_out, term, count(*) AS n, avg(v) AS mean, CASE WHEN var_pop(v) > 0 THEN stddev_pop(v) ELSE 1.0 END AS scale FROM ("
+               + " UNION ALL ".join(parts) + ") z GROUP BY left_out, term UNION ALL SELECT k, 'intercept', count(*), 0.0, 1.0 FROM _e GROUP BY k")
+    return FX.with_views(f"SELECT left_out, term, n, {sql_r6('mean')} AS mean, {sql_r6('scale')} AS scale, CAST(0.0 AS DOUBLE) AS gradient FROM ({moments}) m",
+                         "obs_events", extra=[*TRAIN_CTES, ("_k", "SELECT CAST(unnest(range(5)) AS INTEGER) AS k"),
+                                              ("_e", "SELECT * FROM _f, _k WHERE fold <> k")])
+
+
+ORACLE["lr_certificate"] = _lr_certificate_sql()
+
+
+@q("stack_certificate")
+def stack_certificate(spark, sf):
+    """The meta-model's fits are optimal on the raw score matrix; rows, mean score and mean label of each fit."""
+    lf = train_folds(spark, sf).select("id", "y", "fold")
+    store, names = M.stack_store(_fixture_oof(spark, sf), lf, MODELS, "raw", seeds=SEEDS)
+    _, models = M.cv_logistic(store, {"stack": (store.positions(names), M.STACK_PARAMS)})
+    cert = _certificate(store, models).select("left_out", "term", "n", "gradient")
+    means = [F.struct(F.lit(k).alias("left_out"), F.lit(f"_x_{c}").alias("term"),
+                      F.avg(F.when(F.col("fold") != k, F.col(store.column(k))[i])).alias("mean_score")) for k in store.ks for i, c in enumerate(names)]
+    scores = store.data.agg(F.array(*means).alias("m")).select(F.inline("m"))
+    return _round_doubles(cert.join(scores, ["left_out", "term"], "left"))
+
+
+ORACLE["stack_certificate"] = FX.with_views(
+    f"SELECT left_out, term, n, CAST(0.0 AS DOUBLE) AS gradient, {sql_r6('mean_score')} AS mean_score FROM ("
+    "SELECT k AS left_out, '_x_' || p.model || '_' || p.seed AS term, count(*) AS n, avg(p.score) AS mean_score "
+    "FROM preds p JOIN _f f ON p.id = f.id, _k WHERE p.split = 'train' AND f.fold <> k GROUP BY k, p.model, p.seed "
+    "UNION ALL SELECT k, 'intercept', count(*), NULL FROM _f, _k WHERE fold <> k GROUP BY k) z", "preds",
+    extra=[*TRAIN_CTES, ("_k", "SELECT CAST(unnest(range(5)) AS INTEGER) AS k")])
 
 
-GROUPS = {"missing_flags": FLAGS, "categoricals": CAT, "x1": ["x1", "x1_isna"], "s_b": ["s_b"]}
+def _order_features(spark, sf):
+    """obs_orders' canonical features: (table with y, numeric, categorical, flag columns).
+
+    c2 is the order status the label is derived from: it never enters a model."""
+    o = FX.obs_orders(spark, sf)
+    feats = FE.build_features(o, "id", "y", O_NUM, MODEL_CAT, O_ROLES)
+    flags = [c for c in feats.columns if c.endswith("_isna")]
+    return feats, [c for c in feats.columns if c not in ("id", "y", *MODEL_CAT, *flags)], MODEL_CAT, flags
+
+
+MODEL_CAT = ["c1"]
 
 
 @q("ablation")
 def ablation(spark, sf):
-    """M8: leave-one-group-out deltas (logistic model for speed)."""
-    return _round_doubles(M.ablation(_train(spark, sf), GROUPS, NUM, CAT, FLAGS, "lr",
-                                     labels=FX.labels_of(spark, sf)))
+    """M8: leave-one-group-out deltas of the nine feature groups, on one store."""
+    feats, numeric, categorical, flags = _order_features(spark, sf)
+    counts = [c for c in numeric if c.startswith("missing_count")]
+    ratios = [n for n, _ in DOMAIN_SQL]
+    groups = {"residual": [c for c in (*numeric, *flags) if c.startswith("other_screen_time")], "indicators": flags, "missing_counts": counts,
+              "ratios": ratios, "categoricals": categorical, "price_total": ["price_total"],
+              "notifications": [O_ROLES["notif"]], "app_opens": [O_ROLES["opens"]], "sleep": [O_ROLES["sleep"]]}
+    train = FO.stratified_folds(feats, "id", "y", 5, 42, store=True)
+    return _round_doubles(M.ablation(train, groups, numeric, categorical, flags, "lr"))
 
 
 @q("screen")
@@ -132,33 +239,30 @@ def screen(spark, sf):
     return _round_doubles(M.screen(_train(spark, sf), base, cand, "lr"))
 
 
-TUNE = {"C_0.01": {"C": 0.01}, "C_0.1": {"C": 0.1}, "C_1": {"C": 1.0}}
+#: Seventeen penalties, half a decade apart.
+TUNE = {f"C_1e{(i - 8) / 2:+.1f}": {"C": 10.0 ** ((i - 8) / 2)} for i in range(17)}
 
 
 @q("tune_scan")
 def tune_scan(spark, sf):
-    """Hyper-parameter candidates on the same folds."""
+    """Seventeen hyper-parameter candidates on the same folds, fitted together."""
     return _round_doubles(M.tune_scan(_train(spark, sf), TUNE, NUM, CAT, FLAGS, "lr",
                                       labels=FX.labels_of(spark, sf)))
 
 
 CONFIGS = {"gbt_d3": ("gbt", {"maxIter": 10, "maxDepth": 3}), "lr": ("lr", {"C": 0.1})}
-# c2 is the order status the label is derived from: it never enters a model
-MODEL_CAT = ["c1"]
 
 
 @q("multi_seed")
 def multi_seed(spark, sf):
     """B6 + M2: two configs x 5 folds x 2 seeds on obs_orders' canonical features,
     rank super-ensemble, OOF AUC."""
-    o = FX.obs_orders(spark, sf)
-    feats = FE.build_features(o, "id", "y", O_NUM, MODEL_CAT, O_ROLES)
-    flags = [c for c in feats.columns if c.endswith("_isna") and c != "c1_isna"]
-    numeric = [c for c in feats.columns if c not in ("id", "y", "c1") and c not in flags
-               and not c.startswith("missing_count")]
+    feats, numeric, _, flags = _order_features(spark, sf)
+    numeric = [c for c in numeric if not c.startswith("missing_count")]
+    flags = [c for c in flags if c != "c1_isna"]
     by_seed = {s: FO.stratified_folds(feats, "id", "y", 5, s, store=True) for s in (42, 100)}
     _, ens = M.multi_seed(by_seed, CONFIGS, numeric, MODEL_CAT, flags)
-    lab = ens.where(F.col("split") == "train").join(o.select("id", "y"), "id")
+    lab = ens.where(F.col("split") == "train").join(feats.select("id", "y"), "id")
     return _round_doubles(A.auc(lab, "score"))
 
 
@@ -196,6 +300,27 @@ ORACLE["category_cells"] = FX.with_views(
     "SELECT c2, fold, sum(CAST(y AS DOUBLE)) AS s, count(*) AS n FROM _f WHERE c2 IS NOT NULL GROUP BY c2, fold) z", "obs_events", extra=TRAIN_CTES)
 
 
+@q("category_frequency")
+def category_frequency(spark, sf):
+    """E1 within training, with NULL labels: a level's share of the rows outside each fold, labelled or not."""
+    df = FX.obs_events(spark, sf).select("c2", (F.col("id") % 5).cast("int").alias("fold"), F.when(F.col("id") % 4 != 1, F.col("y")).alias("y"))
+    feats = M.FoldFeatures(df.withColumn("id", F.lit(0)), [], ["c2"], [], "lr", "id", "y", "fold")
+    rows = feats.attach(df.select("c2").distinct().withColumn("fold", F.lit(None).cast("int")))
+    names = feats.names()
+    out = rows.select("c2", F.inline(F.array(*[F.struct(F.lit(k).alias("left_out"), *[e.alias(n) for n, e in zip(names, feats.columns(k, False))]) for k in feats.ks])))
+    return _round_doubles(out.select("c2", "left_out", F.col(names[0]).alias("target"), F.col(names[1]).alias("freq")))
+
+
+ORACLE["category_frequency"] = FX.with_views(
+    f"SELECT l.c2, k.k AS left_out, {sql_r6('COALESCE(t.target, k.mean)')} AS target, {sql_r6('COALESCE(t.m, 0) / k.seen')} AS freq "
+    "FROM (SELECT DISTINCT c2 FROM _d) l, "
+    "(SELECT k, avg(CAST(y AS DOUBLE)) AS mean, CAST(count(c2) AS DOUBLE) AS seen FROM _d, _k WHERE fold <> k GROUP BY k) k "
+    "LEFT JOIN (SELECT c2, k, avg(CAST(y AS DOUBLE)) AS target, count(*) AS m FROM _d, _k WHERE fold <> k AND c2 IS NOT NULL GROUP BY c2, k) t "
+    "ON t.c2 = l.c2 AND t.k = k.k", "obs_events",
+    extra=[("_d", "SELECT c2, CAST(id % 5 AS INTEGER) AS fold, CASE WHEN id % 4 <> 1 THEN y END AS y FROM obs_events"),
+           ("_k", "SELECT CAST(unnest(range(5)) AS INTEGER) AS k")])
+
+
 @q("stack_rows")
 def stack_rows(spark, sf):
     """Rows and classes that the stack scores in each fold, and the test rows it averages."""
