@@ -70,8 +70,9 @@ def is_member(c: ColumnOrName, values: Iterable) -> Column:
 
 
 def clip(c: ColumnOrName, lo: float = 0.0, hi: float = 1.0) -> Column:
-    """c within [lo, hi]; NULL stays NULL (``least`` and ``greatest`` alone skip it)."""
-    return F.when(col(c).isNotNull(), F.greatest(F.least(col(c), F.lit(hi)), F.lit(lo)))
+    """c within [lo, hi]; NULL stays NULL (``least`` and ``greatest`` alone skip it) and NaN, which
+    they would take for the largest number, becomes NULL."""
+    return F.when(col(c).isNotNull() & ~F.isnan(col(c).cast("double")), F.greatest(F.least(col(c), F.lit(hi)), F.lit(lo)))
 
 
 def cross(a: ColumnOrName, b: ColumnOrName, sep: str = "_") -> Column:
@@ -124,7 +125,9 @@ def hash_bucket(id_col: ColumnOrName, seed, digits: int = 3) -> Column:
 
 
 def hash_key(id_col: ColumnOrName, seed) -> Column:
-    return F.md5(F.concat(col(id_col).cast("string"), F.lit("-"), F.lit(str(seed))))
+    """md5 of "id-seed"; ``seed`` is a value or a column."""
+    seed = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat(col(id_col).cast("string"), F.lit("-"), seed))
 
 
 def hash_sample_pred(id_col: ColumnOrName, seed, fraction: float, digits: int = 6) -> Column:
@@ -159,10 +162,12 @@ def safe_corr(a: ColumnOrName, b: ColumnOrName) -> Column:
 
     ``F.corr`` raises DIVIDE_BY_ZERO under ANSI mode for a zero-variance input
     (e.g. a constraint residual that is exactly 0 everywhere), so the ratio is
-    written out with a NULLIF-guarded denominator.
+    written out with a guarded denominator.  Constancy is told by minimum and maximum: merged
+    variances of a constant can be a rounding error above 0.
     """
     ac, bc = col(a).cast("double"), col(b).cast("double")
     both = ac.isNotNull() & bc.isNotNull()
     ap, bp = F.when(both, ac), F.when(both, bc)
-    den = F.sqrt(F.var_samp(ap) * F.var_samp(bp))
+    varies = (F.min(ap) < F.max(ap)) & (F.min(bp) < F.max(bp))
+    den = F.when(varies, F.sqrt(F.var_samp(ap) * F.var_samp(bp)))
     return F.covar_samp(ap, bp) / F.nullif(den, F.lit(0.0))

@@ -127,14 +127,21 @@ def violation_rates(df: DataFrame, cands: Sequence[Constraint], eps: float = 1e-
 
 
 def quantization(df: DataFrame, cols: Sequence[str], decimals: int = 2, approx: bool = False) -> DataFrame:
-    """K7: non-integer fraction, distinct count at ``decimals`` dp, min, max per column."""
-    dc = F.approx_count_distinct if approx else F.count_distinct
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs.append(F.struct(F.lit(c).alias("column_name"),
-                             F.avg(F.when(x.isNotNull(), (x != F.floor(x)).cast("int"))).alias("frac_non_integer"),
-                             dc(F.round(x, decimals)).alias("n_distinct_round"),
-                             F.min(x).alias("min"), F.max(x).alias("max")).alias(f"q{i}"))
-    wide = df.agg(*aggs)
-    return wide.select(F.inline(F.array(*[F.col(f"q{i}") for i in range(len(cols))])))
+    """K7: non-integer fraction, distinct count at ``decimals`` dp, min, max per column; one scan, grouped by
+    (column, rounded value), so that a common value is one row per map task."""
+    from foldwise.operators import profile as P
+
+    cells = [x for c in cols for x in (F.lit(c), F.col(c).cast("double"))]
+    long = df.select(F.stack(F.lit(len(cols)), *cells).alias("column_name", "_x"))
+    rounded = F.round("_x", decimals)
+    part = long.groupBy("column_name", rounded.alias("_r")).agg(
+        F.count("_x").alias("_n"), F.count_if(F.col("_x") != F.floor("_x")).alias("_f"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    distinct = F.count("_r").alias("n_distinct_round")
+    if approx:  # no group per value: sketches instead
+        part = long.groupBy("column_name").agg(F.count("_x").alias("_n"), F.count_if(F.col("_x") != F.floor("_x")).alias("_f"),
+                                               F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        found = P.merged_distinct(P.distinct_sketches(df, {c: F.round(F.col(c).cast("double"), decimals) for c in cols}))
+        part = part.join(found.withColumnRenamed("name", "column_name"), "column_name", "left")
+        distinct = F.coalesce(F.max("n_distinct"), F.lit(0)).alias("n_distinct_round")
+    return part.groupBy("column_name").agg((F.sum("_f") / F.nullif(F.sum("_n"), F.lit(0))).alias("frac_non_integer"), distinct,
+                                           F.min("_lo").alias("min"), F.max("_hi").alias("max"))

@@ -158,17 +158,17 @@ def half_open(df: DataFrame, c: str, lo: float, hi: float) -> DataFrame:
 def column_roles(df: DataFrame, cols: Sequence[str], max_card: int = 15, approx: bool = False) -> DataFrame:
     """Categorical iff string typed or fewer than ``max_card`` distinct non-null values.
 
-    One aggregate pass over all columns (NULL excluded), stacked to rows; use
-    ``approx=True`` (HyperLogLog) for very wide or very large tables.
+    One scan over all columns (NULL excluded), grouped by (column, value); ``approx=True`` takes mergeable
+    HyperLogLog sketches instead.
     """
+    from foldwise.operators import profile as P
+
     types = dict(df.dtypes)
-    agg = [(F.approx_count_distinct(c) if approx else F.count_distinct(c)).alias(f"d{i}")
-           for i, c in enumerate(cols)]
-    wide = df.agg(*agg)
-    stacked = wide.select(F.inline(F.array(*[
+    counts = P.distinct_counts(df, {c: F.col(c) for c in cols}, approx)
+    stacked = counts.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("dtype"),
-                 F.col(f"d{i}").cast("bigint").alias("n_distinct"))
-        for i, c in enumerate(cols)])))
+                 F.col(f"`{c}`").cast("bigint").alias("n_distinct"))
+        for c in cols])))
     role = F.when((F.col("dtype") == "string") | (F.col("n_distinct") < max_card), F.lit("categorical")) \
         .otherwise(F.lit("numeric"))
     return stacked.select("column", "n_distinct", role.alias("role"))
@@ -187,10 +187,15 @@ def one_hot(df: DataFrame, c: str, levels: Sequence[str], prefix: str | None = N
     return [X.false_if_null(F.col(c) == F.lit(v)).cast("int").alias(f"{p}{v}") for v in levels]
 
 
-def fitted_levels(df: DataFrame, c: str) -> list[str]:
-    """Sorted distinct non-null levels of a column: the names of its one-hot columns, so the
-    driver holds as many strings as the result has columns."""
-    return sorted(r.v for r in df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("v")).distinct().collect())
+def fitted_levels(df: DataFrame, c: str, most: int = 1000) -> list[str]:
+    """Sorted distinct non-null levels of a column: the names of its one-hot columns.
+
+    No more than ``most`` + 1 reach the driver; a column of more levels is refused: one-hot columns are not
+    the encoding for it (``encode`` has those)."""
+    levels = df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("v")).distinct().limit(most + 1).collect()
+    if len(levels) > most:
+        raise ValueError(f"{c} has more than {most} levels")
+    return sorted(r.v for r in levels)
 
 
 def hash_sample(df: DataFrame, id_col: str, seed, fraction: float) -> DataFrame:
@@ -209,6 +214,23 @@ def proportional_impute(df: DataFrame, x: str, base: str, out: str | None = None
     return df.withColumn(out or f"est_{x}", F.coalesce(F.col(x), F.col(base) * ratio))
 
 
+def engagement_estimates(df: DataFrame, base: str, notif: str, opens: str) -> DataFrame:
+    """P25: estimates of two counts from ``base`` (``proportional_impute``) and what derives from them.
+
+    ``est_notif_per_open`` is the ratio of the two estimates (NULL for a zero or missing one);
+    ``missing_key_engagement`` is 1 where either count is missing.  The formulas are ours: the source of the
+    experiment that names the columns is lost.  Both ratios come from one aggregate."""
+    def ratio(x: str) -> Column:
+        both = F.col(x).isNotNull() & F.col(base).isNotNull()
+        return X.safe_div(F.sum(F.when(both, F.col(x))), F.sum(F.when(both, F.col(base))))
+
+    ratios = df.agg(F.struct(ratio(notif).alias("n"), ratio(opens).alias("o")).alias("r")).scalar()
+    out = df.select("*", F.coalesce(F.col(notif), F.col(base) * ratios["n"]).alias("est_notifications"),
+                    F.coalesce(F.col(opens), F.col(base) * ratios["o"]).alias("est_app_opens"))
+    return out.select("*", X.safe_div("est_notifications", "est_app_opens").alias("est_notif_per_open"),
+                      (F.col(notif).isNull() | F.col(opens).isNull()).cast("int").alias("missing_key_engagement"))
+
+
 def fill_missing(df: DataFrame, fills: Mapping[str, object], fitted_on: DataFrame | None = None) -> DataFrame:
     """Coalesce with a constant or a statistic fitted on ``fitted_on`` (default df).
 

@@ -28,28 +28,28 @@ def stratified_folds(df: DataFrame, id_col: str = "id", y: str = "y", k: int = 5
 
     ``store=True`` checkpoints the result: a fold table is read by every fold's
     fit, every encoding and every fold metric, so it is derived once."""
-    lab = df.where(F.col(y).isNotNull()).withColumn("_h", X.hash_key(id_col, seed)) \
-        .withColumn("_hb", F.substring("_h", 1, digits))
-    counts = lab.groupBy(y, "_hb").agg(F.count(F.lit(1)).alias("_c"))
-    wo = Window.partitionBy(y).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(y, "_hb", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
+    res = _folds(df.where(F.col(y).isNotNull()).withColumn("_h", X.hash_key(id_col, seed)), [y], id_col, k, digits, out)
+    return materialize(res) if store else res
+
+
+def _folds(lab: DataFrame, keys: list[str], id_col: str, k: int, digits: int, out: str) -> DataFrame:
+    """Folds of rows with their hash ``_h``, dealt within ``keys``."""
+    lab = lab.withColumn("_hb", F.substring("_h", 1, digits))
+    counts = lab.groupBy(*keys, "_hb").agg(F.count(F.lit(1)).alias("_c"))
+    wo = Window.partitionBy(*keys).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(*keys, "_hb", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
     # (#classes x 16^digits) rows: few for a binary label, many for many classes, so the
     # join is left to adaptive execution, which broadcasts by measured size
-    with_off = lab.join(offs, [y, "_hb"], "inner")
-    wr = Window.partitionBy(y, "_hb").orderBy("_h", id_col)
+    with_off = lab.join(offs, [*keys, "_hb"], "inner")
+    wr = Window.partitionBy(*keys, "_hb").orderBy("_h", id_col)
     fold = ((F.col("_off") + F.row_number().over(wr) - 1) % k).cast("int")
-    res = with_off.withColumn(out, fold).drop("_h", "_hb", "_off")
-    return materialize(res) if store else res
+    return with_off.withColumn(out, fold).drop("_h", "_hb", "_off")
 
 
-def fold_table(df: DataFrame, seeds: Sequence[int], id_col: str = "id", y: str = "y", k: int = 5) -> DataFrame:
-    """(id, seed, fold) for several seeds, one union."""
-    parts = [stratified_folds(df.select(id_col, y), id_col, y, k, s).select(
-        id_col, F.lit(s).alias("seed"), "fold") for s in seeds]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def fold_table(df: DataFrame, seeds: Sequence[int], id_col: str = "id", y: str = "y", k: int = 5, digits: int = 4) -> DataFrame:
+    """(id, seed, fold) for several seeds from one scan: a row per seed, dealt within (seed, label)."""
+    rows = df.where(F.col(y).isNotNull()).select(id_col, y, F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("seed"))
+    return _folds(rows.withColumn("_h", X.hash_key(id_col, F.col("seed"))), ["seed", y], id_col, k, digits, "fold").select(id_col, "seed", "fold")
 
 
 def fold_leakage(df: DataFrame, features: Sequence[str], fold: str = "fold", split: str = "split",

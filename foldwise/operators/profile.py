@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from foldwise.functions import exprs as X
 
-# Pairs per aggregate job: each guarded correlation is four aggregate functions,
+# Pairs per batch: each guarded correlation is eight aggregate functions,
 # so a batch stays near 100 aggregates and under the JVM method-size limits.
-AGG_BATCH = 24
+AGG_BATCH = 12
 
 
 def _not_null(keys: Sequence[str]) -> Column:
@@ -120,20 +120,28 @@ def summary(df: DataFrame, cols: Sequence[str], exact: bool = True, accuracy: in
                        F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
-def corr_panel(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pairwise-complete Pearson r for many pairs in one aggregate pass."""
-    rows = []
-    for start in range(0, len(pairs), AGG_BATCH):
-        chunk = pairs[start:start + AGG_BATCH]
-        aggs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), X.safe_corr(a, b).alias("r"),
-                         F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias("n"))
-                .alias(f"p{i}") for i, (a, b) in enumerate(chunk)]
-        wide = df.agg(*aggs)
-        rows.append(wide.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(chunk))]))))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+def corr_panel(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
+    """(by, a, b, r, n), pairwise-complete Pearson r of any number of pairs from one scan.
+
+    A row becomes one row per batch of ``AGG_BATCH`` pairs inside the scan's stage; batches are aggregated
+    by (by, batch) with map-side partial aggregation, so what is shuffled is one row per batch,
+    group and task.  NULL values of ``by`` are groups."""
+    by, pairs = list(by), list(pairs)
+    n_batches = max(1, -(-len(pairs) // AGG_BATCH))
+    none = F.lit(None).cast("double")
+    cells = []
+    for i in range(n_batches * AGG_BATCH):
+        cells += [F.lit(i // AGG_BATCH)] if i % AGG_BATCH == 0 else []
+        cells += [F.col(c).cast("double") for c in pairs[i]] if i < len(pairs) else [none, none]
+    names = ["_batch", *[f"_{s}{i}" for i in range(AGG_BATCH) for s in "ab"]]
+    long = df.select(*by, F.stack(F.lit(n_batches), *cells).alias(*names))
+    aggs = [F.struct(F.lit(i).alias("slot"), X.safe_corr(f"_a{i}", f"_b{i}").alias("r"),
+                     F.count(F.when(F.col(f"_a{i}").isNotNull() & F.col(f"_b{i}").isNotNull(), 1)).alias("n")).alias(f"_p{i}") for i in range(AGG_BATCH)]
+    wide = long.groupBy(*by, "_batch").agg(*aggs)
+    rows = wide.select(*by, "_batch", F.inline(F.array(*[F.col(f"_p{i}") for i in range(AGG_BATCH)])))
+    at = F.col("_batch") * AGG_BATCH + F.col("slot")
+    first, second = (F.get(F.array(*[F.lit(q[j]) for q in pairs]), at) for j in (0, 1))
+    return rows.where(at < len(pairs)).select(*by, first.alias("a"), second.alias("b"), "r", "n")
 
 
 def corr_by_group(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
@@ -143,7 +151,44 @@ def corr_by_group(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
         F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias("n")))
 
 
+def typed_values(df: DataFrame, exprs: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """(by, name, d, l, s): one row for each row and expression that is not NULL, the value in the column of its
+    type: floating, integral, or all others as text."""
+    types = dict(df.select(*[e.alias(f"_e{i}") for i, e in enumerate(exprs.values())]).dtypes)
+    cells = []
+    for i, (name, e) in enumerate(exprs.items()):
+        t = types[f"_e{i}"]
+        kind = "d" if t in ("double", "float") else "l" if t in ("tinyint", "smallint", "int", "bigint") else "s"
+        cells += [F.lit(name), *[e.cast(u) if k == kind else F.lit(None).cast(u) for k, u in (("d", "double"), ("l", "bigint"), ("s", "string"))]]
+    long = df.select(*by, F.stack(F.lit(len(exprs)), *cells).alias("_name", "_d", "_l", "_s"))
+    return long.where(F.col("_d").isNotNull() | F.col("_l").isNotNull() | F.col("_s").isNotNull())
+
+
+def distinct_rows(df: DataFrame, exprs: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """(by, name, n_distinct): exact distinct non-NULL values of several expressions, one scan.
+
+    Values are grouped once, by (name, value): a value that a third of the rows hold is one row per map task,
+    and the rows are those of the table, not of the table times the columns for each distinct count.
+    An expression without values has no row."""
+    values = typed_values(df, exprs, by).groupBy(*by, "_name", "_d", "_l", "_s").agg(F.lit(1).alias("one"))
+    return values.groupBy(*by, F.col("_name").alias("name")).agg(F.count(F.lit(1)).alias("n_distinct"))
+
+
+def distinct_sketches(df: DataFrame, exprs: dict[str, Column], by: Sequence[str] = (), lg_size: int = 12) -> DataFrame:
+    """(by, name, sketch): HyperLogLog sketches, to be stored with a partition or day and merged later
+    (``merged_distinct``); 2^``lg_size`` registers, a relative error of about 1 / 2^(lg_size / 2)."""
+    # + 0.0: a negative zero is a zero; the letter keeps the empty text a value
+    value = F.coalesce(F.concat(F.lit("d"), (F.col("_d") + F.lit(0.0)).cast("string")), F.concat(F.lit("l"), F.col("_l").cast("string")),
+                       F.concat(F.lit("s"), F.col("_s")))
+    return typed_values(df, exprs, by).groupBy(*by, F.col("_name").alias("name")).agg(F.hll_sketch_agg(value, F.lit(lg_size)).alias("sketch"))
+
+
+def merged_distinct(sketches: DataFrame, keys: Sequence[str] = ("name",)) -> DataFrame:
+    """(keys, n_distinct): estimates of stored sketches, merged."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct"))
+
+
 def distinct_counts(df: DataFrame, exprs: dict[str, Column], approx: bool = False) -> DataFrame:
-    """Distinct counts of several expressions in one pass."""
-    fn = F.approx_count_distinct if approx else F.count_distinct
-    return df.agg(*[fn(e).alias(n) for n, e in exprs.items()])
+    """Distinct counts of several expressions, one column each (0 without values)."""
+    rows = merged_distinct(distinct_sketches(df, exprs)) if approx else distinct_rows(df, exprs)
+    return rows.agg(*[F.coalesce(F.max(F.when(F.col("name") == n, F.col("n_distinct"))), F.lit(0)).alias(n) for n in exprs])

@@ -13,6 +13,7 @@ MODULES = [
     "foldwise.plans.q_forensics",
     "foldwise.plans.q_blend",
     "foldwise.plans.q_models",
+    "foldwise.plans.q_io",
 ]
 
 

@@ -275,6 +275,27 @@ ORACLE["prop_impute"] = FX.with_views(
     "obs_events")
 
 
+@q("engagement_estimates")
+def engagement_estimates(spark, sf):
+    """P25: two imputed counts, their ratio, and the flag of a missing one."""
+    df = FX.obs_events(spark, sf).select("id", "value", "x1", "x3")
+    out = FE.engagement_estimates(df, "value", "x1", "x3")
+    return out.select("id", *[r6(c).alias(c) for c in ("est_notifications", "est_app_opens", "est_notif_per_open")], "missing_key_engagement")
+
+
+def _engagement_sql():
+    est = {n: f"COALESCE({c}, value * (SELECT sum({c}) / NULLIF(sum(value), 0) FROM obs_events WHERE {c} IS NOT NULL AND value IS NOT NULL))"
+           for n, c in (("est_notifications", "x1"), ("est_app_opens", "x3"))}
+    return FX.with_views(
+        f"SELECT id, {sql_r6('est_notifications')} AS est_notifications, {sql_r6('est_app_opens')} AS est_app_opens, "
+        f"{sql_r6('est_notifications / NULLIF(est_app_opens, 0)')} AS est_notif_per_open, missing_key_engagement FROM (SELECT id, "
+        + ", ".join(f"{e} AS {n}" for n, e in est.items())
+        + ", CAST(x1 IS NULL OR x3 IS NULL AS INTEGER) AS missing_key_engagement FROM obs_events) e", "obs_events")
+
+
+ORACLE["engagement_estimates"] = _engagement_sql()
+
+
 @q("fill_missing")
 def fill_missing(spark, sf):
     """Constant, mean and median fills (statistics fitted on the labelled rows)."""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foldwise.operators import binning as B
 from foldwise.operators import features as FE
 from foldwise.operators import profile as P
-from foldwise.plans.common import r6, sql_qcut, sql_r6
+from foldwise.plans.common import O_NUM, r6, sql_qcut, sql_r6, sql_safe_corr
 from foldwise.plans.q_features import EVENT_TYPES
 from foldwise.sources import fixtures as FX
 
@@ -147,6 +148,37 @@ ORACLE["corr_panel"] = ev(" UNION ALL ".join(
     for a, b in CORR_PAIRS))
 
 
+@q("corr_matrix")
+def corr_matrix(spark, sf):
+    """Every pair of 44 columns of the orders view, from one scan."""
+    df = FX.obs_orders(spark, sf).select("y", *[e.alias(n) for n, e in MATRIX])
+    cols = df.columns
+    return _round_doubles(P.corr_panel(df, [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]))
+
+
+#: The eight numeric columns, and shifted, capped and missing variants of them: 43 columns.
+MATRIX_SQL = [(c, f"CAST({c} AS DOUBLE)") for c in O_NUM]
+MATRIX_SQL += [(f"{c}_if_{k}", f"CASE WHEN id % {k} <> 0 THEN CAST({c} AS DOUBLE) END") for c in O_NUM for k in (3, 5)]
+MATRIX_SQL += [(f"{c}_root", f"sqrt(CAST({c} AS DOUBLE))") for c in O_NUM]
+MATRIX_SQL += [(f"{c}_cap", f"least(CAST({c} AS DOUBLE), 40.0)") for c in O_NUM]
+MATRIX_SQL += [("id_7", "CAST(id % 7 AS DOUBLE)"), ("id_11", "CAST(id % 11 AS DOUBLE)"), ("constant", "CAST(1.0 AS DOUBLE)")]
+MATRIX = [(n, F.expr(e)) for n, e in MATRIX_SQL]
+
+
+def _matrix_sql():
+    cols = ["y", *[n for n, _ in MATRIX_SQL]]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    rs = ", ".join(sql_r6(sql_safe_corr(a, b)) for a, b in pairs)
+    ns = ", ".join(f"count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END)" for a, b in pairs)
+    left, right = (", ".join(f"'{q[j]}'" for q in pairs) for j in (0, 1))
+    src = "SELECT CAST(y AS DOUBLE) AS y, " + ", ".join(f"{e} AS {n}" for n, e in MATRIX_SQL) + " FROM obs_orders"
+    return FX.with_views(f"SELECT unnest([{left}]) AS a, unnest([{right}]) AS b, unnest(r) AS r, unnest(n) AS n FROM "
+                         f"(SELECT [{rs}] AS r, [{ns}] AS n FROM _m) z", "obs_orders", extra=[("_m", src)])
+
+
+ORACLE["corr_matrix"] = _matrix_sql()
+
+
 @q("corr_by_group")
 def corr_by_group(spark, sf):
     return _round_doubles(P.corr_by_group(FX.obs_events(spark, sf), "c1", "x1", "y"))
@@ -169,6 +201,36 @@ ORACLE["distinct_counts"] = ev(
     "count(DISTINCT c1) AS c1_distinct FROM obs_events")
 
 
+@q("distinct_sketch")
+def distinct_sketch(spark, sf):
+    """Sketches of each split, merged: within 5 % of the exact count."""
+    df = FX.obs_events(spark, sf)
+    exprs = {"x2": F.col("x2"), "value_2dp": F.round("value", 2), "c1": F.col("c1"), "id": F.col("id")}
+    stored = P.distinct_sketches(df, exprs, ["split"])
+    near = P.merged_distinct(stored).withColumnRenamed("n_distinct", "estimate")
+    out = P.distinct_rows(df, exprs).join(near, "name")
+    return out.select("name", "n_distinct", (F.abs(F.col("estimate") - F.col("n_distinct")) <= 0.05 * F.col("n_distinct")).alias("near"))
+
+
+ORACLE["distinct_sketch"] = ev(" UNION ALL ".join(
+    f"SELECT '{n}' AS name, count(DISTINCT {e}) AS n_distinct, true AS near FROM obs_events"
+    for n, e in (("x2", "x2"), ("value_2dp", "round(value, 2)"), ("c1", "c1"), ("id", "id"))))
+
+
+@q("sorted_rates")
+def sorted_rates(spark, sf):
+    """Group output in key order, NULL keys dropped; the position is part of the result."""
+    g = P.target_rate(FX.obs_events(spark, sf), ["c1", "c2"]).orderBy("c1", "c2")
+    # a sort of the grouped rows; positions follow it
+    rows = g.withColumn("_at", F.monotonically_increasing_id())
+    return _round_doubles(rows.select("c1", "c2", "rate", "n", F.row_number().over(Window.partitionBy("c1").orderBy("_at")).alias("place")))
+
+
+ORACLE["sorted_rates"] = ev(
+    f"SELECT c1, c2, {sql_r6('avg(y)')} AS rate, count(y) AS n, CAST(row_number() OVER (PARTITION BY c1 ORDER BY c2) AS INTEGER) AS place "
+    "FROM obs_events WHERE c1 IS NOT NULL AND c2 IS NOT NULL GROUP BY c1, c2")
+
+
 @q("qcut_rate")
 def qcut_rate(spark, sf):
     df = B.qcut(FX.obs_events(spark, sf), "x1", 10, out="bin")

@@ -244,28 +244,43 @@ ORACLE["log_loss_subgroup"] = FX.with_views(
 MODELS = ["m_a", "m_b", "m_c"]
 
 
+MODEL_PAIRS = [(MODELS[i], MODELS[j]) for i in range(3) for j in range(i + 1, 3)]
+
+
 @q("diversity_corr")
 def diversity_corr(spark, sf):
-    """Correlation of model prediction vectors (pivot models to columns, one agg)."""
-    p = FX.preds(spark, sf).where((F.col("seed") == 42) & (F.col("split") == "train"))
-    wide = p.groupBy("id").pivot("model", MODELS).agg(F.first("score"))
-    pairs = [(MODELS[i], MODELS[j]) for i in range(3) for j in range(i + 1, 3)]
-    return _round_doubles(P.corr_panel(wide, pairs))
+    """Correlation of the models' prediction vectors within each split and seed (pivot models to columns, one agg)."""
+    wide = FX.preds(spark, sf).groupBy("split", "seed", "id").pivot("model", MODELS).agg(F.first("score"))
+    return _round_doubles(P.corr_panel(wide, MODEL_PAIRS, ["split", "seed"]))
 
 
 def _div_sql():
-    wide = ("SELECT id, " + ", ".join(f"max(CASE WHEN model = '{m}' THEN score END) AS {m}" for m in MODELS)
-            + " FROM preds WHERE seed = 42 AND split = 'train' GROUP BY id")
-    pairs = [(MODELS[i], MODELS[j]) for i in range(3) for j in range(i + 1, 3)]
+    wide = ("SELECT split, seed, id, " + ", ".join(f"max(CASE WHEN model = '{m}' THEN score END) AS {m}" for m in MODELS)
+            + " FROM preds GROUP BY split, seed, id")
     body = " UNION ALL ".join(
-        f"SELECT '{a}' AS a, '{b}' AS b, {sql_r6(f'corr({a}, {b})')} AS r, "
-        f"count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END) AS n FROM _w" for a, b in pairs)
+        f"SELECT split, seed, '{a}' AS a, '{b}' AS b, {sql_r6(f'corr({a}, {b})')} AS r, "
+        f"count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END) AS n FROM _w GROUP BY split, seed" for a, b in MODEL_PAIRS)
     return FX.with_views(body, "preds", extra=[("_w", wide)])
 
 
 ORACLE["diversity_corr"] = _div_sql()
 
 
+@q("diversity_seeds")
+def diversity_seeds(spark, sf):
+    """Correlation between the seeds' rank ensembles, on labelled and on test rows."""
+    ens = R.rank_average(FX.preds(spark, sf), "id", ["split", "seed"])
+    wide = ens.groupBy("split", "id").pivot("seed", [42, 100]).agg(F.first("score"))
+    wide = wide.withColumnsRenamed({"42": "seed_42", "100": "seed_100"})
+    return _round_doubles(P.corr_panel(wide, [("seed_42", "seed_100")], ["split"]))
+
+
+ORACLE["diversity_seeds"] = FX.with_views(
+    f"SELECT split, 'seed_42' AS a, 'seed_100' AS b, {sql_r6('corr(p, q)')} AS r, count(*) AS n FROM (SELECT split, id, "
+    "max(CASE WHEN seed = 42 THEN score END) AS p, max(CASE WHEN seed = 100 THEN score END) AS q FROM _a GROUP BY split, id) z GROUP BY split",
+    "preds", extra=_rank_avg_ctes())
+
+
 # Quintiles keep every subgroup above the 100-row support floor from the
 # smallest scale factor (1,000 events) upwards.
 ENTRY_Q = 5

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +72,12 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return sc.getCheckpointDir() or conf
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder name (URI) that nothing else uses, below the shared checkpoint folder."""
+    base = checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df):
     """Cut lineage: reliable checkpoint into ``spark.checkpoint.dir`` (shared storage
     on a cluster), so a nested computation plans and runs against the stored

@@ -3,11 +3,12 @@
 * labelled / unlabelled tables: CSV with an explicit schema (no inference pass)
   or parquet; NaN is turned into NULL on ingest so Spark's NaN ordering never
   leaks into ranks or bins;
-* prediction tables: hive-partitioned parquet by (split, seed, model); readers
-  filter on the partition columns so absent partitions are pruned, not scanned;
+* prediction tables: hive-partitioned parquet by (split, seed, model), replaced partition by
+  partition with a manifest of row counts; readers filter on the partition columns so absent
+  partitions are pruned, not scanned;
 * scored CSV: probabilities clipped to [0, 1]; written by every task in
   parallel (no coalesce to one file, which would funnel the table through one task);
-* metrics: small nested structures written / read as JSON.
+* metrics: small nested structures written / read as JSON, records of mixed shape as VARIANT.
 """
 
 from __future__ import annotations
@@ -42,10 +43,45 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     return nan_to_null_all(df)
 
 
-def write_predictions(preds: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """(id, score) per (split, seed, model) partition."""
+def read_csv(spark: SparkSession, path: str, schema: str, columns: Sequence[str] | None = None,
+             corrupt: str = "_corrupt") -> tuple[DataFrame, DataFrame]:
+    """S1/S2 for CSV that may hold broken lines: (rows, broken lines).
+
+    A line that does not fit the schema is not dropped and not turned into NULLs: it is in the second table as
+    it stands in the file.  An empty field and NaN are NULL."""
+    reader = spark.read.option("header", True).option("nullValue", "").option("nanValue", "NaN").option("mode", "PERMISSIVE")
+    lines = reader.option("columnNameOfCorruptRecord", corrupt).schema(f"{schema}, {corrupt} string").csv(path)
+    names = [f.name for f in lines.schema if f.name != corrupt]
+    # a line is only found broken by parsing it whole: the condition, always true, names every column
+    lines = lines.where(F.length(F.concat_ws("", *[F.col(n).cast("string") for n in names])) >= 0)
+    good = nan_to_null_all(lines.where(F.col(corrupt).isNull()).select(names))
+    return (good.select(*columns) if columns else good), lines.where(F.col(corrupt).isNotNull()).select(corrupt)
+
+
+def write_predictions(preds: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+    """(id, score) per (split, seed, model) partition; returns the manifest of the commit.
+
+    ``overwrite`` replaces the partitions that ``preds`` holds and leaves the others (dynamic partition
+    overwrite); ``append`` adds to them.  The manifest (split, seed, model, n) counts what the partitions hold
+    afterwards and is stored beside them: a reader can tell a whole table from one that is being written."""
     (preds.select("id", "score", "split", "seed", "model")
-     .write.mode(mode).partitionBy("split", "seed", "model").parquet(path))
+     .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("split", "seed", "model").parquet(path))
+    spark = preds.sparkSession
+    manifest = spark.read.schema(PRED_SCHEMA).parquet(path).groupBy("split", "seed", "model").agg(F.count(F.lit(1)).alias("n"))
+    # a folder whose name starts with _ is no data to readers of the table
+    manifest.write.mode("overwrite").json(f"{path.rstrip('/')}/_manifest")
+    return read_manifest(spark, path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("split string, seed int, model string, n bigint").json(f"{path.rstrip('/')}/_manifest")
+
+
+def check_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """(split, seed, model, n, found): partitions whose rows are not those of the manifest; none in a whole table."""
+    found = read_predictions(spark, path).groupBy("split", "seed", "model").agg(F.count(F.lit(1)).alias("found"))
+    both = read_manifest(spark, path).join(found, ["split", "seed", "model"], "full")
+    return both.where(~F.col("n").eqNullSafe(F.col("found")))
 
 
 def read_predictions(spark: SparkSession, path: str, split: str | None = None, seed: int | None = None,
@@ -87,6 +123,35 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
+def parse_records(df: DataFrame, c: str, out: str = "record") -> DataFrame:
+    """S4 for records of mixed shape: JSON text as VARIANT; text that is no JSON gives NULL."""
+    return df.withColumn(out, F.try_parse_json(F.col(c)))
+
+
+def variant_values(df: DataFrame, c: str, path: str, keep: Sequence[str] = (), dtype: str = "double") -> DataFrame:
+    """(keep..., key, pos, value) of what a VARIANT holds at ``path``, whichever shape it has.
+
+    An array gives its elements with key NULL; an object of arrays gives the elements of each, with the
+    member's name as key; a single value is an array of one.  A missing path gives no row, an element
+    of another type a NULL value."""
+    at = F.try_variant_get(F.col(c), path, "variant")
+    found = df.select(*keep, at.alias("_v")).where(F.col("_v").isNotNull())
+    kind = F.schema_of_variant("_v")
+    spark = df.sparkSession
+
+    def elements(rows: DataFrame, v: str, *names: str) -> DataFrame:
+        each = spark.tvf.variant_explode(F.col(v).outer()).withColumnsRenamed(dict(zip(("pos", "key", "value"), names)))
+        return rows.lateralJoin(each)
+
+    members = elements(found.where(kind.startswith("OBJECT")), "_v", "_p", "key", "_w").drop("_p", "_v")
+    lists = found.where(kind.startswith("ARRAY")).select(*keep, F.lit(None).cast("string").alias("key"), F.col("_v").alias("_w"))
+    inner = members.where(F.schema_of_variant("_w").startswith("ARRAY")).select(*keep, "key", "_w").unionByName(lists)
+    deep = elements(inner, "_w", "pos", "_k", "_x").select(*keep, "key", "pos", F.try_variant_get("_x", "$", dtype).alias("value"))
+    plain = found.where(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY")).select(*keep, F.lit(None).cast("string").alias("key"), F.col("_v").alias("_w"))
+    single = members.where(~F.schema_of_variant("_w").startswith("ARRAY")).select(*keep, "key", "_w").unionByName(plain)
+    return deep.unionByName(single.select(*keep, "key", F.lit(0).alias("pos"), F.try_variant_get("_w", "$", dtype).alias("value")))
+
+
 def metric_array(df: DataFrame, path: Sequence[str], name: str = "value") -> DataFrame:
     """S4 path lookup: follow nested field names, then posexplode the array found there."""
     c = F.col(f"`{path[0]}`")
