@@ -82,3 +82,10 @@ class Memo:
             if new:
                 self._add(new, *self.make(new))
         return self.rows.take(np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys)))
+
+
+def joined(memo: Memo, keys: list[list]) -> tuple[np.ndarray, np.ndarray]:
+    """(flat, lengths) of rows that are each the rows of several keys, one after the other."""
+    flat, size = memo.take([k for row in keys for k in row])
+    of = np.repeat(np.arange(len(keys)), [len(row) for row in keys])
+    return flat, np.bincount(of, weights=size, minlength=len(keys)).astype(np.int64)

@@ -31,24 +31,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldwise.llm.common import materialize, new_dir, open_fs
-from foldwise.llm.tokens import encoder, tokenizer_path, utf8
+from foldwise.llm.tokens import encoder, slices, tokenizer_path, utf8
 
 MAGIC = b"FWT1"
 HEAD = struct.Struct("<4s6Q")
 CONTINUES = 1 << 31
 #: Ids of a segment.
 SEGMENT_IDS = 1 << 21
+#: Ids below this bound are counted in an array.
+DENSE = 1 << 22
 #: Byte lengths of the four ids of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
     """(table, control, data) of a segment's ids."""
-    values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and int(ids.max()) < DENSE:  # vocabularies: count by id
+        counts = np.bincount(ids)
+        values = np.flatnonzero(counts)
+        counts, index = counts[values], ids
+        rank_of = np.empty(int(ids.max()) + 1, np.uint32)
+    else:
+        values, index, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        rank_of = np.empty(len(values), np.uint32)
     order = np.lexsort((values, -counts))
-    rank_of = np.empty(len(values), np.uint32)
-    rank_of[order] = np.arange(len(values), dtype=np.uint32)
-    ranks = rank_of[inverse].astype("<u4")
+    rank_of[values[order] if index is ids else order] = np.arange(len(values), dtype=np.uint32)
+    ranks = rank_of[index].astype("<u4")
     size = (1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(np.uint8)
     code = np.zeros(-(-len(ids) // 4) * 4, np.uint8)
     code[:len(ids)] = size - 1
@@ -166,9 +174,16 @@ def write_token_files(docs: DataFrame, path: str | None = None, id_col: str = "d
         total = n_docs = 0
         with store.open_output_stream(f"{folder}/{name}") as sink:
             out = Writer(sink, first.schema.field(0).type)
-            for b in chain([first], batches):
-                for key, data in zip(b.column(0).to_pylist(), utf8(b.column(1))):
-                    total += out.add(key, chain((enc.ids_bytes(p) for p in enc.split(data, piece_bytes)), (end,)))
+            for b in (part for whole in chain([first], batches) for part in slices(whole, 1, piece_bytes)):
+                keys, texts = b.column(0).to_pylist(), utf8(b.column(1))
+                if sum(map(len, texts)) > 2 * piece_bytes:  # a long text among them: a piece at a time
+                    for key, data in zip(keys, texts):
+                        total += out.add(key, chain((enc.ids([p])[0].astype("<u4").tobytes() for p in enc.split(data, piece_bytes)), (end,)))
+                else:
+                    flat, size = enc.ids(texts)
+                    ends = np.cumsum(size)
+                    for key, start, stop in zip(keys, (ends - size).tolist(), ends.tolist()):
+                        total += out.add(key, (flat[start:stop].astype("<u4").tobytes(), end))
                 n_docs += b.num_rows
             out.flush()
         yield pa.RecordBatch.from_arrays(

@@ -11,7 +11,7 @@ from foldwise.llm import tokens as tk
 
 @pytest.fixture(scope="module")
 def enc():
-    return tk.Encoder(tk.tokenizer_path(), remember=50)
+    return tk.Encoder(tk.tokenizer_path(), 50, 50, 80)
 
 
 def packed(ids):
@@ -25,7 +25,7 @@ def test_encoder_gives_the_librarys_ids(enc):
     for _ in range(4000):
         s = "".join(rng.choices(bits, k=rng.randint(0, 25)))
         want = enc.tok.encode(s, add_special_tokens=False).ids
-        assert enc.ids_bytes(s.encode()) == packed(want), repr(s)
+        assert enc.ids([s.encode()])[0].tolist() == want, repr(s)
         assert enc.lengths([s.encode()]) == [len(want)]
 
 
@@ -37,7 +37,27 @@ def test_pieces_join_to_the_whole(name):
     for size in (1, 7, 64, 10_000):
         parts = list(e.split(text, size))
         assert b"".join(parts) == text
-        assert b"".join(map(e.ids_bytes, parts)) == whole
+        assert b"".join(e.ids([p])[0].astype("<u4").tobytes() for p in parts) == whole
+        assert e.ids(parts)[0].astype("<u4").tobytes() == whole
+
+
+@pytest.mark.parametrize("mix", [None, 0, 1])
+def test_blocks_of_words(mix, monkeypatch):
+    """Parts of every width, letters of both cases, repeats over generations, and hashes that collide."""
+    from foldwise.llm import parts
+    if mix is not None:
+        monkeypatch.setattr(parts, "MIX", [np.uint64(mix)] * 3)
+    e = tk.Encoder(tk.tokenizer_path(), 10, 10, 40)
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZàéîõüßÀÉÎÕÜÞþÿ"
+    words = ["".join(rng.choices(letters, k=rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 23, 24, 25, 40]))) + rng.choice(["", "", ".", "...", "×", "7", "42x", "÷!", "'s", "<|endoftext|>"])
+             for _ in range(60)]
+    for _ in range(30):
+        texts = [rng.choice(["", " ", "\n\t"]) + " ".join(rng.choices(words, k=rng.randint(0, 9))) + rng.choice(["", " "]) for _ in range(12)]
+        flat, size = e.ids([t.encode() for t in texts])
+        assert [x.tolist() for x in np.split(flat, np.cumsum(size)[:-1])] == [e.encode(t) for t in texts]
+        assert len(e.blocks.young.hash) <= 40 + 120
+    assert e.ids([])[1].tolist() == [] and e.ids([b"", b" "])[1].tolist() == [0, 0]
 
 
 def test_count_tokens_edge_cases(spark, make_docs):
