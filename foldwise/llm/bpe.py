@@ -27,13 +27,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwise.llm.ragged import Memo, spans
-from foldwise.llm.tokens import _LETTERS, _PLAIN, Encoder, _byte_chars, bundles, tokenizer_path, utf8
+from foldwise.llm.parts import PartIds
+from foldwise.llm.ragged import Memo, joined, spans
+from foldwise.llm.tokens import Encoder, bundles, slices, tokenizer_path, utf8
 
 #: Rank of a pair that does not merge.
 NEVER = np.int32(2 ** 31 - 1)
 
 
+def _byte_chars() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, extra = {b: chr(b) for b in plain}, 0
+    for b in range(256):
+        if b not in out:
+            out[b] = chr(256 + extra)
+            extra += 1
+    return [out[b] for b in range(256)]
+
+
 class Merges:
     """The merge table of a file: sorted pair keys with their ranks."""
 
@@ -115,28 +127,26 @@ class Merges:
 
 
 class Bpe:
-    """Encoder and decoder of a byte-level BPE file of the ``tokenizers`` library.
+    """Encoder of a byte-level BPE file of the ``tokenizers`` library.
 
-    Files with another model, unknown-token rules, dropout, added tokens that strip or
-    match normalized text, or a decoder other than none and ``ByteLevel`` are refused."""
+    Files with another model, unknown-token rules, dropout, or added tokens that strip or
+    match normalized text are refused.  ``words``, ``parts`` and ``plain_parts`` bound what is remembered."""
 
-    def __init__(self, path: str, words: int = 200_000, parts: int = 200_000):
+    def __init__(self, path: str, words: int = 50_000, parts: int = 50_000, plain_parts: int = 400_000):
         with open(path, encoding="utf-8") as f:
             conf = json.load(f)
         model, norm, pre = conf["model"], conf.get("normalizer"), conf.get("pre_tokenizer") or {}
         steps = pre.get("pretokenizers") or [pre]
         added = conf.get("added_tokens", [])
-        decoder = (conf.get("decoder") or {}).get("type")
         plain = not (model.get("dropout") or model.get("unk_token") or model.get("continuing_subword_prefix")
                      or model.get("byte_fallback") or model.get("ignore_merges"))
-        if (model.get("type", "BPE") != "BPE" or not plain or decoder not in (None, "ByteLevel")
-                or steps[-1].get("type") != "ByteLevel" or steps[-1].get("add_prefix_space")
+        if (model.get("type", "BPE") != "BPE" or not plain or steps[-1].get("type") != "ByteLevel" or steps[-1].get("add_prefix_space")
                 or any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or (t.get("normalized") and norm) for t in added)):
             raise ValueError(f"{path} is not a plain byte-level BPE file")
-        vocab, self.suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
         chars = _byte_chars()
         self.first = np.array([vocab.get(c, -1) for c in chars], np.int32)
-        self.last = np.array([vocab.get(c + self.suffix, -1) for c in chars], np.int32)
+        self.last = np.array([vocab.get(c + suffix, -1) for c in chars], np.int32)
         if (self.first < 0).any() or (self.last < 0).any():
             raise ValueError(f"{path} does not know every byte")
         self.as_byte = {ord(c): chr(b) for b, c in enumerate(chars)}
@@ -145,20 +155,10 @@ class Bpe:
             [vocab[a] for a, _ in pairs], [vocab[b] for _, b in pairs], [vocab[a + b] for a, b in pairs])))
         self.added = {t["content"]: t["id"] for t in added}
         self.special = re.compile("|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True))) if added else None
-        # tokens as bytes, for decoding: text for files without a decoder, else the bytes they stand for
-        self.joined = decoder is None
-        names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
-        blank = " " if self.joined else ""
-        table = [(blank + names[i] if self.joined or i in self.added.values() else names[i].translate(self.as_byte)).encode(
-            "utf-8" if self.joined or i in self.added.values() else "latin-1") if i in names else b"" for i in range(max(names, default=-1) + 1)]
-        self.token_bytes = np.frombuffer(b"".join(table), np.uint8)
-        self.token_length = np.array([len(t) for t in table], np.int64)
-        self.token_start = np.cumsum(self.token_length) - self.token_length
-        self.text = Encoder(path, remember=0)  # the file's normal forms and word split
+        self.text = Encoder(path, 0, 0, 0)  # the file's normal forms and word split
         self.words = Memo(self._words, words)
         self.parts = Memo(self._parts, parts)
-
-    # ---- encoding
+        self.blocks = PartIds(self._parts, self.words, self.text.special, plain_parts) if self.text.pattern is not None else None
 
     def _parts(self, parts: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of new parts: bytes that merge among themselves, or the id of an added token."""
@@ -195,49 +195,47 @@ class Bpe:
             at = end
         return out
 
-    def _split(self, word: bytes) -> list:
-        if self.text.pattern:
-            if m := _LETTERS.fullmatch(word):
-                head, tail = m.groups()
-                head = head.lower() if head.isascii() else head.decode().lower().encode()
-                return [head, tail] if tail else [head]
-            if _PLAIN.fullmatch(word) and not (self.special and any(s in word for s in self.text.special)):
-                return [p.encode() for p in self.text.pattern.findall(word.decode().lower())]
-        return self._general(word.decode())
-
     def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of new words."""
-        split = [self._split(w) for w in words]
-        flat, size = self.parts.take([p for s in split for p in s])
-        of = np.repeat(np.arange(len(words)), [len(s) for s in split])
-        return flat, np.bincount(of, weights=size, minlength=len(words)).astype(np.int64)
+        return joined(self.parts, [self.text.plain_parts(w) or self._general(w.decode()) for w in words])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids of each text)."""
+        if self.blocks is not None:
+            return self.blocks.ids(texts)
         if self.text.by_word:
-            words = [t.split() for t in texts]
-            flat, size = self.words.take([w for s in words for w in s])
-        else:
-            words = [self._general(t.decode()) for t in texts]
-            flat, size = self.parts.take([p for s in words for p in s])
-        of = np.repeat(np.arange(len(texts)), [len(s) for s in words])
-        return flat, np.bincount(of, weights=size, minlength=len(texts)).astype(np.int64)
+            return joined(self.words, [t.split() for t in texts])
+        return joined(self.parts, [self._general(t.decode()) for t in texts])
 
-    # ---- decoding
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The text of a sequence of ids in UTF-8; ids that the file does not have are left out.
+class Decoder:
+    """Texts of ids of a BPE file without a decoder, whose tokens are joined by spaces, or with
+    ``ByteLevel``, whose tokens are bytes; others are refused."""
 
-        A file without a decoder gives its tokens joined by spaces; ``ByteLevel`` gives the
-        bytes, with U+FFFD for those that are not UTF-8."""
-        ids, out = ids[ids < len(self.token_length)], []
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            conf = json.load(f)
+        kind = (conf.get("decoder") or {}).get("type")
+        if conf["model"].get("type", "BPE") != "BPE" or kind not in (None, "ByteLevel"):
+            raise ValueError(f"{path} has another decoder")
+        self.joined = kind is None
+        as_byte = {ord(c): chr(b) for b, c in enumerate(_byte_chars())}
+        tokens = {i: " " + t if self.joined else t.translate(as_byte).encode("latin-1") for t, i in conf["model"]["vocab"].items()}
+        tokens |= {t["id"]: (" " if self.joined else "") + t["content"] for t in conf.get("added_tokens", [])}
+        table = [t.encode() if isinstance(t, str) else t for t in (tokens.get(i, b"") for i in range(max(tokens, default=-1) + 1))]
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+        self.length = np.array([len(t) for t in table], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The text of a sequence of ids in UTF-8; ids that the file does not have are left out,
+        bytes that are not UTF-8 give U+FFFD."""
+        ids, out = ids[ids < len(self.length)], []
         for at in range(0, len(ids), 1 << 18):
             part = ids[at:at + (1 << 18)]
-            out.append(self.token_bytes[spans(self.token_start[part], self.token_length[part])].tobytes())
-        out = b"".join(out)
-        if self.joined:
-            return out[1:]
-        return codecs.decode(out, "utf-8", "replace").encode()
+            out.append(self.flat[spans(self.start[part], self.length[part])].tobytes())
+        text = b"".join(out)
+        return text[1:] if self.joined else codecs.decode(text, "utf-8", "replace").encode()
 
 
 @functools.lru_cache(maxsize=2)
@@ -246,6 +244,11 @@ def bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
+@functools.lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids",
            batch_bytes: int = 1 << 20) -> DataFrame:
     """Ids of each whole text: (id, ids), the ids as little-endian unsigned 32-bit integers.
@@ -260,7 +263,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     def run(batches):
         coder = bpe(path)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1, batch_bytes)):
             texts = utf8(b.column(1))
             out: list[list[bytes]] = [[] for _ in texts]
             for numbers, parts in bundles(texts, coder.text, batch_bytes):
@@ -274,7 +277,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
 
 def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids",
-           text_col: str = "decoded") -> DataFrame:
+           text_col: str = "decoded", batch_bytes: int = 1 << 20) -> DataFrame:
     """(id, ids, text) of ids as ``encode`` gives them; null ids give a null text.
 
     The text is what ``Tokenizer.decode(ids, skip_special_tokens=False)`` gives."""
@@ -284,8 +287,8 @@ def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id",
                            T.StructField(text_col, T.StringType())])
 
     def run(batches):
-        coder = bpe(path)
-        for b in batches:
+        coder = decoder(path)
+        for b in (part for whole in batches for part in slices(whole, 1, batch_bytes)):
             texts = [None if x is None else coder.decode(np.frombuffer(x, "<u4")) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary()).cast(pa.string())], names=schema.names)
 

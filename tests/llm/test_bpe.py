@@ -46,7 +46,7 @@ def test_rounds_equal_single_merges():
 
 @pytest.mark.parametrize("name", FILES)
 def test_ids_and_text_are_the_librarys(name):
-    coder = bpe.Bpe(tokenizer_path(name), words=50, parts=50)
+    coder, back = bpe.Bpe(tokenizer_path(name), words=50, parts=50, plain_parts=80), bpe.Decoder(tokenizer_path(name))
     tok = Encoder(tokenizer_path(name)).tok
     rng = random.Random(3)
     texts = ["".join(rng.choices(BITS, k=rng.randint(0, 25))) for _ in range(4000)] + ["x" * 5000, "\U0010ffff"]
@@ -56,12 +56,12 @@ def test_ids_and_text_are_the_librarys(name):
         for t, ids in zip(part, np.split(flat, np.cumsum(size)[:-1])):
             want = tok.encode(t, add_special_tokens=False).ids
             assert ids.tolist() == want, repr(t)
-            assert coder.decode(ids).decode() == tok.decode(want, skip_special_tokens=False)
+            assert back.decode(ids).decode() == tok.decode(want, skip_special_tokens=False)
 
 
 @pytest.mark.parametrize("name", FILES)
 def test_decode_any_ids(name):
-    coder, tok = bpe.Bpe(tokenizer_path(name)), Encoder(tokenizer_path(name)).tok
+    coder, tok = bpe.Decoder(tokenizer_path(name)), Encoder(tokenizer_path(name)).tok
     rng = random.Random(4)
     for _ in range(500):
         ids = [rng.choice([rng.randrange(60_000), rng.randrange(256)]) for _ in range(rng.randint(0, 12))]
@@ -76,6 +76,10 @@ def test_other_models_are_refused(tmp_path):
     path.write_text(json.dumps(conf))
     with pytest.raises(ValueError):
         bpe.Bpe(str(path))
+    conf["decoder"] = {"type": "WordPiece"}
+    path.write_text(json.dumps(conf))
+    with pytest.raises(ValueError):
+        bpe.Decoder(str(path))
 
 
 def test_memo_is_bounded_and_right():
