@@ -11,10 +11,13 @@ class and id, and its style nodes are the sequences of children that pages show
   importance, weighted by share, of its styles; that of a style is the mean of its
   children, the own text being one of them.
 
-A page's branch is removed where the importance of every own text in it is below a
-threshold: a mean or a fade below it does not take unique text with it.  What is noise on any site by its meaning (navigation, forms, adverts, comments, ...) has
-importance 0; the landmarks ``article`` and ``main`` are never removed themselves, and where
-a page has one with text, branches that neither hold it nor lie in it have importance 0.
+Beside its importance a node carries the highest content importance below it (``best``).  A page's
+branch is removed where its importance is below ``threshold`` and nothing below it reaches
+``unique``: a low mean over constant siblings, or a fade over wrappers, takes no text of its own with it.
+What is noise on any site by its meaning (navigation, forms, adverts, comments, ...) goes anyway.
+The landmarks ``article`` and ``main`` are never removed, and the tree decides nothing within them:
+what an article says on many pages is article all the same.  Where a page has a landmark with text,
+branches that neither hold it nor lie in it go.
 """
 
 from __future__ import annotations
@@ -90,7 +93,7 @@ def _linked(page: dom.Page) -> np.ndarray:
 
 
 def noise_by_meaning(page: dom.Page) -> tuple[np.ndarray, np.ndarray]:
-    """(noise, guarded) by element: importance 0 by meaning; landmarks and what holds them."""
+    """(noise, kept) by element: noise by meaning; landmarks, what they hold and what holds them."""
     n = len(page.elements)
     text, foreign, inside = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
     for r in page.runs:
@@ -116,31 +119,26 @@ def noise_by_meaning(page: dom.Page) -> tuple[np.ndarray, np.ndarray]:
         if i == 0 or guarded[i]:
             continue
         noise[i] = noise[e.parent] or e.tag in NOISE_TAGS or e.tag == "header" and not inside[i] or _named_noise(e, inside[i], linked[i])
-    return noise | (marked & ~inside), guarded
+    return noise | (marked & ~inside), guarded | inside
 
 
 def main_text(source: str | None, low, host: str) -> str:
-    """The text of a page without its noise; ``low`` tells whether a node id has low importance.
+    """The text of a page without its noise; ``low`` tells which of some node ids are branches to remove.
 
-    A branch goes where all own texts in it are low, so only these are asked for.  If that would leave nothing of a page that has text apart from noise by meaning,
-    only the latter is removed."""
+    If that would leave nothing of a page that has text apart from noise by meaning, only the latter
+    is removed."""
     if not source:
         return ""
     page = dom.parse(source)
-    noise, _ = noise_by_meaning(page)
-    own: dict[int, bool] = {}
+    noise, kept = noise_by_meaning(page)
+    cut = removed(page, low, host, kept)
 
-    def render(merged: bool) -> str:
+    def render(gone: np.ndarray) -> str:
         blocks: list[str] = []
         last, parts = None, []
         for r in page.runs:
-            if not r.text or noise[r.owner]:
+            if not r.text or gone[r.owner]:
                 continue
-            if merged:
-                if r.owner not in own:
-                    own[r.owner] = low(node_id(host, f"{page.elements[r.owner].path}/{OWN_TEXT}"))
-                if own[r.owner]:
-                    continue
             if r.block != last:
                 blocks.append("".join(parts))
                 last, parts = r.block, []
@@ -148,7 +146,17 @@ def main_text(source: str | None, low, host: str) -> str:
         blocks.append("".join(parts))
         return "\n".join(b for b in map(dom.squeeze, blocks) if b)
 
-    return render(True) or render(False)
+    return (render(noise | cut) if cut.any() else "") or render(noise)
+
+
+def removed(page: dom.Page, low, host: str, kept: np.ndarray) -> np.ndarray:
+    """Whether the tree removes each element, with the branch that it lies in."""
+    found = np.asarray(low([node_id(host, e.path) for e in page.elements]), bool) & ~kept
+    found[0] = False
+    if found.any():
+        for i, e in enumerate(page.elements):
+            found[i] = found[i] or i > 0 and found[e.parent] and not kept[i]
+    return found
 
 
 def features(source: str, host: str) -> tuple[dict, set]:
@@ -186,7 +194,7 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(pages: DataFrame, gamma: float = 0.9, min_pages: int = 5) -> DataFrame:
-    """(node, importance) of the merged trees of all hosts; pages have columns host and html.
+    """(node, importance, best) of the merged trees of all hosts; pages have columns host and html.
 
     Counts are summed within tasks, then by Spark, so a large host's pages do not meet in
     one task.  Importances go up the tree by one join and one aggregation per level, at
@@ -236,41 +244,58 @@ def style_tree(pages: DataFrame, gamma: float = 0.9, min_pages: int = 5) -> Data
     weights = materialize(weights)
     deepest = nodes.agg(F.max("depth")).first()[0]
     if deepest is None:
-        return nodes.select("node", F.lit(1.0).alias("importance"))
+        return nodes.select("node", F.lit(1.0).alias("importance"), F.lit(1.0).alias("best"))
     done = None
     for depth in range(deepest, -1, -1):
         level = nodes.where(F.col("depth") == depth)
         if done is None:
-            level = level.withColumn("below", F.lit(None).cast("double"))
+            level = level.withColumn("below", F.lit(None).cast("double")).withColumn("top", F.lit(None).cast("double"))
         else:
-            styled = (members.join(done, "node").groupBy("parent", "style").agg(F.avg("importance").alias("i"))
-                      .join(weights, ["parent", "style"]).groupBy("parent").agg(F.sum(F.col("share") * F.col("i")).alias("below")))
+            styled = (members.join(done, "node").groupBy("parent", "style").agg(F.avg("importance").alias("i"), F.max("best").alias("b"))
+                      .join(weights, ["parent", "style"]).groupBy("parent")
+                      .agg(F.sum(F.col("share") * F.col("i")).alias("below"), F.max("b").alias("top")))
             level = level.join(styled.withColumnRenamed("parent", "node"), "node", "left")
         fade = F.pow(F.lit(gamma), F.col("s"))
         mixed = (1 - fade) * F.col("shown") + fade * F.col("below")
         value = F.coalesce("content", mixed, F.lit(1.0))
-        level = materialize(level.select("node", "m", value.alias("importance")))
+        level = materialize(level.select("node", "m", value.alias("importance"), F.coalesce("content", "top", F.lit(0.0)).alias("best")))
         out = level if done is None else out.unionByName(level)
-        done = level.select("node", "importance")
-    return out.select("node", F.when(F.col("m") >= min_pages, F.col("importance")).otherwise(1.0).alias("importance"))
+        done = level.select("node", "importance", "best")
+    return out.select("node", *[F.when(F.col("m") >= min_pages, F.col(c)).otherwise(1.0).alias(c) for c in ("importance", "best")])
+
+
+def low_branches(tree: DataFrame, threshold: float, unique: float) -> DataFrame:
+    """(node): nodes whose branch is removed."""
+    return tree.where((F.col("importance") < threshold) & (F.col("best") < unique)).select("node")
+
+
+def members_of(nodes: np.ndarray):
+    """Which of some node ids are in a sorted array of 8 bytes each."""
+    def low(ids: list[int]) -> np.ndarray:
+        ids = np.array(ids, np.int64)
+        if not len(nodes):
+            return np.zeros(len(ids), bool)
+        return nodes[np.minimum(np.searchsorted(nodes, ids), len(nodes) - 1)] == ids
+    return low
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.3,
-            gamma: float = 0.9, min_pages: int = 5, broadcast_nodes: int = 1_000_000) -> DataFrame:
+            unique: float = 0.5, gamma: float = 0.9, min_pages: int = 5, broadcast_nodes: int = 1_000_000) -> DataFrame:
     """Main text of each page: (id, url, text, n_chars).
 
     One row per input row.  A null or empty html, or one without text, gives ''.  A null
     url is a host of its own.  Blocks are joined by one newline; white space within a block is one space;
-    ``n_chars`` counts code points.  Up to ``broadcast_nodes`` nodes of low importance (counted
-    first, 8 bytes each) are broadcast; beyond it each page gets those among its own
-    nodes by a join."""
+    ``n_chars`` counts code points.  A node exactly at ``threshold`` or ``unique`` stays; text that repeats
+    within an article stays.  Up to ``broadcast_nodes`` nodes to remove (counted first, 8 bytes each in
+    the array that is sent) are broadcast; beyond it each page gets those among its own nodes
+    by a join."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
-    low = materialize(style_tree(rows, gamma, min_pages).where(F.col("importance") < threshold).select("node"))
+    low = materialize(low_branches(style_tree(rows, gamma, min_pages), threshold, unique))
     schema = T.StructType([rows.schema["id"], rows.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     shared = None
     if low.count() <= broadcast_nodes:
-        shared = rows.sparkSession.sparkContext.broadcast(frozenset(low.toArrow()["node"].to_pylist()))
+        shared = rows.sparkSession.sparkContext.broadcast(np.sort(low.toArrow()["node"].to_numpy()))
         rows = rows.select("id", "url", "host", "html", F.lit(None).cast("array<bigint>").alias("low"))
     else:
         key = row_key(F.col("id"), F.concat_ws("\x1f", "url", "html"))
@@ -290,12 +315,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         rows = rows.join(mine, "k", "left").select("id", "url", "host", "html", "low")
 
     def texts(batches):
-        common = shared.value if shared else frozenset()
+        common = members_of(shared.value if shared else np.empty(0, np.int64))
         for b in batches:
             out = []
             for host, source, own in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
-                known = common if own is None else frozenset(own)
-                out.append(main_text(source, known.__contains__, host))
+                known = common if own is None else members_of(np.sort(np.array(own, np.int64)))
+                out.append(main_text(source, known, host))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()),
                                               pa.array(list(map(len, out)), pa.int64())], names=schema.names)
 

@@ -1,6 +1,7 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from foldwise.llm import dom
@@ -8,7 +9,7 @@ from foldwise.llm import style_tree as st
 
 
 def text(source):
-    return st.main_text(source, lambda _: False, "h")
+    return st.main_text(source, st.members_of(np.empty(0, np.int64)), "h")
 
 
 @pytest.mark.parametrize("source,want", [
@@ -49,7 +50,7 @@ SCHEMA = "page_id long, url string, html string"
 
 
 def slow_importance(rows, gamma, least):
-    """The definitions, on dictionaries, for one host."""
+    """(importance, best): the definitions, on dictionaries, for one host."""
     m, parent, depth, kinds = Counter(), {}, {}, defaultdict(Counter)
     for _, _, source in rows:
         nodes, seen = st.features(source, "site.example.com")
@@ -59,11 +60,12 @@ def slow_importance(rows, gamma, least):
             kinds[kind, n][value] += 1
             if kind == 0:
                 m[n] += 1
-    out = {}
+    out, best = {}, {}
     for n in sorted(m, key=lambda n: -depth[n]):
         styles, own = kinds[1, n], kinds[2, n]
+        best[n] = max((best[c] for c in m if parent[c] == n and n != c), default=0.0)
         if own:
-            out[n] = 1 - sum(math.log(k) for k in own.values()) / (len(own) * math.log(m[n])) if m[n] > 1 else 1.0
+            best[n] = out[n] = 1 - sum(math.log(k) for k in own.values()) / (len(own) * math.log(m[n])) if m[n] > 1 else 1.0
             continue
         if not styles:
             out[n] = 1.0
@@ -76,16 +78,78 @@ def slow_importance(rows, gamma, least):
             below += v / total * sum(kids) / len(kids)
         fade = gamma ** len(styles)
         out[n] = (1 - fade) * min(shown, 1) + fade * below
-    return {n: out[n] if m[n] >= least else 1.0 for n in out}
+    return {n: (out[n], best[n]) if m[n] >= least else (1.0, 1.0) for n in out}
 
 
 def test_importance_against_brute_force(spark):
     rows = [r for r in pages() if r[0] is not None and r[0] < 12]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("host", st.host_of("url"))
-    got = {r.node: r.importance for r in st.style_tree(df).collect()}
-    want = slow_importance(rows, 0.9, 5)
-    assert got.keys() == want.keys()
-    assert all(abs(got[n] - want[n]) < 1e-9 for n in got)
+    for gamma in (0.9, 0.3):
+        got = {r.node: (r.importance, r.best) for r in st.style_tree(df, gamma).collect()}
+        want = slow_importance(rows, gamma, 5)
+        assert got.keys() == want.keys()
+        assert all(np.allclose(got[n], want[n], atol=1e-9) for n in got)
+
+
+def site(kind):
+    """A documented site of 20 pages without landmarks: a constant bar of links, a line that differs on one page in
+    four, a promo with one word of its own per page, unique paragraphs, a constant footer."""
+    rows = []
+    for i in range(20):
+        c = chr(97 + i)
+        main = f"<p>story {c * 3} begins</p><p>and goes on {c * 4}</p>"
+        if kind == "article":
+            main = f"<article><h2>Method</h2>{main}<p>Read on.</p></article>"
+        rows.append((i, f"http://site.example.com/{i}", f"<html><body><div class=bar><a href=/a>A</a><a href=/b>B</a></div><div class=line>mood {'abcd'[i % 4] * 3}</div>"
+                     f"<div class=promo><span>Buy now</span><span class=own>{c * 2}</span></div><div class=story>{main}</div><div class=end><i>All rights</i> held</div></body></html>"))
+    return rows
+
+
+def slow_text(rows, threshold, unique, gamma):
+    """Texts by walking each page's own tree from the top; and how many branches go."""
+    table, texts, gone = slow_importance(rows, gamma, 5), [], 0
+    for _, _, source in rows:
+        page = dom.parse(source)
+        noise, kept = st.noise_by_meaning(page)
+        cut = []
+        for i, e in enumerate(page.elements):
+            importance, best = table[st.node_id("site.example.com", e.path)]
+            mine = i > 0 and not kept[i] and importance < threshold and best < unique
+            gone += bool(mine and not cut[e.parent])
+            cut.append(mine or bool(i and cut[e.parent] and not kept[i]))
+        blocks = {}
+        for r in page.runs:
+            if not cut[r.owner] and not noise[r.owner]:
+                blocks.setdefault(r.block, []).append(r.text)
+        texts.append("\n".join(t for t in (dom.squeeze("".join(b)) for b in blocks.values()) if t))
+    return texts, gone
+
+
+@pytest.mark.parametrize("kind", ["plain", "article"])
+@pytest.mark.parametrize("options", [{}, {"gamma": 0.99}, {"threshold": 0.1}, {"threshold": 0.9, "unique": 0.9}])
+def test_text_against_brute_force(spark, kind, options):
+    rows = site(kind)
+    got = [r.text for r in st.extract(spark.createDataFrame(rows, SCHEMA), **options).orderBy("page_id").collect()]
+    want, gone = slow_text(rows, options.get("threshold", 0.3), options.get("unique", 0.5), options.get("gamma", 0.9))
+    assert got == want and gone >= 20
+    c = "ccc"
+    assert f"story {c} begins" in got[2] and "All rights" not in got[2]
+    if kind == "article":  # what repeats within an article stays
+        assert got[2] == f"Method\nstory {c} begins\nand goes on cccc\nRead on."
+
+
+def test_every_parameter_decides(spark):
+    """The threshold, the fade and the guard each change the texts of a site."""
+    df = spark.createDataFrame(site("plain"), SCHEMA)
+
+    def texts(**options):
+        return [r.text for r in st.extract(df, **options).orderBy("page_id").collect()]
+
+    usual = texts()
+    assert "mood" in usual[0] and texts(threshold=0.0) != usual
+    faded = texts(gamma=0.2)  # the mood line's importance is 0.46 of its own, and fades
+    assert "mood" not in faded[0] and "story" in faded[0]
+    assert texts(gamma=0.2, unique=0.4) == usual  # below the guard it stays
 
 
 @pytest.mark.parametrize("limit", [1_000_000, 0])
@@ -124,7 +188,7 @@ def test_unique_text_survives_low_means(spark):
     rows += [(100 + i, f"http://deep.org/{i}", page(i, b)) for i, b in enumerate(deep)]
     got = {r.page_id: r.text for r in st.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
     for i, c in enumerate("abcdefgh"):
-        assert got[i] == f"Title {c}\nfirst of {c}\nsecond of {c * 2}"
+        assert got[i] == f"Title {c}\nfirst of {c}\nsecond of {c * 2}\nBy the staff\nnews\nBuy now"
         assert got[100 + i] == f"deep words of {c}"
 
 
