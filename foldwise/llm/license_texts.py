@@ -99,6 +99,12 @@ for _name, _what, _words, _version in [
     _add(_name, _short_gnu(_what, _words, _version), _gnu(_what, _words, _version))
 TEMPLATES["GPL-3.0"].remove(_short_gnu("program", "General", "3"))  # there already
 _add("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1.")
+for _name, _words, _versions in [("GPL", "General", "1 2 3"), ("LGPL", "Library General", "2"), ("LGPL", "Lesser General", "2.1 3"), ("AGPL", "Affero General", "3")]:
+    for _version in _versions.split():
+        _add(f"{_name}-{_version if '.' in _version else _version + '.0'}", *[
+            f"Licensed under the GNU {_words} Public License{_mark} version {_version}" for _mark in (",", " (the license),")],
+            f"Licensed under the terms of the GNU {_words} Public License, version {_version}",
+            f"under the terms of the GNU {_words} Public License version {_version} as published by the Free Software Foundation")
 _add("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0.",
      """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
      distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""")
@@ -107,6 +113,13 @@ for _name, _words in [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike")
                       ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]:
     _add(f"CC-{_name}-4.0", f"Licensed under a Creative Commons {_words} 4.0 International License.")
 _add("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0.")
-for _name in ("AGPL-3.0", "Apache-2.0", "CC0-1.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1",
+for _name in ("Apache-2.0", "CC0-1.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1",
               "MPL-2.0", "Unlicense"):
     _add(_name, pkgutil.get_data(__package__, f"license_files/{_name}.txt").decode())
+
+#: Identifiers of source file tags; a tag names a license only if nothing follows its identifier.
+TAGS = {name: [name, *[f"{name}-{end}" for end in ("only", "or-later") if name.split("-")[0] in ("GPL", "LGPL", "AGPL")]] for name in TEMPLATES}
+for _name, _ids in TAGS.items():
+    _add(_name, *[f"SPDX-License-Identifier: {_id}" for _id in _ids])
+#: The title of a license whose whole text is not among the files, and the license whose text it is but for few words.
+RETITLED = {"AGPL-3.0": ("GPL-3.0", "GNU Affero General Public License Version 3")}

@@ -14,7 +14,7 @@ share holds for their numbers and names too.  Among longer texts the more comple
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from dataclasses import dataclass
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwise.llm.license_texts import TEMPLATES
+from foldwise.llm.license_texts import RETITLED, TEMPLATES
 
 _WORD = re.compile(r"[^\W_]+")
 #: Templates below this many words are notices, which need all of their words.
@@ -33,6 +33,9 @@ SHORT = 20
 LEAD = frozenset("a is licensed released the this under work".split())
 #: Templates below this many words name their license in few places, all of which count.
 HEADER = 200
+#: The first word of a source file tag, and what may follow its identifier in a longer one.
+TAG = "spdx"
+_GOES_ON = re.compile(r"[-.+]*\w|\+")
 #: Words that, besides numbers, name a license.
 NAMES = frozenset("affero apache lesser mozilla".split())
 
@@ -145,12 +148,14 @@ class Template:
     counts: Counter
     name: int = 0  # of a notice: place of the first word of the license's name
     telling: frozenset = frozenset()  # of a header: places of its numbers and names
+    tag: bool = False  # an identifier, which must end where the template does
 
 
 def templates(texts: dict[str, list[str]]) -> list[Template]:
     made = [Template(name, w, Counter(w)) for name, each in texts.items() for t in each if (w := _WORD.findall(t.lower()))]
     for t in made:
         if len(t.words) < SHORT:
+            t.tag = t.words[0] == TAG
             t.name = next((j for j, w in enumerate(t.words) if w not in LEAD), 0)
         else:
             if len(t.words) < HEADER:
@@ -211,6 +216,16 @@ def _aligned(words: list[str], start: int, room: int, end: int, template: list[s
         best, start = pairs, pairs[0][0]
 
 
+def _tight(words: list[str], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The first and last aligned words where they stand closest to the others."""
+    if len(pairs) < 2:
+        return pairs
+    (i, j), (n, m) = pairs[0], pairs[-1]
+    i = next(k for k in range(pairs[1][0] - 1, i - 1, -1) if words[k] == words[i])
+    n = next(k for k in range(pairs[-2][0] + 1, n + 1) if words[k] == words[n])
+    return [(i, j), *pairs[1:-1], (n, m)]
+
+
 def _places(words: list[str], t: Template, need: int, room: int, min_coverage: float) -> list[list[tuple[int, int]]]:
     """Alignments that do not overlap, with at least ``need`` words.  After a place, what lies before
     it and behind it is searched too.  A stretch moved by d words aligns at most d more, so
@@ -230,6 +245,7 @@ def _places(words: list[str], t: Template, need: int, room: int, min_coverage: f
             most = k + np.flatnonzero(held[k:upto] == held[k:upto].max())  # a stray word may have begun it too early
             tries = [pairs, *(_aligned(words, int(starts[x]), room, hi, t.words) for x in {int(most[0]), int(most[-1])})]
             pairs = max((p for p in tries if _told(p, t, min_coverage)), key=lambda p: (len(p), p[0][0] - p[-1][0]))
+            pairs = _tight(words, pairs)
             out.append(pairs)
             todo += [(pairs[-1][0] + 1, hi), (lo, pairs[0][0])]
             break
@@ -248,7 +264,8 @@ def scan(text: str | None, known: list[Template], min_coverage: float) -> list[t
         room = len(t.words) + len(t.words) // 2 + 4
         if len(t.words) < SHORT:
             if t.counts.keys() <= have:
-                found += [(t.license, spans[i][0], spans[j][1], 1.0, len(t.words)) for i, j in _notices(lowered, t, room)]
+                found += [(t.license, spans[i][0], spans[j][1], 1.0, len(t.words)) for i, j in _notices(lowered, t, room)
+                          if not t.tag or not _GOES_ON.match(text, spans[j][1])]
             continue
         need = int(np.ceil(min_coverage * len(t.words) - 1e-9))
         if len(lowered) < need or len(t.counts) - len(have.intersection(t.counts)) > len(t.words) - need:
@@ -256,11 +273,24 @@ def scan(text: str | None, known: list[Template], min_coverage: float) -> list[t
         for pairs in _places(lowered, t, need, room, min_coverage):
             i, j = pairs[0][0], pairs[-1][0]
             found.append((t.license, spans[i][0], spans[j][1], len(pairs) / len(t.words), len(pairs)))
+    # kept places do not overlap, so only the neighbours of a place's start can overlap it
     kept: list = []
     for x in sorted(found, key=lambda x: (-x[4], -x[3], x[0], x[1])):
-        if all(x[2] <= y[1] or x[1] >= y[2] for y in kept):
-            kept.append(x)
-    return sorted(kept, key=lambda x: x[1])
+        at = bisect_left(kept, x[1], key=lambda y: y[1])
+        if (at == 0 or kept[at - 1][2] <= x[1]) and (at == len(kept) or kept[at][1] >= x[2]):
+            insort(kept, x, key=lambda y: y[1])
+    return [_titled(x, text) for x in kept]
+
+
+def _titled(place: tuple, text: str) -> tuple:
+    """A whole text that begins with the title of another license, which shares it, is that license's."""
+    for name, (of, title) in RETITLED.items():
+        if place[0] == of and place[4] >= HEADER:
+            head = [w.lower() for w in _WORD.findall(text[max(0, place[1] - 200):place[1] + 200])]
+            words = _WORD.findall(title.lower())
+            if any(head[i:i + len(words)] == words for i in range(len(head))):
+                return (name, *place[1:])
+    return place
 
 
 def scan_licenses(docs: DataFrame, texts: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text",
