@@ -130,7 +130,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                 .unionByName(_no_hits(own)))
     per_doc = hits.groupBy("k").agg(
         F.first("id").alias("id"), F.first("n_words").alias("n_words"),
-        F.sum(F.col("first").cast("int")).alias("copies"), F.flatten(F.collect_list("hits")).alias("hits"))
+        F.sum(F.col("first").cast("int")).alias("copies"), F.flatten(F.collect_set("hits")).alias("hits"))  # repeated rows add nothing
     spans = F.array_sort(F.array_distinct(F.transform("hits", lambda x: F.struct(x["s"].alias("s"), (x["s"] + x["n"]).alias("e")))))
     covered = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("to")), lambda a, x: F.struct(
         (a["c"] + F.greatest(x["e"] - F.greatest(x["s"], a["to"]), F.lit(0).cast("long"))).alias("c"),

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldwise.llm.common import materialize
+from foldwise.session import parallelism
 
 
 @dataclass
@@ -149,12 +150,12 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, in
 
 
 def _share(rows: DataFrame, n: int, most: int, salt: str) -> DataFrame:
-    """About ``most`` rows, by a hash of their id; all, if there are no more."""
-    return rows.where(F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(1 << 30)) < int(min(1.0, most / max(n, 1)) * (1 << 30)))
+    """About ``most`` rows, by a hash of their id and vector (an id may have many); all, if there are no more."""
+    return rows.where(F.pmod(F.xxhash64(F.lit(salt), "id", "v"), F.lit(1 << 30)) < int(min(1.0, most / max(n, 1)) * (1 << 30)))
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.95,
-           sample: int = 50_000, calibrate: int = 100, leaf_size: int = 256, block: int = 8192,
+           sample: int = 50_000, calibrate: int = 100, leaf_size: int = 256, block: int | None = None,
            queries_per_group: int = 4096, seed: int = 42) -> DataFrame:
     """The k nearest rows found for each query: (query_id, rank, id, score), by inner product in
     double precision, nearest first, ties to smaller ids.
@@ -167,8 +168,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
 
     The tree is fitted on about ``sample`` vectors, and the number of visits on about
     ``calibrate`` queries (documented bounds); every vector is placed and may be found.
-    Neighbouring leaves go to one group of about ``block`` vectors, and a larger leaf is cut into
-    blocks, so one leaf, or one vector that is very common, is shared out over tasks.  A
+    Neighbouring leaves go to one group of about ``block`` vectors (by default a share of the rows
+    that keeps all cores busy, 1,024 to 8,192), and a larger leaf is cut into blocks, so one leaf, or one vector that is very common, is shared out over tasks.  A
     query goes to a group once, with the leaves that it visits there; a task keeps only k
     neighbours of each of ``queries_per_group`` queries at a time.  The tree (about
     sample / leaf_size * 1.2 nodes) is broadcast."""
@@ -180,6 +181,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
         return spark.createDataFrame([], T.StructType([found[0], T.StructField("rank", T.IntegerType()), T.StructField(id_col, id_type), found[2]]))
     rows = rows.dropDuplicates(["id", "v"])
     n = rows.count()
+    block = block or max(1024, min(8192, -(-n // (4 * parallelism(spark)))))
     fitted = _share(rows, n, sample, "fit").orderBy("id", "v").toArrow()
     tree = spark.sparkContext.broadcast(fit(_matrix(fitted["v"].combine_chunks(), dim) if fitted.num_rows else np.zeros((0, dim)),
                                             leaf_size=leaf_size, seed=seed))
@@ -199,7 +201,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     group, n_blocks = pack(sizes, block)
     spans = spark.createDataFrame([(i, int(g), int(n_blocks[g])) for i, g in enumerate(group)], "leaf int, g int, n_blocks int")
     blocks = (placed.join(F.broadcast(spans), "leaf")
-              .select("g", F.pmod(F.xxhash64(F.lit("block"), "id"), "n_blocks").cast("int").alias("b"), "id", "v", "leaf",
+              .select("g", F.pmod(F.xxhash64(F.lit("block"), "id", "v"), "n_blocks").cast("int").alias("b"), "id", "v", "leaf",
                       F.lit(None).cast("array<int>").alias("visits")))
     queries = materialize(placed.where(is_query).groupBy("id").agg(F.min("v").alias("v")))
     n_queries = queries.count()

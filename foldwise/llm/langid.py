@@ -100,7 +100,7 @@ def train(docs: DataFrame, where: Column | None = None, text_col: str = "text",
     """Fit the model on rows with a text and a language.
 
     At most about ``rows_per_language`` rows of a language are used: where it has more,
-    each is taken with the same chance, by a hash of its id, and whole texts are read.
+    each is taken with the same chance, by a hash of its id and text, and whole texts are read.
     ``where`` limits the rows further.  The matrix has languages x 2 ** bits entries;
     with more than ``max_buckets`` it is refused.  Without any such row the model knows no language,
     and every prediction is ``und``."""
@@ -115,7 +115,7 @@ def train(docs: DataFrame, where: Column | None = None, text_col: str = "text",
         return Model([], np.zeros(0), np.zeros((0, 1 << bits), np.float32), bits)
     total = sum(sizes.values())
     share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, rows_per_language / sizes[x]))) for x in languages])
-    taken = rows.where(F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 30)) < share * (1 << 30)).select("text", "lang")
+    taken = rows.where(F.pmod(F.xxhash64(F.lit("fit"), "id", "text"), F.lit(1 << 30)) < share * (1 << 30)).select("text", "lang")
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])
 
     def count(batches):
@@ -171,9 +171,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     return rows.mapInArrow(score, schema)
 
 
-def known_language(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is told with a probability of at least ``min_score``;
-    texts that are null or have no letter go."""
+def known_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``predict`` gives a learned language; those that it calls ``und`` go: texts
+    that are null or have no letter, and all if the model knows no language."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     told = predict(rows, model, "text", keep=["row"])
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")
+    return told.where(F.col("lang_pred") != UNKNOWN).select("row.*")

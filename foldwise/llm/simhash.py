@@ -22,7 +22,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,6 +157,10 @@ def links(group: np.ndarray, fps: np.ndarray, bits: int, small: int = 24) -> tup
     return pairs[:, 0], pairs[:, 1]
 
 
+#: Parts that the members of one group are dealt over.
+PARTS = 32
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, seed: int = 42) -> DataFrame:
     """(id, k, fp): the fingerprint of each row as a signed 64-bit integer, with the row's key."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -235,9 +239,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     light = materialize(fingerprints(docs, id_col, text_col, size, seed))
     fps = materialize(light.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(fingerprint_links(fps, bits), "u", "v")
-    placed = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = placed.join(ids, "root").select("fp", "root", "component_id")
+    linked = materialize(roots.join(fps, fps["fp"] == roots["node"]).select("fp", "root", "least"))
+    # a group may hold a third of all fingerprints: its id is dealt to as many parts as its members are
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    members = linked.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int")).join(ids, ["root", "part"])
+    placed = (fps.join(members.select("fp", "root", "component_id"), "fp", "left")
+              .select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")))
     return light.join(placed, "fp").select("id", "k", "fp", "root", "component_id")
 
 
@@ -262,5 +269,6 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept = groups(docs, id_col, text_col, **options).groupBy("root").agg(best).select(F.col("best.k").alias("k"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        row_key(F.col(id_col), F.col(text_col).cast("string")).alias("k"))
-    first = Window.partitionBy("k").orderBy(F.xxhash64(F.to_json("row")))
-    return (rows.join(kept, "k").withColumn("n", F.row_number().over(first)).where("n = 1").select("row.*"))
+    # rows of one key have one id and text; of many only one leaves a task
+    once = rows.groupBy("k").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return once.join(kept, "k", "left_semi").select("row.*")
