@@ -42,7 +42,7 @@ from foldwise.functions import exprs as X
 from foldwise.operators import auc as A
 from foldwise.operators import logistic as LG
 from foldwise.operators import ranks as R
-from foldwise.session import materialize, parallelism
+from foldwise.session import materialize, parallelism, small
 
 # Default hyper-parameters of the reference's model families,
 # re-expressed with Spark ML parameter names.
@@ -155,7 +155,8 @@ class FoldFeatures:
         self.sizes = {r[0]: tuple(r[1:]) for r in stats if r[0] is not None}
         self.ks = sorted(self.sizes)
         self.medians = {(r.column_name, r.fold): r["median"] for r in fold_medians(train, numeric, self.ks, fold).collect()} if numeric else {}
-        self.cells = {c: materialize(category_cells(train, c, y, fold)) for c in self.categorical}
+        # stored and counted: broadcast up to a bound, so that the training table is not shuffled for them
+        self.cells = {c: small(category_cells(train, c, y, fold)) for c in self.categorical}
         self.codes = {}
         if family(model_type) not in NUMERIC_ONLY:
             for c, cells in self.cells.items():
@@ -164,10 +165,10 @@ class FoldFeatures:
                     self.codes[c] = sorted(levels)
 
     def attach(self, df: DataFrame) -> DataFrame:
-        """Join the level tables of the encoded categories (left joins; AQE broadcasts small ones)."""
+        """Join the level tables of the encoded categories."""
         for c, cells in self.cells.items():
             if c not in self.codes:
-                t = cells.withColumnsRenamed({c: f"_level_{c}", "_cells": f"_cells_{c}", "_all": f"_all_{c}"})
+                t = cells.select(F.col(c).alias(f"_level_{c}"), F.col("_cells").alias(f"_cells_{c}"), F.col("_all").alias(f"_all_{c}"))
                 df = df.join(t, F.col(c) == F.col(f"_level_{c}"), "left").drop(f"_level_{c}")
         return df
 

@@ -20,6 +20,7 @@ from foldwise.operators import models as M
 from foldwise.operators import ranks as R
 from foldwise.plans.common import DOMAIN_SQL, O_NUM, O_ROLES, r6, sql_r6
 from foldwise.plans.q_encode import TRAIN_CTES, train_folds
+from foldwise.plans.q_rank import rank_sql
 from foldwise.sources import fixtures as FX
 
 QUERIES: dict = {}
@@ -186,23 +187,42 @@ ORACLE["lr_certificate"] = _lr_certificate_sql()
 
 @q("stack_certificate")
 def stack_certificate(spark, sf):
-    """The meta-model's fits are optimal on the raw score matrix; rows, mean score and mean label of each fit."""
+    """B3 + B4: the meta-models' fits are optimal on the raw, rank and logit score matrices; rows and mean score of each fit."""
     lf = train_folds(spark, sf).select("id", "y", "fold")
-    store, names = M.stack_store(_fixture_oof(spark, sf), lf, MODELS, "raw", seeds=SEEDS)
-    _, models = M.cv_logistic(store, {"stack": (store.positions(names), M.STACK_PARAMS)})
-    cert = _certificate(store, models).select("left_out", "term", "n", "gradient")
-    means = [F.struct(F.lit(k).alias("left_out"), F.lit(f"_x_{c}").alias("term"),
-                      F.avg(F.when(F.col("fold") != k, F.col(store.column(k))[i])).alias("mean_score")) for k in store.ks for i, c in enumerate(names)]
-    scores = store.data.agg(F.array(*means).alias("m")).select(F.inline("m"))
-    return _round_doubles(cert.join(scores, ["left_out", "term"], "left"))
-
-
-ORACLE["stack_certificate"] = FX.with_views(
-    f"SELECT left_out, term, n, CAST(0.0 AS DOUBLE) AS gradient, {sql_r6('mean_score')} AS mean_score FROM ("
-    "SELECT k AS left_out, '_x_' || p.model || '_' || p.seed AS term, count(*) AS n, avg(p.score) AS mean_score "
-    "FROM preds p JOIN _f f ON p.id = f.id, _k WHERE p.split = 'train' AND f.fold <> k GROUP BY k, p.model, p.seed "
-    "UNION ALL SELECT k, 'intercept', count(*), NULL FROM _f, _k WHERE fold <> k GROUP BY k) z", "preds",
-    extra=[*TRAIN_CTES, ("_k", "SELECT CAST(unnest(range(5)) AS INTEGER) AS k")])
+    out = None
+    for kind in ("raw", "rank", "logit"):
+        store, names = M.stack_store(_oof_for(spark, sf, kind), lf, MODELS, kind, seeds=SEEDS)
+        _, models = M.cv_logistic(store, {"stack": (store.positions(names), M.STACK_PARAMS)})
+        cert = _certificate(store, models).select("left_out", "term", "n", "gradient")
+        means = [F.struct(F.lit(k).alias("left_out"), F.lit(f"_x_{c}").alias("term"),
+                          F.avg(F.when(F.col("fold") != k, F.col(store.column(k))[i])).alias("mean_score")) for k in store.ks for i, c in enumerate(names)]
+        scores = store.data.agg(F.array(*means).alias("m")).select(F.inline("m"))
+        part = cert.join(scores, ["left_out", "term"], "left").withColumn("kind", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    return _round_doubles(out)
+
+
+def _oof_for(spark, sf, kind):
+    """The fixture's scores; as probabilities for log-odds."""
+    oof = _fixture_oof(spark, sf)
+    return oof.withColumn("score", F.col("score") / 500.0) if kind == "logit" else oof
+
+
+def _stack_certificate_sql():
+    score = {"raw": "score", "rank": rank_sql("_own", ["seed", "model"], "score") + " / count(*) OVER (PARTITION BY seed, model)",
+             "logit": "ln(greatest(least(score / 500.0, 1 - 1e-6), 1e-6) / (1.0 - greatest(least(score / 500.0, 1 - 1e-6), 1e-6)))"}
+    ctes = [*TRAIN_CTES, ("_k", "SELECT CAST(unnest(range(5)) AS INTEGER) AS k"), ("_own", "SELECT * FROM preds WHERE split = 'train'")]
+    parts = []
+    for kind, e in score.items():
+        ctes.append((f"_s_{kind}", f"SELECT id, seed, model, {e} AS score FROM _own"))
+        parts.append(f"SELECT '{kind}' AS kind, k AS left_out, '_x_' || p.model || '_' || p.seed AS term, count(*) AS n, avg(p.score) AS mean_score "
+                     f"FROM _s_{kind} p JOIN _f f ON p.id = f.id, _k WHERE f.fold <> k GROUP BY k, p.model, p.seed "
+                     f"UNION ALL SELECT '{kind}', k, 'intercept', count(*), NULL FROM _f, _k WHERE fold <> k GROUP BY k")
+    return FX.with_views(f"SELECT kind, left_out, term, n, CAST(0.0 AS DOUBLE) AS gradient, {sql_r6('mean_score')} AS mean_score FROM ("
+                         + " UNION ALL ".join(parts) + ") z", "preds", extra=ctes)
+
+
+ORACLE["stack_certificate"] = _stack_certificate_sql()
 
 
 def _order_features(spark, sf):
@@ -270,8 +290,7 @@ def multi_seed(spark, sf):
 def stack_logit(spark, sf):
     """Stacking on log-odds of clipped scores."""
     lf = train_folds(spark, sf).select("id", "y", "fold")
-    oof = _fixture_oof(spark, sf).withColumn("score", F.col("score") / 500.0)
-    p = M.stack(oof, lf, MODELS, "logit", seeds=SEEDS)
+    p = M.stack(_oof_for(spark, sf, "logit"), lf, MODELS, "logit", seeds=SEEDS)
     return _fold_auc(p, spark, sf)
 
 

@@ -151,7 +151,7 @@ ORACLE["corr_panel"] = ev(" UNION ALL ".join(
 @q("corr_matrix")
 def corr_matrix(spark, sf):
     """Every pair of 44 columns of the orders view, from one scan."""
-    df = FX.obs_orders(spark, sf).select("y", *[e.alias(n) for n, e in MATRIX])
+    df = FX.obs_orders(spark, sf).select("y", *[F.expr(e).alias(n) for n, e in MATRIX_SQL])
     cols = df.columns
     return _round_doubles(P.corr_panel(df, [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]))
 
@@ -162,7 +162,6 @@ MATRIX_SQL += [(f"{c}_if_{k}", f"CASE WHEN id % {k} <> 0 THEN CAST({c} AS DOUBLE
 MATRIX_SQL += [(f"{c}_root", f"sqrt(CAST({c} AS DOUBLE))") for c in O_NUM]
 MATRIX_SQL += [(f"{c}_cap", f"least(CAST({c} AS DOUBLE), 40.0)") for c in O_NUM]
 MATRIX_SQL += [("id_7", "CAST(id % 7 AS DOUBLE)"), ("id_11", "CAST(id % 11 AS DOUBLE)"), ("constant", "CAST(1.0 AS DOUBLE)")]
-MATRIX = [(n, F.expr(e)) for n, e in MATRIX_SQL]
 
 
 def _matrix_sql():

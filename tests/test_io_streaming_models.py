@@ -110,8 +110,8 @@ def test_recommended_conf_scales_with_input():
 
 def test_reference_model_names_map_to_spark_families(spark):
     from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-    assert isinstance(M._classifier("lgbm", 3, {"maxIter": 2}, 1, None), GBTClassifier)
-    assert isinstance(M._classifier("extra_trees", 3, {"numTrees": 2}, 1, None), RandomForestClassifier)
+    assert isinstance(M._classifier("lgbm", 3, {"maxIter": 2}, 1), GBTClassifier)
+    assert isinstance(M._classifier("extra_trees", 3, {"numTrees": 2}, 1), RandomForestClassifier)
 
 
 def test_fold_medians_are_exact(spark):
