@@ -138,7 +138,8 @@ def pack(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
     """((id, v) of the vectors that take part, their dimension).  Out stay rows with a null id,
     null and zero vectors, those with a null or non-finite component, and those whose
-    length is not the commonest (of equally common ones, the largest)."""
+    length is not the commonest (of equally common ones, the largest).  A vector column of another
+    numeric type is cast to doubles; one that is no array is refused by Spark."""
     floats = vectors.schema[vec_col].dataType.simpleString() == "array<float>"  # half the shuffle
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>" if floats else "array<double>").alias("v"))
     ok = (F.col("id").isNotNull() & F.col("v").isNotNull()

@@ -71,6 +71,19 @@ def test_recall_of_a_narrow_search(spark):
     assert hits / (20 * len(want)) >= 0.9
 
 
+def test_one_id_with_many_vectors(spark):
+    """They are candidates of their own, dealt over blocks by id and vector; the smallest is the id's query."""
+    rng = np.random.default_rng(5)
+    data = [(40, [float(np.float32(x)) for x in rng.normal(size=8)]) for _ in range(300)] + [
+        (i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(100, 160)]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = result(kt.search(df, F.col("id") % 20 == 0, recall=1.0, calibrate=10_000, leaf_size=32, block=64))
+    want = slow(data, 20, 20)
+    assert got.keys() == want.keys() == {40, 100, 120, 140}
+    for q in want:
+        assert sorted(s for _, _, s in got[q]) == pytest.approx(sorted(s for _, s in want[q]), abs=1e-9)
+
+
 def test_few_or_no_rows(spark):
     few = [(0, [1.0] * 8), (1, [2.0] * 8), (2, [1.0] * 8)]
     got = result(kt.search(spark.createDataFrame(few, SCHEMA), F.col("id") % 20 == 0))

@@ -72,6 +72,26 @@ def test_bounded_sample(toy):
     assert m.languages == ["en", "fr"] and np.allclose(np.exp(m.log_prior), 0.5)
 
 
+def test_ties_go_to_the_first_name(spark):
+    same = spark.createDataFrame([(i, "the cat", lang) for i, lang in enumerate(["b", "a"] * 5)], "doc_id long, text string, lang string")
+    out = li.predict(same, li.train(same)).collect()
+    assert {(r.lang_pred, r.score) for r in out} == {("a", 0.5)}
+
+
+def test_long_and_repeated_texts_through_the_query(spark, toy, tmp_path):
+    """Texts of many parts, equal rows and columns of clashing names get what they get alone; no rows give none."""
+    long = "le chat et la souris " * (3 * li.PART // 20)
+    rows = [(i, t, lang, None, None) for i, (t, lang) in enumerate([("the cat and the hat", "en"), ("le chat et la souris", "fr")] * 20)]
+    rows += [(500, long, None, None, None)] * 3 + [(501, "the " + long, None, None, None)]
+    spark.createDataFrame(rows, toy.schema).withColumn("held_out", F.lit("x")).write.parquet(str(tmp_path / "documents.parquet"))
+    out = q_lang.op1_language_id(spark, str(tmp_path))
+    got = [r for r in out.collect() if r.doc_id >= 500]
+    assert len(got) == 4 and {r.lang_pred for r in got} == {"fr"} and len({r.score for r in got if r.doc_id == 500}) == 1
+    folder = tmp_path / "none"
+    spark.createDataFrame([], toy.schema).write.parquet(str(folder / "documents.parquet"))
+    assert q_lang.op1_language_id(spark, str(folder)).collect() == []
+
+
 def test_held_out_accuracy(spark):
     out = q_lang.op1_language_id(spark, "/root/testdata/sf0.01")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
