@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions import exprs as X
+from foldwise.operators import pairs as PR
 
-# Pairs per batch: each guarded correlation is eight aggregate functions,
-# so a batch stays near 100 aggregates and under the JVM method-size limits.
-AGG_BATCH = 12
+# Pairs of a row (``pairs.pair_rows``): each guarded correlation has fifteen fields, and beyond 100 fields
+# an aggregate is not compiled.
+AGG_BATCH = 6
 
 
 def _not_null(keys: Sequence[str]) -> Column:
@@ -123,25 +124,20 @@ def summary(df: DataFrame, cols: Sequence[str], exact: bool = True, accuracy: in
 def corr_panel(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
     """(by, a, b, r, n), pairwise-complete Pearson r of any number of pairs from one scan.
 
-    A row becomes one row per batch of ``AGG_BATCH`` pairs inside the scan's stage; batches are aggregated
-    by (by, batch) with map-side partial aggregation, so what is shuffled is one row per batch,
-    group and task.  NULL values of ``by`` are groups."""
+    A row becomes one row per second column and group of ``AGG_BATCH`` first columns inside the scan's stage
+    (``pairs.pair_rows``); these are aggregated with map-side partial aggregation, so what is shuffled is one
+    such row per ``by`` group and task.  NULL values of ``by`` are groups."""
     by, pairs = list(by), list(pairs)
-    n_batches = max(1, -(-len(pairs) // AGG_BATCH))
-    none = F.lit(None).cast("double")
-    cells = []
-    for i in range(n_batches * AGG_BATCH):
-        cells += [F.lit(i // AGG_BATCH)] if i % AGG_BATCH == 0 else []
-        cells += [F.col(c).cast("double") for c in pairs[i]] if i < len(pairs) else [none, none]
-    names = ["_batch", *[f"_{s}{i}" for i in range(AGG_BATCH) for s in "ab"]]
-    long = df.select(*by, F.stack(F.lit(n_batches), *cells).alias(*names))
-    aggs = [F.struct(F.lit(i).alias("slot"), X.safe_corr(f"_a{i}", f"_b{i}").alias("r"),
-                     F.count(F.when(F.col(f"_a{i}").isNotNull() & F.col(f"_b{i}").isNotNull(), 1)).alias("n")).alias(f"_p{i}") for i in range(AGG_BATCH)]
-    wide = long.groupBy(*by, "_batch").agg(*aggs)
-    rows = wide.select(*by, "_batch", F.inline(F.array(*[F.col(f"_p{i}") for i in range(AGG_BATCH)])))
-    at = F.col("_batch") * AGG_BATCH + F.col("slot")
-    first, second = (F.get(F.array(*[F.lit(q[j]) for q in pairs]), at) for j in (0, 1))
-    return rows.where(at < len(pairs)).select(*by, first.alias("a"), second.alias("b"), "r", "n")
+    left, right = (list(dict.fromkeys(q[j] for q in pairs)) for j in (0, 1))
+    at = [(left.index(a), right.index(b)) for a, b in pairs]
+    long = PR.pair_rows(df, by, [F.col(c) for c in left], [F.col(c) for c in right], at, AGG_BATCH)
+    aggs = [F.struct(F.lit(i).alias("slot"), X.safe_corr(f"_a{i}", "_b").alias("r"),
+                     F.count(F.when(F.col(f"_a{i}").isNotNull() & F.col("_b").isNotNull(), 1)).alias("n")).alias(f"_p{i}") for i in range(AGG_BATCH)]
+    wide = long.groupBy(*by, "_g", "_r").agg(*aggs)
+    rows = wide.select(*by, "_g", "_r", F.inline(F.array(*[F.col(f"_p{i}") for i in range(AGG_BATCH)])))
+    rows = rows.select(*by, F.explode(PR.places(at, len(left), len(right), AGG_BATCH)).alias("_at"), "r", "n")
+    first, second = (F.get(F.array(*[F.lit(q[j]) for q in pairs]), F.col("_at")) for j in (0, 1))
+    return rows.select(*by, first.alias("a"), second.alias("b"), "r", "n")
 
 
 def corr_by_group(df: DataFrame, group: str, a: str, b: str) -> DataFrame:

@@ -149,3 +149,20 @@ def test_records_of_any_shape(spark):
     found = IO.variant_values(rec, "record", "$.v", ["id"]).where("id < 4").collect()
     got = sorted(((r.id, r.key or "", r.pos, r.value) for r in found), key=lambda t: t[:3])
     assert got == [(1, "", 0, 0.5), (1, "", 1, None), (1, "", 2, None), (2, "m", 0, 1.0), (2, "m", 1, 2.0), (2, "n", 0, 3.0), (3, "", 0, 7.0)]
+
+
+def test_correlations_share_short_compiled_steps(spark):
+    """Pairs with both orders and a repeated pair; the aggregate is compiled, and no step lists all pairs."""
+    rng = np.random.default_rng(1)
+    cols = [f"c{i}" for i in range(20)]
+    x = rng.normal(size=(60, 20))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{c} double" for c in cols))
+    pairs = [(a, b) for a in cols for b in cols] + [("c3", "c1")]
+    out = P.corr_panel(df, pairs)
+    got = [(r.a, r.b, r.r, r.n) for r in out.collect()]
+    assert sorted((a, b) for a, b, _, _ in got) == sorted(pairs)
+    want = np.corrcoef(x.T)
+    assert all(n == 60 and r == pytest.approx(want[cols.index(a), cols.index(b)], abs=1e-9) for a, b, r, n in got)
+    partial = [line for line in plan_of(out).splitlines() if "partial_covar_samp" in line]
+    assert any("*(" in line for line in partial)  # inside code generation
+    assert max(len(line) for line in plan_of(out).splitlines() if "Generate stack" in line) < 5000
