@@ -1,10 +1,10 @@
 """Hard-constraint search and quantization profile.
 
 Candidates are generated on the driver as column EXPRESSIONS (metadata).  Inside the
-stage that reads it, a row becomes one row per batch of ``BATCH`` candidates (``stack``:
-no arrays, compiled), and one aggregate keyed by batch gives the statistics of all its
-candidates: the input is evaluated once for any number of candidates, and a task
-shuffles one row per batch.  The statistics of a candidate:
+stage that reads it, a row becomes one row per right side and group of left sides
+(``pairs.pair_rows``: compiled), and one aggregate keyed by these gives the statistics of
+all candidates: the input is evaluated once for any number of candidates, and a task
+shuffles one row per right side and group.  The statistics of a candidate:
 
 * support     = rows where lhs and every rhs part are present
 * violations  = count_if(lhs < rhs - eps)
@@ -23,9 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions import exprs as X
+from foldwise.operators import pairs as PR
+from foldwise.session import materialize
 
-#: Candidates of a batch; their aggregates together stay within the compiler's field limit.
-BATCH = 6
+#: Candidates of a row, without and with a target: their aggregates (5 and 19 fields each) together stay
+#: within the compiler's limit of 100 fields.
+BATCH, BATCH_TARGET = 16, 5
 
 
 @dataclass(frozen=True)
@@ -61,19 +64,15 @@ def check_constraints(df: DataFrame, cands: Sequence[Constraint], eps: float = 1
     def side(names: Sequence[str]) -> Column:
         return X.sum_of([F.col(n).cast("double") for n in names])
 
-    n_batches = -(-len(cands) // BATCH)
-    slots = [*cands, *[None] * (n_batches * BATCH - len(cands))]
-    none = F.lit(None).cast("double")
-    cells = []
-    for i, c in enumerate(slots):
-        cells += [F.lit(i // BATCH)] if i % BATCH == 0 else []
-        cells += [none, none] if c is None else [side([c.lhs]), side(c.rhs)]
-    names = ["_b", *[f"_{s}{i}" for i in range(BATCH) for s in "lr"]]
-    keep = [] if y is None else [F.col(y).cast("double").alias("_y")]
-    long = df.select(*keep, F.stack(F.lit(n_batches), *cells).alias(*names))
+    left, right = list(dict.fromkeys(c.lhs for c in cands)), list(dict.fromkeys(c.rhs for c in cands))
+    width = min(len(left), BATCH if y is None else BATCH_TARGET)
+    at = [(left.index(c.lhs), right.index(c.rhs)) for c in cands]
+    keep = [] if y is None else ["_y"]
+    src = df if y is None else df.withColumn("_y", F.col(y).cast("double"))
+    long = PR.pair_rows(src, keep, [side([c]) for c in left], [side(c) for c in right], at, width)
 
     def stats(i: int) -> Column:
-        lhs, rhs = F.col(f"_l{i}"), F.col(f"_r{i}")
+        lhs, rhs = F.col(f"_a{i}"), F.col("_b")
         resid = lhs - rhs
         fields = [F.lit(i).alias("slot"), F.count(resid).alias("support"),
                   F.count_if(lhs < rhs - F.lit(eps)).alias("violations"),
@@ -82,9 +81,9 @@ def check_constraints(df: DataFrame, cands: Sequence[Constraint], eps: float = 1
                   F.max(F.when(lhs.isNotNull(), rhs)).alias("rhs_max")]
         return F.struct(*fields, *([X.safe_corr(resid, "_y").alias("r_target")] if y is not None else []))
 
-    wide = long.groupBy("_b").agg(*[stats(i).alias(f"k{i}") for i in range(BATCH)])
-    rows = wide.select("_b", F.inline(F.array(*[F.col(f"k{i}") for i in range(BATCH)])))
-    rows = rows.withColumn("_c", F.col("_b") * BATCH + F.col("slot")).where(F.col("_c") < len(cands))
+    wide = long.groupBy("_g", "_r").agg(*[stats(i).alias(f"k{i}") for i in range(width)])
+    rows = wide.select("_g", "_r", F.inline(F.array(*[F.col(f"k{i}") for i in range(width)])))
+    rows = rows.withColumn("_c", F.explode(PR.places(at, len(left), len(right), width)))
 
     def of(values) -> Column:
         return F.get(F.array(*values), F.col("_c"))
@@ -92,16 +91,26 @@ def check_constraints(df: DataFrame, cands: Sequence[Constraint], eps: float = 1
     return rows.select(of([F.lit(c.name) for c in cands]).alias("name"), of([F.lit(c.lhs) for c in cands]).alias("lhs"),
                        of([F.lit(" + ".join(c.rhs)) for c in cands]).alias("rhs"),
                        of([F.array(*map(F.lit, c.rhs)) for c in cands]).alias("parts"),
-                       *[x for x in rows.columns if x not in ("_b", "_c", "slot")])
+                       *[x for x in rows.columns if x not in ("_g", "_r", "_c", "slot")])
 
 
 def search(df: DataFrame, cands: Sequence[Constraint], min_support: int, eps: float = 1e-6,
            y: str | None = None, require_overlap: bool = False) -> DataFrame:
     """K2/K3 (+K5/K6): zero-violation candidates with support above ``min_support``."""
-    res = check_constraints(df, cands, eps, y)
+    res = check_constraints(df, cands, eps)
     hits = res.where((F.col("violations") == 0) & (F.col("support") > min_support))
     if require_overlap:
         hits = hits.where(F.col("lhs_min") < F.col("rhs_max"))
+    if y is not None:
+        # the target's correlation of the hits alone; their list is bounded by the candidates
+        hits = materialize(hits)
+        found = {(r.lhs, tuple(r.parts)) for r in hits.select("lhs", "parts").collect()}
+        own = [c for c in dict.fromkeys(cands) if (c.lhs, c.rhs) in found]
+        if own:
+            target = check_constraints(df, own, eps, y).select("lhs", "parts", "r_target")
+            hits = hits.join(target, ["lhs", "parts"]).select(*hits.columns, "r_target")
+        else:
+            hits = hits.withColumn("r_target", F.lit(None).cast("double"))
     # O1: hits by support, largest first (a sort of the small hit list)
     return hits.orderBy(F.desc("support"), "name")
 

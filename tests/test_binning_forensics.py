@@ -101,3 +101,22 @@ def test_missing_drift_with_an_empty_split(spark):
     df = spark.createDataFrame([(1.0, "train"), (None, "train")], "x double, split string")
     r = D.missing_drift(df, ["x"]).first()
     assert r.rate_a == pytest.approx(0.5) and r.rate_b is None and r.z is None
+
+
+def test_targets_of_hits_alone(spark, monkeypatch):
+    """Hits and their target correlations are those of all candidates, candidates given twice come twice."""
+    rows = [(float(i % 7 + i % 5 + i % 3), float(i % 7), float(i % 5) if i % 11 else None, float(i % 3), i % 2) for i in range(500)]
+    df = spark.createDataFrame(rows, "t double, a double, b double, c double, y int")
+    cands = K.sum_candidates(["t", "a", "b", "c"], 2)
+    cands += [cands[0], K.Constraint("t", ("a", "b", "c")), K.Constraint("a", ("a",))]
+    every = K.check_constraints(df, cands, y="y")
+    calls, check = [], K.check_constraints
+    monkeypatch.setattr(K, "check_constraints", lambda df, cands, eps, y=None: calls.append((len(cands), y)) or check(df, cands, eps, y))
+    found = K.search(df, cands, 10, y="y")
+    want = sorted((r.name, r.support, r.r_target) for r in every.collect() if r.violations == 0 and r.support > 10)
+    assert len(every.collect()) == len(cands)
+    got = [(r.name, r.support, r.r_target) for r in found.collect()]
+    assert [g[:2] for g in sorted(got)] == [w[:2] for w in want] and len(got) >= 4
+    assert all(g[2] == pytest.approx(w[2], abs=1e-9) for g, w in zip(sorted(got), want))
+    assert K.search(df, cands[:1], 10 ** 6, y="y").count() == 0
+    assert calls[0] == (len(cands), None) and calls[1] == (len({g[0] for g in got}), "y")
