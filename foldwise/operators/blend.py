@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from foldwise.operators import auc as A
 from foldwise.operators import ranks as R
-from foldwise.session import materialize, parallelism
+from foldwise.session import by_id, materialize, parallelism
 
 # The blend ratios (first:second source, percent) of the
 # reference's raw and rank-scaled two-model sweeps.
@@ -48,7 +48,7 @@ def pivot_models(preds: DataFrame, models: Sequence[str], id_col: str = "id", mo
                  score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """(by, id, m1, m2, ...) from long predictions; the model list is passed so no
     distinct-values job is needed."""
-    return preds.groupBy(*by, id_col).pivot(model_col, list(models)).agg(F.first(score))
+    return by_id(preds, *by, id_col).groupBy(*by, id_col).pivot(model_col, list(models)).agg(F.first(score))
 
 
 def rank_scale(preds: DataFrame, by: Sequence[str] = (), model_col: str = "model", score: str = "score",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from foldwise.functions import exprs as X
 from foldwise.operators import auc as A
 from foldwise.operators import binning as B
+from foldwise.operators import blend as BL
 from foldwise.operators import profile as P
 from foldwise.operators import ranks as R
 from foldwise.plans.common import E_MISSING, r6, sql_isna, sql_qcut, sql_r6
@@ -250,7 +251,7 @@ MODEL_PAIRS = [(MODELS[i], MODELS[j]) for i in range(3) for j in range(i + 1, 3)
 @q("diversity_corr")
 def diversity_corr(spark, sf):
     """Correlation of the models' prediction vectors within each split and seed (pivot models to columns, one agg)."""
-    wide = FX.preds(spark, sf).groupBy("split", "seed", "id").pivot("model", MODELS).agg(F.first("score"))
+    wide = BL.pivot_models(FX.preds(spark, sf), MODELS, by=["split", "seed"])
     return _round_doubles(P.corr_panel(wide, MODEL_PAIRS, ["split", "seed"]))
 
 
@@ -270,7 +271,7 @@ ORACLE["diversity_corr"] = _div_sql()
 def diversity_seeds(spark, sf):
     """Correlation between the seeds' rank ensembles, on labelled and on test rows."""
     ens = R.rank_average(FX.preds(spark, sf), "id", ["split", "seed"])
-    wide = ens.groupBy("split", "id").pivot("seed", [42, 100]).agg(F.first("score"))
+    wide = BL.pivot_models(ens, [42, 100], model_col="seed", by=["split"])
     wide = wide.withColumnsRenamed({"42": "seed_42", "100": "seed_100"})
     return _round_doubles(P.corr_panel(wide, [("seed_42", "seed_100")], ["split"]))
 

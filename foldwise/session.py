@@ -98,6 +98,20 @@ def small(df, rows: int = BROADCAST_ROWS):
     return F.broadcast(stored) if stored.count() <= rows else stored
 
 
+#: Rows of a task that holds a group for each id.
+ROWS_PER_TASK = 1_000_000
+
+
+def by_id(df, *keys: str):
+    """Repartition by keys that hardly repeat, before a grouping by them: tasks of about ``ROWS_PER_TASK`` rows.
+
+    Adaptive execution sizes tasks by compressed bytes, of which ids and scores take few, so that the hash
+    table of a task grew with the input.  With the rows in place there is no partial aggregate either, which would
+    hold a group for each row of a map task.  Tables of one such task are left as they are."""
+    n = -(-df.count() // ROWS_PER_TASK)
+    return df.repartition(max(n, parallelism(df.sparkSession)), *keys) if n > 1 else df
+
+
 def recommended_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
                      max_partitions: int = 1_000_000) -> dict[str, str]:
     """Cluster settings sized to the input, for a cluster session builder.

@@ -152,3 +152,17 @@ def test_ties_across_borders_nulls_and_equal_rows(spark, buckets):
 def test_rank_plan_has_no_join_of_the_rows(spark, skewed):
     plan = R.average_rank(skewed, "s", ["c1"], out="r")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_a_pivot_by_id_has_tasks_of_bounded_rows(spark, monkeypatch):
+    from foldwise import session
+    from foldwise.operators import blend as BL
+
+    rows = [(i, m, float(i) + j) for i in range(3000) for j, m in enumerate("ab")]
+    df = spark.createDataFrame(rows, "id int, model string, score double")
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 200)
+    out = BL.pivot_models(df, ["a", "b"])
+    got = {r.id: (r.a, r.b) for r in out.collect()}
+    assert got == {i: (float(i), i + 1.0) for i in range(3000)}
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 25 and max(sizes) < 300
