@@ -183,3 +183,41 @@ def test_blends_are_exact_and_bounded(spark, bins, hot, monkeypatch):
     for g in (1, 2):
         top = max(exact[g, i].auc for i in range(5))
         assert best[g].auc == top and best[g].w_id == min(i for i in range(5) if exact[g, i].auc == top)
+
+
+def test_a_store_holds_shared_features_once(spark, wide):
+    """Numeric columns and flags are stored once, and each fold's array is what its own medians and cells give."""
+    store = M.FoldStore(wide, ["x", "z"], ["c"], ["flag"], "lr")
+    assert {"_x", "_c0", "_c1", "_c2"} <= set(store.data.columns)
+    assert ("z", 0) not in store.feats.medians and ("x", 0) in store.feats.medians  # z has no NULL to fill
+    rows = [r.asDict() for r in store.data.collect()]
+    own = {r.id: r for r in wide.collect()}
+    for k in range(3):
+        seen = sorted(r.x for r in own.values() if r.fold != k and r.x is not None)
+        median = float(np.median(seen))
+        for r in rows:
+            x = own[r["id"]]
+            assert r["_x"][0] == x.x and r[f"_f{k}"][:3] == pytest.approx([median if x.x is None else x.x, x.z, x.flag])
+            assert r[f"_f{k}"][3:] == r[f"_c{k}"]
+    # columns that only the test rows have NULLs in get their medians as well
+    test = wide.select("id", "x", F.lit(None).cast("double").alias("z"), "c", "flag")
+    got = {r.id: r["_f1"] for r in store.test_rows(test, [0, 1, 2]).collect()}
+    assert all(v[1] == pytest.approx(np.median([r.z for r in own.values() if r.fold != 1])) for v in got.values())
+
+
+def test_steps_reuse_the_hessian_and_end_at_the_optimum(spark, monkeypatch):
+    """All folds and penalties at once: most passes add up no Hessian once the steps are short."""
+    t = as_table(spark, rows_of(600, 4, 7)).repartition(3)
+    fits = [LG.Fit(k, c, cols) for k in range(3) for c in (0.1, 10.0) for cols in (None, (1, 3))]
+    sizes, passes = [], LG._passes
+
+    def recorded(*a):
+        got = passes(*a)
+        sizes.append(max((len(v) for v in got.values()), default=0))
+        return got
+
+    monkeypatch.setattr(LG, "_passes", recorded)
+    models = LG.fit_logistic(t, fits, "f")
+    assert max(np.abs(m.gradient).max() for m in models) <= LG.TOLERANCE
+    assert max(abs(r.gradient) for r in LG.certificate(t, models, list("abcd"), "f").collect()) < 1e-9
+    assert sum(n == 1 + 5 for n in sizes[2:]) >= 1  # passes of losses and gradients alone
