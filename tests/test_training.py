@@ -185,6 +185,35 @@ def test_blends_are_exact_and_bounded(spark, bins, hot, monkeypatch):
         assert best[g].auc == top and best[g].w_id == min(i for i in range(5) if exact[g, i].auc == top)
 
 
+@pytest.mark.parametrize("rows_per_bucket", [1, 40, 200_000])
+def test_packed_scores_give_every_pair(spark, rows_per_bucket, monkeypatch):
+    """A sweep hands over a bucket's scores packed, a row for many; hot buckets, NaN, infinities, NULL groups and signed zeros count as rows do."""
+    monkeypatch.setattr(BL, "HOT_BIN", 20)
+    monkeypatch.setattr(BL, "ROWS_PER_BUCKET", rows_per_bucket)
+    monkeypatch.setattr(BL, "ROWS_AT_ONCE", 64)
+    rng = random.Random(rows_per_bucket)
+    inf = float("inf")
+    rows = [(g, rng.choice([-0.0, 0.0, rng.gauss(0, 1)]), rng.choice([None, rng.gauss(0, 9), 1e9 if rng.random() < 0.1 else 0.25]), int(rng.random() < 0.5))
+            for g in (None, "p", "q") for _ in range(200)]
+    rows += [("p", float("nan"), 1.0, 1), ("p", float("nan"), 1.0, 0), ("q", inf, 0.0, 1), ("q", -inf, 0.0, 0), ("q", 1.0, inf, None)]
+    df = spark.createDataFrame(rows, "g string, a double, b double, y int")
+    weights = [(1.0, 0.0), (0.3, 0.7), (0.0, 1.0), (-1.0, 0.25)]
+    b = BL.Blend(df, ["a", "b"], weights, by=["g"], bins=64)
+    assert b._packed(range(4), 64).count() < 4 * len(rows) / 5  # far fewer rows than scores
+    got = {(r.g, r.w_id): r for r in b.exact().collect()}
+    assert len(got) == 12
+
+    def place(s):  # Spark's order: NaN last, zeros equal
+        return (s != s, 0.0 if s != s else s + 0.0)
+
+    for (g, i), r in got.items():
+        w = weights[i]
+        s = [(place(w[0] * a + w[1] * c), y) for h, a, c, y in rows if h == g and c is not None and y is not None]
+        pos, neg = [x for x, y in s if y], [x for x, y in s if not y]
+        want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+        assert r.auc == pytest.approx(want, abs=1e-12) and (r.n_pos, r.n_neg) == (len(pos), len(neg))
+
+
 def test_a_store_holds_shared_features_once(spark, wide):
     """Numeric columns and flags are stored once, and each fold's array is what its own medians and cells give."""
     store = M.FoldStore(wide, ["x", "z"], ["c"], ["flag"], "lr")
