@@ -214,6 +214,20 @@ def test_packed_scores_give_every_pair(spark, rows_per_bucket, monkeypatch):
         assert r.auc == pytest.approx(want, abs=1e-12) and (r.n_pos, r.n_neg) == (len(pos), len(neg))
 
 
+def test_families_share_what_folds_learn(spark, wide, monkeypatch):
+    """Configurations of two families seek the medians once; the second store holds what it would hold alone."""
+    calls, real = [], M.fold_medians
+    monkeypatch.setattr(M, "fold_medians", lambda *a, **k: calls.append(1) or real(*a, **k))
+    runs = {"gbt": ("gbt", {"maxIter": 1, "maxDepth": 1}), "lr": ("lr", {"C": 0.1})}
+    scores = M.run_configs(wide, runs, ["x", "z"], ["c"], ["flag"])
+    assert len(calls) == 1 and {r.model for r in scores.select("model").distinct().collect()} == {"gbt", "lr"}
+    for first, then in (("gbt", "lr"), ("lr", "gbt")):
+        alone = M.FoldStore(wide, ["x", "z"], ["c"], ["flag"], then)
+        like = M.FoldStore(wide, ["x", "z"], ["c"], ["flag"], then, like=M.FoldStore(wide, ["x", "z"], ["c"], ["flag"], first))
+        assert alone.names == like.names
+        assert sorted(map(str, alone.data.collect())) == sorted(map(str, like.data.collect()))
+
+
 def test_a_store_holds_shared_features_once(spark, wide):
     """Numeric columns and flags are stored once, and each fold's array is what its own medians and cells give."""
     store = M.FoldStore(wide, ["x", "z"], ["c"], ["flag"], "lr")
