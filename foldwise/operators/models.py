@@ -84,12 +84,21 @@ def _classifier(model_type: str, n_features: int, params: dict, seed: int):
             extra = {"validationIndicatorCol": "_is_val", "validationTol": p.pop("validationTol", 0.0001)}
         return GBTClassifier(featuresCol="features", labelCol="_label", seed=seed, **p, **extra)
     if model_type == "rf":
-        return RandomForestClassifier(featuresCol="features", labelCol="_label", seed=seed, **p)
+        # Kept node ids: a pass over a level does not walk every row down every tree from the root again (same
+        # forest).  They are derived again from at most maxDepth steps if lost, so no copy goes to shared storage.
+        kept = {"cacheNodeIds": True, "checkpointInterval": -1}
+        return RandomForestClassifier(featuresCol="features", labelCol="_label", seed=seed, **{**kept, **p})
     hidden = p.pop("layers", [64, 32])
     return MultilayerPerceptronClassifier(featuresCol="features", labelCol="_label", seed=seed,
                                           layers=[n_features, *hidden, 2], **p)
 
 
+def _fits_at_once(model_type: str, n_parts: int, cores: int) -> int:
+    """How many folds are fitted at the same time.  A forest holds two numbers for each row and tree, so no more
+    forests than keep the cores busy."""
+    return max(1, min(FIT_THREADS, math.ceil(2 * cores / n_parts))) if family(model_type) == "rf" else FIT_THREADS
+
+
 def build_pipeline(features: Sequence[str], model_type: str, params: dict | None = None, seed: int = 42) -> Pipeline:
     """Assembler, scaling (E6: StandardScaler for the MLP) and classifier over feature columns
     without NULLs.  Logistic regressions are fitted by ``logistic.fit_logistic``."""
@@ -248,7 +257,7 @@ class FoldStore:
         n_rows = sum(v[0] for v in self.feats.sizes.values())
         # Iterative fits launch one job per iteration, so the task count matters:
         # about ROWS_PER_PARTITION rows per partition, never fewer than a few.
-        n_parts = max(math.ceil(n_rows / ROWS_PER_PARTITION), min(4, parallelism(train.sparkSession)))
+        n_parts = self.n_parts = max(math.ceil(n_rows / ROWS_PER_PARTITION), min(4, parallelism(train.sparkSession)))
         arrays = [F.when(F.col(fold) == k, F.array(*self._stored(k, False))).otherwise(F.array(*self._stored(k, True))).alias(self._name(k))
                   for k in self.ks] if categorical or not self.shared else []
         base = [self._base()] if self.shared else []
@@ -370,7 +379,8 @@ def cv_train(train: DataFrame | None, numeric: Sequence[str], categorical: Seque
         tr = data.where((F.col(fold) != k) & F.col("_label").isNotNull()).select("_label", *extra, *columns(k))
         return build_pipeline(names, model_type, params, seed).fit(tr)
 
-    with ThreadPool(min(FIT_THREADS, max(1, len(k_list)))) as pool:
+    at_once = _fits_at_once(model_type, store.n_parts, parallelism(data.sparkSession))
+    with ThreadPool(min(at_once, max(1, len(k_list)))) as pool:
         models = pool.map(inheritable_thread_target(data.sparkSession)(fit), k_list)
     out = None
     for k, model in zip(k_list, models):

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -264,3 +265,25 @@ def test_steps_reuse_the_hessian_and_end_at_the_optimum(spark, monkeypatch):
     assert max(np.abs(m.gradient).max() for m in models) <= LG.TOLERANCE
     assert max(abs(r.gradient) for r in LG.certificate(t, models, list("abcd"), "f").collect()) < 1e-9
     assert sum(n == 1 + 5 for n in sizes[2:]) >= 1  # passes of losses and gradients alone
+
+
+def test_forests_keep_node_ids(spark, wide):
+    """Forests keep the node of each row and tree, and are the forests that walking down from the root gives."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    params = {"numTrees": 7, "maxDepth": 5}
+    kept = M._classifier("rf", 2, params, 3)
+    assert kept.getCacheNodeIds() and not M._classifier("rf", 2, {**params, "cacheNodeIds": False}, 3).getCacheNodeIds()
+    store = M.FoldStore(wide, ["x", "z"], ["c"], ["flag"], "rf")
+    got = {(r.id, r.fold): r.score for r in M.cv_train(None, ["x", "z"], ["c"], ["flag"], "rf", params, store=store).collect()}
+    walked = M.cv_train(None, ["x", "z"], ["c"], ["flag"], "rf", {**params, "cacheNodeIds": False}, store=store).collect()
+    assert got == {(r.id, r.fold): r.score for r in walked} and len(got) == 400
+    deep = {"minInstancesPerNode": 1, "maxDepth": 12, "featuresCol": "_f0", "labelCol": "_label", "seed": 3, "numTrees": 3}
+    rows = store.data.select("_label", array_to_vector("_f0").alias("_f0"))
+    plain, own = (RandomForestClassifier(**deep, **k).fit(rows).toDebugString.split("\n", 1)[1] for k in ({}, {"cacheNodeIds": True, "checkpointInterval": -1}))
+    assert plain == own
+
+
+def test_forests_at_once_fill_the_cores():
+    assert [M._fits_at_once("rf", n, 12) for n in (4, 17, 24, 101)] == [3, 2, 1, 1]
+    assert M._fits_at_once("extra_trees", 101, 12) == 1 and M._fits_at_once("gbt", 101, 12) == 3
