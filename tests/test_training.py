@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldwise.operators import blend as BL
+from foldwise.operators import forest as RF
 from foldwise.operators import isotonic as ISO
 from foldwise.operators import logistic as LG
 from foldwise.operators import models as M
@@ -287,3 +288,26 @@ def test_forests_keep_node_ids(spark, wide):
 def test_forests_at_once_fill_the_cores():
     assert [M._fits_at_once("rf", n, 12) for n in (4, 17, 24, 101)] == [3, 2, 1, 1]
     assert M._fits_at_once("extra_trees", 101, 12) == 1 and M._fits_at_once("gbt", 101, 12) == 3
+
+
+@pytest.mark.parametrize("least, group_bytes", [(1, 256 << 20), (5, 1 << 20)])
+def test_forests_of_all_folds_are_sparks(spark, least, group_bytes, monkeypatch):
+    """All folds' forests grown together, without Spark's fit, are its forests: sampled thresholds, NULL labels, nodes in several groups."""
+    monkeypatch.setattr(RF, "GROUP_BYTES", group_bytes)
+    i = F.col("id")
+    rows = spark.range(0, 15_000, 1, 3).select(
+        "id", F.when(i % 7 != 0, F.rand(1) + i % 3).alias("x"), (F.floor(F.rand(2) * 9) - 4).cast("double").alias("z"), F.lit(2.0).alias("same"),
+        F.when(i % 5 != 0, F.substring(F.md5(i.cast("string")), 1, 1)).alias("c"), (i % 4).cast("int").alias("fold"),
+        F.when(i % 11 != 0, ((F.rand(1) + F.rand(3) * 2 + F.floor(F.rand(2) * 9) / 9) > 2).cast("int")).alias("y"))
+    rows = rows.withColumn("flag", F.col("x").isNull().cast("int")).localCheckpoint()
+    args = (["x", "z", "same"], ["c"], ["flag"], "rf")
+    params = {"numTrees": 30, "maxDepth": 7, "minInstancesPerNode": least}
+    test = rows.where("id < 500")
+    store = M.FoldStore(rows, *args)
+
+    def scores(p):
+        return {(r.id, r.split, r.fold): r.score for r in M.cv_train(None, *args, p, test, store=store, seed=5).collect()}
+
+    want = scores({**params, "maxMemoryInMB": group_bytes >> 20})  # a setting that is left to Spark's own fit
+    monkeypatch.setattr(M, "build_pipeline", None)
+    assert scores(params) == want and len(want) == 15_500
