@@ -1,0 +1,355 @@
+"""Perceptrons of all folds in shared passes: what Spark's ``MultilayerPerceptronClassifier`` fits (sigmoid layers, softmax on two
+labels, L-BFGS), summed with numpy over packed rows.
+
+The loss is Spark's: the mean over blocks of ``BLOCK`` rows of a partition, a last and shorter one among them, of each block's
+mean.  The start is its own as well, drawn in the JVM, and the steps are those of Breeze's L-BFGS and line search.  Only sums are
+taken in another order, so weights agree but for rounding.  A pass reads the rows once for the folds that still move."""
+
+from __future__ import annotations
+
+import math
+import sys
+from collections.abc import Generator, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from foldwise.session import materialize, parallelism
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not find this package
+
+#: Spark's defaults: rows of a block, steps remembered, tolerance.
+BLOCK = 128
+MEMORY = 10
+TOLERANCE = 1e-6
+#: Blocks of a stored row, and rows that a numpy step takes at once.
+BLOCKS_PER_ROW = 64
+ROWS_AT_ONCE = 512
+#: Partial sums that the driver adds up itself.
+SUMS_AT_DRIVER = 64
+#: What a fit may be given here; other settings are left to Spark's own fit.
+SETTINGS = {"layers", "maxIter"}
+
+
+def fits(spark: SparkSession, params: dict, labels: dict[int, tuple[int, int, int]], ks: Sequence[int]) -> bool:
+    """Whether ``fit`` covers these settings and labels (by fold: rows, zeros, ones); needs the JVM of a classic session."""
+    some = all(sum(v[0] for j, v in labels.items() if j != k) for k in ks)
+    return hasattr(spark, "_jvm") and set(params) <= SETTINGS and some and all(n == a + b for n, a, b in labels.values())
+
+
+# --- Breeze's L-BFGS ----------------------------------------------------------------------------------------------
+
+
+class _Failed(Exception):
+    """A direction or a line search that leads nowhere."""
+
+
+def minimise(x: np.ndarray, most: int, memory: int = MEMORY, tolerance: float = TOLERANCE) -> Generator:
+    """Yields the points at which it needs (loss, gradient), and returns where it ends.
+
+    As in Breeze: limited memory, strong Wolfe conditions; it ends after ``most`` steps, when the loss is within
+    ``tolerance`` of the greatest of the last twenty, when the gradient is short, or when it fails twice in a row."""
+    asked: list = [None, None]
+
+    def at(p: np.ndarray):
+        if asked[0] is None or not np.array_equal(asked[0], p):
+            asked[:] = p.copy(), (yield p)
+        return asked[1]
+
+    loss, gradient = yield from at(x)
+    first, seen, steps, history, failed = loss, [math.inf], 0, [], False
+    with np.errstate(all="ignore"):
+        while True:
+            if steps >= most or (len(seen) > 1 and abs(loss - max(seen)) <= tolerance * first) or (
+                    np.linalg.norm(gradient) <= max(tolerance * abs(loss), 1e-8)):
+                return x
+            try:
+                way = _direction(history, gradient)
+                step = yield from _line_search(at, x, way, 1.0 if steps else float(1.0 / np.linalg.norm(way)))
+                if step * np.linalg.norm(gradient) < 1e-10:
+                    raise _Failed
+            except _Failed:
+                if failed:
+                    return x
+                history, failed = [], True
+                continue
+            moved = x + way * step
+            new, slope = yield from at(moved)
+            history = [(moved - x, slope - gradient), *history][:memory]
+            x, loss, gradient, steps, failed = moved, new, slope, steps + 1, False
+            seen = [*seen, loss][-20:]
+
+
+def _direction(history: list, gradient: np.ndarray) -> np.ndarray:
+    scale = 1.0
+    if history:
+        s, y = history[0]
+        if not s @ y >= 0:
+            raise _Failed
+        scale = (s @ y) / (y @ y)
+    way, parts = gradient.copy(), []
+    for s, y in history:
+        a = (s @ way) / (s @ y)
+        if math.isnan(a):
+            raise _Failed
+        parts.append(a)
+        way -= a * y
+    way *= scale
+    for (s, y), a in zip(history[::-1], parts[::-1]):
+        way += (a - (y @ way) / (s @ y)) * s
+    return -way
+
+
+def _line_search(at, x: np.ndarray, way: np.ndarray, step: float, tries: int = 10) -> Generator:
+    """A step that meets the strong Wolfe conditions."""
+    def phi(t: float):
+        loss, gradient = yield from at(x + way * t)
+        return t, float(gradient @ way), float(loss)
+
+    low = yield from phi(0.0)
+    _, fall, start = low
+    if fall > 0:
+        raise _Failed
+
+    def zoom(low, high):
+        for _ in range(tries):
+            c = yield from phi(_between(high, low) if low[0] > high[0] else _between(low, high))
+            t, slope, loss = c
+            if loss > start + 1e-4 * t * fall or loss >= low[2]:
+                high = c
+            else:
+                if abs(slope) <= 0.9 * abs(fall):
+                    return t
+                if slope * (high[0] - low[0]) >= 0:
+                    high = low
+                low = c
+        raise _Failed
+
+    for i in range(tries):
+        c = yield from phi(step)
+        t, slope, loss = c
+        if not math.isfinite(loss):
+            step /= 2.0
+            continue
+        if loss > start + 1e-4 * t * fall or (loss >= low[2] and i > 0):
+            return (yield from zoom(low, c))
+        if abs(slope) <= 0.9 * abs(fall):
+            return t
+        if slope >= 0:
+            return (yield from zoom(c, low))
+        low, step = c, step * 1.5
+    raise _Failed
+
+
+def _between(a: tuple, b: tuple) -> float:
+    """The least point of the cubic through two points, at least a tenth away from either."""
+    (s, ds, fs), (t, dt, ft) = a, b
+    d1 = ds + dt - 3 * (fs - ft) / (s - t)
+    inner = d1 * d1 - ds * dt
+    d2 = math.sqrt(inner) if inner >= 0 else math.nan
+    below = dt - ds + 2 * d2
+    p = t - (t - s) * (dt + d2 - d1) / below if below else math.nan
+    low, high = s + 0.1 * (t - s), s + 0.9 * (t - s)
+    return low if p < low else high if p > high else p
+
+
+# --- tasks --------------------------------------------------------------------------------------------------------
+
+
+PACKED = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("x", T.BinaryType()),
+                       T.StructField("y", T.BinaryType())])
+SUMS = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("sums", T.BinaryType())])
+
+
+def scaled(x: np.ndarray, scaler: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    if np.isnan(x).any():
+        raise ValueError("features must not be NaN")
+    return (x - scaler[0]) * scaler[1]
+
+
+def _pack(batches: Iterator[pa.RecordBatch], ks: Sequence[int], scalers: list) -> Iterator[pa.RecordBatch]:
+    """A partition's rows that each fold is fitted on, some blocks a row, the last and shorter block by itself."""
+    width = len(scalers[0][0])
+    held: list[list] = [[] for _ in ks]
+    sizes = [0] * len(ks)
+
+    def rows(i: int, last: bool) -> Iterator[pa.RecordBatch]:
+        x, y = (np.concatenate(v) for v in zip(*held[i]))
+        unit, at = BLOCK * BLOCKS_PER_ROW, 0
+        out = []
+        while len(y) - at >= (1 if last else unit):
+            n = unit if len(y) - at >= unit else (len(y) - at) // BLOCK * BLOCK or len(y) - at
+            out.append({"k": i, "block": BLOCK if n >= BLOCK else n, "x": x[at:at + n].tobytes(), "y": y[at:at + n].tobytes()})
+            at += n
+        held[i], sizes[i] = [(x[at:], y[at:])], len(y) - at
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("k", pa.int32()), ("block", pa.int32()), ("x", pa.binary()), ("y", pa.binary())]))
+
+    for b in batches:
+        y, fold = (np.asarray(b.column(c).to_numpy(zero_copy_only=False), dtype=float) for c in ("_label", "_fold"))
+        for i, k in enumerate(ks):
+            own = (fold != k) & ~np.isnan(y)
+            x = np.asarray(b.column(f"_f{k}").flatten(), dtype=np.float64).reshape(-1, width)[own]
+            held[i].append((scaled(x, scalers[i]), y[own]))
+            sizes[i] += len(x)
+            if sizes[i] >= BLOCK * BLOCKS_PER_ROW:
+                yield from rows(i, False)
+    for i in range(len(ks)):
+        if sizes[i]:
+            yield from rows(i, True)
+
+
+def layers_of(weights: np.ndarray, sizes: Sequence[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(inputs x outputs, biases) of each layer, in Spark's order of the weights."""
+    out, at = [], 0
+    for a, b in zip(sizes, sizes[1:]):
+        out.append((weights[at:at + a * b].reshape(a, b), weights[at + a * b:at + a * b + b]))
+        at += a * b + b
+    return out
+
+
+def _sigmoid(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    z = x @ w
+    z += b
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1.0
+    return np.reciprocal(z, out=z)
+
+
+def _block_sums(x: np.ndarray, y: np.ndarray, layers: list, out: list[tuple[np.ndarray, np.ndarray]]) -> float:
+    """Adds the gradient of the rows' cross entropies to ``out``; their sum."""
+    loss = 0.0
+    *hidden, (w, b) = layers
+    top, bias = w[:, 1] - w[:, 0], b[1] - b[0]
+    for a in range(0, len(y), ROWS_AT_ONCE):
+        own, label = x[a:a + ROWS_AT_ONCE], y[a:a + ROWS_AT_ONCE]
+        acts = [own]
+        for v, c in hidden:
+            acts.append(_sigmoid(acts[-1], v, c))
+        u = acts[-1] @ top
+        u += bias
+        loss += float(np.logaddexp(0.0, u).sum() - label @ u)
+        d = 1.0 / (1.0 + np.exp(-u))
+        d -= label
+        # the two labels' columns are each other's negative
+        g = acts[-1].T @ d
+        out[-1][0][:, 1] += g
+        out[-1][0][:, 0] -= g
+        n = d.sum()
+        out[-1][1][1] += n
+        out[-1][1][0] -= n
+        delta = np.outer(d, top)
+        for j in range(len(hidden) - 1, -1, -1):
+            act = acts[j + 1]
+            delta *= act
+            delta *= 1.0 - act
+            out[j][0][...] += acts[j].T @ delta
+            out[j][1][...] += delta.sum(axis=0)
+            if j:
+                delta = delta @ hidden[j][0].T
+    return loss
+
+
+def _sums(batches: Iterator[pa.RecordBatch], sizes: Sequence[int], asked) -> Iterator[pa.RecordBatch]:
+    """For each fold that asks: its blocks' gradients and losses, and the number of blocks."""
+    points, total = asked.value, {}
+    with np.errstate(over="ignore"):
+        for b in batches:
+            for k, block, x, y in zip(*(b.column(i) for i in range(4))):
+                k, block = k.as_py(), block.as_py()
+                if k not in points:
+                    continue
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.float64) for v in (x, y))
+                own = np.zeros(len(points[k]) + 2)
+                own[-2] = _block_sums(x.reshape(len(y), -1), y, layers_of(points[k], sizes), layers_of(own[:-2], sizes))
+                own /= block
+                own[-1] = len(y) // block
+                total[k] = total[k] + own if k in total else own
+    yield from _as_rows(total)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, v in zip(b.column(0).to_pylist(), b.column(1)):
+            own = np.frombuffer(v.as_buffer(), dtype=np.float64)
+            total[k] = total[k] + own if k in total else own
+    yield from _as_rows(total)
+
+
+def _as_rows(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["k", "sums"])
+
+
+def scores(x: np.ndarray, model: tuple) -> np.ndarray:
+    """The probability of label 1."""
+    scaler, sizes, weights = model
+    out = np.empty(len(x))
+    *hidden, (w, b) = layers_of(weights, sizes)
+    with np.errstate(over="ignore"):
+        for a in range(0, len(x), ROWS_AT_ONCE):
+            act = scaled(x[a:a + ROWS_AT_ONCE], scaler)
+            for v, c in hidden:
+                act = _sigmoid(act, v, c)
+            z = act @ w + b
+            z = np.exp(z - z.max(axis=1, keepdims=True))
+            out[a:a + ROWS_AT_ONCE] = z[:, 1] / (z[:, 0] + z[:, 1])
+    return out
+
+
+# --- the driver ---------------------------------------------------------------------------------------------------
+
+
+def fit(data: DataFrame, ks: Sequence[int], columns: Sequence[Column], width: int, labels: dict[int, tuple[int, int, int]], params: dict,
+        seed: int, fold: str = "fold", label: str = "_label") -> list[tuple]:
+    """The perceptrons that leave out each fold, for ``scores``.
+
+    ``data``: stored rows, the partitions of which Spark would fit on; ``columns``: the array of features of each fold."""
+    spark, sizes = data.sparkSession, [width, *params["layers"], 2]
+    named = data.select(F.col(fold).alias("_fold"), F.col(label).alias("_label"), *[c.alias(f"_f{k}") for k, c in zip(ks, columns)])
+    scalers = []
+    for k in ks:
+        own = named.where((F.col("_fold") != k) & F.col("_label").isNotNull()).select(array_to_vector(f"_f{k}").alias("x"))
+        m = StandardScaler(inputCol="x", outputCol="z", withMean=True, withStd=True).fit(own)
+        std = m.std.toArray()
+        scalers.append((m.mean.toArray(), np.divide(1.0, std, out=np.zeros(width), where=std != 0)))
+    n_rows = sum(v[0] for k in ks for j, v in labels.items() if j != k)
+    n_tasks = min(2 * parallelism(spark), -(-n_rows // (BLOCK * BLOCKS_PER_ROW)))
+    packed = materialize(named.mapInArrow(lambda batches: _pack(batches, ks, scalers), PACKED).repartition(n_tasks))
+    start = _start(spark, sizes, seed)
+    searches = {i: minimise(start, params["maxIter"]) for i in range(len(ks))}
+    points, ends = {i: next(s) for i, s in searches.items()}, {}
+    while points:
+        asked = spark.sparkContext.broadcast(points)
+        sums = packed.mapInArrow(lambda batches: _sums(batches, sizes, asked), SUMS)
+        if n_tasks > SUMS_AT_DRIVER:
+            sums = sums.repartition(math.isqrt(n_tasks)).mapInArrow(_added, SUMS)
+        total: dict[int, np.ndarray] = {}
+        for r in sums.collect():
+            own = np.frombuffer(r.sums, dtype=np.float64)
+            total[r.k] = total[r.k] + own if r.k in total else own
+        asked.destroy()
+        for i, v in total.items():
+            try:
+                points[i] = searches[i].send((float(v[-2] / v[-1]), v[:-2] / v[-1]))
+            except StopIteration as end:
+                ends[i] = end.value
+                del points[i]
+    return [(scalers[i], sizes, ends[i]) for i in range(len(ks))]
+
+
+def _start(spark: SparkSession, sizes: Sequence[int], seed: int) -> np.ndarray:
+    """Spark's first weights."""
+    layers = spark.sparkContext._gateway.new_array(spark._jvm.int, len(sizes))
+    for i, n in enumerate(sizes):
+        layers[i] = n
+    top = spark._jvm.org.apache.spark.ml.ann.FeedForwardTopology.multiLayerPerceptron(layers, True)
+    return np.array(list(top.model(seed).weights().toArray()))
